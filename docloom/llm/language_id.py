@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import crc_mod, small_batches, table
-from docloom.llm.compression import length
+from docloom.llm.compression import CARRIER, TAIL, length
 
 SAMPLE_ROWS = 200
 DICTIONARY_BYTES = 48_000
@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def windows(text: str | None) -> list[bytes]:
     ws = _WORD.findall(text.lower()) if text else []
-    return [" ".join(dict.fromkeys(ws[i : i + WINDOW_WORDS])).encode() for i in range(0, len(ws), WINDOW_WORDS)]
+    return [" ".join(["", *dict.fromkeys(ws[i : i + WINDOW_WORDS]), ""]).encode() for i in range(0, len(ws), WINDOW_WORDS)]
 
 
 def dictionaries(rows: list[tuple[str, str]]) -> dict[str, bytes]:
@@ -52,7 +52,7 @@ def dictionaries(rows: list[tuple[str, str]]) -> dict[str, bytes]:
         share = DICTIONARY_BYTES // len(by[lang]) + 1
         content = b" ".join(b" ".join(windows(t))[:share] for t in by[lang])[:DICTIONARY_BYTES]
         if content.strip():
-            out[lang] = content
+            out[lang] = content + CARRIER + TAIL
     return out
 
 
@@ -79,7 +79,7 @@ def classify(text: str | None, by_lang: dict[str, bytes]) -> tuple[str, float, b
     parts = windows(text)
     if not parts or not by_lang:
         return "und", 0.0, True
-    sizes = sorted((sum(length(d, x, LEVEL) for x in parts), lang) for lang, d in by_lang.items())
+    sizes = sorted((sum(length(d, CARRIER + x + TAIL, LEVEL) - length(d, CARRIER + TAIL, LEVEL) for x in parts), lang) for lang, d in by_lang.items())
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = sizes[1][0] / max(1, sizes[0][0]) - 1
