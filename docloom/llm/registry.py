@@ -5,6 +5,7 @@ from __future__ import annotations
 from docloom.llm import decontamination, line_dedup
 from docloom.llm.bpe import op7_bpe
 from docloom.llm.decontamination import op9_decontamination
+from docloom.llm.fingerprints import op1_fingerprints
 from docloom.llm.html_extraction import op8_main_text
 from docloom.llm.language_id import op6_language
 from docloom.llm.line_dedup import op10_line_dedup
@@ -14,6 +15,7 @@ from docloom.llm.toxicity import op5_toxicity
 from docloom.llm.warc import op3_warc_derivatives
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_token_counts": op4_token_counts,
