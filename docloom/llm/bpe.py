@@ -30,32 +30,28 @@ from pyspark.sql import functions as F
 from docloom.llm.common import row_key, small_batches, table
 from docloom.llm.vocabulary import WORD_PATTERN, Encoder, Splitter, encoded, frequency_floor, piece_counts, tokenizer
 
-#: Words in the broadcast table: 8 bytes of hash and about 12 of ids for each.
-BROADCAST_WORDS = 2_000_000
+#: Words in the broadcast table: about 32 bytes for each, of hash, place and ids.
+BROADCAST_WORDS = 4_000_000
 #: Words whose ids a task keeps at hand.
-AT_HAND = 150_000
+AT_HAND = 400_000
 
 
 class WordTable:
     """Words' ids by a sorted 64-bit hash, read-only."""
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: bytes):
         self.hashes, self.starts, self.ids = hashes, starts, ids
 
     @classmethod
-    def of(cls, batches: Iterator[pa.RecordBatch]) -> WordTable:
-        hs, ks, xs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
-        for b in batches:
-            hs.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            ks.append(np.diff(b.column(1).offsets.to_numpy()))
-            xs.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4"))
-        h, k, x = map(np.concatenate, (hs, ks, xs))
-        at = np.concatenate([[0], np.cumsum(k)])
+    def of(cls, table: pa.Table) -> WordTable:
+        """From columns h (hash) and ids (32-bit little-endian)."""
+        h = table.column(0).to_numpy().view(np.uint64)
+        packed = table.column(1).combine_chunks()
+        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
         order = np.argsort(h, kind="stable")
-        k = k[order]
-        starts = np.concatenate([[0], np.cumsum(k)]).astype(np.int64)
-        ids = x[np.repeat(at[:-1][order], k) + np.arange(k.sum()) - np.repeat(starts[:-1], k)] if len(x) else x
-        return cls(h[order], starts, ids)
+        packed = packed.take(pa.array(order))
+        at = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1) if len(packed) else np.zeros(1, np.int32)
+        return cls(h[order], at.astype(np.uint32), bytes(packed.buffers()[2] or b"") if len(packed) else b"")
 
     def get(self, word: str) -> bytes | None:
         import xxhash
@@ -64,7 +60,7 @@ class WordTable:
         i = int(np.searchsorted(self.hashes, h))
         if i == len(self.hashes) or self.hashes[i] != h:
             return None
-        return self.ids[self.starts[i] : self.starts[i + 1]].tobytes()
+        return self.ids[self.starts[i] : self.starts[i + 1]]
 
 
 class _AtHand(dict):
@@ -94,7 +90,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     words = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path))
     floor = frequency_floor(words, bound)
     frequent = words.filter(F.col("n") >= floor).select(F.xxhash64("piece").alias("h"), "ids").toArrow()
-    shared = spark.sparkContext.broadcast(WordTable.of(iter(frequent.combine_chunks().to_batches())))
+    shared = spark.sparkContext.broadcast(WordTable.of(frequent))
     del frequent
     rare = words.filter(F.col("n") < floor).select("piece", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -121,7 +117,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
         for b in batches:
             ids = []
             for x, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = {w["piece"]: np.asarray(w["ids"], "<u4").tobytes() for w in found}
+                own = {w["piece"]: w["ids"] for w in found}
                 ids.append(b"".join([own[w] if w in own else at_hand[w] for w in split(x)]))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], ["doc_id", "ids"])
 

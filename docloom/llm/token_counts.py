@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id"
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = Splitter(tokenizer_path, BYTE_PATTERN, lower=False)
-    pieces = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path)).select("piece", "n", F.size("ids").alias("k"))
+    pieces = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path)).select("piece", "n", "k")
     floor = frequency_floor(pieces, bound)
     frequent = pieces.filter(F.col("n") >= floor).select("piece", "k")
     rare = pieces.filter(F.col("n") < floor).select("piece", F.col("k").alias("rare_k"))

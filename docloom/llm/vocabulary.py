@@ -8,6 +8,7 @@ nearly all occurrences; all others are joined by a shuffle.  Both ways are exact
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, small_batches
+from docloom.llm.common import small_batches, written
 
 #: Distinct pieces that a task counts before it sends the counts on.
 FLUSH = 200_000
@@ -69,10 +70,14 @@ class Splitter:
         return False
 
     def _cut(self, text: str) -> list[str]:
+        if text.isascii():
+            # here the normaliser only lowers, and white space is no part of a word
+            return self.find(text.lower() if self.lower else text)
+        known = not self._newer(text)
         if self.normal is not None:
-            # for ASCII text the normaliser only lowers, and white space is no part of a word
-            text = text.lower() if self.lower and text.isascii() else self.normal(text)
-        if not text.isascii() and self._newer(text):
+            # composed, then lowered letter by letter: a final sigma is like any other
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if known and self.lower else self.normal(text)
+        if not known:
             return [text[a:b] for _, (a, b) in self.pre(text)]
         return self.find(text)
 
@@ -134,13 +139,15 @@ def piece_counts(docs: DataFrame, text: str, split: Callable[[str | None], list[
 
 
 def encoded(counts: DataFrame, encode: Callable[[str], list[int]]) -> DataFrame:
-    """(piece, n, ids): each distinct piece encoded once, written to the shared folder."""
+    """(piece, n, k, ids): each distinct piece encoded once, k ids as little-endian 32-bit numbers; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode(x) for x in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["piece", "n", "ids"])
+            ids = [encode(x) for x in b.column(0).to_pylist()]
+            packed = pa.array([struct.pack(f"<{len(x)}I", *x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, ids), pa.int32()), packed], ["piece", "n", "k", "ids"])
 
-    return checkpointed(counts.mapInArrow(run, "piece string, n long, ids array<int>"))
+    return written(counts.mapInArrow(run, "piece string, n long, k int, ids binary"))
 
 
 def frequency_floor(counts: DataFrame, bound: int) -> int:
