@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key, table
+from docloom.llm.common import row_key, table, written
 
 MIN_LENGTH = 20
 MIN_DOCS = 3
@@ -54,7 +54,8 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = rows.select("k1", "k2", "doc", F.posexplode("lines").alias("pos", "line"))
     # a line that is too short before stripping is too short after it
     keys = lines.filter(F.length("line") >= min_length).select("k1", "k2", "doc", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_length)
-    keys = keys.select("k1", "k2", "doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    # hashed once and written: what follows reads the hashes several times
+    keys = written(keys.select("k1", "k2", "doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")))
 
     top = keys.agg(F.expr(f"approx_top_k(h1, {HOT}, {TRACKED})").alias("t"), F.count("*").alias("n")).select("n", F.explode("t").alias("x"))
     hot = F.broadcast(top.filter("x.count > n / 2000").select(F.col("x.item").alias("h1")))
