@@ -163,20 +163,10 @@ def _find_block(keyed: DataFrame, items: DataFrame, window: int, doc_kind: str,
     return keyed.mapInArrow(look, f"k1 long, k2 long, doc_id {doc_kind}, n_words long, spans array<struct<s:int,e:int>>, items array<{kind}>")
 
 
-_SPACES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text without the words of the spans; what stood around them is kept."""
-    if not text or not spans:
-        return text
-    raw = text.encode()
-    at = [m.span() for m in _SPACES.finditer(raw.lower())]
-    out, last = [], 0
-    for s, e in spans:
-        out.append(raw[last : at[s][0]])
-        last = at[e - 1][1]
-    return b"".join([*out, raw[last:]]).decode()
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
+    whole = docs.select(F.struct("*").alias("doc_id"), F.col(text).alias("text"))
+    return find(whole, benchmark).filter(F.size("spans") == 0).select("doc_id.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, join_hot, small_batches, table
+from docloom.llm.common import checkpointed, join_hot, row_key, small_batches, table, written
 from docloom.llm.components import components
 
 RADIUS = 2
@@ -80,6 +80,9 @@ def block_masks(radius: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, 6)]
 
 
+_ALL, _NONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
+
+
 class Planes:
     """Fingerprints of one key, bit by bit: plane p holds bit p of all, 64 to a word."""
 
@@ -96,38 +99,38 @@ class Planes:
     def near(self, queries: np.ndarray, among: np.ndarray) -> np.ndarray:
         """For each query, a bit for each fingerprint of ``among`` (a mask by words) within the radius."""
         held = np.flatnonzero(among)  # blocks of 64 that are still of interest
-        shape = (len(queries), len(held))
-        ones, twos, fours, over = (np.zeros(shape, np.uint64) for _ in range(4))
         mask = among[held]
+        counters = np.zeros((self.radius.bit_length() + 1, len(queries), len(held)), np.uint64)  # the last one: too many
         for p in range(len(self.planes)):
-            flip = np.where(self.own[queries, p], np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
+            flip = np.where(self.own[queries, p], _ALL, _NONE)[:, None]
             carry = self.planes[p][held][None, :] ^ flip
-            carry, ones = ones & carry, ones ^ carry
-            carry, twos = twos & carry, twos ^ carry
-            carry, fours = fours & carry, fours ^ carry
-            over |= carry
-            alive = ~over & mask & self._within(ones, twos, fours)
-            some = alive.any(axis=0)
-            if not some.any():
-                break
-            if some.sum() * 2 < len(held):  # abandon blocks in which all exceed the radius
-                held, mask = held[some], mask[some]
-                ones, twos, fours, over = (x[:, some] for x in (ones, twos, fours, over))
-        out = np.zeros((len(queries), self.planes.shape[1] if len(self.planes) else len(among)), np.uint64)
-        out[:, held] = ~over & mask & self._within(ones, twos, fours)
+            for c in counters[:-1]:
+                carry, c[...] = c & carry, c ^ carry
+            counters[-1] |= carry
+            if p >= self.radius:
+                some = (self._within(counters) & mask).any(axis=0)
+                if not some.any():
+                    break
+                if some.sum() * 2 < len(held):  # abandon blocks in which all exceed the radius
+                    held, mask, counters = held[some], mask[some], counters[:, :, some]
+        out = np.zeros((len(queries), len(among)), np.uint64)
+        out[:, held] = self._within(counters) & mask
         return out
 
-    def _within(self, ones: np.ndarray, twos: np.ndarray, fours: np.ndarray) -> np.ndarray:
-        """Counters (0 to 7) of no more than the radius."""
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        ok = np.zeros_like(ones)
-        for v in range(min(self.radius, 7) + 1):
-            ok |= (ones if v & 1 else ones ^ full) & (twos if v & 2 else twos ^ full) & (fours if v & 4 else fours ^ full)
-        return ok
+    def _within(self, counters: np.ndarray) -> np.ndarray:
+        """Counters of no more than the radius, compared from the highest bit."""
+        less, same = np.zeros_like(counters[0]), ~counters[-1]
+        for bit in reversed(range(len(counters) - 1)):
+            if self.radius >> bit & 1:
+                less |= same & ~counters[bit]
+                same = same & counters[bit]
+            else:
+                same = same & ~counters[bit]
+        return less | same
 
     def tree(self) -> list[tuple[int, int]]:
         """Index pairs that span every group of fingerprints linked within the radius."""
-        left = np.packbits(np.arange(len(self.planes[0]) * 64 if len(self.planes) else -(-self.n // 64) * 64) < self.n, bitorder="little").view(np.uint64).copy()
+        left = np.packbits(np.arange(-(-self.n // 64) * 64) < self.n, bitorder="little").view(np.uint64).copy()
         out: list[tuple[int, int]] = []
         for start in range(self.n):
             if not left[start >> 6] >> np.uint64(start & 63) & np.uint64(1):
@@ -150,12 +153,14 @@ class Planes:
 
 def links(nodes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> DataFrame:
     """(a, b): links between distinct fingerprints that span every group within the radius."""
-    small_batches(nodes.sparkSession)
     masks = block_masks(radius)
-    if radius > 7:
-        raise ValueError("counters of three bits reach a radius of 7")
-    dealt = nodes.select(F.col(fp).alias("fp"), F.posexplode(F.array(*(F.col(fp).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks))).alias("t", "key"))
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
+    keys = F.array(*(F.col(fp).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks))
+    return _compared(nodes.select(F.col(fp).alias("fp"), F.col(fp).alias("node"), F.posexplode(keys).alias("t", "key")), radius)
+
+
+def _compared(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b): nodes linked in rows (fp, node, t, key), compared inside each (t, key)."""
+    small_batches(dealt.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -163,39 +168,35 @@ def links(nodes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            fps, t, key = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
-            cuts = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
-            groups = np.split(fps, cuts)
+            fps, node, t, key = (b.column(i).to_numpy().astype(np.int64) for i in range(4))
+            groups = np.split(np.stack([fps, node]), np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1, axis=1)
             if last is not None and last != (t[0], key[0]):
-                yield from _of(held, radius)
+                yield from _linked([np.concatenate(held, axis=1)], radius)
                 held = []
             held.append(groups[0])
             if len(groups) > 1:
-                yield from _of(held, radius)
-                yield from _several(groups[1:-1], radius)
+                yield from _linked([np.concatenate(held, axis=1), *groups[1:-1]], radius)
                 held = [groups[-1]]
             last = (t[-1], key[-1])
-        yield from _of(held, radius)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        if held:
+            yield from _linked([np.concatenate(held, axis=1)], radius)
 
+    rows = dealt.select("fp", "node", "t", "key").repartition("t", "key").sortWithinPartitions("t", "key", "node")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-def _of(parts: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
-    if parts:
-        yield from _several([np.concatenate(parts)], radius)
 
-
-def _several(groups: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
+def _linked(groups: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     a, b = [], []
-    for g in groups:
-        if len(g) == 2:  # a block of one pair
-            if np.bitwise_count(g.view(np.uint64)[0] ^ g.view(np.uint64)[1]) <= radius:
-                a.append(g[0])
-                b.append(g[1])
-        elif len(g) > 2:
-            for i, j in Planes(g.view(np.uint64), radius).tree():
-                a.append(g[i])
-                b.append(g[j])
+    for fps, node in groups:
+        if len(fps) == 2:  # a block of one pair
+            x = fps.view(np.uint64)
+            if np.bitwise_count(x[0] ^ x[1]) <= radius:
+                a.append(node[0])
+                b.append(node[1])
+        elif len(fps) > 2:
+            for i, j in Planes(np.ascontiguousarray(fps).view(np.uint64), radius).tree():
+                a.append(node[i])
+                b.append(node[j])
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
@@ -213,5 +214,69 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return join_hot(fps, by_fp, ["fp"], "rows", n.rows or 0).select("doc_id", "fp", "component_id")
 
 
+#: For near copies: shingles of five words, and a SimHash similarity (1 - distance / 64) of 0.8 or more.
+COPY_SHINGLE, COPY_RADIUS = 5, 12
+#: Shingle minima of a text; two make a key.
+MINIMA = 16
+#: Nodes of a key over which it is dealt out anew, by that key and another.
+CROWDED = 32_768
+_FACTORS = (np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least shingle hash under each of several orders."""
+    return np.array([(hashes * f).min() if len(hashes) else 0 for f in _FACTORS], np.uint64)
+
+
+def copy_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
+    """(k1, k2, doc_id, group): near copies share a group; (k1, k2) is ``row_key(doc_id, text)``.
+
+    A radius of 12 bits has no selective exact blocks, so texts are compared if
+    two of their shingle minima agree at one of eight places: at a shingle
+    Jaccard similarity of 0.8, all but 3 pairs in 10,000 are.  Inside a key the
+    fingerprints are compared bit by bit as above, against ``radius``.
+    """
+    small_batches(docs.sparkSession)
+    k1, k2 = row_key(doc_id, text)
+    docs = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, least = [], []
+            for x in b.column(3).to_pylist():
+                h = shingle_hashes(words(x), shingle)
+                fps.append(fingerprint(h))
+                least.append(minima(h))
+            flat = np.concatenate(least).view(np.int64) if least else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, MINIMA, dtype=np.int32)), pa.array(flat))], ["k1", "k2", "doc_id", "fp", "least"])
+
+    pairs = F.array(*(F.xxhash64(F.get("least", F.lit(2 * i)), F.get("least", F.lit(2 * i + 1)), F.lit(i)) for i in range(MINIMA // 2)))
+    made = written(docs.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, fp long, least array<long>").select("k1", "k2", "doc_id", "fp", F.xxhash64("fp", "least").alias("node"), pairs.alias("pairs")))
+    nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("pairs").alias("pairs"))
+    dealt = nodes.select("fp", "node", "pairs", F.posexplode("pairs").alias("t", "key"))
+    crowded = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("t", "key")
+    plain = dealt.join(crowded, ["t", "key"], "left_anti").select("fp", "node", "t", "key")
+    # texts of a crowded key are compared if they agree at one place more
+    anew = dealt.join(crowded, ["t", "key"], "left_semi").select("fp", "node", F.col("t").alias("t0"), F.col("key").alias("key0"), F.posexplode("pairs").alias("t1", "key1")).filter("t0 <> t1")
+    anew = anew.select("fp", "node", (F.col("t0") * MINIMA + F.col("t1") + MINIMA).alias("t"), F.xxhash64("key0", "key1").alias("key"))
+    roots = components(_compared(plain.unionByName(anew), radius))
+    rows = made.groupBy("node").agg(F.count("*").alias("n"))
+    total = made.count()
+    rooted = rows.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
+    return join_hot(made.select("k1", "k2", "doc_id", "node"), rooted, ["node"], "n", total).drop("node")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the least id of each group of near copies; of rows that repeat, one."""
+    groups = copy_groups(docs, doc_id=doc_id, text=text, shingle=shingle, radius=radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("x")
+    kept = groups.groupBy("group").agg(first).select("x.k1", "x.k2")
+    k1, k2 = row_key(doc_id, text)
+    keyed = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(kept, ["k1", "k2"], "left_semi")
+    once = keyed.withColumn("i", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+    return once.filter("i = 1").select("row.*")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
