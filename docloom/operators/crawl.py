@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
+from docloom.operators.state import checkpointed
 
 REPLICAS = 100
 #: Statuses of a blocked response.
@@ -117,17 +118,12 @@ def levels(pages: DataFrame, page_url: str, links: DataFrame, seeds: DataFrame,
     Each round joins the frontier to the links and drops what was seen; the
     table of seen URLs is checkpointed, so its lineage stays short.
     """
-    import tempfile
-
-    sc = pages.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(pages.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     known = pages.select(F.col(page_url).alias("url")).distinct()
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         front = seen.filter(F.col("depth") == d - 1).join(known, "url", "left_semi")
-        new = front.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        new = checkpointed(front.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
         if not new.limit(1).count():
             break
-        seen = seen.unionByName(new).checkpoint()
+        seen = checkpointed(seen.unionByName(new))
     return seen

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import urls as U
+from docloom.operators.state import checkpointed
 
 #: Formats of majority patterns, and date patterns of the learner.
 FORMATS = {"email": "email", "url": "uri", "date": "date"}
@@ -113,12 +114,15 @@ def clusters(vectors: DataFrame, key: str, dims: list[str], eps: float = 0.5) ->
     x, y = vectors.alias("x"), vectors.alias("y")
     dist = F.sqrt(sum((F.pow(F.col(f"x.{d}") - F.col(f"y.{d}"), 2) for d in dims), F.lit(0.0)))
     near = x.join(y, F.col(f"x.{key}") != F.col(f"y.{key}")).filter(dist <= eps).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"))
+    near = checkpointed(near)
     label = vectors.select(F.col(key).alias("k")).withColumn("c", F.col("k"))
-    for _ in range(6):  # labels reach 2 ** 6 links by pointer doubling
+    while True:
         low = near.join(label, F.col("b") == F.col("k")).groupBy("a").agg(F.min("c").alias("m"))
-        label = label.join(low, F.col("k") == F.col("a"), "left").select("k", F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = label.select(F.col("k").alias("j"), F.col("c").alias("jc"))
-        label = label.join(jump, F.col("c") == F.col("j")).select("k", F.col("jc").alias("c"))
+        moved = label.join(low, F.col("k") == F.col("a"), "left").select("k", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
+        moved = checkpointed(moved)
+        label = moved.select("k", F.col("n").alias("c"))
+        if not moved.filter("n < c").limit(1).count():
+            break
     lone = label.join(near.select(F.col("a").alias("k")).distinct().withColumn("near", F.lit(True)), "k", "left")
     return lone.select(F.col("k").alias(key), F.when(F.col("near"), F.col("c")).alias("cluster"))
 
