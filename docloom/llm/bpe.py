@@ -19,39 +19,41 @@ read.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import row_key, small_batches, table
-from docloom.llm.vocabulary import WORD_PATTERN, Encoder, Splitter, encoded, frequency_floor, piece_counts, tokenizer
+from docloom.llm.vocabulary import Encoder, Splitter, encoded, frequency_floor, piece_counts, tokenizer
 
-#: Words in the broadcast table: about 32 bytes for each, of hash, place and ids.
+#: Words in the broadcast table: about 24 bytes for each, of hash, place and ids.
 BROADCAST_WORDS = 4_000_000
 #: Words whose ids a task keeps at hand.
-AT_HAND = 400_000
+AT_HAND = 250_000
 
 
 class WordTable:
     """Words' ids by a sorted 64-bit hash, read-only."""
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: bytes):
-        self.hashes, self.starts, self.ids = hashes, starts, ids
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: bytes, kind: str):
+        self.hashes, self.starts, self.ids, self.kind = hashes, starts, ids, kind
 
     @classmethod
-    def of(cls, table: pa.Table) -> WordTable:
-        """From columns h (hash) and ids (32-bit little-endian)."""
+    def of(cls, table: pa.Table, n_ids: int) -> WordTable:
+        """From columns h (hash) and ids (32-bit little-endian); ids are kept in 16 bits where ``n_ids`` allows."""
+        kind = "<u2" if n_ids <= 1 << 16 else "<u4"
+        if not table.num_rows:
+            return cls(np.zeros(0, np.uint64), np.zeros(1, np.uint32), b"", kind)
         h = table.column(0).to_numpy().view(np.uint64)
-        packed = table.column(1).combine_chunks()
-        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
         order = np.argsort(h, kind="stable")
-        packed = packed.take(pa.array(order))
-        at = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1) if len(packed) else np.zeros(1, np.int32)
-        return cls(h[order], at.astype(np.uint32), bytes(packed.buffers()[2] or b"") if len(packed) else b"")
+        packed = table.column(1).combine_chunks()
+        packed = (packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed).take(pa.array(order))
+        at = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1) // 4
+        return cls(h[order], at.astype(np.uint32), np.frombuffer(packed.buffers()[2], "<u4", int(at[-1])).astype(kind).tobytes(), kind)
 
     def get(self, word: str) -> bytes | None:
         import xxhash
@@ -60,7 +62,8 @@ class WordTable:
         i = int(np.searchsorted(self.hashes, h))
         if i == len(self.hashes) or self.hashes[i] != h:
             return None
-        return self.ids[self.starts[i] : self.starts[i + 1]]
+        size = np.dtype(self.kind).itemsize
+        return self.ids[size * int(self.starts[i]) : size * int(self.starts[i + 1])]
 
 
 class _AtHand(dict):
@@ -81,21 +84,31 @@ class _AtHand(dict):
         return ids
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", bound: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, ids): the ids of every row's whole text."""
+def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", bound: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of every row's whole text; with ``decoded`` also what ``decode`` makes of them, in the same pass."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    split = Splitter(tokenizer_path, WORD_PATTERN, lower=True)
+    split = Splitter(tokenizer_path, "word")
     words = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path))
     floor = frequency_floor(words, bound)
     frequent = words.filter(F.col("n") >= floor).select(F.xxhash64("piece").alias("h"), "ids").toArrow()
-    shared = spark.sparkContext.broadcast(WordTable.of(frequent))
-    del frequent
+    table_ = WordTable.of(frequent, tokenizer(tokenizer_path).get_vocab_size())
+    kind = table_.kind
+    shared = spark.sparkContext.broadcast(table_)
+    del frequent, table_
+    pieces = piece_table(spark, tokenizer_path) if decoded else None
     rare = words.filter(F.col("n") < floor).select("piece", "ids")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(*(c.alias(n) for c, n in zip(row_key("doc_id", "text"), ("k1", "k2"), strict=True)), "doc_id", "text")
 
+    def made(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        columns, names = [doc_ids, _lists(ids, kind)], ["doc_id", "ids"]
+        if pieces is not None:
+            columns.append(pa.array([_joined(np.frombuffer(x, kind), pieces) for x in ids], pa.string()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def put_together(known: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of known words alone, with ids; or the other rows, with their rare words."""
         at_hand = _AtHand(shared.value)
@@ -110,42 +123,51 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
                     rares.append(list(at_hand.rare))
             if keep:
                 some = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([some.column(2), _lists(ids)], ["doc_id", "ids"]) if known else pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), some.column(3), pa.array(rares, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "text", "rare"])
+                yield made(some.column(2), ids) if known else pa.RecordBatch.from_arrays([*some.columns, pa.array(rares, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "text", "rare"])
 
     def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_hand = _AtHand(shared.value)
         for b in batches:
             ids = []
             for x, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = {w["piece"]: w["ids"] for w in found}
+                own = {w["piece"]: np.frombuffer(w["ids"], "<u4").astype(kind).tobytes() for w in found}
                 ids.append(b"".join([own[w] if w in own else at_hand[w] for w in split(x)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], ["doc_id", "ids"])
+            yield made(b.column(0), ids)
 
-    done = keyed.mapInArrow(lambda x: put_together(True, x), f"doc_id {kind}, ids array<int>")
+    schema = f"doc_id {id_kind}, ids array<int>" + ", decoded string" * decoded
+    done = keyed.mapInArrow(lambda x: put_together(True, x), schema)
     if floor <= 1:  # every word is in the broadcast table
         return done
-    open_rows = keyed.mapInArrow(lambda x: put_together(False, x), f"k1 long, k2 long, doc_id {kind}, text string, rare array<string>")
+    open_rows = keyed.mapInArrow(lambda x: put_together(False, x), f"k1 long, k2 long, doc_id {id_kind}, text string, rare array<string>")
     found = open_rows.select("k1", "k2", F.explode("rare").alias("piece")).join(rare, "piece").groupBy("k1", "k2").agg(F.collect_set(F.struct("piece", "ids")).alias("found"))
-    filled = open_rows.drop("rare").join(found, ["k1", "k2"]).select("doc_id", "text", "found").mapInArrow(fill_in, f"doc_id {kind}, ids array<int>")
+    filled = open_rows.drop("rare").join(found, ["k1", "k2"]).select("doc_id", "text", "found").mapInArrow(fill_in, schema)
     return done.unionByName(filled)
 
 
-def _lists(ids: list[bytes]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4" if sys.byteorder == "little" else ">u4").astype(np.int32)))
+def _lists(ids: list[bytes], kind: str) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) // np.dtype(kind).itemsize
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), kind).astype(np.int32)))
+
+
+def piece_table(spark: SparkSession, tokenizer_path: str) -> Broadcast:
+    """The piece of every id; as long as the tokenizer's vocabulary."""
+    t = tokenizer(tokenizer_path)
+    return spark.sparkContext.broadcast([t.id_to_token(i) for i in range(t.get_vocab_size())])
+
+
+def _joined(ids: np.ndarray, pieces: Broadcast) -> str:
+    return " ".join(map(pieces.value.__getitem__, ids.tolist()))
 
 
 def decode(encoded_docs: DataFrame, tokenizer_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text that the ids stand for: their pieces, joined as the tokenizer's decode does without a decoder, by spaces."""
     small_batches(encoded_docs.sparkSession)
-    t = tokenizer(tokenizer_path)
-    pieces = encoded_docs.sparkSession.sparkContext.broadcast([t.id_to_token(i) for i in range(t.get_vocab_size())])
+    pieces = piece_table(encoded_docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(pieces.value, dtype=object)
         for b in batches:
             at = b.schema.get_field_index(ids)
-            texts = [" ".join(names[x.values.to_numpy()]) if x.is_valid else None for x in b.column(at)]
+            texts = [_joined(x.values.to_numpy(), pieces) if x.is_valid else None for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded_docs.schema)
@@ -159,7 +181,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import small_batches, table
-from docloom.llm.vocabulary import BYTE_PATTERN, Encoder, Splitter, encoded, frequency_floor, piece_counts
+from docloom.llm.vocabulary import Encoder, Splitter, encoded, frequency_floor, piece_counts
 
 #: Pre-tokens in the broadcast table, about 40 MB in the JVM.
 BROADCAST_PIECES = 300_000
@@ -32,7 +32,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id"
     """(doc_id, n_bytes, n_tokens) of every row, as the byte-level BPE tokenizer at ``tokenizer_path`` counts them."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    split = Splitter(tokenizer_path, BYTE_PATTERN, lower=False)
+    split = Splitter(tokenizer_path, "byte")
     pieces = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path)).select("piece", "n", "k")
     floor = frequency_floor(pieces, bound)
     frequent = pieces.filter(F.col("n") >= floor).select("piece", "k")

@@ -56,6 +56,8 @@ def test_bpe_round_trip(spark, odd_texts, bound):
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         want.append((r.doc_id, ids, t.decode(ids, skip_special_tokens=False)))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    at_once = bpe.encode(df, path, bound=bound, decoded=True).collect()
+    assert sorted(map(str, map(tuple, at_once))) == sorted(map(str, want))
 
 
 def test_fingerprints(spark):
