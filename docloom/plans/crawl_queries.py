@@ -11,13 +11,15 @@ from docloom.operators import politeness as P
 from docloom.plans import base
 from docloom.plans.text_queries import _CANON, _SPLIT
 
-AS_OF = F.expr(base.AS_OF)
+def _as_of():
+    return F.expr(base.AS_OF)
+
 ROBOTS = "User-agent: *\nUser-agent: bot # comment\nAllow: /p/1\nDisallow: /p/\nDisallow: /*.json$\nCrawl-delay: 2.5\nRequest-rate: 3/10\nSitemap: http://x/s.xml\nnonsense"
 
 
 def _tasks(spark, sf_dir):
     t = base.derived(spark, sf_dir, base.TASKS)
-    return t.withColumn("score", C.priority_score(F.col("priority"), F.col("depth"), F.col("created_at"), AS_OF))
+    return t.withColumn("score", C.priority_score(F.col("priority"), F.col("depth"), F.col("created_at"), _as_of()))
 
 
 def _crawl(spark, sf_dir):
@@ -78,7 +80,7 @@ def dst6_least_loaded(spark, sf_dir):
 
 
 def dst8_alive(spark, sf_dir):
-    return C.alive(base.derived(spark, sf_dir, base.NODES), AS_OF).select("node_id", "alive")
+    return C.alive(base.derived(spark, sf_dir, base.NODES), _as_of()).select("node_id", "alive")
 
 
 def dst9_backoff(spark, sf_dir):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from docloom.operators import monitoring as M
 from docloom.plans import base
 
-AS_OF = F.expr("TIMESTAMP '2024-01-20 00:00:00'")
+def _as_of():
+    return F.expr("TIMESTAMP '2024-01-20 00:00:00'")
+
 
 
 def _crawl(spark, sf_dir):
@@ -31,7 +33,7 @@ def mon_running(spark, sf_dir):
 
 
 def mon_history(spark, sf_dir):
-    return M.within(_crawl(spark, sf_dir), AS_OF, 120).groupBy("crawl_id").agg(F.count("*").alias("n"))
+    return M.within(_crawl(spark, sf_dir), _as_of(), 120).groupBy("crawl_id").agg(F.count("*").alias("n"))
 
 
 def mon_last_n(spark, sf_dir):

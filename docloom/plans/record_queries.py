@@ -9,7 +9,9 @@ from docloom.operators import dedup as D
 from docloom.operators import records as R
 from docloom.plans import base
 
-AS_OF = F.expr(base.AS_OF)
+def _as_of():
+    return F.expr(base.AS_OF)
+
 FIELDS = ["id", "url", "name", "price", "currency", "description", "brand", "sku", "rating", "review_count", "contact_email", "scraped_date", "stamp"]
 REQUIRED, IMPORTANT = ["name", "price"], ["description", "currency"]
 
@@ -54,7 +56,7 @@ def scored(spark, sf_dir) -> DataFrame:
         "accuracy": R.accuracy_a(names, F.col("is_valid")),
         "consistency": R.consistency_a(names),
         "uniqueness": R.uniqueness(F.col("is_duplicate")),
-        "timeliness": R.timeliness(F.col("stamp"), AS_OF),
+        "timeliness": R.timeliness(F.col("stamp"), _as_of()),
     }
     v = v.withColumns(s)
     v = v.withColumn("overall", R.overall({k: F.col(k) for k in s}, R.WEIGHTS_A))
@@ -70,8 +72,8 @@ def qs_heuristics(spark, sf_dir):
     r = _records(spark, sf_dir)
     v = R.validate(r, R.product_rules())
     errors = R.count_severity("issues", "error")
-    s = {"completeness": R.completeness_b(FIELDS), "accuracy": R.accuracy_b(r), "validity": R.validity_b(errors), "timeliness": R.timeliness(F.col("stamp"), AS_OF, 0.5)}
-    return v.select("id", *(F.round(c, 6).alias(k) for k, c in s.items()), F.round(R.accuracy_c(), 6).alias("accuracy_c"), F.round(R.validity_ladder(), 6).alias("ladder"), F.round(R.timeliness_linear(F.col("stamp"), AS_OF), 6).alias("linear"), F.round(R.completeness_c(FIELDS), 6).alias("completeness_c"), R.grade(F.round(R.completeness_b(FIELDS), 9)).alias("grade"))
+    s = {"completeness": R.completeness_b(FIELDS), "accuracy": R.accuracy_b(r), "validity": R.validity_b(errors), "timeliness": R.timeliness(F.col("stamp"), _as_of(), 0.5)}
+    return v.select("id", *(F.round(c, 6).alias(k) for k, c in s.items()), F.round(R.accuracy_c(), 6).alias("accuracy_c"), F.round(R.validity_ladder(), 6).alias("ladder"), F.round(R.timeliness_linear(F.col("stamp"), _as_of()), 6).alias("linear"), F.round(R.completeness_c(FIELDS), 6).alias("completeness_c"), R.grade(F.round(R.completeness_b(FIELDS), 9)).alias("grade"))
 
 
 def qs_summary(spark, sf_dir):

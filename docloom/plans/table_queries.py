@@ -8,7 +8,9 @@ from docloom.functions import text as T
 from docloom.operators import tables as X
 from docloom.plans import base
 
-AS_OF = F.expr(base.AS_OF)
+def _as_of():
+    return F.expr(base.AS_OF)
+
 
 
 def _sessions(spark, sf_dir):
@@ -33,11 +35,11 @@ def sel13_lookup(spark, sf_dir):
 
 
 def ses1_list(spark, sf_dir):
-    return X.list_sessions(_sessions(spark, sf_dir), AS_OF, tags=["BUILDING", "MACHINERY"], least_uses=3, max_age_days=20, limit=50).select("session_id", "tag")
+    return X.list_sessions(_sessions(spark, sf_dir), _as_of(), tags=["BUILDING", "MACHINERY"], least_uses=3, max_age_days=20, limit=50).select("session_id", "tag")
 
 
 def ses2_page(spark, sf_dir):
-    return X.list_sessions(_sessions(spark, sf_dir), AS_OF, limit=20, offset=40).select("session_id")
+    return X.list_sessions(_sessions(spark, sf_dir), _as_of(), limit=20, offset=40).select("session_id")
 
 
 def ses3_cascade(spark, sf_dir):
@@ -63,7 +65,7 @@ def ses7_stats(spark, sf_dir):
 
 
 def ses8_rotate(spark, sf_dir):
-    return _sessions(spark, sf_dir).select("session_id", X.should_rotate(AS_OF, 14, 10).alias("why"))
+    return _sessions(spark, sf_dir).select("session_id", X.should_rotate(_as_of(), 14, 10).alias("why"))
 
 
 def prx1_stats(spark, sf_dir):
