@@ -94,7 +94,7 @@ def dst10_stats(spark, sf_dir):
 
 def crw10_levels(spark, sf_dir):
     e = _crawl(spark, sf_dir)
-    links = e.select(F.col("url").alias("src"), F.concat(F.lit("http://h"), F.col("bytes") % 30, F.lit(".example.com/p/"), F.col("bytes") % 50).alias("dst")).filter("event_id % 7 = 0").distinct()
+    links = e.select(F.col("url").alias("src"), F.concat(F.lit("http://h"), F.col("bytes") % 30, F.lit(".example.com/p/"), F.col("bytes") % 50).alias("dst")).distinct()
     seeds = spark.createDataFrame([("http://h1.example.com/p/1",), ("http://h2.example.com/p/2",)], "url string")
     return C.levels(e, "url", links, seeds, 3).groupBy("depth").agg(F.count("*").alias("n"))
 

@@ -23,7 +23,7 @@ def sel7_unique(spark, sf_dir):
 
 
 def sel9_similar(spark, sf_dir):
-    tree = H.nodes(_pages(spark, sf_dir).filter("page_id < 20"))
+    tree = H.nodes(_pages(spark, sf_dir))
     first = tree.filter("tag = 'a'").groupBy().agg(F.min("text").alias("t")).first().t
     return L.find_similar(tree, first).groupBy("page_id").agg(F.count("*").alias("n"))
 
@@ -49,7 +49,7 @@ def gen13_describe(spark, sf_dir):
 
 
 def rep1_repair(spark, sf_dir):
-    f = L.features(H.nodes(_pages(spark, sf_dir).filter("page_id % 25 = 0")))
+    f = L.features(H.nodes(_pages(spark, sf_dir)))
     wanted = f.filter("tag = 'h1' OR array_contains(classes, 'ad')")
     r = L.repair(wanted, f)
     return r.select("page_id", F.col("old_id").cast("long").alias("old_id"), F.col("new_id").cast("long").alias("new_id"), F.round("similarity", 6).alias("similarity"))
@@ -66,8 +66,8 @@ def inf19_nearest(spark, sf_dir):
 
 
 def d13_fuzzy(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("length(text) < 120").select(F.monotonically_increasing_id().alias("k"), "text")
-    return L.fuzzy_pairs(c, "k", "text", F.substring("t", 1, 8), 0.6)
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.monotonically_increasing_id().alias("k"), "text")
+    return L.fuzzy_pairs(c, "k", "text", F.substring("t", 1, 24), 0.6)
 
 
 def sup9_classes(spark, sf_dir):

@@ -83,7 +83,7 @@ def scl1_decision(spark, sf_dir):
 
 
 def scl3_cheapest(spark, sf_dir):
-    i = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey < 50").select(F.concat(F.lit("t"), "s_suppkey").alias("instance"), (F.col("s_suppkey") % 8 + 1).alias("cores"), (F.col("s_suppkey") % 32 + 1).alias("memory"), F.abs("s_acctbal").alias("price"))
+    i = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("t"), "s_suppkey").alias("instance"), (F.col("s_suppkey") % 8 + 1).alias("cores"), (F.col("s_suppkey") % 32 + 1).alias("memory"), F.abs("s_acctbal").alias("price"))
     w = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 12).alias("want_cores"), (F.col("p_size") % 40).alias("want_memory"))
     return X.cheapest(i, w, "p_partkey")
 
@@ -120,7 +120,7 @@ SQL: dict[str, str | None] = {
     "prx1_stats": "SELECT s_nationkey AS country, count(*) AS n, round(avg(abs(s_acctbal) / 10000), 6) AS mean_health, count(*) FILTER (s_acctbal < 0) AS banned FROM supplier GROUP BY 1",
     "prx2_health": None,
     "scl1_decision": "SELECT event_id, CASE WHEN up AND NOT down THEN least(10, r + 2) WHEN down AND NOT up THEN greatest(1, r - 1) ELSE r END AS wanted FROM (SELECT event_id, event_id % 10 + 1 AS r, user_id % 150 > 100 OR value % 100 > 70 AS up, user_id % 150 < 10 OR value % 100 < 30 AS down FROM events)",
-    "scl3_cheapest": "WITH i AS (SELECT 't' || s_suppkey AS instance, s_suppkey % 8 + 1 AS cores, s_suppkey % 32 + 1 AS memory, abs(s_acctbal) AS price FROM supplier WHERE s_suppkey < 50) SELECT p_partkey, coalesce((SELECT arg_min(instance, (price, instance)) FROM i WHERE cores >= p_size % 12 AND memory >= p_size % 40), (SELECT arg_max(instance, (price, instance)) FROM i)) AS instance FROM part",
+    "scl3_cheapest": "WITH i AS (SELECT 't' || s_suppkey AS instance, s_suppkey % 8 + 1 AS cores, s_suppkey % 32 + 1 AS memory, abs(s_acctbal) AS price FROM supplier) SELECT p_partkey, coalesce((SELECT arg_min(instance, (price, instance)) FROM i WHERE cores >= p_size % 12 AND memory >= p_size % 40), (SELECT arg_max(instance, (price, instance)) FROM i)) AS instance FROM part",
     "scl4_cost": "SELECT s_suppkey, round(abs(s_acctbal) / 1000 * (1 + n_regionkey * 0.1::DOUBLE) * 24 * 30, 4) AS cost FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "scl6_oscillation": f"WITH e AS (SELECT crawl_id, event_id, response_time, row_number() OVER (PARTITION BY crawl_id ORDER BY event_id DESC) AS r FROM ({base.CRAWL})), d AS (SELECT crawl_id, event_id, sign(response_time - lag(response_time) OVER (PARTITION BY crawl_id ORDER BY event_id)) AS d FROM e WHERE r <= 10), t AS (SELECT crawl_id, CASE WHEN d * lag(d) OVER (PARTITION BY crawl_id ORDER BY event_id) < 0 THEN 1 ELSE 0 END AS t FROM d) SELECT crawl_id, CAST(sum(t) AS BIGINT) AS turns, sum(t) > 5 AS oscillates FROM t GROUP BY crawl_id",
     "rep7_similar": f"SELECT query, vec_id, r AS rank, round(s, 4) AS similarity FROM (SELECT query, vec_id, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS r FROM (SELECT q.vec_id AS query, v.vec_id, {_DOT} AS s FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) WHERE s >= 0.1) WHERE r <= 5",
