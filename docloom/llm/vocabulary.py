@@ -174,7 +174,7 @@ def frequency_floor(counts: DataFrame, bound: int) -> int:
     Only a histogram by power of two, some tens of rows, comes to the driver.
     """
     steps = sorted(((r.p, r.k) for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    held, floor = 0, 63
+    held, floor = 0, 62
     for p, k in steps:
         if held + k > bound:
             break
