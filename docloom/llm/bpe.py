@@ -97,6 +97,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     kind = table_.kind
     shared = spark.sparkContext.broadcast(table_)
     del frequent, table_
+    pa.default_memory_pool().release_unused()
     pieces = piece_table(spark, tokenizer_path) if decoded else None
     rare = words.filter(F.col("n") < floor).select("piece", "ids")
     id_kind = docs.schema["doc_id"].dataType.simpleString()

@@ -22,10 +22,12 @@ read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 8_192, 4_096
 APART = 20.0
 THRESHOLDS = (0.4, 0.5, 0.6, 0.7)
 #: Words whose distance a task keeps at hand.
-AT_HAND = 300_000
+AT_HAND = 150_000
 REJECT = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,12 +80,20 @@ class Model:
             self.at_hand[word] = d
         return d
 
-    def features(self, text: str | None, threshold: float | None = None) -> tuple[int, int]:
+    def features(self, text: str | None) -> tuple[int, int]:
         """Windows over the threshold, and windows."""
-        at, ws = self.threshold if threshold is None else threshold, words(text)
-        if not self.toxic:
-            return 0, len(ws)
-        return sum(n for w, n in Counter(ws).items() if self.distance(w) >= at), len(ws)
+        ws = words(text)
+        return self.hits(ws, (self.threshold,))[0], len(ws)
+
+    def hits(self, ws: list[str], thresholds: tuple[float, ...]) -> list[int]:
+        """Windows over each threshold."""
+        out = [0] * len(thresholds)
+        if self.toxic:
+            for w, n in Counter(ws).items():
+                d = self.distance(w)
+                for i, at in enumerate(thresholds):
+                    out[i] += n * (d >= at)
+        return out
 
     def score(self, text: str | None) -> float:
         if not self.weights:
@@ -116,13 +126,15 @@ def _dictionaries(rows: list[tuple[list[str], int]]) -> tuple[bytes, bytes]:
         if g < APART or len(toxic) > TOXIC_BYTES:
             break
         toxic += b" " + w.encode()
-    ordinary = trained([(" " + " ".join(ws[i : i + 40]) + " ").encode() for ws, y in rows if not y for i in range(0, len(ws), 40)][:20_000], ORDINARY_BYTES)
+    ordinary = trained(list(islice(((" " + " ".join(ws[i : i + 40]) + " ").encode() for ws, y in rows if not y for i in range(0, len(ws), 40)), 20_000)), ORDINARY_BYTES)
     return ordinary, toxic + b" " if toxic else b""
 
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
     """Fit on (text, label) rows."""
-    cut = [(words(t), int(y)) for t, y in rows]
+    names: dict[str, str] = {}  # each different word once in memory
+    cut = [([names.setdefault(w, w) for w in words(t)], int(y)) for t, y in rows]
+    names.clear()
     prior = sum(y for _, y in cut) / len(cut) if cut else 0.0
     model = Model(prior=prior)
     if not 0 < prior < 1:
@@ -130,27 +142,17 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     model.ordinary, model.toxic = _dictionaries(cut)
     if not model.toxic:
         return model
-    halves = [[i for i in range(len(cut)) if i % 2 == k] for k in (0, 1)]
-    best = None
-    for at in THRESHOLDS:
-        seen: list[tuple[tuple[float, ...], int]] = []
-        for k in (0, 1):
-            half = Model()
-            half.ordinary, half.toxic = _dictionaries([cut[i] for i in halves[1 - k]])
-            half.at_hand = _shared.setdefault((half.ordinary, half.toxic), {})
-            seen += [(_inputs(*half.features(rows[i][0], at)), cut[i][1]) for i in halves[k]]
-        weights, loss = _logistic(np.array([x for x, _ in seen]), np.array([y for _, y in seen], float))
-        if best is None or loss < best[0]:
-            best = loss, at, weights
-    _shared.clear()
-    _, model.threshold, model.weights = best
+    seen: list[tuple[list[int], int, int]] = []  # hits at each threshold, windows, label
+    for k in (0, 1):
+        half = Model()
+        half.ordinary, half.toxic = _dictionaries(cut[1 - k :: 2])
+        seen += [(half.hits(ws, THRESHOLDS), len(ws), y) for ws, y in cut[k::2]]
+    y = np.array([x[2] for x in seen], float)
+    fits = [(*_logistic(np.array([_inputs(h[i], n) for h, n, _ in seen]), y), at) for i, at in enumerate(THRESHOLDS)]
+    model.weights, _, model.threshold = min(fits, key=lambda f: f[1])
     return model
 
 
-#: Distances under the dictionaries of the halves, while thresholds are tried.
-_shared: dict[tuple[bytes, bytes], dict[str, float]] = {}
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[tuple[float, ...], float]:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -169,10 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(crc_mod(F.col("id"), 4) != 2)
     chosen = known.dropDuplicates(["id"]).withColumn("h", F.xxhash64("id", F.lit(5))).orderBy("h", "id").limit(rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    # at most `rows` ids, so that the texts are looked up without a shuffle
-    sample = texts.join(F.broadcast(chosen), "id").select("h", "id", "t", "y").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["h"], r["id"], r["t"] or ""))
-    return train([(r["t"], r["y"]) for r in sample])
+    # at most `rows` ids, so that the texts are looked up without a shuffle and one task can train on them
+    sample = texts.join(F.broadcast(chosen), "id").select("h", "id", "t", "y").repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(r["h"], r["id"], r["t"], r["y"]) for b in batches for r in b.to_pylist()]
+        found.sort(key=lambda r: (r[0], r[1], r[2] or ""))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, y) for _, _, t, y in found]))], pa.binary())], ["model"])
+
+    made = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else train([])
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
