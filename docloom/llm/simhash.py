@@ -218,8 +218,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 COPY_SHINGLE, COPY_RADIUS = 5, 12
 #: Shingle minima of a text; two make a key.
 MINIMA = 32
-#: Nodes of a key over which it is dealt out anew, by that key and another.
-CROWDED = 32_768
+#: Nodes of a key over which it is compared in parts, and those that every part of it has in common.
+CROWDED, COMMON = 32_768, 64
 _SEEDS = np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -239,6 +239,39 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grouped(dealt: DataFrame, radius: int) -> DataFrame:
+    """(node, root) as of ``components``, of rows (fp, node, t, key) that are all compared inside each (t, key).
+
+    Keys of more than ``CROWDED`` nodes are compared in parts that have some nodes
+    in common, then every node that is not in the key's largest group so far with
+    all of the key, part against part.  So no task has a whole crowded key, and no
+    pair of it is left out; nodes of the largest group are linked already.
+    """
+    sizes = written(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED))
+    if sizes.isEmpty():
+        return components(_compared(dealt, radius))
+    half = CROWDED // 2
+    part = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col(n) / half))
+    plain = dealt.join(F.broadcast(sizes), ["t", "key"], "left_anti").select("fp", "node", "t", "key")
+    crowded = written(dealt.join(F.broadcast(sizes), ["t", "key"]))
+    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / half) - 1)
+    common = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")) < COMMON
+    first = crowded.select("fp", "node", "t", "key", F.explode(F.when(common, parts).otherwise(F.array(part(1, "n")))).alias("i"))
+    roots = components(_compared(plain.unionByName(first.select("fp", "node", F.lit(-1).alias("t"), F.xxhash64("t", "key", "i").alias("key"))), radius))
+
+    rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = rooted.groupBy("t", "key", "root").agg(F.count("*").alias("k")).groupBy("t", "key").agg(F.max(F.struct("k", "root")).alias("x"))
+    rooted = written(rooted.join(F.broadcast(most), ["t", "key"]).withColumn("other", F.col("n") - F.col("x.k")).filter("other > 0").withColumn("rest", F.col("root") != F.col("x.root")))
+    if rooted.isEmpty():
+        return roots
+    # part i of the rest of a key against part j of the whole
+    others = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("other") / half) - 1)
+    whole = rooted.select("fp", "node", "t", "key", F.explode(others).alias("i"), part(1, "n").alias("j"))
+    rest = rooted.filter("rest").select("fp", "node", "t", "key", part(3, "other").alias("i"), F.explode(parts).alias("j"))
+    again = _compared(whole.unionByName(rest).select("fp", "node", F.lit(-2).alias("t"), F.xxhash64("t", "key", "i", "j").alias("key")), radius)
+    return components(again.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def copy_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
     """(k1, k2, doc_id, group): near copies share a group; (k1, k2) is ``row_key(doc_id, text)``.
 
@@ -265,13 +298,7 @@ def copy_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     pairs = F.array(*(F.xxhash64(F.get("least", F.lit(2 * i)), F.get("least", F.lit(2 * i + 1)), F.lit(i)) for i in range(MINIMA // 2)))
     made = written(docs.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, fp long, least array<long>").select("k1", "k2", "doc_id", "fp", F.xxhash64("fp", "least").alias("node"), pairs.alias("pairs")))
     nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("pairs").alias("pairs"))
-    dealt = nodes.select("fp", "node", "pairs", F.posexplode("pairs").alias("t", "key"))
-    crowded = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("t", "key")
-    plain = dealt.join(crowded, ["t", "key"], "left_anti").select("fp", "node", "t", "key")
-    # texts of a crowded key are compared if they agree at one place more
-    anew = dealt.join(crowded, ["t", "key"], "left_semi").select("fp", "node", F.col("t").alias("t0"), F.col("key").alias("key0"), F.posexplode("pairs").alias("t1", "key1")).filter("t0 <> t1")
-    anew = anew.select("fp", "node", (F.col("t0") * MINIMA + F.col("t1") + MINIMA).alias("t"), F.xxhash64("key0", "key1").alias("key"))
-    roots = components(_compared(plain.unionByName(anew), radius))
+    roots = _grouped(nodes.select("fp", "node", F.posexplode("pairs").alias("t", "key")), radius)
     rows = made.groupBy("node").agg(F.count("*").alias("n"))
     total = made.count()
     rooted = rows.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
