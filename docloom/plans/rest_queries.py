@@ -57,9 +57,9 @@ def d15_combined(spark, sf_dir):
     d = _docs(spark, sf_dir)
     exact = D.exact_duplicates(d.select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id", "is_duplicate", "duplicate_of")
     fps = D.simhash(D.shingle_tokens(d, "doc_id", "text"), "doc_id", "token")
-    near = D.near_pairs(fps, "doc_id", 0.9).groupBy(F.col("b").alias("doc_id")).agg(F.min(F.struct("a", "distance")).alias("x"))
+    near = D.nearest_before(fps, "doc_id", 0.9)
     j = exact.join(near, "doc_id", "left")
-    return j.select("doc_id", (F.col("is_duplicate") | F.col("x").isNotNull()).alias("is_duplicate"), F.coalesce("duplicate_of", "x.a").alias("duplicate_of"), F.when(F.col("is_duplicate"), 1.0).otherwise(F.coalesce(1 - F.col("x.distance") / 64.0, F.lit(0.0))).alias("similarity"))
+    return j.select("doc_id", (F.col("is_duplicate") | F.col("a").isNotNull()).alias("is_duplicate"), F.coalesce("duplicate_of", "a").alias("duplicate_of"), F.when(F.col("is_duplicate"), 1.0).otherwise(F.coalesce(1 - F.col("distance") / 64.0, F.lit(0.0))).alias("similarity"))
 
 
 def sup17_indexed(spark, sf_dir):

@@ -153,3 +153,28 @@ def test_empty_monitoring(spark):
     none = spark.createDataFrame([], schema)
     assert monitoring.counters(none).count() == 0
     assert monitoring.summary(monitoring.counters(none)).first().crawls == 0
+
+
+def test_combined_duplicates_reach_every_member(spark, tmp_path):
+    """Equal fingerprints of different texts, and near classes from either side, against all pairs."""
+    from docloom.plans.rest_queries import d15_combined
+
+    rnd = random.Random(2)
+    bases = [" ".join(f"w{rnd.randrange(900)}" for _ in range(150)) for _ in range(12)]
+    edited = [b.rsplit(" ", 1)[0] + " changed" for b in bases]
+    texts = [f(x) for x in (*bases, *edited) for f in (str, str.upper, lambda t: t + " !", str)] + ["", "two words", "Two words"]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    fps = {r.doc_id: r.fp for r in dedup.simhash(dedup.shingle_tokens(docs, "doc_id", "text"), "doc_id", "token").collect()}
+    want = set()
+    for d, t in enumerate(texts):
+        near = [(a, ((fps[a] ^ fps[d]) & (2**64 - 1)).bit_count()) for a in range(d) if a in fps and d in fps]
+        near = [x for x in near if x[1] <= 6]
+        if t in texts[:d]:
+            want.add((d, True, texts.index(t), 1.0))
+        else:
+            want.add((d, True, near[0][0], 1 - near[0][1] / 64) if near else (d, False, None, 0.0))
+    got = [tuple(r) for r in d15_combined(spark, str(tmp_path)).select("doc_id", "is_duplicate", "duplicate_of", "similarity").collect()]
+    assert len(got) == len(texts) and set(got) == want
+    assert any(x[3] not in (0.0, 1.0) for x in want)
