@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block element.  The lengths of text
 outside of links are summed over windows of ``WINDOW`` lines.  A surge point is
 where the sum rises over ``SURGE`` and the next windows stay above zero, a dive
-point where it falls to zero; text between them is kept.  Lines of menus,
-headers, footers, sidebars, notices, adverts, forms and comments weigh nothing.
+point where it falls to zero; text between them is kept, links too.  Lines of menus,
+headers, footers, sidebars, notices, adverts, forms and comments weigh nothing and are not kept.
 Where a page marks its article or main element, only its lines weigh, and each of
 them enough to surge, so that nothing of the article is lost.
 
@@ -67,7 +67,9 @@ def main_text(html: str | None) -> str:
         while b + 1 < len(weight) and weight[b + 1]:
             b += 1
         found = [(a, b + 1)]
-    return "\n".join(page[i].text for a, b in found for i in range(a, b) if weight[i])
+    marked = any(x.inside and not x.aside for x in page)
+    kept = [not x.aside and (x.inside or not marked) for x in page]
+    return "\n".join(page[i].text for a, b in found for i in range(a, b) if kept[i])
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

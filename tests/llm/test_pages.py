@@ -59,3 +59,11 @@ def test_warc_links_digests_and_round_trip(spark, sf, tmp_path):
     found = [x for f in (tmp_path / "w").glob("*.gz") for x in warc.parse(gzip.decompress(f.read_bytes()))]
     assert sorted((h["WARC-Record-ID"], b.decode()) for h, b in found) == sorted((r.record_id, r.block) for r in [*by_id.values(), *rows])
     assert warc.derive(warc.responses(odd.limit(0))).count() == 0
+
+
+def test_link_lines_inside_an_unmarked_story_are_kept():
+    from docloom.llm.html_extraction import main_text
+
+    a, b = "An opening paragraph of the story " * 5, "A closing paragraph of the story " * 5
+    page = f"<body><div><p>{a}</p><p><a href='/x'>A paragraph that is all link</a></p><p>{b}</p></div><nav><a href='/'>Home</a></nav></body>"
+    assert main_text(page).split("\n") == [a.strip(), "A paragraph that is all link", b.strip()]
