@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 4 << 20
@@ -18,34 +18,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, whatever the length of the texts."""
+    """Bound what a Python worker holds at once, whatever the length of the texts.
+
+    Spark reads these settings when a plan runs, which is after the operator has
+    returned, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    The cluster's ``spark.checkpoint.dir`` is used; a folder of our own only
-    where none is set, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only in a local session where none is set, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="docloom-checkpoint-")
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed``, as Parquet: smaller for tables that are read in part or more than once."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4()}"
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs nothing made so far."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("table-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_fields(schema: StructType, **kinds: DataType) -> StructType:
+    """``schema`` and more nullable columns."""
+    return StructType([*schema.fields, *(StructField(k, t) for k, t in kinds.items())])
+
+
 def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
     """128 bits that are equal for rows of equal id and text, never null."""
     return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), text, doc_id)
@@ -54,24 +77,3 @@ def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(n))
-
-
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], size: str, total: int, parts: int = 2000) -> DataFrame:
-    """Inner join on keys that may hold a large share of ``big``.
-
-    ``small`` has one row for each key and, in column ``size``, the number of
-    rows of ``big`` with that key.  Keys of more than total/parts rows are at
-    most ``parts``: these are broadcast, so their rows never meet in one task.
-    The rest is joined by a shuffle in which no key is that large.
-    """
-    hot = F.broadcast(small.filter(F.col(size) > total // parts).drop(size).limit(parts))
-    cold = small.filter(F.col(size) <= total // parts).drop(size)
-    there = F.broadcast(hot.select(*keys))
-    return big.join(hot, keys).unionByName(big.join(there, keys, "left_anti").join(cold, keys))
-
-
-def merged(dicts: Iterable[dict]) -> dict:
-    out: dict = {}
-    for x in dicts:
-        out.update(x)
-    return out

@@ -1,43 +1,106 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by contraction and pointer jumping.
 
-Each step is a grouped minimum and a join; links stay in Spark.  After each
-round the links are written to the shared checkpoint folder, so that a lost
-executor costs one round at most.  Nodes with very many links are joined by
-``join_hot``.
+A table of pointers (v, p), p < v, is contracted until every node points to the
+least node of its component.  A round has two steps, each one shuffle or join
+whose result is written to the shared checkpoint folder, so that a lost executor
+costs one step at most:
+
+* *hook*: each task contracts the rows it reads, some hundred thousand at a time,
+  to stars by union-find; the stars meet by v, where they are contracted again.
+  One row of each v is its pointer; rows that tie other nodes together are kept
+  beside the pointers.
+* *jump*: a pointer to a node that points on is replaced by that node's pointer.
+
+A node with very many links gives one row for each task that reads some of them.
+A node that very many point to is a skewed key of the join in *jump*, whose
+other side has one row a key, so adaptive execution splits it.  Rounds grow with
+the logarithm of the longest path.  Nothing is collected but two counts a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpointed, join_hot
+from docloom.llm.common import discard, small_batches, written
+
+#: Rows that a task contracts at once.
+CHUNK = 500_000
+
+
+def stars(v: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of all nodes of the links, least nodes left out."""
+    nodes, at = np.unique(np.concatenate([v, p]), return_inverse=True)
+    a, b = at[: len(v)], at[len(v) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    below = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[below], nodes[label[below]]
 
-ROUNDS = 60
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= CHUNK:
+            yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for v, p in _chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(v, p)], ["v", "p"])
+
+
+def _hook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by v; the pointer of each v of the partition once, other rows marked as ties."""
+    last = None
+    for v, p in _chunks(batches):
+        node, root = stars(v, p)
+        pointer = np.isin(node, v)
+        if last is not None:
+            pointer &= node != last  # its pointer went out with the chunk before
+        last = v[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(~pointer)], ["v", "p", "tie"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b) that isn't its component's least node; root is that least node."""
-    e = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(e)
-    for _ in range(ROUNDS):
-        if state[0] == 0:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("k"))
-        large = join_hot(both.filter("b > a"), least, ["a"], "k", 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
-        joined = join_hot(large, least, ["a"], "k", 2 * state[0])
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
-        e = checkpointed(small)
-        state, last = _state(e), state
-        if state == last:
-            break
-    else:
-        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _state(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return r.n, r.x or 0
+    """(node, root) of every node of ``links`` (a, b: long) that isn't its component's least node; root is that least node.
+
+    Null ends and links of a node to itself are left out; repeated links don't matter.
+    """
+    small_batches(links.sparkSession)
+    rows = links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("p"))
+    before = None
+    while True:
+        star = rows.mapInArrow(_contract, "v long, p long")
+        hooked = written(star.repartition("v").sortWithinPartitions("v").mapInArrow(_hook, "v long, p long, tie boolean"))
+        if before is not None:
+            discard(before)
+        pointers, ties = hooked.filter("NOT tie").select("v", "p"), hooked.filter("tie").select("v", "p")
+        onward = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        seen = Observation()
+        jumped = pointers.join(onward, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+        rows = jumped.unionByName(ties.withColumn("moved", F.lit(True)))
+        rows = written(rows.observe(seen, F.count_if("moved").alias("n")).select("v", "p"))
+        discard(hooked)
+        if not seen.get["n"]:
+            return rows.select(F.col("v").alias("node"), F.col("p").alias("root"))
+        before = rows

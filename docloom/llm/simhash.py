@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from docloom.llm.common import checkpointed, join_hot, row_key, small_batches, table, written
+from docloom.llm.common import free_name, row_key, small_batches, table, with_fields, written
 from docloom.llm.components import components
 
 RADIUS = 2
@@ -62,14 +63,13 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fp): the 64 bits as a signed long."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(shingle_hashes(words(x), shingle)) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(run, with_fields(docs.select("doc_id").schema, fp=LongType()))
 
 
 def block_masks(radius: int) -> list[int]:
@@ -182,7 +182,7 @@ def _compared(dealt: DataFrame, radius: int) -> DataFrame:
             yield from _linked([np.concatenate(held, axis=1)], radius)
 
     rows = dealt.select("fp", "node", "t", "key").repartition("t", "key").sortWithinPartitions("t", "key", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _linked(groups: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
@@ -202,16 +202,19 @@ def _linked(groups: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    fps = checkpointed(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
-    roots = components(links(nodes, radius))
-    # one row for each fingerprint: its component's root, then the least id under each root
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    n = nodes.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
-    by_fp = join_hot(rooted, named, ["root"], "members", n.n).select("fp", "rows", "component_id")
-    return join_hot(fps, by_fp, ["fp"], "rows", n.rows or 0).select("doc_id", "fp", "component_id")
+    """(doc_id, fp, component_id) of every row.
+
+    Fingerprints and components that a large share of the rows has are skewed
+    keys of joins whose other side has one row a key and is written before, so
+    that adaptive execution splits them.
+    """
+    fps = written(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes, radius)).withColumnRenamed("node", "fp")
+    rooted = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_fp = written(rooted.join(named, "root").select("fp", "component_id"))
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 #: For near copies: shingles of five words, and a SimHash similarity (1 - distance / 64) of 0.8 or more.
@@ -252,16 +255,16 @@ def _grouped(dealt: DataFrame, radius: int) -> DataFrame:
         return components(_compared(dealt, radius))
     half = CROWDED // 2
     part = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col(n) / half))
-    plain = dealt.join(F.broadcast(sizes), ["t", "key"], "left_anti").select("fp", "node", "t", "key")
-    crowded = written(dealt.join(F.broadcast(sizes), ["t", "key"]))
+    plain = dealt.join(sizes, ["t", "key"], "left_anti").select("fp", "node", "t", "key")
+    crowded = written(dealt.join(sizes, ["t", "key"]))
     parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / half) - 1)
     common = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")) < COMMON
     first = crowded.select("fp", "node", "t", "key", F.explode(F.when(common, parts).otherwise(F.array(part(1, "n")))).alias("i"))
     roots = components(_compared(plain.unionByName(first.select("fp", "node", F.lit(-1).alias("t"), F.xxhash64("t", "key", "i").alias("key"))), radius))
 
-    rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = rooted.groupBy("t", "key", "root").agg(F.count("*").alias("k")).groupBy("t", "key").agg(F.max(F.struct("k", "root")).alias("x"))
-    rooted = written(rooted.join(F.broadcast(most), ["t", "key"]).withColumn("other", F.col("n") - F.col("x.k")).filter("other > 0").withColumn("rest", F.col("root") != F.col("x.root")))
+    rooted = written(crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    most = written(rooted.groupBy("t", "key", "root").agg(F.count("*").alias("k")).groupBy("t", "key").agg(F.max(F.struct("k", "root")).alias("x")))
+    rooted = written(rooted.join(most, ["t", "key"]).withColumn("other", F.col("n") - F.col("x.k")).filter("other > 0").withColumn("rest", F.col("root") != F.col("x.root")))
     if rooted.isEmpty():
         return roots
     # part i of the rest of a key against part j of the whole
@@ -283,7 +286,6 @@ def copy_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     small_batches(docs.sparkSession)
     k1, k2 = row_key(doc_id, text)
     docs = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,14 +297,13 @@ def copy_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             flat = np.concatenate(least).view(np.int64) if least else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, MINIMA, dtype=np.int32)), pa.array(flat))], ["k1", "k2", "doc_id", "fp", "least"])
 
+    kinds = with_fields(docs.select("k1", "k2", "doc_id").schema, fp=LongType(), least=ArrayType(LongType()))
     pairs = F.array(*(F.xxhash64(F.get("least", F.lit(2 * i)), F.get("least", F.lit(2 * i + 1)), F.lit(i)) for i in range(MINIMA // 2)))
-    made = written(docs.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, fp long, least array<long>").select("k1", "k2", "doc_id", "fp", F.xxhash64("fp", "least").alias("node"), pairs.alias("pairs")))
-    nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("pairs").alias("pairs"))
+    made = written(docs.mapInArrow(run, kinds).select("k1", "k2", "doc_id", "fp", F.xxhash64("fp", "least").alias("node"), pairs.alias("pairs")))
+    nodes = written(made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("pairs").alias("pairs")))
     roots = _grouped(nodes.select("fp", "node", F.posexplode("pairs").alias("t", "key")), radius)
-    rows = made.groupBy("node").agg(F.count("*").alias("n"))
-    total = made.count()
-    rooted = rows.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
-    return join_hot(made.select("k1", "k2", "doc_id", "node"), rooted, ["node"], "n", total).drop("node")
+    rooted = made.select("k1", "k2", "doc_id", "node").join(roots, "node", "left")
+    return rooted.select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("group"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
@@ -311,9 +312,10 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("x")
     kept = groups.groupBy("group").agg(first).select("x.k1", "x.k2")
     k1, k2 = row_key(doc_id, text)
-    keyed = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(kept, ["k1", "k2"], "left_semi")
-    once = keyed.withColumn("i", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
-    return once.filter("i = 1").select("row.*")
+    keyed = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
+    # rows that repeat: the first of each task before the shuffle, then of all
+    once = keyed.withColumn("i", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))).filter("i = 1")
+    return once.join(kept, ["k1", "k2"], "left_semi").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
