@@ -6,16 +6,17 @@ each partition finds the lines whose key is in enough documents and whose
 document is not the first of its key.  What comes back for each document is a
 bitmap of kept lines, compressed to run lengths, never text.
 
-* Keys that hold a large share of all lines are found by ``approx_top_k``
-  (bounded, ``HOT`` keys at most).  Their lines never meet in one task: their
-  document counts and largest documents are pre-aggregated in each task and
-  broadcast back.  Either way is exact, so it does not matter which key takes
-  which.
+* Keys of more than one in ``HOT`` of all lines are found by ``approx_top_k``
+  (so there are ``HOT`` of them at most).  Their lines never meet in one task:
+  their document counts and largest documents are pre-aggregated in each task
+  and broadcast back.  Either way is exact, so it does not matter which key
+  takes which.
+* Bitmaps are made and applied in time proportional to a document's lines.
 * Each row is a document; rows of one id count as one document, and all rows of
   the largest id keep the line.  A null id counts as one document, smaller than
   any other.  Null and empty texts are one empty line.  Repeated rows give
   repeated results; an empty table an empty one.  Other columns are not read
-  but ``apply_bitmaps`` keeps them.
+  but ``apply_bitmaps`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key, table, written
+from docloom.llm.common import free_name, row_key, table, written
 
 MIN_LENGTH = 20
 MIN_DOCS = 3
 #: Keys that may be treated as hot, and counters of the sketch that finds them.
-HOT, TRACKED = 2_000, 20_000
+HOT, TRACKED = 10_000, 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -44,10 +45,11 @@ def lines_of(text: str | Column) -> Column:
     return F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), "\n", -1)
 
 
-def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, hot_share: int = HOT) -> DataFrame:
     """(k1, k2, runs): for each document with dropped lines, the run lengths kept, dropped, kept, dropped ... of its lines.
 
     Lines after the last run are kept.  (k1, k2) is ``row_key(doc_id, text)``.
+    Keys of more than one in ``hot_share`` of the lines are pre-aggregated.
     """
     k1, k2 = row_key(doc_id, text)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(F.col(doc_id)).alias("doc"), lines_of(text).alias("lines"))
@@ -58,7 +60,7 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     keys = written(keys.select("k1", "k2", "doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")))
 
     top = keys.agg(F.expr(f"approx_top_k(h1, {HOT}, {TRACKED})").alias("t"), F.count("*").alias("n")).select("n", F.explode("t").alias("x"))
-    hot = F.broadcast(top.filter("x.count > n / 2000").select(F.col("x.item").alias("h1")))
+    hot = F.broadcast(top.filter(F.col("x.count") > F.col("n") / hot_share).select(F.col("x.item").alias("h1")))
 
     first = F.max("doc").alias("first")  # of structs, so that a null id is less than any other
     hot_lines = keys.join(hot, "h1", "left_semi")
@@ -79,11 +81,14 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def _runs(at: str) -> Column:
-    """Sorted dropped positions to run lengths, kept lines first."""
-    begins = F.filter(at, lambda x, i: (i == 0) | (F.get(F.col(at), i - 1) != x - 1))
-    ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(F.col(at), i + 1) != x + 1))
-    spans = F.arrays_zip(begins.alias("b"), ends.alias("e"))
-    return F.flatten(F.transform(spans, lambda x, i: F.array(x["b"] - F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1), x["e"] - x["b"] + 1)))
+    """Sorted dropped positions to run lengths, kept lines first; no lambda looks outside of its element."""
+    ahead = F.concat(F.array(F.lit(None).cast("int")), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
+    after = F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(None).cast("int")))
+    edge = lambda other, step: F.transform(F.filter(F.arrays_zip(F.col(at).alias("x"), other.alias("y")), lambda z: z["y"].isNull() | (z["y"] + step != z["x"])), lambda z: z["x"])
+    begins, ends = edge(ahead, 1), edge(after, -1)
+    before = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.size(ends) - 1))
+    spans = F.arrays_zip(begins.alias("b"), ends.alias("e"), before.alias("p"))
+    return F.flatten(F.transform(spans, lambda x: F.array(x["b"] - x["p"] - 1, x["e"] - x["b"] + 1)))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text", kept: str = "_kept", dropped: str = "_dropped") -> DataFrame:
@@ -91,31 +96,34 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
     k1, k2 = row_key(doc_id, text)
     keyed = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
     both = keyed.join(bitmaps.hint("shuffle_hash"), ["k1", "k2"], "left")
-    lines = lines_of(F.col("row").getField(text))
-    # (kept, dropped) run pairs to (start, length) of what is kept, then the lines after the last run
-    pairs = F.expr(
-        """aggregate(runs, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,n:int>>), 'i', 0),
-        (a, x) -> named_struct('at', a.at + x, 'out', if(a.i % 2 = 0 and x > 0, array_append(a.out, named_struct('s', a.at, 'n', x)), a.out), 'i', a.i + 1))"""
-    )
-    both = both.withColumn("p", pairs)
-    parts = F.transform(F.col("p.out"), lambda x: F.slice(lines, x["s"] + 1, x["n"]))
-    tail = F.slice(lines, F.col("p.at") + 1, F.greatest(F.size(lines) - F.col("p.at"), F.lit(0)))
-    kept_lines = F.concat(F.flatten(parts), tail)
+    whole = F.col("row").getField(text)
+    flags = F.flatten(F.transform("runs", lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    # lines after the last run have no flag
+    marked = F.filter(F.arrays_zip(lines_of(whole).alias("line"), flags.alias("stays")), lambda x: F.coalesce(x["stays"], F.lit(True)))
     n_dropped = F.aggregate(F.filter("runs", lambda _, i: i % 2 == 1), F.lit(0).cast("long"), lambda n, x: n + x)
     return both.select(
         "row.*",
-        F.when(F.col("runs").isNull(), F.coalesce(F.col("row").getField(text), F.lit(""))).otherwise(F.array_join(kept_lines, "\n")).alias(kept),
+        F.when(F.col("runs").isNull(), F.coalesce(whole, F.lit(""))).otherwise(F.array_join(F.transform(marked, lambda x: x["line"]), "\n")).alias(kept),
         F.coalesce(n_dropped, F.lit(0).cast("long")).alias(dropped),
     )
 
 
+def thinned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with their columns, texts without the dropped lines; a null text stays null."""
+    kept, dropped = free_name(docs, "_kept"), free_name(docs, "_dropped")
+    both = apply_bitmaps(docs, keep_bitmaps(docs, doc_id=doc_id, text=text), doc_id=doc_id, text=text, kept=kept, dropped=dropped)
+    new = F.when(F.col(f"`{text}`").isNotNull(), F.col(kept))
+    changed = {text: new} | ({n_chars: F.length(new).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
+    return both.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, *, hot_share: int = HOT) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    return apply_bitmaps(docs, keep_bitmaps(docs)).select(
+    return apply_bitmaps(docs, keep_bitmaps(docs, hot_share=hot_share)).select(
         "doc_id",
         F.size(lines_of("text")).cast("long").alias("n_lines"),
         F.col("_dropped").alias("n_dropped"),

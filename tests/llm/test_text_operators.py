@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from docloom.llm import bpe, decontamination, fingerprints, language_id, line_dedup, simhash, token_counts, toxicity
@@ -176,17 +177,28 @@ def brute_lines(docs):
     return out
 
 
-def test_line_dedup_is_exact(spark):
+@pytest.mark.parametrize("hot_share", [1, line_dedup.HOT, 10**9], ids=["none hot", "as it is", "all hot"])
+def test_line_dedup_is_exact(spark, hot_share):
     rnd = random.Random(5)
     common = ["A line that is long enough, number %d" % i for i in range(12)] + ["short", "", "É" * 20, "é" * 20, "  padded to twenty c  ", "padded to twenty c", "X" * 5000]
     docs = [(i, "\n".join(rnd.choice(common) + rnd.choice(["", " ", "\t", "\r"]) for _ in range(rnd.randrange(12)))) for i in range(60)]
     docs += [(100, None), (101, ""), (None, common[0] + "\n" + common[1]), docs[0], docs[0]]
     df = spark.createDataFrame([(d, t, 0, "r") for d, t in docs], "doc_id long, text string, runs int, h1 string").repartition(4)
     want = sorted(map(str, brute_lines(docs)))
-    assert sorted(str(tuple(r)) for r in line_dedup.digests(df).collect()) == want
-    hot = line_dedup.HOT
+    assert sorted(str(tuple(r)) for r in line_dedup.digests(df, hot_share=hot_share).collect()) == want
     kept = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
-    assert kept.columns == [*df.columns, "_kept", "_dropped"] and hot > 0
+    assert kept.columns == [*df.columns, "_kept", "_dropped"]
+
+
+def test_line_dedup_takes_time_in_proportion_to_lines(spark):
+    """32,000 lines of which every other one is dropped; in quadratic time this takes about a minute."""
+    repeated = "\n".join(f"own line {i} of this document" if i % 2 else f"line {i} that the documents share" for i in range(32_000))
+    docs = [(d, repeated.replace("own line", f"own line {d} no")) for d in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    started = time.time()
+    got = line_dedup.digests(df).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_lines(docs)))
+    assert time.time() - started < 20
 
 
 def test_toxicity_learns_and_scores(spark):
