@@ -3,10 +3,12 @@
 Pieces are counted once for each distinct pre-token; each document's pre-token
 frequencies are joined to these counts and summed.
 
-* ``count_tokens`` makes (doc key, pre-token, frequency) rows and never
-  shuffles the frequent ones: their counts, at most ``bound`` rows, are
-  broadcast and summed for each document inside the task.  Only the rare
-  pre-tokens are shuffled to their counts.
+* Each distinct pre-token is encoded to its length alone; no id leaves the call.
+* The lengths of the most frequent pre-tokens, ``bound`` of them at most, are
+  broadcast; a document's share of these is summed where the document is read.
+* Only its rarer pre-tokens, once each with their frequency, are shuffled to
+  their lengths.  The sums travel with them under keys of their own, so that no
+  key has more rows than a rare pre-token has documents.
 * Null and empty texts have 0 bytes and 0 tokens.  A null id stays null.
   Repeated rows give repeated results.  An empty table gives an empty result.
   Columns other than the id and the text are not read.
@@ -20,55 +22,55 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
-from docloom.llm.common import small_batches, table
-from docloom.llm.vocabulary import Encoder, Splitter, encoded, frequency_floor, piece_counts
-
-#: Pre-tokens in the broadcast table, about 40 MB in the JVM.
-BROADCAST_PIECES = 300_000
-
+from docloom.llm.common import small_batches, table, with_fields
+from docloom.llm.vocabulary import BROADCAST_PIECES, Encoder, Splitter, by_frequency, piece_counts, token_lengths
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", bound: int = BROADCAST_PIECES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, as the byte-level BPE tokenizer at ``tokenizer_path`` counts them."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = Splitter(tokenizer_path, "byte")
-    pieces = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path)).select("piece", "n", "k")
-    floor = frequency_floor(pieces, bound)
-    frequent = pieces.filter(F.col("n") >= floor).select("piece", "k")
-    rare = pieces.filter(F.col("n") < floor).select("piece", F.col("k").alias("rare_k"))
+    lengths = token_lengths(piece_counts(docs, "text", split), Encoder(tokenizer_path))
+    known, rare = by_frequency(lengths, bound, "k")
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = known.value
         for b in batches:
-            counts = [Counter(split(x)) for x in b.column(1).to_pylist()]
-            offsets = pa.array([0, *_running(map(len, counts))], pa.int32())
-            names = pa.array([p for c in counts for p in c], pa.string())
-            times = pa.array([n for c in counts for n in c.values()], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, times)], ["doc_id", "n_bytes", "p", "f"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    per_doc = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).mapInArrow(frequencies, f"doc_id {kind}, n_bytes long, p array<string>, f array<int>")
-    # a number that is this row's own, so that repeated rows stay apart; rows are summed in the task that numbers them
-    per_doc = per_doc.withColumn("row", F.monotonically_increasing_id())
-    rows = per_doc.select("row", "doc_id", "n_bytes", F.explode_outer(F.arrays_zip("p", "f")).alias("x")).select("row", "doc_id", "n_bytes", F.col("x.p").alias("piece"), F.col("x.f").alias("f"))
-    known = rows.join(F.broadcast(frequent), "piece", "left")
-    left_over = F.when(F.col("k").isNull(), F.col("piece"))
-    partial = known.groupBy("row", "doc_id", "n_bytes", left_over.alias("piece")).agg(F.sum(F.col("f") * F.coalesce("k", F.lit(0))).alias("part"), F.sum("f").alias("f"))
+            sums, pieces, times, ends = [], [], [], [0]
+            for x in b.column(1).to_pylist():
+                total = 0
+                for piece, n in Counter(split(x)).items():
+                    if piece in k:
+                        total += n * k[piece]
+                    else:
+                        pieces.append(piece)
+                        times.append(n)
+                sums.append(total)
+                ends.append(len(pieces))
+            offsets = pa.array(ends, pa.int32())
+            others = pa.ListArray.from_arrays(offsets, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sums, pa.int64()), *others], ["doc_id", "n_bytes", "known", "p", "f"])
+
+    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    kinds = with_fields(sized.select("doc_id", "n_bytes").schema, known=LongType(), p=ArrayType(StringType()), f=ArrayType(LongType()))
+    # a number that is this row's own, so that repeated rows stay apart
+    per_doc = sized.mapInArrow(summed, kinds).withColumn("row", F.monotonically_increasing_id())
+    own = F.array(F.struct(F.lit("").alias("p"), F.col("known").alias("f"), (F.col("row") + 1).alias("own")))
+    others = F.transform(F.arrays_zip("p", "f"), lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), F.lit(0).cast("long").alias("own")))
+    rows = per_doc.select("row", "doc_id", "n_bytes", F.explode(F.concat(own, others)).alias("x")).select(
+        "row", F.when(F.col("x.own") > 0, F.struct("doc_id", "n_bytes")).alias("doc"), F.col("x.p").alias("piece"), F.col("x.own").alias("own"), F.col("x.f").alias("f")
+    )
+    lengths_of = rare.select("piece", F.lit(0).cast("long").alias("own"), "k")
     return (
-        partial.join(rare, "piece", "left")
-        .groupBy("row", "doc_id", "n_bytes")
-        .agg(F.coalesce(F.sum(F.col("part") + F.coalesce(F.col("f") * F.col("rare_k"), F.lit(0))), F.lit(0)).cast("long").alias("n_tokens"))
-        .drop("row")
+        rows.join(lengths_of, ["piece", "own"], "left")
+        .groupBy("row")
+        .agg(F.max("doc").alias("doc"), F.sum(F.col("f") * F.coalesce("k", F.lit(1))).alias("n_tokens"))
+        .select("doc.doc_id", "doc.n_bytes", "n_tokens")
     )
 
 
-def _running(sizes: Iterator[int]) -> Iterator[int]:
-    total = 0
-    for n in sizes:
-        total += n
-        yield total
-
-
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -9,13 +9,14 @@ nearly all occurrences; all others are joined by a shuffle.  Both ways are exact
 from __future__ import annotations
 
 import re
-import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from docloom.llm.common import small_batches, written
 
 #: Distinct pieces that a task counts before it sends the counts on.
 FLUSH = 200_000
+#: Pieces in a broadcast table, and bytes of each at most: some 40 MB in a Python worker.
+BROADCAST_PIECES, BROADCAST_BYTES = 300_000, 64
 
 #: The pre-token patterns of the public tokenizer files, in the syntax of ``regex``; white space is that of Unicode.
 EXACT = {
@@ -156,16 +159,26 @@ def piece_counts(docs: DataFrame, text: str, split: Callable[[str | None], list[
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def encoded(counts: DataFrame, encode: Callable[[str], list[int]]) -> DataFrame:
-    """(piece, n, k, ids): each distinct piece encoded once, k ids as little-endian 32-bit numbers; written to the shared folder."""
+def token_lengths(counts: DataFrame, encode: Callable[[str], list[int]]) -> DataFrame:
+    """(piece, n, k): the number of tokens of each distinct piece; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [encode(x) for x in b.column(0).to_pylist()]
-            packed = pa.array([struct.pack(f"<{len(x)}I", *x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, ids), pa.int32()), packed], ["piece", "n", "k", "ids"])
+            k = pa.array([len(encode(x)) for x in b.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), k], ["piece", "n", "k"])
 
-    return written(counts.mapInArrow(run, "piece string, n long, k int, ids binary"))
+    return written(counts.mapInArrow(run, "piece string, n long, k int"))
+
+
+def encoded(counts: DataFrame, encode: Callable[[str], list[int]], kind: str) -> DataFrame:
+    """(piece, n, ids): each distinct piece encoded once, ids as numbers of ``kind``; written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([np.array(encode(x), kind).tobytes() for x in b.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["piece", "n", "ids"])
+
+    return written(counts.mapInArrow(run, "piece string, n long, ids binary"))
 
 
 def frequency_floor(counts: DataFrame, bound: int) -> int:
@@ -180,3 +193,16 @@ def frequency_floor(counts: DataFrame, bound: int) -> int:
             break
         held, floor = held + k, p
     return 1 << floor
+
+
+def by_frequency(pieces: DataFrame, bound: int, value: str) -> tuple[Broadcast, DataFrame]:
+    """Split a piece table: a broadcast dict of its most frequent pieces, and the rows of all others.
+
+    The dict has ``bound`` pieces of ``BROADCAST_BYTES`` at most.
+    """
+    short = F.octet_length("piece") <= BROADCAST_BYTES
+    floor = frequency_floor(pieces.filter(short), bound)
+    held = short & (F.col("n") >= floor)
+    found = pieces.filter(held).select("piece", value).toArrow()
+    known = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    return pieces.sparkSession.sparkContext.broadcast(known), pieces.filter(~held)
