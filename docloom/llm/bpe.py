@@ -3,14 +3,14 @@
 Words are split in Spark tasks, each distinct word of the corpus is encoded
 once, and ids are joined back by position:
 
-* the most frequent words (``bound`` of them at most, a sorted hash table of
-  some tens of MB) are broadcast, and documents made of such words alone are
-  put together where they are read;
-* documents with rarer words join the ids of just these words, found by a
-  shuffle, before they are put together.
+* the most frequent words (``bound`` of them at most, compared as they are) are
+  broadcast, and a document's ids of these are put down where it is read, with a
+  hole at the position of every other word;
+* the other words, once for each document with the holes they belong to, are
+  shuffled to their ids, and these to the document, where the holes are filled.
 
 ``decode`` joins ids to pieces through the id-to-piece table, whose size is the
-tokenizer's vocabulary.
+tokenizer's vocabulary, so that each task has the whole of it.
 
 Null and empty texts have no ids and decode to ''.  Null ids stay null, repeated
 rows give repeated results, an empty table an empty one; other columns are not
@@ -26,123 +26,77 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 
-from docloom.llm.common import row_key, small_batches, table
-from docloom.llm.vocabulary import Encoder, Splitter, encoded, frequency_floor, piece_counts, tokenizer
+from docloom.llm.common import small_batches, table, with_fields
+from docloom.llm.vocabulary import BROADCAST_PIECES, Encoder, Splitter, by_frequency, encoded, piece_counts, tokenizer
 
-#: Words in the broadcast table: about 24 bytes for each, of hash, place and ids.
-BROADCAST_WORDS = 4_000_000
-#: Words whose ids a task keeps at hand.
-AT_HAND = 250_000
 
-
-class WordTable:
-    """Words' ids by a sorted 64-bit hash, read-only."""
-
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: bytes, kind: str):
-        self.hashes, self.starts, self.ids, self.kind = hashes, starts, ids, kind
-
-    @classmethod
-    def of(cls, table: pa.Table, n_ids: int) -> WordTable:
-        """From columns h (hash) and ids (32-bit little-endian); ids are kept in 16 bits where ``n_ids`` allows."""
-        kind = "<u2" if n_ids <= 1 << 16 else "<u4"
-        if not table.num_rows:
-            return cls(np.zeros(0, np.uint64), np.zeros(1, np.uint32), b"", kind)
-        h = table.column(0).to_numpy().view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        packed = table.column(1).combine_chunks()
-        packed = (packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed).take(pa.array(order))
-        at = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1) // 4
-        return cls(h[order], at.astype(np.uint32), np.frombuffer(packed.buffers()[2], "<u4", int(at[-1])).astype(kind).tobytes(), kind)
-
-    def get(self, word: str) -> bytes | None:
-        import xxhash
-
-        h = np.uint64(xxhash.xxh64_intdigest(word.encode(), 42))
-        i = int(np.searchsorted(self.hashes, h))
-        if i == len(self.hashes) or self.hashes[i] != h:
-            return None
-        size = np.dtype(self.kind).itemsize
-        return self.ids[size * int(self.starts[i]) : size * int(self.starts[i + 1])]
-
-
-class _AtHand(dict):
-    """Ids of words as bytes; a word that the table lacks is noted in ``rare``."""
-
-    def __init__(self, words: WordTable):
-        super().__init__()
-        self.words, self.rare = words, set()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            self.rare.add(word)
-            return b""
-        if len(self) >= AT_HAND:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
-def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", bound: int = BROADCAST_WORDS, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", bound: int = BROADCAST_PIECES, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): the ids of every row's whole text; with ``decoded`` also what ``decode`` makes of them, in the same pass."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = Splitter(tokenizer_path, "word")
-    words = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path))
-    floor = frequency_floor(words, bound)
-    frequent = words.filter(F.col("n") >= floor).select(F.xxhash64("piece").alias("h"), "ids").toArrow()
-    table_ = WordTable.of(frequent, tokenizer(tokenizer_path).get_vocab_size())
-    kind = table_.kind
-    shared = spark.sparkContext.broadcast(table_)
-    del frequent, table_
-    pa.default_memory_pool().release_unused()
+    # the highest number of a kind stands for a hole
+    kind = "<u2" if tokenizer(tokenizer_path).get_vocab_size() < 0xFFFF else "<u4"
+    words = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path), kind)
+    known, rare = by_frequency(words, bound, "ids")
     pieces = piece_table(spark, tokenizer_path) if decoded else None
-    rare = words.filter(F.col("n") < floor).select("piece", "ids")
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(*(c.alias(n) for c, n in zip(row_key("doc_id", "text"), ("k1", "k2"), strict=True)), "doc_id", "text")
-
-    def made(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
-        columns, names = [doc_ids, _lists(ids, kind)], ["doc_id", "ids"]
-        if pieces is not None:
-            columns.append(pa.array([_joined(np.frombuffer(x, kind), pieces) for x in ids], pa.string()))
-            names.append("decoded")
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    def put_together(known: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of known words alone, with ids; or the other rows, with their rare words."""
-        at_hand = _AtHand(shared.value)
+    hole = np.array([-1], kind[1:].replace("u", "i")).tobytes()
+
+    def put_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
         for b in batches:
-            keep, ids, rares = [], [], []
-            for i, x in enumerate(b.column(3).to_pylist()):
-                at_hand.rare.clear()
-                joined = b"".join(map(at_hand.__getitem__, split(x)))
-                if known != bool(at_hand.rare):
-                    keep.append(i)
-                    ids.append(joined)
-                    rares.append(list(at_hand.rare))
-            if keep:
-                some = b.take(pa.array(keep))
-                yield made(some.column(2), ids) if known else pa.RecordBatch.from_arrays([*some.columns, pa.array(rares, pa.list_(pa.string()))], ["k1", "k2", "doc_id", "text", "rare"])
-
-    def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_hand = _AtHand(shared.value)
+            ids, names, at, ends = [], [], [], [0]
+            for x in b.column(1).to_pylist():
+                ws = split(x)
+                found = list(map(get, ws))
+                if None in found:
+                    holes: dict[str, list[int]] = {}
+                    n = 0
+                    for i, part in enumerate(found):
+                        if part is None:
+                            found[i] = hole
+                            holes.setdefault(ws[i], []).append(n)
+                            n += 1
+                    names += holes
+                    at += holes.values()
+                ids.append(b"".join(found))
+                ends.append(len(names))
+            offsets = pa.array(ends, pa.int32())
+            others = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(at, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *others], ["doc_id", "ids", "p", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(kind).itemsize
         for b in batches:
-            ids = []
-            for x, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = {w["piece"]: np.frombuffer(w["ids"], "<u4").astype(kind).tobytes() for w in found}
-                ids.append(b"".join([own[w] if w in own else at_hand[w] for w in split(x)]))
-            yield made(b.column(0), ids)
-
-    schema = f"doc_id {id_kind}, ids array<int>" + ", decoded string" * decoded
-    done = keyed.mapInArrow(lambda x: put_together(True, x), schema)
-    if floor <= 1:  # every word is in the broadcast table
-        return done
-    open_rows = keyed.mapInArrow(lambda x: put_together(False, x), f"k1 long, k2 long, doc_id {id_kind}, text string, rare array<string>")
-    found = open_rows.select("k1", "k2", F.explode("rare").alias("piece")).join(rare, "piece").groupBy("k1", "k2").agg(F.collect_set(F.struct("piece", "ids")).alias("found"))
-    filled = open_rows.drop("rare").join(found, ["k1", "k2"]).select("doc_id", "text", "found").mapInArrow(fill_in, schema)
-    return done.unionByName(filled)
+            ids = b.column(1).to_pylist()
+            flat = b.column(2).flatten()
+            at, own = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+            ends = np.cumsum([0, *(len(x) if x.is_valid else 0 for x in b.column(2))])
+            for i in np.flatnonzero(np.diff(ends)):
+                holes = np.flatnonzero(np.frombuffer(ids[i], kind) == np.frombuffer(hole, kind)[0])
+                by_hole = [(holes[n], x) for ns, x in zip(at[ends[i] : ends[i + 1]], own[ends[i] : ends[i + 1]], strict=True) for n in ns]
+                parts, last = [], 0
+                for where, x in sorted(by_hole):
+                    parts += (ids[i][last : size * where], x)
+                    last = size * (where + 1)
+                ids[i] = b"".join((*parts, ids[i][last:]))
+            columns, names = [b.column(0), _lists(ids, kind)], ["doc_id", "ids"]
+            if pieces is not None:
+                columns.append(pa.array([_joined(np.frombuffer(x, kind), pieces) for x in ids], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    ids_kind = ArrayType(IntegerType())
+    put = with_fields(docs.select("doc_id").schema, ids=BinaryType(), p=ArrayType(StringType()), at=ArrayType(ids_kind))
+    # a number that is this row's own, so that repeated rows stay apart; both uses of this shuffle read the same files
+    rows = docs.mapInArrow(put_down, put).withColumn("row", F.monotonically_increasing_id()).repartition("row")
+    holes = rows.select("row", F.explode(F.arrays_zip("p", "at")).alias("x")).select("row", F.col("x.p").alias("piece"), F.col("x.at").alias("at"))
+    found = holes.join(rare.select("piece", F.col("ids").alias("own")), "piece").groupBy("row").agg(F.collect_list(F.struct("at", "own")).alias("found"))
+    whole = rows.select("row", "doc_id", "ids").join(found, "row", "left").select("doc_id", "ids", "found")
+    return whole.mapInArrow(fill, with_fields(docs.select("doc_id").schema, ids=ids_kind, **({"decoded": StringType()} if decoded else {})))
 
 
 def _lists(ids: list[bytes], kind: str) -> pa.ListArray:
@@ -171,8 +125,7 @@ def decode(encoded_docs: DataFrame, tokenizer_path: str, *, ids: str = "ids", ou
             texts = [_joined(x.values.to_numpy(), pieces) if x.is_valid else None for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded_docs.schema)
-    return encoded_docs.mapInArrow(run, f"{schema}, `{out}` string")
+    return encoded_docs.mapInArrow(run, with_fields(encoded_docs.schema, **{out: StringType()}))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
