@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from docloom.llm.common import crc_mod, small_batches, table
+from docloom.llm.common import crc_mod, free_name, small_batches, table, with_fields
 from docloom.llm.compression import CARRIER, TAIL, length, trained
 
 TRAIN_ROWS = 6_000
@@ -194,8 +195,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
             at = b.schema.get_field_index(text)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(x) for x in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{out}` double")
+    return docs.mapInArrow(run, with_fields(docs.schema, **{out: DoubleType()}))
+
+
+def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` with a score under the threshold, with their columns."""
+    out = free_name(docs, "_score")
+    return score(docs, model, text=text, out=out).filter(F.col(out) < threshold).drop(out)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
