@@ -16,8 +16,8 @@ def compressor(content: bytes, level: int | None = None):
     import zstandard as z
 
     frame = {"format": z.FORMAT_ZSTD1_MAGICLESS, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    if level is None:  # greedy, matches of five bytes or more: for single words
-        params = z.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=5, target_length=64, strategy=z.STRATEGY_GREEDY, **frame)
+    if level is None:  # greedy, matches of six bytes or more: for single words
+        params = z.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=6, target_length=64, strategy=z.STRATEGY_GREEDY, **frame)
     else:
         params = z.ZstdCompressionParameters.from_level(level, **frame)
     if not content:

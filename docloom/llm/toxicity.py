@@ -1,22 +1,28 @@
 """Toxicity by compression distance (operator 5).
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
-The toxic one is made of what sets toxic text apart: words whose document
-counts among toxic rows are far above chance (log-likelihood ratio).  A window
-is a word with its boundaries.  Its distance is the part of its length under the
-ordinary dictionary that the toxic dictionary saves; a window over a calibrated
-threshold is a hit, and a logistic curve over hits, calibrated on rows whose
-words took no part in the training (two folds), gives the score.
-
-Training takes a sample of ``TRAIN_ROWS`` labelled rows at most, chosen by the
-hash of the id, whatever the size of the corpus.  Only texts are inputs of a
-score.  Windows of whole texts are scored; a task compresses a word once.
+Two zstandard dictionaries are made, one of ordinary and one of toxic text.  The
+ordinary one is trained by zstandard on windows of ordinary rows.  The toxic one
+is raw content: the words that set toxic rows apart, by the log-likelihood ratio
+of their document counts, each a window of toxic text.  (Trained by zstandard on
+whole toxic texts, most of it is what toxic and ordinary texts have in common;
+the README has figures.)  A window is a word with its boundaries.  Its distance
+is the part of its length under the ordinary dictionary that the toxic one
+saves; a window over a calibrated threshold is a hit, and a logistic curve over
+hits, calibrated on rows whose words took no part in the training (two folds),
+gives the score.
+
+Training takes a bounded sample: ``TRAIN_ROWS`` labelled rows at most, chosen by
+the hash of the id; of each at most ``TRAIN_WORDS`` words, in stretches spread
+evenly over its text; of ordinary rows at most ``TRAIN_WINDOWS`` windows.  Only
+texts are inputs of a score.  All words of whole texts are scored; a task
+compresses a word once.
 
 Null, empty and wordless texts have no hits and so the score of such texts.
 Without labelled rows, or with labels of one kind, every score is their share of
-toxic rows (0 without any).  Null ids are in fold 0 of crc32 over ''.  Repeated
-rows give repeated results; an empty table an empty one.  Other columns are not
-read.
+toxic rows (0 without any).  An id with labels of both kinds counts as toxic.
+Null ids are in fold 0 of crc32 over ''.  Repeated rows give repeated results and
+count once in training if their texts are equal; an empty table gives an empty
+one.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +42,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docloom.llm.common import crc_mod, free_name, small_batches, table, with_fields
-from docloom.llm.compression import CARRIER, TAIL, length, trained
+from docloom.llm.compression import CARRIER, TAIL, compressor, trained
 
-TRAIN_ROWS = 6_000
-ORDINARY_BYTES, TOXIC_BYTES = 8_192, 4_096
+TRAIN_ROWS, TRAIN_WORDS, TRAIN_WINDOWS = 6_000, 4_000, 20_000
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 16_384
 #: Twice the log-likelihood ratio that a word of the toxic dictionary needs.
 APART = 20.0
 THRESHOLDS = (0.4, 0.5, 0.6, 0.7)
@@ -62,19 +68,23 @@ class Model:
     weights: tuple[float, ...] = ()
     prior: float = 0.0
     at_hand: dict[str, float] = field(default_factory=dict)
+    #: compressors of both dictionaries, and what a window's frame takes under each
+    coders: tuple = ()
 
     def __getstate__(self):
-        return self.__dict__ | {"at_hand": {}}
+        return self.__dict__ | {"at_hand": {}, "coders": ()}
 
     def distance(self, word: str) -> float:
         """The share of a word's length that the toxic dictionary saves."""
         d = self.at_hand.get(word)
         if d is None:
+            if not self.coders:
+                frame = CARRIER + TAIL
+                both = [compressor(x + frame).compress for x in (self.ordinary, self.ordinary + self.toxic)]
+                self.coders = (*both, *(len(x(frame)) for x in both))
+            plain, toxic, plain_frame, toxic_frame = self.coders
             x = b"".join((CARRIER, b" ", word.encode(), b" ", TAIL))
-            frame = CARRIER + TAIL
-            plain, toxic = self.ordinary + frame, self.ordinary + self.toxic + frame
-            a = length(plain, x) - length(plain, frame)
-            b = length(toxic, x) - length(toxic, frame)
+            a, b = len(plain(x)) - plain_frame, len(toxic(x)) - toxic_frame
             d = (a - b) / max(1, a)
             if len(self.at_hand) >= AT_HAND:
                 self.at_hand.clear()
@@ -127,14 +137,22 @@ def _dictionaries(rows: list[tuple[list[str], int]]) -> tuple[bytes, bytes]:
         if g < APART or len(toxic) > TOXIC_BYTES:
             break
         toxic += b" " + w.encode()
-    ordinary = trained(list(islice(((" " + " ".join(ws[i : i + 40]) + " ").encode() for ws, y in rows if not y for i in range(0, len(ws), 40)), 20_000)), ORDINARY_BYTES)
+    ordinary = trained(list(islice(((" " + " ".join(ws[i : i + 40]) + " ").encode() for ws, y in rows if not y for i in range(0, len(ws), 40)), TRAIN_WINDOWS)), ORDINARY_BYTES)
     return ordinary, toxic + b" " if toxic else b""
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fit on (text, label) rows."""
+def thinned(ws: list[str], most: int = TRAIN_WORDS, stretch: int = 40) -> list[str]:
+    """At most ``most`` words, in stretches spread evenly over all."""
+    if len(ws) <= most:
+        return ws
+    n, held = -(-len(ws) // stretch), most // stretch
+    return [w for k in range(held) for w in ws[k * n // held * stretch : (k * n // held + 1) * stretch]]
+
+
+def train(rows: list[tuple[list[str], int]]) -> Model:
+    """Fit on (words, label) rows."""
     names: dict[str, str] = {}  # each different word once in memory
-    cut = [([names.setdefault(w, w) for w in words(t)], int(y)) for t, y in rows]
+    cut = [([names.setdefault(w, w) for w in ws], int(y)) for ws, y in rows]
     names.clear()
     prior = sum(y for _, y in cut) / len(cut) if cut else 0.0
     model = Model(prior=prior)
@@ -170,15 +188,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """Train on labelled rows outside of the held-out fold (crc32 of the id mod 4 = 2)."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(crc_mod(F.col("id"), 4) != 2)
-    chosen = known.dropDuplicates(["id"]).withColumn("h", F.xxhash64("id", F.lit(5))).orderBy("h", "id").limit(rows)
+    chosen = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id", F.lit(5))).orderBy("h", "id").limit(rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    # at most `rows` ids, so that the texts are looked up without a shuffle and one task can train on them
-    sample = texts.join(F.broadcast(chosen), "id").select("h", "id", "t", "y").repartition(1)
+    # at most `rows` ids, so that the texts are looked up without a shuffle; rows of an id that repeat count once
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("h", "id", F.sha2("t", 256).alias("s")).agg(F.first("t").alias("t"), F.first("y").alias("y"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ws = [" ".join(thinned(words(x))) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ws, pa.string()), b.column(3)], ["h", "s", "t", "y"])
+
+    # one task can train on these few
+    sample = sample.select("h", "s", "t", "y").mapInArrow(cut, "h long, s string, t string, y int").orderBy("h", "s").limit(rows).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(r["h"], r["id"], r["t"], r["y"]) for b in batches for r in b.to_pylist()]
-        found.sort(key=lambda r: (r[0], r[1], r[2] or ""))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, y) for _, _, t, y in found]))], pa.binary())], ["model"])
+        found = [(r["h"], r["s"] or "", r["t"].split(), r["y"]) for b in batches for r in b.to_pylist()]
+        found.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(ws, y) for _, _, ws, y in found]))], pa.binary())], ["model"])
 
     made = sample.mapInArrow(run, "model binary").first()
     return pickle.loads(made.model) if made else train([])
