@@ -7,6 +7,8 @@ import time
 import pytest
 from docloom.llm import bpe, decontamination, fingerprints, language_id, line_dedup, simhash, token_counts, toxicity
 
+from pyspark.sql import functions as F
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, n_tokens string, fp string, k1 string, row string"
 LONG = "the quick brown fox jumps over the lazy dog near the old stone bridge " * 3000
@@ -217,6 +219,12 @@ def test_toxicity_learns_and_scores(spark):
     wrong = [i for i, y in labels if (got[i] >= toxicity.REJECT) != bool(y)]
     assert len(wrong) <= 4
     assert got[None] == got[1000] < 0.3 <= got[1001]
+    both = spark.createDataFrame([*labels, *((i, 1 - y) for i, y in labels if y)], "doc_id long, toxic int")  # toxic either way
+    assert toxicity.fit(docs, both).__getstate__() == model.__getstate__() == toxicity.fit(docs.unionByName(docs), both).__getstate__()
+    odd = docs.limit(3).unionByName(docs.limit(3)).withColumns({"_score": F.lit(1), "a b": F.lit(2)})
+    assert toxicity.reject(odd, model).columns == odd.columns
+    long = [("vile " + "plainaa " * 400_000,), ("plainaa " * 400_000 + "vile",)]
+    assert len({r.score for r in toxicity.score(spark.createDataFrame(long, "text string"), model).collect()}) == 1
     nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
@@ -227,9 +235,22 @@ def test_language_held_out(spark, sf):
     found = {r.doc_id: r for r in language_id.identify(docs, learned).collect()}
     truth = {r.doc_id: r.lang for r in docs.collect()}
     assert sum(found[i].lang_pred == truth[i] for i in truth) >= 0.97 * len(truth)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (None, "the and of")], "doc_id long, text string")
-    assert [r.lang_pred for r in language_id.identify(odd, learned).orderBy("doc_id").collect()][1:] == ["und"] * 3
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (4, "\u00b2 \u00bd \u2167"), (None, "the and of"), (6, "the and of"), (6, "the and of")], "doc_id long, text string")
+    got = language_id.identify(odd.withColumn("lang_pred", F.lit("x")), learned).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got][1:5] == ["und"] * 4 and got[-1] == got[-2]
+    assert got[0].lang_pred == got[-1].lang_pred
     assert language_id.fit(docs.limit(0)) == {}
+    assert language_id.identify(odd.limit(0), learned).count() == 0
+
+
+def test_language_reads_all_of_a_text():
+    learned = language_id.dictionaries([("aa", b"orange lemon cherry apple " * 9), ("bb", b"hammer chisel anvil pliers " * 9)])
+    coders = language_id.Coders(learned)
+    assert coders.classify("orange " * 100 + "hammer chisel anvil pliers " * 4000)[0] == "bb"
+    assert coders.classify("hammer " * 100 + "orange lemon cherry apple " * 4000)[0] == "aa"
+    assert language_id.folded("\u0939\u093f\u0928\u094d\u0926\u0940, 2 x") == " \u0939\u093f\u0928\u094d\u0926\u0940 x "  # marks stay with their letters
+    assert language_id.Coders({"b": learned["aa"], "a": learned["aa"]}).classify("lemon") == ("a", 0.0, True)  # a tie
+    assert len(language_id.stretches("word " * 10_000, 240)) < 300
 
 
 def test_empty_tables(spark):
