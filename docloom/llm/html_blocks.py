@@ -32,44 +32,67 @@ NAMES = frozenset(
     "comment comments reply replies disqus discussion respond related recommended recommendations teaser pagination pager copyright disclaimer toolbar skip".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Elements that make up running text; all others are boxes that hold it.
+TEXT = INLINE | frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table caption thead tbody tfoot tr td th figure figcaption hr address details summary center".split())
+#: Box of the page itself.
+PAGE = 0
 
 
 @dataclass
 class Line:
     text: str
     linked: int  # characters inside of links
-    inside: bool  # of an article or main element
+    mark: int  # number of the outermost article or main element around it, 0 if there is none
     aside: bool  # of what holds no main text
+    box: int  # number of the nearest element around it that is no part of running text
 
 
-def _aside(tag: str, attrs: str, inside: bool) -> bool:
+#: What an element says of itself: that it holds main text, that it holds none, or, by some of its names, perhaps none.
+HOLDS, MAYBE, NONE = range(3)
+
+
+def _aside(tag: str, attrs: str, inside: bool) -> int:
     if tag in ASIDE and not (tag == "header" and inside):
-        return True
-    if not attrs or tag in ("body", "html", "article", "main"):
-        # an article may be a reader's comment
-        if tag != "article" or not attrs:
-            return False
+        return NONE
+    # an article may be a reader's comment
+    if not attrs or tag in ("body", "html", "main"):
+        return HOLDS
+    names, others = 0, 0
     for name, value in _ATTR.findall(attrs):
         name = name.lower()
         value = value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return NONE
         if name == "role" and value in ROLES:
-            return True
+            return NONE
         if name in ("class", "id"):
             for word in value.split():
-                if word in NAMES or (set(re.split(r"[-_]+", word)) & NAMES and not (tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (inside and "header" in word))):
-                    return True
-    return False
+                if word in NAMES:
+                    return NONE
+                part_of_text = tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (inside and "header" in word)
+                if set(re.split(r"[-_]+", word)) & NAMES and not part_of_text:
+                    names += 1
+                else:
+                    others += 1
+    return HOLDS if not names else MAYBE if others else NONE
 
 
 def lines(page: str | None) -> list[Line]:
+    """The lines of a page.
+
+    An element of which only some names speak against main text (``story
+    related-story``) holds main text if more than half of the page's text is in it.
+    """
     out: list[Line] = []
+    doubts: list[tuple[int, ...]] = []  # of each line: the elements around it that perhaps hold no main text
     if not page:
         return out
-    stack: list[tuple[str, bool]] = []  # tag, whether it holds no main text
+    stack: list[tuple[str, int, int]] = []  # tag, what it holds, its number
     open_tags: Counter = Counter()
-    asides = mains = links = linked = 0
+    asides = links = linked = made = 0
+    mains: list[int] = []
+    doubted: list[int] = []
+    boxes = [PAGE]
     buffer: list[str] = []
 
     def flush() -> None:
@@ -77,17 +100,20 @@ def lines(page: str | None) -> list[Line]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append(Line(text, min(linked, len(text)), mains > 0, asides > 0))
+                out.append(Line(text, min(linked, len(text)), mains[0] if mains else 0, asides > 0, boxes[-1]))
+                doubts.append(tuple(doubted))
             buffer.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal asides, mains, links
-        tag, aside = stack.pop()
+        nonlocal asides, links
+        tag, holds, number = stack.pop()
         open_tags[tag] -= 1
-        asides -= aside
-        mains -= tag in MAIN
+        asides -= holds == NONE
         links -= tag == "a"
+        for kept in (mains, doubted, boxes):
+            if kept and kept[-1] == number:
+                kept.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -125,13 +151,26 @@ def lines(page: str | None) -> list[Line]:
         if tag == "body":  # ends a head that was left open
             while stack and stack[-1][0] != "html":
                 pop()
-        aside = _aside(tag, m["attrs"], mains > 0)
-        stack.append((tag, aside))
+        holds = _aside(tag, m["attrs"], bool(mains))
+        made += 1
+        stack.append((tag, holds, made))
         open_tags[tag] += 1
-        asides += aside
-        mains += tag in MAIN
+        asides += holds == NONE
         links += tag == "a"
+        if tag in MAIN:
+            mains.append(made)
+        if holds == MAYBE:
+            doubted.append(made)
+        if tag not in TEXT and tag not in ("html", "body"):
+            boxes.append(made)
     flush()
+    held: Counter = Counter()
+    for line, around in zip(out, doubts, strict=True):
+        for x in around:
+            held[x] += 0 if line.aside else len(line.text)
+    most = sum(len(x.text) for x in out if not x.aside) / 2
+    for line, around in zip(out, doubts, strict=True):
+        line.aside |= any(held[x] <= most for x in around)
     return out
 
 

@@ -67,3 +67,34 @@ def test_link_lines_inside_an_unmarked_story_are_kept():
     a, b = "An opening paragraph of the story " * 5, "A closing paragraph of the story " * 5
     page = f"<body><div><p>{a}</p><p><a href='/x'>A paragraph that is all link</a></p><p>{b}</p></div><nav><a href='/'>Home</a></nav></body>"
     assert main_text(page).split("\n") == [a.strip(), "A paragraph that is all link", b.strip()]
+
+
+STORY = ["An opening paragraph of the story " * 5, "Middle of the story, told at some length " * 4, "The end."]
+
+
+def test_short_ends_and_link_lines_of_a_box_are_kept():
+    links = "".join(f"<p><a href='/{i}'>link paragraph {i}</a></p>" for i in range(4))
+    menu = "".join(f"<li><a href='/{i}'>page {i}</a></li>" for i in range(6))
+    page = f"<body><ul>{menu}</ul><div><p>{STORY[0]}</p><p>{STORY[1]}</p>{links}<p>{STORY[2]}</p><ul><li><a href=x>its source</a></li></ul></div><div><ul>{menu}</ul></div><p>imprint</p>"
+    want = [STORY[0].strip(), STORY[1].strip(), *(f"link paragraph {i}" for i in range(4)), STORY[2], "its source"]
+    assert html_extraction.main_text(page).split("\n") == want
+    inside = f"<div><ul>{menu}</ul><p>{STORY[0]}</p><p>{STORY[2]}</p><ul>{menu}</ul></div>"
+    assert html_extraction.main_text(inside).split("\n") == [STORY[0].strip(), STORY[2]]
+
+
+def test_one_name_among_others_does_not_empty_a_page():
+    page = f"<div class='story related-story'><p>{STORY[0]}</p><p>{STORY[1]}</p></div><div class='box related-links'><p>Read this too</p></div><div class='comments-list'><p>{STORY[0] * 9}</p></div>"
+    assert html_extraction.main_text(page).split("\n") == [STORY[0].strip(), STORY[1].strip()]
+
+
+def test_surge_and_dive_choose_among_marked_elements():
+    page = f"<article><p>A teaser.</p></article><article><h1>Title</h1><p>{STORY[0]}</p><p>{STORY[2]}</p></article><p>{STORY[1] * 3}</p>"
+    assert html_extraction.main_text(page).split("\n") == ["Title", STORY[0].strip(), STORY[2]]
+    assert html_extraction.main_text("<article><p>All of it.</p></article><p>Something else, and longer</p>") == "All of it."
+    assert html_extraction.main_text("<nav><a href=x>Home</a></nav><p><a href=y>One link</a></p>") == "One link"
+
+
+def test_very_long_pages():
+    page = "<div>" + "".join(f"<p>{STORY[0]}{i}</p>" for i in range(20_000)) + "</div>"
+    assert html_extraction.main_text(page).count("\n") == 19_999
+    assert len(html_extraction.main_text(f"<p>{'word ' * 400_000}")) == 5 * 400_000 - 1
