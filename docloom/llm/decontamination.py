@@ -9,11 +9,15 @@ and end (length bound); the window is then verified word by word.
 
 * Document counts of the benchmark's shingles come from all documents, combined
   in each task; only the benchmark's own shingles are counted and collected.
-* The benchmark is broadcast in blocks of at most ``block_windows`` windows, one
-  block for benchmarks of ordinary size; each block meets all documents.
+* The distinct windows are a table of their own.  It is counted, and broadcast in
+  blocks of at most ``block_windows`` windows and about ``BLOCK_BYTES`` bytes
+  (windows are dealt by hash, so an item of any length is split); one block for
+  benchmarks of ordinary size.  Each block meets all documents, and what the
+  blocks found is put together by document.
 * Null texts have no words.  Items with a null id or no words are not looked
-  for.  Null document ids stay null; repeated rows give repeated results; with
-  an empty benchmark nothing is hit.  Other columns are not read.
+  for.  Null document ids stay null; repeated rows give repeated results; items
+  that repeat count once; with an empty benchmark nothing is hit.  Other columns
+  are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +29,19 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
-from docloom.llm.common import row_key, small_batches, table
+from docloom.llm.common import row_key, small_batches, table, with_fields, written
 
 WINDOW = 10
 SHINGLE = 3
 #: Windows in one broadcast block, about 200 MB in a Python worker.
 BLOCK_WINDOWS = 200_000
+#: Bytes of the words of a block's windows.
+BLOCK_BYTES = 32 << 20
 
 #: ASCII bytes that are no part of a word become spaces, A-Z become a-z; all others are kept.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -54,15 +62,10 @@ def grams(ws: list[bytes], q: int) -> Iterator[tuple[bytes, ...]]:
 
 
 class Block:
-    """Windows of some benchmark items, and, once rarity is known, their prefix shingles."""
-
-    def __init__(self, items: list[tuple[object, str | None]], size: int):
-        self.windows: dict[tuple[bytes, ...], list] = defaultdict(list)
-        for item, text in items:
-            if item is not None:
-                for w in windows_of(words(text), size):
-                    if not self.windows[w] or self.windows[w][-1] != item:
-                        self.windows[w].append(item)
+    """Some benchmark windows with their items, and, once rarity is known, their prefix shingles."""
+
+    def __init__(self, windows: list[tuple[bytes, list]]):
+        self.windows: dict[tuple[bytes, ...], list] = {tuple(w.split(b" ")): items for w, items in windows}
         self.shingles = {g for w in self.windows for g in grams(list(w), min(SHINGLE, len(w)))}
         self.sizes = sorted({len(g) for g in self.shingles})
 
@@ -106,30 +109,40 @@ def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).filter("item IS NOT NULL AND t IS NOT NULL")
-    most = items.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0  # no more words, and so windows, than this
-    n = max(1, -(-int(most) // (8 * block_windows)))
-    kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):  # an item at a time, however long
+                ws = [b" ".join(w) for w in windows_of(words(b.column(1)[row].as_py()), window)]
+                for i in range(0, len(ws), 10_000):
+                    some = ws[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), b.column(0).take(pa.array([row] * len(some), pa.int64()))], ["w", "item"])
+
+    kind = items.schema["item"].dataType
+    windows = items.mapInArrow(cut, StructType([StructField("w", BinaryType()), StructField("item", kind)]))
+    windows = written(windows.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    size = windows.agg(F.count("*").alias("n"), F.sum(F.length("w") + 8 * F.size("items")).alias("bytes")).first()
+    n = max(1, -(-size.n // block_windows), -(-(size.bytes or 0) // BLOCK_BYTES))
     keyed = docs.select(*(c.alias(k) for c, k in zip(row_key("doc_id", "text"), ("k1", "k2"), strict=True)), "doc_id", "text")
-    found = [_find_block(keyed, items if n == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i), window, *kinds) for i in range(n)]
+    found = [_find_block(keyed, windows if n == 1 else windows.filter(F.pmod(F.xxhash64("w"), F.lit(n)) == i), kind) for i in range(n)]
     if n == 1:
         return found[0].drop("k1", "k2")
     one = reduce(DataFrame.unionByName, found).groupBy("k1", "k2", "doc_id", "n_words").agg(F.count("*").alias("rows"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    # rows that repeat were grouped as one; they are told apart again by their number
-    return one.select("doc_id", "n_words", _merged("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), (F.col("rows") / n).cast("int"))).alias("copy")).drop("copy")
 
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[{"s": s, "e": e} for s, e in merge([(x["s"], x["e"]) for x in own])] for own in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, b.column(2).type), b.column(3), b.column(4)], ["doc_id", "n_words", "spans", "items", "rows"])
 
-def _merged(spans: str) -> Column:
-    return F.expr(
-        f"""aggregate(sort_array({spans}), cast(array() as array<struct<s:int,e:int>>), (m, x) ->
-        case when size(m) > 0 and x.s <= element_at(m, -1).e
-        then concat(slice(m, 1, size(m) - 1), array(named_struct('s', element_at(m, -1).s, 'e', greatest(element_at(m, -1).e, x.e))))
-        else concat(m, array(x)) end)"""
-    )
+    merged = one.select("doc_id", "n_words", "spans", "items", "rows")
+    merged = merged.mapInArrow(put_together, merged.schema)
+    # rows that repeat were grouped as one; they are told apart again by their number
+    return merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), (F.col("rows") / n).cast("int"))).alias("copy")).drop("copy")
 
 
-def _find_block(keyed: DataFrame, items: DataFrame, window: int, doc_kind: str, item_kind: str) -> DataFrame:
+def _find_block(keyed: DataFrame, windows: DataFrame, item_kind: DataType) -> DataFrame:
     sc = keyed.sparkSession.sparkContext
-    block = Block([(r.item, r.t) for r in items.toLocalIterator()], window)
+    block = Block([(r.w, r["items"]) for r in windows.collect()])
     order = sorted(block.shingles)
     sent = sc.broadcast((block.sizes, {g: i for i, g in enumerate(order)}))
 
@@ -157,10 +170,10 @@ def _find_block(keyed: DataFrame, items: DataFrame, window: int, doc_kind: str,
                 spans.append([{"s": s, "e": e} for s, e in merge([(s, e) for s, e, _ in at])])
                 hit.append(sorted({i for w in {w for _, _, w in at} for i in owners[w]}))
             span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(hit, pa.list_(pa.string() if item_kind == "string" else pa.int64()))], ["k1", "k2", "doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(hit, pa.list_(to_arrow_type(item_kind)))], ["k1", "k2", "doc_id", "n_words", "spans", "items"])
 
-    kind = item_kind if item_kind == "string" else "bigint"
-    return keyed.mapInArrow(look, f"k1 long, k2 long, doc_id {doc_kind}, n_words long, spans array<struct<s:int,e:int>>, items array<{kind}>")
+    span_kind = ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())]))
+    return keyed.mapInArrow(look, with_fields(keyed.select("k1", "k2", "doc_id").schema, n_words=LongType(), spans=span_kind, items=ArrayType(item_kind)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
