@@ -13,8 +13,9 @@ sum of maxima of the counts.  A fingerprint is 16 bits of hash of each sample.
 How it runs:
 
 * Documents are dealt out once, into ranges of ids whose bounds are quantiles of
-  the ids, and each range also gets the rows of the next one's first id.  So the
-  next document of every document is in its own task, without a global order.
+  the ids, a task each, and each range also gets the rows of the next one's first
+  id.  So the next document of every document is in its own task, without a global
+  order.
 * All groupings after that are by (range, row, ...), which the one exchange
   already serves.
 * A word can only have the least ln a if c e^-r / w, a lower bound, is small.
@@ -29,8 +30,12 @@ repeated results; an empty table an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from docloom.llm.common import row_key, table
 
@@ -83,17 +88,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds, low, lacking = docs.agg(quantiles, F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     bounds = sorted({low, *(bounds or [])} - {None}) or [0]
     kind = docs.schema["doc_id"].dataType
-    held = F.array(*(F.lit(b).cast(kind) for b in bounds))
+    # two levels, so that an id is compared with some dozens of the bounds; one literal each
+    width = math.isqrt(len(bounds) - 1) + 1
+    levels = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    heads = F.from_json(F.lit(json.dumps([x[0] for x in levels], default=str)), ArrayType(kind))
+    groups = F.from_json(F.lit(json.dumps(levels, default=str)), ArrayType(ArrayType(kind)))
+    up_to = lambda x: F.size(F.filter(x, lambda b: b <= F.col("doc_id")))
+    level = F.greatest(up_to(heads), F.lit(1))
+    held = F.element_at(groups, level)
     # the ranges: below and from the first bound, from the second, and so on
-    bucket = F.greatest(F.size(F.filter(held, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0)) if len(bounds) > 1 else F.lit(0)
+    bucket = F.coalesce(F.greatest((level - 1) * width + up_to(held) - 1, F.lit(0)), F.lit(0))
     first = F.col("doc_id").isNull() if lacking else F.col("doc_id") == F.lit(bounds[0]).cast(kind)
     opens = F.array_contains(held, F.col("doc_id")) & (F.col("doc_id") != F.lit(bounds[0]).cast(kind))
-    bucket = F.coalesce(bucket, F.lit(0))
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guard"))
-    before = F.struct(F.when(first, F.lit(len(bounds) - 1)).otherwise(bucket - 1).alias("bucket"), F.lit(True).alias("guard"))
+    before = F.struct(F.when(first, F.lit(len(bounds) - 1)).otherwise(bucket - 1).cast("int").alias("bucket"), F.lit(True).alias("guard"))
     both = F.when(F.coalesce(first | opens, F.lit(False)), F.array(own, before)).otherwise(F.array(own))
     k1, k2 = row_key("doc_id", "text")
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"), F.explode(both).alias("x")).select("x.*", "doc_id", "text", "k1", "k2").repartition(parts, "bucket")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"), F.explode(both).alias("x")).select("x.*", "doc_id", "text", "k1", "k2").repartitionById(parts, F.col("bucket"))
     order = Window.partitionBy("bucket").orderBy("guard", "doc_id", "k1", "k2")
     return dealt.select("bucket", "guard", F.row_number().over(order).alias("row"), "doc_id", "text", F.lead("text").over(order).alias("next"))
 

@@ -1,10 +1,15 @@
 """Operators on texts against the libraries, brute force and edge rows."""
 
 import hashlib
+import math
 import random
+import re
+import struct
 import time
+from collections import Counter
 
 import pytest
+import xxhash
 from docloom.llm import bpe, decontamination, fingerprints, language_id, line_dedup, simhash, token_counts, toxicity
 
 from pyspark.sql import functions as F
@@ -83,13 +88,68 @@ def test_fingerprints(spark):
     assert by_id[3].near_next == 1.0  # null and empty
 
 
+def brute_signature(text):
+    """Consistent weighted sampling in plain Python, without skipping words out of reach."""
+    ws = Counter(w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", text) if w)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    unit = lambda bits, width: ((bits & (1 << width) - 1) + 1) / (1 << width)
+    out = []
+    for i in range(fingerprints.SAMPLES):
+        least = None
+        for w, n in ws.items():
+            h = struct.pack("<q", signed(xxhash.xxh64_intdigest(w.encode(), 42)))
+            x, y = (xxhash.xxh64_intdigest(struct.pack("<i", 2 * i + k), xxhash.xxh64_intdigest(h, 42)) for k in (0, 1))
+            r = -math.log(unit(x, 32) * unit(x >> 32, 32))
+            c = -math.log(unit(y, 20) * unit(y >> 20, 20))
+            t = math.floor(math.log(n) / r + unit(y >> 40, 24))
+            a = math.log(c) - r * (t - unit(y >> 40, 24) + 1)
+            least = a if least is None else min(least, a)
+        # the last bits of a logarithm may differ
+        near = [struct.pack("<d", least + k * math.ulp(least)) for k in range(-8, 9)] if ws else []
+        out.append({"%04x" % (xxhash.xxh64_intdigest(x, 42) & 0xFFFF) for x in near} or {"...."})
+    return out
+
+
+def test_fingerprints_against_plain_python(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["one", "two", "É", "x1", "long-word", "Z"]) + rnd.choice(["", "s"]) for _ in range(n)) for n in (1, 2, 5, 40, 200) for _ in range(4)]
+    rows = fingerprints.fingerprints(spark.createDataFrame(list(enumerate([*texts, ""])), "doc_id long, text string")).collect()
+    same = total = 0
+    cut = lambda x: [x[i : i + 4] for i in range(0, len(x), 4)]
+    own = {r.doc_id: cut(r.fingerprint) for r in rows}
+    for r in rows:
+        text = [*texts, ""][r.doc_id]
+        following = [*texts, ""][(r.doc_id + 1) % len(rows)]
+        k = len(text) // 4
+        for got, of in ((own[r.doc_id], text), (cut(r.edited_fingerprint), text[: len(text) - k] + following[:k])):
+            want = brute_signature(of)
+            same += sum(a in b for a, b in zip(got, want, strict=True))
+            total += len(want)
+        like = lambda a, b: sum(x == y != "...." for x, y in zip(a, b, strict=True)) / fingerprints.SAMPLES if a[0] != "...." or b[0] != "...." else 1.0
+        assert r.near_edited == like(own[r.doc_id], cut(r.edited_fingerprint))
+        assert r.near_next == like(own[r.doc_id], own[(r.doc_id + 1) % len(rows)])
+    assert same >= 0.99 * total  # a difference of logarithms near 0 may be further off
+
+
+@pytest.mark.parametrize("parts", [1, 7, 200])
+def test_every_fingerprint_meets_the_next_document(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        ids = random.Random(parts).sample(range(-500, 5000), 300)
+        rows = fingerprints.with_next(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")).filter("NOT guard").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(ids)
+    assert {r.doc_id: r.next for r in rows} == {a: f"text {b}" for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    assert len(rows) == len(ids)
+
+
 def test_fingerprint_likeness_is_generalised_jaccard(spark):
     a = " ".join(f"w{i}" for i in range(100) for _ in range(1 + i % 5))
     b = " ".join(f"w{i}" for i in range(30, 130) for _ in range(1 + i % 3))
     rows = spark.createDataFrame([(2 * i + j, f"{t} z{i}") for i in range(40) for j, t in enumerate((a, b))], "doc_id long, text string")
     got = [r.near_next for r in fingerprints.fingerprints(rows).collect() if r.doc_id % 2 == 0]
-    from collections import Counter
-
     x, y = Counter(a.split()), Counter(b.split())
     want = sum((x & y).values()) / sum((x | y).values())
     assert abs(sum(got) / len(got) - want) < 0.1
@@ -122,8 +182,6 @@ def test_simhash_components(spark):
 
 
 def test_simhash_fingerprint_bit_by_bit():
-    import xxhash
-
     ws = simhash.words("One two THREE four five four five four five six")
     hashes = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + 3]), 42) for i in range(len(ws) - 2)]
     want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
