@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docloom.functions import text as T
 
@@ -35,6 +36,9 @@ class Node:
     nth: int  # among siblings of its tag, from 1
     text: list[str] = field(default_factory=list)
     children: int = 0
+    index: int = 1  # among all siblings, from 1
+    start: int = 0  # of its source
+    stop: int = 0
 
 
 class _Tree(HTMLParser):
@@ -43,24 +47,46 @@ class _Tree(HTMLParser):
         self.nodes: list[Node] = []
         self.stack: list[Node] = []
         self.counts: dict[tuple[int, str], int] = {}
+        self.roots = 0
+        self.breaks: list[int] = [0]
+
+    def feed(self, data):
+        self.breaks += [m.end() for m in re.finditer("\n", data)]
+        super().feed(data)
+        self.close()
+        for n in self.stack:
+            n.stop = len(data)
+
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.breaks[line - 1] + column
 
     def handle_starttag(self, tag, attrs):
+        at = self.place()
         if tag in CLOSED_BY_OWN_KIND and self.stack and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self.stack.pop().stop = at
         parent = self.stack[-1] if self.stack else None
         up = parent.id if parent else -1
         nth = self.counts[up, tag] = self.counts.get((up, tag), 0) + 1
         node = Node(len(self.nodes), up, tag, {k: v or "" for k, v in attrs}, len(self.stack), nth)
         if parent:
             parent.children += 1
+            node.index = parent.children
+        else:
+            self.roots += 1
+            node.index = self.roots
+        node.start, node.stop = at, at + len(self.get_starttag_text() or "")
         self.nodes.append(node)
         if tag not in VOID:
             self.stack.append(node)
 
     def handle_endtag(self, tag):
         if any(n.tag == tag for n in self.stack[-64:]):
-            while self.stack.pop().tag != tag:
-                pass
+            at = self.place()
+            end = self.rawdata.find(">", at) + 1 if self.rawdata.startswith("</", at) else at
+            while (n := self.stack.pop()).tag != tag:
+                n.stop = at
+            n.stop = max(end, at)
 
     def handle_data(self, data):
         if self.stack:
@@ -70,7 +96,6 @@ class _Tree(HTMLParser):
 def parse(html: str | None) -> list[Node]:
     tree = _Tree()
     tree.feed(html or "")
-    tree.close()
     return tree.nodes
 
 
@@ -109,118 +134,325 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {NODE_FIELDS}")
 
 
-# CSS
-
-_SIMPLE = re.compile(r"(?P<tag>\*|[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[~^$*|]?=)[\"']?(?P<val>[^\"'\]]*)[\"']?)?\]|:nth-of-type\((?P<nth>\d+)\)|:first-of-type(?P<first>)")
-
-
-def compile_css(css: str) -> tuple[list[list[tuple[str, list[tuple]]]], str | None]:
+# selectors
+
+_SIMPLE = re.compile(
+    r"""(?P<tag>\*|[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*|!]?=)\s*(?P<quote>["']?)(?P<val>[^"'\]]*)(?P=quote)\s*)?\]"""
+    r"""|:(?P<pseudo>[a-z-]+)(?:\((?P<arg>"[^"]*"|'[^']*'|[^()]*(?:\([^()]*\)[^()]*)*)\))?"""
+)
+#: One selector step, then what combines it with the next.
+_PARTS = re.compile(r"""((?:"[^"]*"|'[^']*'|\[[^\]]*\]|\((?:"[^"]*"|'[^']*'|[^()"']|\([^()]*\))*\)|[^\s>+~,\[\]()"'])+)|(\s*[>+~,]\s*|\s+)""")
+#: Pseudo-classes that are about a browser's state, which no parsed page is in.
+NEVER = frozenset("hover active focus visited target link enabled disabled checked".split()) - {"link"}
+PLACES = {"first-child": ("index", 0, 1, False), "last-child": ("index", 0, 1, True), "first-of-type": ("nth", 0, 1, False), "last-of-type": ("nth", 0, 1, True)}
+COUNTED = {"nth-child": ("index", False), "nth-last-child": ("index", True), "nth-of-type": ("nth", False), "nth-last-of-type": ("nth", True)}
+
+
+def _every(arg: str) -> tuple[int, int]:
+    """an+b."""
+    arg = {"odd": "2n+1", "even": "2n"}.get(x := re.sub(r"\s+", "", arg.lower()), x)
+    if m := re.fullmatch(r"([+-]?\d*)n([+-]\d+)?", arg):
+        return int(m[1] + "1" if m[1] in ("", "+", "-") else m[1]), int(m[2] or 0)
+    return 0, int(arg)
+
+
+def _tests(token: str) -> list[tuple]:
+    tests, at = [], 0
+    while at < len(token):
+        m = _SIMPLE.match(token, at)
+        if not m:
+            raise ValueError(f"unsupported selector: {token}")
+        at = m.end()
+        if m["tag"]:
+            tests += [("tag", m["tag"].lower())] if m["tag"] != "*" else []
+        elif m["id"]:
+            tests.append(("attr", "id", "=", m["id"]))
+        elif m["cls"]:
+            tests.append(("attr", "class", "~=", m["cls"]))
+        elif m["attr"]:
+            tests.append(("attr", m["attr"].lower(), m["op"], m["val"]))
+        else:
+            name, arg = m["pseudo"], m["arg"]
+            if name in PLACES:
+                tests.append(("place", *PLACES[name]))
+            elif name in COUNTED:
+                of, last = COUNTED[name]
+                tests.append(("place", of, *_every(arg), last))
+            elif name in ("only-child", "only-of-type"):
+                of = "index" if name == "only-child" else "nth"
+                tests += [("place", of, 0, 1, False), ("place", of, 0, 1, True)]
+            elif name == "not":
+                tests.append(("not", _tests(arg.strip())))
+            elif name == "contains":
+                tests.append(("contains", arg.strip("\"'")))
+            elif name in ("empty", "root"):
+                tests.append((name,))
+            elif name == "link":
+                tests += [("tag", "a"), ("attr", "href", None, None)]
+            elif name in NEVER:
+                tests.append(("never",))
+            else:
+                raise ValueError(f"unsupported selector: {token}")
+    return tests
+
+
+Steps = list[tuple[str, list[tuple]]]
+
+
+def compile_css(css: str) -> tuple[list[Steps], str | None]:
     """Alternatives of (combinator, tests) steps, and what to take of a match: None, ``text`` or ``attr:name``."""
     take = None
     if m := re.search(r"::(text|attr\(([\w:-]+)\))\s*$", css):
         take, css = ("text" if m[1] == "text" else f"attr:{m[2]}"), css[: m.start()]
-    out = []
-    for part in css.split(","):
-        steps, combinator = [], " "
-        for token in re.findall(r">|[^\s>]+(?:\[[^\]]*\])?", part.strip()):
-            if token == ">":
-                combinator = ">"
+    out: list[Steps] = [[]]
+    combinator, at = " ", 0
+    css = css.strip()
+    while at < len(css):
+        m = _PARTS.match(css, at)
+        if not m:
+            raise ValueError(f"unsupported selector: {css}")
+        at = m.end()
+        if m[1]:
+            out[-1].append((combinator, _tests(m[1])))
+            combinator = " "
+        elif (c := m[2].strip()) == ",":
+            out.append([])
+            combinator = " "
+        else:
+            combinator = c or " "
+    if not all(out):
+        raise ValueError(f"empty selector: {css!r}")
+    return out, take
+
+
+_STEP = re.compile(r"(//?)(following-sibling::)?(text\(\)|\*|[a-zA-Z][\w-]*|@[\w:-]+)((?:\[(?:'[^']*'|\"[^\"]*\"|[^\]'\"])*\])*)")
+
+
+def compile_xpath(path: str) -> tuple[list[Steps], str | None]:
+    """The same for location paths of /, //, names, places, attribute tests, contains() and text()."""
+    out, take = [], None
+    for one in re.split(r"\s*\|\s*(?=\.?/)", path.strip()):
+        steps, at = [], 0
+        one = one.lstrip(".")
+        while at < len(one):
+            m = _STEP.match(one, at)
+            if not m:
+                raise ValueError(f"unsupported path: {path}")
+            at = m.end()
+            if m[3] == "text()" or m[3].startswith("@"):
+                if at < len(one):
+                    raise ValueError(f"unsupported path: {path}")
+                take = "text" if m[3] == "text()" else f"attr:{m[3][1:]}"
                 continue
-            tests, at = [], 0
-            while at < len(token):
-                m = _SIMPLE.match(token, at)
-                if not m:
-                    raise ValueError(f"unsupported selector: {token}")
-                at = m.end()
-                if m["tag"]:
-                    tests += [("tag", m["tag"].lower())] if m["tag"] != "*" else []
-                elif m["id"]:
-                    tests.append(("attr", "id", "=", m["id"]))
-                elif m["cls"]:
-                    tests.append(("attr", "class", "~=", m["cls"]))
-                elif m["attr"]:
-                    tests.append(("attr", m["attr"].lower(), m["op"], m["val"]))
-                else:
-                    tests.append(("nth", int(m["nth"] or 1)))
+            tests = [("tag", m[3].lower())] if m[3] != "*" else []
+            for p in re.findall(r"\[((?:'[^']*'|\"[^\"]*\"|[^\]'\"])*)\]", m[4]):
+                for x in re.split(r"\s+and\s+", p.strip()):
+                    if re.fullmatch(r"\d+", x):
+                        tests.append(("place", "nth" if m[3] != "*" else "index", 0, int(x), False))
+                    elif x == "last()":
+                        tests.append(("place", "nth" if m[3] != "*" else "index", 0, 1, True))
+                    elif a := re.fullmatch(r"@([\w:-]+)\s*(?:(!?=)\s*['\"](.*)['\"])?", x):
+                        tests.append(("attr", a[1].lower(), a[2], a[3]))
+                    elif a := re.fullmatch(r"(contains|starts-with)\(\s*@([\w:-]+)\s*,\s*['\"](.*)['\"]\s*\)", x):
+                        tests.append(("attr", a[2].lower(), "*=" if a[1] == "contains" else "^=", a[3]))
+                    elif a := re.fullmatch(r"contains\(\s*(?:text\(\)|\.)\s*,\s*['\"](.*)['\"]\s*\)", x):
+                        tests.append(("contains", a[1]))
+                    elif a := re.fullmatch(r"text\(\)\s*=\s*['\"](.*)['\"]", x):
+                        tests.append(("text", a[1]))
+                    else:
+                        raise ValueError(f"unsupported path: {path}")
+            combinator = "~" if m[2] else " " if m[1] == "//" else "^" if not steps else ">"
             steps.append((combinator, tests))
-            combinator = " "
         if not steps:
-            raise ValueError(f"empty selector: {css!r}")
+            raise ValueError(f"empty path: {path!r}")
         out.append(steps)
     return out, take
 
 
-def _meets(n: Node, tests: list[tuple]) -> bool:
-    for t in tests:
-        if t[0] == "tag":
-            ok = n.tag == t[1]
-        elif t[0] == "nth":
-            ok = n.nth == t[1]
-        else:
-            v, op, want = n.attrs.get(t[1]), t[2], t[3]
-            ok = v is not None and (
-                op is None or (op == "=" and v == want) or (op == "~=" and want in v.split()) or (op == "^=" and v.startswith(want)) or (op == "$=" and v.endswith(want)) or (op == "*=" and want in v) or (op == "|=" and (v == want or v.startswith(want + "-")))
-            )
-        if not ok:
-            return False
-    return True
+def compile_selector(selector: str) -> tuple[list[Steps], str | None]:
+    """A path if it begins with a slash or a dot and a slash, else CSS."""
+    return compile_xpath(selector) if re.match(r"\.?/", selector.strip()) else compile_css(selector)
+
 
+_CLASS = "@class and contains(concat(' ', normalize-space(@class), ' '), ' {} ')"
 
-def matches(tree: list[Node], css: str) -> list[Node]:
-    """Nodes that a selector matches, in page order; steps are matched from the left, each state carried down once."""
-    alternatives, _ = compile_css(css)
-    found = set()
+
+def _xpath_test(t: tuple) -> str:
+    if t[0] == "attr":
+        name, op, v = f"@{t[1]}", t[2], t[3]
+        if op == "~=":
+            return f"{name} and contains(concat(' ', normalize-space({name}), ' '), ' {v} ')"
+        return {
+            None: name, "=": f"{name} = '{v}'", "!=": f"not({name}) or {name} != '{v}'", "^=": f"{name} and starts-with({name}, '{v}')", "*=": f"{name} and contains({name}, '{v}')",
+            "$=": f"{name} and substring({name}, string-length({name})-{len(v or '') - 1}) = '{v}'", "|=": f"{name} and ({name} = '{v}' or starts-with({name}, '{v}-'))",
+        }[op]
+    if t[0] == "not":
+        return "not(" + " and ".join(_xpath_test(x) if x[0] != "tag" else f"self::{x[1]}" for x in t[1]) + ")"
+    if t[0] == "contains":
+        return f"contains(., '{t[1]}')"
+    if t[0] == "place":
+        count = "count({}::{})".format("following-sibling" if t[4] else "preceding-sibling", "*" if t[1] == "index" else "{tag}")
+        return f"{count} = {t[3] - 1}" if not t[2] else f"({count} - {t[3] - 1}) mod {t[2]} = 0"
+    return {"empty": "not(*) and not(string-length())", "root": "not(parent::*)", "never": "0"}[t[0]]
+
+
+def to_xpath(css: str) -> str:
+    """A CSS selector as a location path, with ``::text`` as text() and ``::attr(x)`` as @x."""
+    alternatives, take = compile_css(css)
+    axis = {" ": "/descendant-or-self::*/", ">": "/", "~": "/following-sibling::", "+": "/following-sibling::*[position() = 1]/self::"}
+    out = []
     for steps in alternatives:
-        # reached[n]: steps matched by n itself; above[n]: by n or an ancestor
-        reached: list[int] = []
-        above: list[int] = []
+        path = ""
+        for combinator, tests in steps:
+            tag = next((t[1] for t in tests if t[0] == "tag"), "*")
+            path += (axis[combinator] if path else "descendant-or-self::") + tag
+            own = [t for t in tests if t[0] != "tag"]
+            if own:
+                held = [_xpath_test(t).replace("{tag}", tag) for t in own]
+                path += "[" + (held[0] if len(held) == 1 else " and ".join(f"({x})" for x in held)) + "]"
+        out.append(path + ("/text()" if take == "text" else f"/@{take[5:]}" if take else ""))
+    return " | ".join(out)
+
+
+def xpaths(rows: DataFrame, css: str, out: str = "xpath") -> DataFrame:
+    """Add the location path of a column of CSS selectors; null where one is not understood."""
+
+    def path(x: str | None) -> str | None:
+        try:
+            return x and to_xpath(x)
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array(map(path, b.column(b.schema.get_field_index(css)).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+
+
+class _Page:
+    """A parsed page and what tests ask of it."""
+
+    def __init__(self, tree: list[Node]):
+        self.tree = tree
+        self.of_type: dict[tuple[int, str], int] = {}
+        self.of_all: dict[int, int] = {}
         for n in tree:
-            up_own, up_all = (reached[n.parent], above[n.parent]) if n.parent >= 0 else (0, 0)
-            own = 0
-            for i, (combinator, tests) in enumerate(steps):
-                before = i == 0 or (up_own if combinator == ">" else up_all) >> (i - 1) & 1
-                if before and _meets(n, tests):
-                    own |= 1 << i
-            reached.append(own)
-            above.append(up_all | own)
-            if own >> (len(steps) - 1) & 1:
-                found.add(n.id)
-    return [n for n in tree if n.id in found]
-
-
-def select(pages: DataFrame, css: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
+            self.of_type[n.parent, n.tag] = n.nth
+            self.of_all[n.parent] = n.index
+        self._whole: list[str] | None = None
+
+    @property
+    def whole(self) -> list[str]:
+        if self._whole is None:
+            self._whole = contents(self.tree)
+        return self._whole
+
+    def meets(self, n: Node, tests: list[tuple]) -> bool:
+        return all(self._meets(n, t) for t in tests)
+
+    def _meets(self, n: Node, t: tuple) -> bool:
+        if t[0] == "tag":
+            return n.tag == t[1]
+        if t[0] == "attr":
+            v, op, want = n.attrs.get(t[1]), t[2], t[3]
+            if op == "!=":
+                return v != want
+            return v is not None and (
+                op is None or (op == "=" and v == want) or (op == "~=" and want in v.split()) or (op == "^=" and v.startswith(want)) or (op == "$=" and v.endswith(want)) or (op == "*=" and want in v) or (op == "|=" and (v == want or v.startswith(want + "-")))
+            )
+        if t[0] == "place":
+            _, of, a, b, last = t
+            place = n.index if of == "index" else n.nth
+            if last:
+                place = (self.of_all[n.parent] if of == "index" else self.of_type[n.parent, n.tag]) - place + 1
+            return place == b if not a else (place - b) % a == 0 and (place - b) // a >= 0
+        if t[0] == "not":
+            return not self.meets(n, t[1])
+        if t[0] == "contains":
+            return t[1] in self.whole[n.id]
+        if t[0] == "text":
+            return "".join(n.text) == t[1]
+        if t[0] == "empty":
+            return not n.children and not n.text
+        return t[0] == "root" and n.parent < 0
+
+    def matches(self, alternatives: list[Steps]) -> list[Node]:
+        """Nodes in page order; steps are matched from the left, each state carried down and on once."""
+        found = set()
+        for steps in alternatives:
+            # reached: steps matched by a node itself; above: by it or an ancestor; of a parent's children so far: the last, and any
+            reached: list[int] = []
+            above: list[int] = []
+            previous: dict[int, int] = {}
+            earlier: dict[int, int] = {}
+            for n in self.tree:
+                up_own, up_all = (reached[n.parent], above[n.parent]) if n.parent >= 0 else (0, 0)
+                before = {">": up_own, " ": up_all, "+": previous.get(n.parent, 0), "~": earlier.get(n.parent, 0)}
+                own = 0
+                for i, (combinator, tests) in enumerate(steps):
+                    open_ = (combinator != "^" or n.parent < 0) if i == 0 else before[combinator] >> (i - 1) & 1
+                    if open_ and self.meets(n, tests):
+                        own |= 1 << i
+                reached.append(own)
+                above.append(up_all | own)
+                previous[n.parent] = own
+                earlier[n.parent] = earlier.get(n.parent, 0) | own
+                if own >> (len(steps) - 1) & 1:
+                    found.add(n.id)
+        return [n for n in self.tree if n.id in found]
+
+
+def matches(tree: list[Node], selector: str) -> list[Node]:
+    """Nodes that a CSS selector or a path matches, in page order."""
+    return _Page(tree).matches(compile_selector(selector)[0])
+
+
+def _value(n: Node, take: str | None, whole: list[str]) -> str | None:
+    if take == "text":
+        return "".join(n.text)
+    if take:
+        return n.attrs.get(take[5:])
+    if n.tag == "a" and "href" in n.attrs:
+        return n.attrs["href"]
+    if n.tag == "img" and "src" in n.attrs:
+        return n.attrs["src"]
+    return whole[n.id].strip()
+
+
+def select(pages: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, name, pos, value): all values of each named selector, each page parsed once.
 
-    ``::text`` and ``::attr(x)`` take own text or an attribute; otherwise links
-    give href, images src, and others their whole text, stripped.
+    A selector is CSS, a path (``/`` or ``//`` first), or a regular expression after
+    ``re:``, whose first group or whole match is the value.  ``::text``, ``text()``,
+    ``::attr(x)`` and ``@x`` take own text or an attribute; otherwise links give
+    href, images src, and others their whole text, stripped.
     """
-    plans = {name: (c, compile_css(c)[1]) for name, c in css.items()}
-
-    def value(n: Node, take: str | None, whole: list[str]) -> str | None:
-        if take == "text":
-            return "".join(n.text)
-        if take:
-            return n.attrs.get(take[5:])
-        if n.tag == "a" and "href" in n.attrs:
-            return n.attrs["href"]
-        if n.tag == "img" and "src" in n.attrs:
-            return n.attrs["src"]
-        return whole[n.id].strip()
+    regexes = {name: re.compile(c[3:]) for name, c in selectors.items() if c.startswith("re:")}
+    plans = {name: compile_selector(c) for name, c in selectors.items() if name not in regexes}
+
+    def values(html_: str | None) -> Iterator[tuple[str, int, str | None]]:
+        if plans:
+            page = _Page(parse(html_))
+        for name in selectors:
+            if name in regexes:
+                for i, m in enumerate(regexes[name].finditer(html_ or "")):
+                    yield name, i, m[1] if m.re.groups else m[0]
+            else:
+                alternatives, take = plans[name]
+                for i, n in enumerate(page.matches(alternatives)):
+                    yield name, i, _value(n, take, page.whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for page, html_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tree = parse(html_)
-                whole = contents(tree)
-                for name, (c, take) in plans.items():
-                    for i, n in enumerate(matches(tree, c)):
-                        for col, v in zip(out, (page, name, i, value(n, take, whole)), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], [b.schema.names[0], "name", "pos", "value"])
+            rows = [(page, *v) for page, html_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for v in values(html_)]
+            out = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = (b.schema.field(0).type, pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(out, kinds, strict=True)], [b.schema.names[0], "name", "pos", "value"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, name string, pos int, value string")
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, name string, pos int, value string")
 
 
 def extract(pages: DataFrame, schema: dict[str, str], key: str = "page_id") -> DataFrame:
@@ -239,21 +471,101 @@ def heal(pages: DataFrame, schema: dict[str, list[str]], key: str = "page_id") -
     return found.groupBy(key, parts[0].alias("name")).agg(best).select(key, "name", "x.value", "x.used")
 
 
-def css_paths(tree: DataFrame, key: str = "page_id", full: bool = False) -> DataFrame:
-    """(key, node_id, path): a path of tags to each node; short ones start at an id.
+def paths(tree: list[Node], full: bool = False) -> list[tuple[str, str]]:
+    """A CSS and an XPath path to each node, from below html or, unless ``full``, from the nearest id."""
+    css: list[str] = []
+    xpath: list[str] = []
+    for n in tree:
+        own = n.attrs.get("id")
+        if n.parent < 0:
+            css.append("")
+            xpath.append("/")
+            continue
+        c = f"#{own}" if own else n.tag + (f":nth-of-type({n.nth})" if n.nth > 1 else "")
+        x = f"[@id='{own}']" if own else n.tag + (f"[{n.nth}]" if n.nth > 1 else "")
+        if own and not full:
+            css.append(c)
+            xpath.append("//*" + x)
+        else:
+            css.append(f"{css[n.parent]} > {c}" if css[n.parent] else c)
+            xpath.append(f"{xpath[n.parent]}/{x}")
+    return list(zip(css, (x if x != "/" else "//" for x in xpath), strict=True))
+
+
+def unstable(name: str) -> bool:
+    return re.match("(?:active|selected|hover|focus)", name) is not None
+
+
+def stable_css(page: _Page, n: Node) -> str:
+    """The shortest path from the node upwards that is its own; else its place among its like."""
+    own = n.attrs.get("id")
+    if own and re.fullmatch(r"[\w-]+", own) and len(page.matches(compile_css(f"#{own}")[0])) == 1:
+        return f"#{own}"
+    parts: list[str] = []
+    at: Node | None = n
+    while at is not None:
+        kept = [c for c in at.attrs.get("class", "").split() if not unstable(c)][:2]
+        part = at.tag + "".join(f".{c}" for c in kept)
+        data = next(((k, v) for k, v in at.attrs.items() if k.startswith("data-") and not re.search(r"\d", v)), None)
+        parts.insert(0, part + (f'[{data[0]}="{data[1]}"]' if data else ""))
+        found = page.matches(compile_css(" > ".join(parts))[0])
+        if len(found) == 1 and found[0] is n:
+            return " > ".join(parts)
+        at = page.tree[at.parent] if at.parent >= 0 else None
+    return f"{n.tag}:nth-of-type({n.nth})" if page.of_type[n.parent, n.tag] > 1 else n.tag
+
+
+def stable_xpath(page: _Page, n: Node) -> str:
+    """Tags from the root, with places among their like, ids and first classes."""
+    parts: list[str] = []
+    at: Node | None = n
+    while at is not None:
+        part = at.tag + (f"[{at.nth}]" if page.of_type[at.parent, at.tag] > 1 else "")
+        if at.attrs.get("id"):
+            part += f"[@id='{at.attrs['id']}']"
+        elif classes := at.attrs.get("class", "").split():
+            part += f"[contains(@class, '{classes[0]}')]"
+        parts.insert(0, part)
+        at = page.tree[at.parent] if at.parent >= 0 else None
+    return "/" + "/".join(parts)
+
+
+def stable_regex(html: str, n: Node, around: int = 20) -> str:
+    """The node's source as a group, between what stands before and after it."""
+    before, after = html[max(0, n.start - around) : n.start], html[n.stop : n.stop + around]
+    return (re.escape(before) + "\\s*" if before else "") + f"({re.escape(html[n.start : n.stop])})" + ("\\s*" + re.escape(after) if after else "")
+
+
+def selector_forms(pages: DataFrame, wanted: str, full: bool = False, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, node_id, css, xpath, stable_css, stable_xpath, regex) of every node that ``wanted`` matches."""
+    alternatives, _ = compile_selector(wanted)
 
-    One join to the parents a step would shuffle the nodes again and again, so a
-    page's nodes are folded as one array, in page order.
-    """
-    rows = tree.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node_id", "parent_id", "tag", "nth", F.col("attrs")["id"].alias("id")))).alias("ns"))
-    own = lambda n: F.concat(n["tag"], F.when(n["nth"] > 1, F.concat(F.lit(":nth-of-type("), n["nth"].cast("string"), F.lit(")"))).otherwise(""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                page = _Page(parse(h))
+                at = paths(page.tree, full)
+                rows += [(k, n.id, *at[n.id], stable_css(page, n), stable_xpath(page, n), stable_regex(h or "", n)) for n in page.matches(alternatives)]
+            out = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (b.schema.field(0).type, pa.int32(), *[pa.string()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(out, kinds, strict=True)], [b.schema.names[0], "node_id", "css", "xpath", "stable_css", "stable_xpath", "regex"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, node_id int, css string, xpath string, stable_css string, stable_xpath string, regex string")
 
-    def step(done: Column, n: Column) -> Column:
-        up = F.when(n["parent_id"] >= 0, F.get(done, n["parent_id"]))
-        joined = F.when(up.isNull(), own(n)).otherwise(F.concat_ws(" > ", up, own(n)))
-        return F.array_append(done, joined if full else F.when(n["id"].isNotNull(), F.concat(F.lit("#"), n["id"])).otherwise(joined))
 
-    return rows.select(key, F.posexplode(F.aggregate("ns", F.array().cast("array<string>"), step)).alias("node_id", "path"))
+def selector_paths(pages: DataFrame, full: bool = False, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, node_id, css, xpath): paths to every node, made in the pass that parses the page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, h in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                at = paths(parse(h), full)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(at), b.schema.field(0).type), pa.array(range(len(at)), pa.int32()), pa.array([c for c, _ in at], pa.string()), pa.array([x for _, x in at], pa.string())], [b.schema.names[0], "node_id", "css", "xpath"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, node_id int, css string, xpath string")
 
 
 def signatures(tree: DataFrame, key: str = "page_id") -> DataFrame:
@@ -285,26 +597,59 @@ def tag_set(html: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower))
 
 
+#: Tags and attributes whose shares are part of a structural vector.
+VECTOR_TAGS = ("div", "span", "a", "p", "img", "ul", "li", "table", "tr", "td")
+VECTOR_ATTRS = ("class", "id", "href", "src", "style", "data-", "aria-")
+
+
 def structure(tree: DataFrame, key: str = "page_id") -> DataFrame:
-    """Depth and tag statistics of each page, and the hash of its first hundred tag:children pairs."""
+    """(key, n, depth statistics, vector, dom_hash) of each page.
+
+    The vector holds the shares of tags below the root, mean, deviation and maximum
+    of the depth, and the shares of attribute names that contain a known one, and
+    has length one.  The hash is of the first hundred tag:children pairs.
+    """
     head = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("node_id", "tag", "children"))), 1, 100), lambda x: F.concat(x["tag"], F.lit(":"), x["children"].cast("string"))), "|")
-    return tree.groupBy(key).agg(F.count("*").alias("n"), F.avg("depth").alias("depth_mean"), F.stddev_pop("depth").alias("depth_std"), F.max("depth").alias("depth_max"), F.count_distinct("tag").alias("tags"), F.md5(head).alias("dom_hash"))
+    below = F.col("parent_id") >= 0
+    names = F.when(below, F.map_keys("attrs")).otherwise(F.array().cast("array<string>"))
+    tags = [F.count_if(below & (F.col("tag") == t)).alias(f"t{i}") for i, t in enumerate(VECTOR_TAGS)]
+    holds = lambda part: F.size(F.filter(names, lambda n: n.contains(part)))
+    attrs = [F.sum(holds(a)).alias(f"a{i}") for i, a in enumerate(VECTOR_ATTRS)]
+    g = tree.groupBy(key).agg(F.count("*").alias("n"), F.avg("depth").alias("depth_mean"), F.stddev_pop("depth").alias("depth_std"), F.max("depth").alias("depth_max"), F.count_if(below).alias("below"), F.sum(F.size(names)).alias("named"), F.md5(head).alias("dom_hash"), *tags, *attrs)
+    share = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1)).cast("double")
+    raw = F.array(*(share(f"t{i}", "below") for i in range(len(tags))), "depth_mean", "depth_std", F.col("depth_max").cast("double"), *(share(f"a{i}", "named") for i in range(len(attrs))))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda t, x: t + x * x))
+    scaled = g.withColumn("raw", raw).withColumn("norm", F.nullif(norm, F.lit(0.0)))
+    return scaled.select(key, "n", "depth_mean", "depth_std", "depth_max", "dom_hash", F.expr("transform(raw, x -> coalesce(x / norm, 0D))").alias("vector"))
+
+
+def element_dicts(tree: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, node_id, tag, attributes, text, parent_name, siblings, children): each element with its surroundings; empty attributes are left out."""
+    kids = tree.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("node_id").alias("id"), "tag"))).alias("kids"))
+    tags = lambda c: F.transform(c, lambda x: x["tag"])
+    around = kids.select(key, F.col("node_id").alias("parent_id"), F.col("kids").alias("like"))
+    parents = tree.select(key, F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_name"))
+    j = tree.join(kids, [key, "node_id"], "left").join(around, [key, "parent_id"], "left").join(parents, [key, "parent_id"], "left")
+    siblings = F.when(F.col("parent_id") >= 0, tags(F.filter("like", lambda x: x["id"] != F.col("node_id"))))
+    full = F.map_filter("attrs", lambda _, v: F.trim(v) != "")
+    return j.select(key, "node_id", "tag", F.transform_values(full, lambda _, v: F.trim(v)).alias("attributes"), F.trim("text").alias("text"), "parent_name", F.coalesce(siblings, F.array().cast("array<string>")).alias("siblings"), F.coalesce(tags("kids"), F.array().cast("array<string>")).alias("children"))
 
 
 # selectors as strings
 
 
 def specificity(css: Column) -> Column:
+    """Ids count 100, classes, bare attributes and pseudo-classes 10, words 1."""
     n = lambda p: F.regexp_count(css, F.lit(p))
-    return n("#") * 100 + n(r"\.") * 10 + n(r"\[") * 10 + n(":") * 10 + n(r"\b[a-zA-Z]+\b")
+    return n("#") * 100 + n(r"\.") * 10 + n(r"\[\w+\]") * 10 + n(r":\w+") * 10 + n(r"\b\w+\b")
 
 
-def stability(css: Column) -> Column:
-    """Shallow, few classes, no places, semantic tags: the higher the more stable."""
-    depth = F.size(F.split(css, r"[\s>]+"))
-    s = F.lit(0.5) + F.when(depth <= 3, 0.2).otherwise(0.0) + F.when(F.regexp_count(css, F.lit(r"\.")) <= 2, 0.1).otherwise(0.0)
-    s = s - F.when(css.contains("nth-"), 0.2).otherwise(0.0) + F.when(css.rlike("(^|[\\s>])(" + "|".join(SEMANTIC) + ")([\\s>.#:\\[]|$)"), 0.2).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
+def stability(css: Column, alike: Column | None = None) -> Column:
+    """1, less for long paths, many classes and places, more for semantic tags and where all matches look ``alike``; at most 1."""
+    times = lambda test, factor: F.when(test, factor).otherwise(1.0)
+    n = lambda p: F.regexp_count(css, F.lit(p))
+    s = times(n(" > ") > 2, 0.7) * times(n(r"\.") > 3, 0.8) * times(css.contains(":nth-child"), 0.6) * times(css.rlike("article|section|nav|header|footer|main"), 1.2)
+    return F.least(F.lit(1.0), s if alike is None else s * times(alike, 1.1))
 
 
 def candidates(tree: DataFrame, key: str = "page_id") -> DataFrame:
@@ -320,10 +665,12 @@ def candidates(tree: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def loosened(css: Column) -> Column:
-    """The selector without its last part, and without its classes, as repairs to try in order."""
-    parts = F.split(css, r"\s+(?:>\s+)?")
-    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, F.size(parts) - i), " "))
-    return F.array_distinct(F.filter(F.concat(shorter, F.array(F.regexp_replace(css, r"\.[\w-]+", ""))), lambda s: (s != "") & (s != css)))
+    """Repairs to try in order, with their confidence: without the last parts (0.6), then without one of the first two classes (0.5)."""
+    parts = F.split(css, " > ")
+    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(parts, 1, F.size(parts) - i), " > ").alias("css"), F.lit(0.6).alias("confidence")))
+    first_two = F.slice(F.regexp_extract_all(css, F.lit(r"(\.[a-zA-Z0-9_-]+)"), F.lit(1)), 1, 2)
+    bare = F.transform(first_two, lambda c: F.struct(F.trim(F.regexp_replace(F.replace(css, c, F.lit("")), r"\s+", " ")).alias("css"), F.lit(0.5).alias("confidence")))
+    return F.filter(F.concat(shorter, bare), lambda x: (x["css"] != "") & (x["css"] != css))
 
 
 # conversion

@@ -10,7 +10,7 @@ import difflib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -73,11 +73,16 @@ def repair(old: DataFrame, new: DataFrame, key: str = "page_id", least: float =
     return best.select(key, "old_id", (-F.col("x.neg")).alias("new_id"), F.col("x.s").alias("similarity"))
 
 
-def find_similar(tree: DataFrame, text: str, key: str = "page_id") -> DataFrame:
-    """Nodes of the same depth, tag and attribute names as the first node with the text."""
-    first = tree.filter(F.trim("text") == text).groupBy(key).agg(F.min_by(F.struct("depth", "tag", F.array_sort(F.map_keys("attrs")).alias("names")), "node_id").alias("x"), F.min("node_id").alias("found"))
-    j = tree.join(first, key)
-    return j.filter((F.col("depth") == F.col("x.depth")) & (F.col("tag") == F.col("x.tag")) & (F.array_sort(F.map_keys("attrs")) == F.col("x.names")) & (F.col("node_id") != F.col("found"))).select(key, "node_id", "found")
+def find_similar(tree: DataFrame, first: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, node_id, found): nodes of the same depth, tag and attribute names as the given nodes (key, node_id)."""
+    names = F.array_sort(F.map_keys("attrs"))
+    like = tree.join(first.select(key, "node_id"), [key, "node_id"]).select(key, "depth", "tag", names.alias("names"), F.col("node_id").alias("found"))
+    return tree.withColumn("names", names).join(like, [key, "depth", "tag", "names"]).filter("node_id <> found").select(key, "node_id", "found")
+
+
+def with_text(tree: DataFrame, text: Column, key: str = "page_id") -> DataFrame:
+    """(key, node_id): the first node of each page whose own text is ``text``."""
+    return tree.filter(F.trim("text") == text).groupBy(key).agg(F.min("node_id").alias("node_id"))
 
 
 def describe_score(tree: DataFrame, description: str) -> DataFrame:
@@ -152,3 +157,60 @@ def nearest_example(queries: DataFrame, examples: DataFrame, key: str) -> DataFr
     q, e = queries.select(F.col(key).alias("query"), "token", F.col("weight").alias("qw")), examples.select(F.col(key).alias("example"), "token", F.col("weight").alias("ew"))
     dots = q.join(e, "token").filter("query <> example").groupBy("query", "example").agg(F.sum(F.col("qw") * F.col("ew")).alias("s"))
     return dots.groupBy("query").agg(F.max(F.struct("s", (-F.col("example")).alias("neg"))).alias("x")).select("query", (-F.col("x.neg")).alias("example"), F.col("x.s").alias("similarity"))
+
+
+
+# selectors of a node table
+
+
+def context_selectors(tree: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, node_id, selector): of each node, by its parent and the parent's class, and by the sibling before it."""
+    parent = tree.select(key, F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"), F.col("attrs")["class"].alias("pclass"))
+    w = Window.partitionBy(key, "parent_id").orderBy("node_id")
+    j = tree.withColumn("before", F.lag("tag").over(w)).join(parent, [key, "parent_id"])
+    by_parent = F.concat("ptag", F.coalesce(F.concat(F.lit("."), "pclass"), F.lit("")), F.lit(" > "), "tag")
+    made = F.array_compact(F.array(by_parent, F.when(F.col("before").isNotNull(), F.concat("before", F.lit(" + "), "tag"))))
+    return j.select(key, "node_id", F.explode(made).alias("selector"))
+
+
+def patterns(tree: DataFrame, least: int = 3, key: str = "page_id") -> DataFrame:
+    """(key, parent_id, selector, n): tags that repeat under one parent."""
+    groups = tree.groupBy(key, "parent_id", "tag").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    parents = tree.select(key, F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
+    return groups.join(parents, [key, "parent_id"]).select(key, "parent_id", F.concat("ptag", F.lit(" > "), "tag").alias("selector"), "n")
+
+
+def scored_selectors(pages: DataFrame, selectors: dict[str, str], key: str = "page_id") -> DataFrame:
+    """(name, css, coverage, precision, stability, score): shares of pages with a match, of these with exactly one, and their product; selectors without a match are left out."""
+    found = H.select(pages, selectors, key).groupBy("name", key).agg(F.count("*").alias("n"))
+    total = pages.agg(F.count("*").alias("total"))
+    css = F.create_map(*(F.lit(x) for kv in selectors.items() for x in kv))[F.col("name")]
+    g = found.groupBy("name").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 1).alias("single")).crossJoin(F.broadcast(total))
+    made = g.select("name", css.alias("css"), (F.col("pages") / F.col("total")).alias("coverage"), (F.col("single") / F.col("pages")).alias("precision"), H.stability(css).alias("stability"))
+    return made.withColumn("score", F.col("coverage") * F.col("precision") * F.col("stability"))
+
+
+def counted_candidates(tree: DataFrame, key: str = "page_id") -> DataFrame:
+    """(tag, selector, confidence, n): candidates of all pages with how often they were made."""
+    c = H.candidates(tree, key).join(tree.select(key, "node_id", "tag"), [key, "node_id"])
+    return c.groupBy("tag", "selector", "confidence").agg(F.count("*").alias("n"))
+
+
+def fallbacks(counted: DataFrame, k: int) -> DataFrame:
+    """(tag, fallbacks): each tag's ``k`` best candidates, joined by bars."""
+    w = Window.partitionBy("tag").orderBy(F.desc("confidence"), F.desc("n"), "selector")
+    best = counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return best.groupBy("tag").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "selector"))), lambda x: x["selector"]), " | ").alias("fallbacks"))
+
+
+def reranked(candidates: DataFrame) -> DataFrame:
+    """Scores of repairs (score, hit): a fifth more where they match, at most 1; three tenths of it elsewhere."""
+    return candidates.withColumn("score", F.when(F.col("hit"), F.least(F.lit(1.0), F.col("score") * 1.2)).otherwise(F.col("score") * 0.3))
+
+
+def selectors_for(pages: DataFrame, description: str, k: int, key: str = "page_id") -> DataFrame:
+    """(key, place, node_id, score, css): selectors of the ``k`` elements of a page that a description fits best."""
+    scored = describe_score(H.nodes(pages, key), description)
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "node_id")
+    best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(key, "node_id", "place", "score")
+    return best.join(H.selector_paths(pages, key=key), [key, "node_id"]).select(key, "place", "node_id", "score", "css")

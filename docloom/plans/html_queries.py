@@ -22,10 +22,6 @@ def sel4_first(spark, sf_dir):
     return H.select(_pages(spark, sf_dir), {"h1": "article > h1::text"}).filter("pos = 0").select("page_id", F.col("value").alias("title"))
 
 
-def sel8_paths(spark, sf_dir):
-    return H.css_paths(H.nodes(_pages(spark, sf_dir))).groupBy("page_id").agg(F.count("*").alias("n"), F.max(F.length("path")).alias("longest"))
-
-
 def sel10_attributes(spark, sf_dir):
     n = H.nodes(_pages(spark, sf_dir))
     return n.select(F.size(H.attribute_search(F.col("attrs"), "ad")).alias("hits"), F.to_json(H.attribute_search(F.col("attrs"), "ad")).alias("json")).filter("hits > 0").groupBy("json").agg(F.count("*").alias("n"))
@@ -55,34 +51,16 @@ def gen1_candidates(spark, sf_dir):
     return H.candidates(H.nodes(_pages(spark, sf_dir)).filter("tag <> 'a'")).groupBy("selector", "confidence").agg(F.count("*").alias("n"))
 
 
-def gen5_scores(spark, sf_dir):
-    s = spark.createDataFrame([("div.ad > p:nth-of-type(2)",), ("article h1",), ("#main .a.b.c span[data-x]",), ("ul li a b i",)], "css string")
-    return s.select("css", H.specificity(F.col("css")).cast("long").alias("specificity"), F.round(H.stability(F.col("css")), 6).alias("stability"), F.array_join(H.loosened(F.col("css")), ";").alias("loosened"))
-
-
 def rep3_dom_similarity(spark, sf_dir):
     p = _pages(spark, sf_dir).select("page_id", H.tag_set(F.col("html")).alias("tags"))
     q = p.select((F.col("page_id") - 1).alias("page_id"), F.col("tags").alias("other"))
     return p.join(q, "page_id").select("page_id", F.round(H.jaccard(F.col("tags"), F.col("other")), 6).alias("similarity"))
 
 
-def rep4_signatures(spark, sf_dir):
-    s = H.signatures(H.nodes(_pages(spark, sf_dir)))
-    return H.by_signature(s, s).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("old_id") == F.col("new_id")).alias("own"))
-
-
-def rep8_structure(spark, sf_dir):
-    return H.structure(H.nodes(_pages(spark, sf_dir))).select("page_id", "n", F.round("depth_mean", 6).alias("depth_mean"), F.round("depth_std", 6).alias("depth_std"), "depth_max", "tags", "dom_hash")
-
-
 def conv1_text(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.md5(H.to_text(F.col("html"))).alias("text_md5"))
 
 
-def conv2_markdown(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", H.to_markdown(F.col("html")).alias("markdown"))
-
-
 def conv3_body(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.md5(H.strip_noise(H.body(F.col("html")))).alias("body_md5"))
 
@@ -97,19 +75,14 @@ _TAGS = "list_distinct(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-
 SQL: dict[str, str | None] = {
     "sel3_css": "SELECT page_id, 'p' AS name, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n FROM pages UNION ALL SELECT page_id, 'link', CAST(len(regexp_extract_all(html, '<li><a ')) AS BIGINT) FROM pages",
     "sel4_first": f"SELECT page_id, {_UNESC.format(x=chr(114) + 'egexp_extract(html, ' + chr(39) + '(?s)<h1>(.*?)</h1>' + chr(39) + ', 1)')} AS title FROM pages",
-    "sel8_paths": None,
     "sel10_attributes": "SELECT '{\"class\":\"ad\"}' AS json, CAST(sum(len(regexp_extract_all(html, 'class=\"ad\"'))) AS BIGINT) AS n FROM pages",
     "sel15_links": "SELECT page_id, count(*) AS n, min(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h) AS first FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=[\"''](.*?)[\"'']', 1)) AS h FROM pages) GROUP BY page_id",
     "ext1_extract": "SELECT page_id, regexp_extract(html, '<li><a href=\"([^\"]*)\"', 1) AS first_link, CAST(NULL AS VARCHAR) AS missing, round((1 + CASE WHEN trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' THEN 1 ELSE 0 END) / 3, 6) AS confidence FROM pages",
     "ext7_heal": "SELECT 'title' AS name, 1 AS used, count(*) AS n FROM pages WHERE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' UNION ALL SELECT 'ad', 0, count(*) FROM pages WHERE regexp_matches(html, '<div class=\"ad\">[^<]')",
     "ext3_convert": f"SELECT id, CAST(replace('1,' || (id % 1000), ',', '') AS BIGINT) AS i, try_cast(name AS DOUBLE) AS f, id % 2 = 0 AS b, CASE WHEN scraped_date LIKE '%/%' THEN '2024-02-01' ELSE scraped_date END AS d, upper(brand) || ' X&Y' AS t FROM ({base.RECORDS})",
     "gen1_candidates": "SELECT s AS selector, c AS confidence, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['div.ad', 'meta[charset=\"utf-8\"]', 'html[lang=\"' || regexp_extract(html, 'lang=\"([a-z]+)\"', 1) || '\"]']) AS s, unnest([0.6::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE]) AS c FROM pages) GROUP BY ALL",
-    "gen5_scores": None,
     "rep3_dom_similarity": f"WITH t AS (SELECT page_id, {_TAGS} AS tags FROM pages) SELECT a.page_id, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS similarity FROM t a JOIN t b ON b.page_id = a.page_id + 1",
-    "rep4_signatures": None,
-    "rep8_structure": None,
     "conv1_text": f"SELECT page_id, md5(trim({_TEXT}, chr(10) || chr(13) || chr(9) || ' ')) AS text_md5 FROM pages",
-    "conv2_markdown": None,
     "conv3_body": f"SELECT page_id, md5({_NOISE.format(x=chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<body[^>]*>(.*?)(?:</body>|$)' + chr(39) + ', 1)')}) AS body_md5 FROM pages",
 }
 QUERIES = {name: globals()[name] for name in SQL}

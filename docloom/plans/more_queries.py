@@ -17,44 +17,11 @@ def _pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def sel7_unique(spark, sf_dir):
-    found = H.select(_pages(spark, sf_dir), {"h1": "h1", "li": "nav li"})
-    return L.unique_selector(found, ["page_id", "name"])
-
-
-def sel9_similar(spark, sf_dir):
-    tree = H.nodes(_pages(spark, sf_dir))
-    first = tree.filter("tag = 'a'").groupBy().agg(F.min("text").alias("t")).first().t
-    return L.find_similar(tree, first).groupBy("page_id").agg(F.count("*").alias("n"))
-
-
 def sel16_follow(spark, sf_dir):
     links = _pages(spark, sf_dir).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href"))
     return links.select("page_id", U.resolve(F.col("url"), F.col("href")).alias("url"), F.col("url").alias("referer"), F.lit(1).cast("long").alias("depth")).groupBy("page_id", "referer", "depth").agg(F.count("*").alias("n"))
 
 
-def ext4_typed(spark, sf_dir):
-    a = H.nodes(_pages(spark, sf_dir)).filter("tag = 'a'")
-    return a.groupBy("page_id").agg(F.min(L.typed_value(F.col("tag"), F.col("attrs"), F.col("text"), "url")).alias("url"), F.count(L.typed_value(F.col("tag"), F.col("attrs"), F.col("text"), "number")).alias("numbers"))
-
-
-def gen8_confidence(spark, sf_dir):
-    s = spark.createDataFrame([("#a .b", True), ("p:nth-child(2)", False), ("div.x", False)], "css string, u boolean")
-    return s.select("css", F.round(L.selector_confidence(F.col("css"), F.col("u")), 6).alias("confidence"))
-
-
-def gen13_describe(spark, sf_dir):
-    tree = H.nodes(_pages(spark, sf_dir))
-    return L.describe_score(tree, "the ad title").groupBy("page_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-
-
-def rep1_repair(spark, sf_dir):
-    f = L.features(H.nodes(_pages(spark, sf_dir)))
-    wanted = f.filter("tag = 'h1' OR array_contains(classes, 'ad')")
-    r = L.repair(wanted, f)
-    return r.select("page_id", F.col("old_id").cast("long").alias("old_id"), F.col("new_id").cast("long").alias("new_id"), F.round("similarity", 6).alias("similarity"))
-
-
 def inf10_regex(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.concat(F.lit("item-"), "p_type", F.lit("-"), "p_brand", F.lit(".html")).alias("s"))
     return L.validation_regex(p, "p_brand", "s").select("p_brand", F.startswith("regex", F.lit("^item-")).alias("ok"))
@@ -155,13 +122,7 @@ _ALL = "(" + " + ".join(f"{k} * {w}" for k, w in _W.items()) + ") / 0.95"
 _SOME = "(" + " + ".join(f"{k} * {w}" for k, w in _W.items() if k != "timeliness") + ") / 0.8"
 
 SQL: dict[str, str | None] = {
-    "sel7_unique": "SELECT page_id, name, n, n = 1 AS is_unique FROM (SELECT page_id, unnest(['h1', 'li']) AS name, unnest([CAST(len(regexp_extract_all(html, '<h1>')) AS BIGINT), CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT)]) AS n FROM pages) WHERE n > 0",
-    "sel9_similar": None,
     "sel16_follow": "SELECT page_id, url AS referer, 1::BIGINT AS depth, CAST(len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"')) AS BIGINT) AS n FROM pages",
-    "ext4_typed": None,
-    "gen8_confidence": "SELECT * FROM (VALUES ('#a .b', 1.0::DOUBLE), ('p:nth-child(2)', 0.3::DOUBLE), ('div.x', 0.6::DOUBLE)) t(css, confidence)",
-    "gen13_describe": None,
-    "rep1_repair": None,
     "inf10_regex": "SELECT p_brand, CASE WHEN count(DISTINCT p_type) >= 3 THEN true END AS ok FROM part GROUP BY p_brand",
     "inf19_nearest": r"""WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token), w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)),
       u AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w), s AS (SELECT a.item_id AS query, b.item_id AS example, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY ALL) SELECT query, arg_max(example, (s, -example)) AS example, round(max(s), 6) AS similarity FROM s GROUP BY query""",

@@ -142,20 +142,6 @@ def pol9_backoff(spark, sf_dir):
     return X.error_backoff(_crawl(spark, sf_dir), "crawl_id", ["event_id"])
 
 
-def gen3_patterns(spark, sf_dir):
-    """Selectors of elements that repeat under one parent."""
-    n = H.nodes(_pages(spark, sf_dir))
-    groups = n.groupBy("page_id", "parent_id", "tag").agg(F.count("*").alias("n")).filter("n >= 3")
-    return groups.groupBy("tag").agg(F.count("*").alias("groups"), F.max("n").alias("largest"))
-
-
-def rep10_groups(spark, sf_dir):
-    """Elements with the same tag and set of classes are one group."""
-    n = H.nodes(_pages(spark, sf_dir))
-    key = F.concat_ws(".", "tag", F.array_join(F.sort_array(F.filter(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), lambda c: c != "")), "."))
-    return n.groupBy(key.alias("element")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
-
-
 def qs25_rates(spark, sf_dir):
     v = R.validate(_records(spark, sf_dir), R.product_rules())
     return v.agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_valid").cast("double")), 6).alias("valid_rate"), F.sum(F.size("issues")).cast("long").alias("issues"))
@@ -183,8 +169,6 @@ SQL: dict[str, str | None] = {
     "pol1_agents": f"SELECT event_id, 'b' AS agent, starts_with('/p/' || (event_id % 50), '/p/' || (event_id % 10)) AS denied FROM {_E}",
     "pol8_interval": None,
     "pol9_backoff": None,
-    "gen3_patterns": None,
-    "rep10_groups": None,
     "qs25_rates": None,
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -19,53 +19,6 @@ def _nodes(spark, sf_dir):
     return H.nodes(_pages(spark, sf_dir))
 
 
-def gen2_context(spark, sf_dir):
-    """Selectors from the parent's class and the sibling before."""
-    n = _nodes(spark, sf_dir)
-    parent = n.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"), F.col("attrs")["class"].alias("pclass"))
-    w = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
-    j = n.withColumn("before", F.lag("tag").over(w)).join(parent, ["page_id", "parent_id"])
-    by_parent = F.concat("ptag", F.coalesce(F.concat(F.lit("."), "pclass"), F.lit("")), F.lit(" > "), "tag")
-    made = F.array_compact(F.array(by_parent, F.when(F.col("before").isNotNull(), F.concat("before", F.lit(" + "), "tag"))))
-    return j.select(F.explode(made).alias("selector")).groupBy("selector").agg(F.count("*").alias("n"))
-
-
-def gen4_scored(spark, sf_dir):
-    """Candidates by coverage (share of pages with a match) times precision (share of pages with exactly one)."""
-    wanted = {"h1": "article h1", "p": "article p", "ad": "div.ad", "foot": "footer", "none": "video"}
-    found = H.select(_pages(spark, sf_dir), wanted).groupBy("name", "page_id").agg(F.count("*").alias("n"))
-    total = F.broadcast(_pages(spark, sf_dir).agg(F.count("*").alias("total")))
-    g = found.groupBy("name").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 1).alias("single")).crossJoin(total)
-    return g.select("name", F.round(F.col("pages") / F.col("total"), 6).alias("coverage"), F.round(F.col("single") / F.col("pages"), 6).alias("precision"), F.round(F.col("single") / F.col("total"), 6).alias("score"))
-
-
-def gen11_fallbacks(spark, sf_dir):
-    """For each kind of element the candidates in order of confidence."""
-    c = H.candidates(_nodes(spark, sf_dir).filter("tag IN ('div', 'html', 'meta')"))
-    g = c.groupBy(F.split("selector", r"[.\[#]")[0].alias("tag"), "selector", "confidence").agg(F.count("*").alias("n"))
-    return g.groupBy("tag").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), (-F.col("n")).alias("k"), "selector"))), 1, 3), lambda x: x["selector"]), " | ").alias("fallbacks"))
-
-
-def rep5_loosened(spark, sf_dir):
-    """A broken selector's repairs that find something, in the order in which they are tried."""
-    broken = "article div.gone h1"
-    repairs = {"0": "article div.gone", "1": "article", "2": "article h1"}
-    found = H.select(_pages(spark, sf_dir), repairs).groupBy("page_id").agg(F.min("name").alias("used"))
-    return found.groupBy("used").agg(F.count("*").alias("n")).withColumn("broken", F.lit(broken))
-
-
-def rep6_rerank(spark, sf_dir):
-    s = spark.createDataFrame([("a", 0.5, True), ("b", 0.6, False), ("c", 0.9, True)], "css string, score double, hit boolean")
-    return s.select("css", F.round(F.when(F.col("hit"), F.least(F.lit(1.0), F.col("score") * 1.2)).otherwise(F.col("score") * 0.3), 6).alias("score"))
-
-
-def sup6_top(spark, sf_dir):
-    """The five best selectors of each field among its ten best candidates."""
-    c = H.candidates(_nodes(spark, sf_dir)).groupBy(F.regexp_extract("selector", "^([a-z0-9]+)", 1).alias("field"), "selector", "confidence").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("field").orderBy(F.desc("confidence"), F.desc("n"), "selector")
-    return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").groupBy("field").agg(F.count("*").alias("kept"), F.max("confidence").alias("best"))
-
-
 def sup12_schema_by_pattern(spark, sf_dir):
     """Field types and sample counts for each URL pattern."""
     p = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("pattern"), "url", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("title"))
@@ -73,39 +26,20 @@ def sup12_schema_by_pattern(spark, sf_dir):
     return rows.groupBy("pattern", "field").agg(F.count("*").alias("samples"), F.min("kind").alias("type"), F.bool_and(F.col("value") != "").alias("required"))
 
 
-def sup15_features(spark, sf_dir):
-    f = L.features(_nodes(spark, sf_dir))
-    return f.groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("deepest"), F.sum(F.size("names")).cast("long").alias("attributes"))
-
-
 def sel5_chain(spark, sf_dir):
     """CSS, then backups: the first of a chain that matches."""
     h = H.heal(_pages(spark, sf_dir), {"title": [".headline", "h1[itemprop=name]", "article h1", "title"]})
     return h.groupBy("used").agg(F.count("*").alias("n"))
 
 
-def sel6_regex(spark, sf_dir):
-    p = _pages(spark, sf_dir)
-    return p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("value"))
-
-
 def ext6_confidence(spark, sf_dir):
     e = H.extract(_pages(spark, sf_dir), {"title": "h1", "ad": "div.ad", "video": "video", "link": "nav a"})
     return e.groupBy(F.round(H.fill_rate(F.col("fields"), 4), 6).alias("confidence")).agg(F.count("*").alias("n"))
 
 
 SQL: dict[str, str | None] = {
-    "gen2_context": None,
-    "gen4_scored": """WITH c AS (SELECT page_id, unnest(['h1', 'p', 'ad', 'foot']) AS name, unnest([len(regexp_extract_all(html, '<h1>')), len(regexp_extract_all(html, '<p>')), len(regexp_extract_all(html, '<div class="ad">')), len(regexp_extract_all(html, '<footer>'))]) AS n FROM pages)
-      SELECT name, round(count(*) FILTER (n > 0) / (SELECT count(*) FROM pages), 6) AS coverage, round(count(*) FILTER (n = 1) / count(*) FILTER (n > 0), 6) AS precision, round(count(*) FILTER (n = 1) / (SELECT count(*) FROM pages), 6) AS score FROM c GROUP BY name""",
-    "gen11_fallbacks": None,
-    "rep5_loosened": "SELECT '1' AS used, count(*) AS n, 'article div.gone h1' AS broken FROM pages WHERE contains(html, '<article>')",
-    "rep6_rerank": "SELECT * FROM (VALUES ('a', 0.6::DOUBLE), ('b', 0.18::DOUBLE), ('c', 1.0::DOUBLE)) t(css, score)",
-    "sup6_top": None,
     "sup12_schema_by_pattern": "SELECT regexp_extract(url, '://([^/?#:]*)', 1) AS pattern, f AS field, count(*) AS samples, 'string' AS type, bool_and(v <> '') AS required FROM (SELECT url, unnest(['url', 'title']) AS f, unnest([url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)]) AS v FROM pages) GROUP BY ALL",
-    "sup15_features": None,
     "sel5_chain": "SELECT 2 AS used, count(*) AS n FROM pages WHERE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> ''",
-    "sel6_regex": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS value FROM pages",
     "ext6_confidence": "SELECT round((CASE WHEN trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, '<div class=\"ad\">[^<]*[^<\\s]') THEN 1 ELSE 0 END + 1) / 4, 6) AS confidence, count(*) AS n FROM pages GROUP BY 1",
 }
 QUERIES = {name: globals()[name] for name in SQL}
