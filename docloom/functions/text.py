@@ -6,8 +6,12 @@ script, written out as ``[\p{L}\p{N}_]`` so that every engine reads it alike.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -161,3 +165,9 @@ def common_prefix(low: Column, high: Column) -> Column:
     at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(low, i, F.lit(1)) != F.substring(high, i, F.lit(1)))
     same = F.when(n == 0, 0).otherwise(F.coalesce(F.get(at, F.lit(0)) - 1, n))
     return F.substring(low, F.lit(1), same)
+
+
+@F.pandas_udf(StringType())
+def unescape_all(x: pd.Series) -> pd.Series:
+    """Every character reference of HTML, by Arrow batch; ``unescape`` does the six common ones in the JVM."""
+    return x.map(html.unescape, na_action="ignore")

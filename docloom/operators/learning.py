@@ -131,15 +131,53 @@ def fuzzy_ratio(df: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
     return df.mapInArrow(run, f"{schema}, `{out}` double")
 
 
-def fuzzy_pairs(rows: DataFrame, key: str, text: str, block: Column, least: float = 0.9) -> DataFrame:
-    """(a, b, ratio): pairs of distinct texts of one block with a ratio of ``least`` or more, by their least keys."""
-    reps = rows.groupBy(text).agg(F.min(key).alias("k")).select("k", F.col(text).alias("t")).withColumn("block", block)
-    x, y = reps.alias("x"), reps.alias("y")
-    # the ratio is at most 2 * shorter / (shorter + longer)
-    lx, ly = F.length("x.t"), F.length("y.t")
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.k") < F.col("y.k")) & (2 * F.least(lx, ly) >= least * (lx + ly)))
-    made = fuzzy_ratio(pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb")), "ta", "tb")
-    return made.filter(F.col("ratio") >= least).select("a", "b", "ratio")
+def fuzzy_pairs(rows: DataFrame, key: str, text: str, least: float = 0.9) -> DataFrame:
+    """(a, b, ratio): all pairs of different texts with a ratio of ``least`` or more, by their least keys, a < b.
+
+    The ratio is at most twice the characters that both texts have, over their
+    lengths.  So texts are sets of (character, its number so far), and of each the
+    rarest ones, so many that a pair over the bound must share one, are joined;
+    what meets is held against the bounds of length and of common characters, and
+    only then compared.
+    """
+    reps = rows.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("k")).select("k", F.col(text).alias("t"))
+    letters = reps.select("k", F.posexplode(F.split("t", "")).alias("i", "c")).filter("c <> ''")
+    nth = F.row_number().over(Window.partitionBy("k", "c").orderBy("i"))
+    marks = letters.select("k", F.concat("c", nth.cast("string")).alias("m"))
+    rare = marks.groupBy("m").agg(F.count("*").alias("df"))
+    held = marks.join(rare, "m").groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "m"))), lambda x: x["m"]).alias("ms")).join(reps, "k")
+    n = F.size("ms")
+    prefix = F.slice("ms", F.lit(1), F.greatest(n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1, F.lit(1)))
+    dealt = held.select("k", "t", "ms", F.explode(prefix).alias("m"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    total = F.size("x.ms") + F.size("y.ms")
+    near = (F.col("x.m") == F.col("y.m")) & (F.col("x.k") < F.col("y.k")) & (2 * F.least(F.size("x.ms"), F.size("y.ms")) >= least * total)
+    met = x.join(y, near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), F.col("x.ms").alias("ma"), F.col("y.ms").alias("mb")).dropDuplicates(["a", "b"])
+    close = met.filter(2 * F.size(F.array_intersect("ma", "mb")) >= least * (F.size("ma") + F.size("mb"))).drop("ma", "mb")
+    return fuzzy_ratio(close, "ta", "tb").filter(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
+def fuzzy_unique(rows: DataFrame, key: str, text: str, order: Sequence[str], least: float = 0.9) -> DataFrame:
+    """The rows of ``key`` groups whose text is over ``least`` like no earlier kept one, by the stated order.
+
+    A group's texts are candidates for one field, some dozens, and are compared in one pass.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("t")))).alias("xs")).select(key, F.transform("xs", lambda x: x["t"]).alias("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, kept = [], []
+            for k, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own: list[str] = []
+                for t in (" ".join(t.split()) for t in ts):
+                    if all(difflib.SequenceMatcher(None, t, o).ratio() <= least for o in own):
+                        own.append(t)
+                keys += [k] * len(own)
+                kept += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(kept, pa.string())], [b.schema.names[0], text])
+
+    return packed.mapInArrow(run, f"`{key}` {kind}, `{text}` string")
 
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:

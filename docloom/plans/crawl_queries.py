@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
@@ -136,6 +138,12 @@ _T = f"(SELECT *, priority * 1000 + depth * 100 - (epoch_us({base.AS_OF}) / 1e6
 _E = f"({base.CRAWL})"
 _RING = f"(SELECT md5(node || ':' || i) AS h, node FROM (SELECT node_id AS node, unnest(range(100)) AS i FROM ({base.NODES})))"
 _RANKED = f"(SELECT domain, node, row_number() OVER (PARTITION BY domain ORDER BY w, h) - 1 AS rank FROM (SELECT domain, node, min(w) AS w, arg_min(h, (w, h)) AS h FROM (SELECT domain, node, h, CASE WHEN h >= md5(domain) THEN 0 ELSE 1 END AS w FROM (SELECT DISTINCT domain FROM {_T}) CROSS JOIN {_RING}) GROUP BY domain, node))"
+_DELAY = re.search(r"Crawl-delay: ([\d.]+)", ROBOTS)[1]
+_THROTTLE = f"""WITH RECURSIVE m AS (SELECT crawl_id, list(status_code ORDER BY event_id) AS xs FROM {_E} GROUP BY crawl_id), f AS (
+  SELECT crawl_id, CAST(0 AS BIGINT) AS i, 0::INT AS errors, 1.0::DOUBLE AS rate FROM m
+  UNION ALL SELECT f.crawl_id, f.i + 1, CASE WHEN m.xs[f.i + 1] >= 400 THEN f.errors + 1 ELSE 0 END, greatest(0.1, least(10.0, f.rate * CASE WHEN m.xs[f.i + 1] IN (429, 503) THEN 0.5 WHEN m.xs[f.i + 1] >= 400 THEN 0.9 ELSE 1.1 END))
+  FROM f JOIN m USING (crawl_id) WHERE f.i < len(m.xs)
+), last AS (SELECT crawl_id, errors, CASE WHEN errors >= 10 THEN least(300.0, 2.0 ** (errors - 3)) WHEN errors >= 3 THEN least(60.0, 2.0 ** errors) ELSE 0.0 END::DOUBLE AS backoff, rate FROM f JOIN m USING (crawl_id) WHERE i = len(xs))"""
 _BLOCKED = ", ".join(map(str, C.BLOCKED))
 
 SQL: dict[str, str | None] = {
@@ -153,12 +161,12 @@ SQL: dict[str, str | None] = {
     "dst8_alive": f"SELECT node_id, epoch({base.AS_OF}) - epoch(last_heartbeat) <= 90 AS alive FROM ({base.NODES})",
     "dst9_backoff": f"SELECT task_id, least(300.0, pow(2.0, retry_count))::DOUBLE AS delay FROM {_T} WHERE status = 'failed' AND retry_count < 4",
     "dst10_stats": f"SELECT priority, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running FROM {_T} GROUP BY priority",
-    "crw10_levels": None,
+    "crw10_levels": f"WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT url AS src, 'http://h' || (bytes % 30) || '.example.com/p/' || (bytes % 50) AS dst FROM {_E}), b AS (SELECT * FROM (VALUES ('http://h1.example.com/p/1', 0), ('http://h2.example.com/p/2', 0)) s(url, d) UNION SELECT l.dst, b.d + 1 FROM b JOIN l ON l.src = b.url WHERE b.d < 3) SELECT depth, count(*) AS n FROM (SELECT url, CAST(min(d) AS INT) AS depth FROM b GROUP BY url) GROUP BY depth",
     "pol2_robots": "SELECT 'x' AS host, '*,bot' AS agents, '/p/,/*.json$' AS disallowed, '/p/1' AS allowed, 2.5::DOUBLE AS crawl_delay, 0.3::DOUBLE AS request_rate, 'http://x/s.xml' AS sitemaps",
     "pol3_permission": f"SELECT DISTINCT url, starts_with(p, '/p/1') OR NOT starts_with(p, '/p/') AS allowed, true AS denied_json FROM (SELECT url, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS p FROM {_E})",
     "pol4_token_bucket": f"SELECT crawl_id, granted, round(waited, 4) AS waited FROM (WITH RECURSIVE o AS (SELECT crawl_id, event_id::DOUBLE AS s, row_number() OVER (PARTITION BY crawl_id ORDER BY event_id) AS i FROM {_E}), b AS (SELECT crawl_id, i, s, 2.0::DOUBLE AS tokens, 1::BIGINT AS granted, 0.0::DOUBLE AS waited FROM o WHERE i = 1 UNION ALL SELECT o.crawl_id, o.i, o.s, CASE WHEN least(3.0, b.tokens + (o.s - b.s) * 0.05) >= 1 THEN least(3.0, b.tokens + (o.s - b.s) * 0.05) - 1 ELSE least(3.0, b.tokens + (o.s - b.s) * 0.05) END, b.granted + CASE WHEN least(3.0, b.tokens + (o.s - b.s) * 0.05) >= 1 THEN 1 ELSE 0 END, b.waited + CASE WHEN least(3.0, b.tokens + (o.s - b.s) * 0.05) >= 1 THEN 0 ELSE (1 - least(3.0, b.tokens + (o.s - b.s) * 0.05)) / 0.05 END FROM b JOIN o ON o.crawl_id = b.crawl_id AND o.i = b.i + 1) SELECT crawl_id, arg_max(granted, i) AS granted, arg_max(waited, i) AS waited FROM b GROUP BY crawl_id)",
     "pol5_ema": f"SELECT crawl_id, round(list_reduce(list(response_time ORDER BY event_id), lambda a, x: a * 0.9 + x * 0.1), 6) AS ema FROM {_E} GROUP BY crawl_id",
-    "pol6_throttle": None,
-    "pol10_delay": None,
+    "pol6_throttle": _THROTTLE + " SELECT crawl_id, CASE WHEN errors >= 10 THEN 'blocked' WHEN errors >= 3 THEN 'backoff' ELSE 'normal' END AS state, errors, backoff, round(rate, 6) AS rate FROM last",
+    "pol10_delay": _THROTTLE + " SELECT crawl_id, round(CASE WHEN backoff > 0 THEN backoff ELSE " + _DELAY + " END, 6) AS delay FROM last",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
+from docloom.operators import dedup as D
 from docloom.operators import html as H
 from docloom.operators import learning as L
 from docloom.operators import monitoring as M
@@ -32,9 +33,18 @@ def inf19_nearest(spark, sf_dir):
     return L.nearest_example(t, t, "item_id").select("query", "example", F.round("similarity", 6).alias("similarity"))
 
 
+def _names(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+
+
 def d13_fuzzy(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.monotonically_increasing_id().alias("k"), "text")
-    return L.fuzzy_pairs(c, "k", "text", F.substring("t", 1, 24), 0.6)
+    return D.fuzzy_first_seen(_names(spark, sf_dir), "p_partkey", "name").withColumn("similarity", F.round("similarity", 6))
+
+
+def gen7_candidates(spark, sf_dir):
+    """The candidates of each page that are not much like a better one."""
+    c = H.candidates(H.nodes(_pages(spark, sf_dir))).select("page_id", "selector", (-F.col("confidence")).alias("worse")).distinct()
+    return L.fuzzy_unique(c, "page_id", "selector", ["worse", "selector"])
 
 
 def sup9_classes(spark, sf_dir):
@@ -127,6 +137,7 @@ SQL: dict[str, str | None] = {
     "inf19_nearest": r"""WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token), w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)),
       u AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w), s AS (SELECT a.item_id AS query, b.item_id AS example, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY ALL) SELECT query, arg_max(example, (s, -example)) AS example, round(max(s), 6) AS similarity FROM s GROUP BY query""",
     "d13_fuzzy": None,
+    "gen7_candidates": None,
     "sup9_classes": "SELECT * FROM (VALUES ('btn-main', 'btn-big', true), ('item', 'items', true), ('a', NULL, true), ('q', 'q', true)) t(w, found, tags)",
     "enr3_json": "SELECT event_id, 'N' || (event_id % 10) AS name, 'T' || user_id AS title FROM events",
     "crw9_counters": f"SELECT CAST(status_code AS VARCHAR) AS value, count(*) AS n, 'status' AS kind FROM {_E} GROUP BY 1 UNION ALL SELECT regexp_extract(url, '://([^/]*)', 1), count(*), 'domain' FROM {_E} GROUP BY 1",
@@ -134,7 +145,7 @@ SQL: dict[str, str | None] = {
     "dst7_round_robin": f"SELECT task_id, 'w' || (task_id % 7) AS worker FROM {_T}",
     "sup18_pending": f"SELECT task_id, priority FROM {_T} WHERE status = 'pending' ORDER BY priority, created_at, task_id LIMIT 40",
     "sup19_step": f"SELECT url, min(d) AS depth FROM (SELECT 'http://h' || (bytes % 40) || '.example.com/p/' || (bytes % 60) AS url, depth + 1 AS d FROM {_E} WHERE depth < 3) WHERE url NOT IN (SELECT url FROM {_E}) GROUP BY url",
-    "scl2_cooldown": None,
+    "scl2_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t FROM {_E} WHERE response_time > 6), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 7200) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, count(*) AS n FROM s WHERE sent_at IS NOT NULL GROUP BY crawl_id",
     "scl5_schedule": "SELECT hour, max(n) AS most, round(avg(n), 6) AS mean, CAST(ceil(max(n) / 5) AS BIGINT) AS replicas FROM (SELECT user_id, CAST(hour(ts) AS INT) AS hour, count(*) AS n FROM events GROUP BY ALL) GROUP BY hour",
     "pol11_stats": f"SELECT regexp_extract(url, '://([^/]*)', 1) AS host, count(*) AS n, count(*) FILTER (blocked) AS blocked, round(avg(response_time), 6) AS mean, max(event_id) AS last FROM {_E} GROUP BY 1",
     "qs16_overalls": f"SELECT id, round(({_ALL})::DOUBLE, 9) AS all_c, round(({_SOME})::DOUBLE, 9) AS without_time, round(least(1.0, {_ALL} + 0.06)::DOUBLE, 9) AS boosted, round(((completeness + consistency + accuracy) / 3)::DOUBLE, 9) AS mean_d FROM {_SCORED}",

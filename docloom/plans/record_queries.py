@@ -100,6 +100,12 @@ _ERR = [
     ("url:pattern", "NOT regexp_matches(url, '^(?:https?://)')"), ("description:maxLength", "length(description) > 5000"), ("currency:currency_with_price", "price IS NOT NULL AND currency IS NULL"),
 ]
 _ISSUES = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _ERR) + "], lambda x: x IS NOT NULL)"
+_MESSAGES = ", ".join(
+    [f"('{f}', 'required', 'Missing required field: {f}')" for f in R.PRODUCT["required"]]
+    + [f"('{f}', 'pattern', '{f} does not match its pattern')" for f, p in R.PRODUCT["properties"].items() if "pattern" in p]
+    + [f"('{f}', '{k}', '{f} breaks {k} {v}')" for f, p in R.PRODUCT["properties"].items() for k, v in p.items() if k != "pattern"]
+    + ["('currency', 'currency_with_price', 'A price needs a currency')"]
+)
 _FILLED = "(" + " + ".join(f"CASE WHEN {f} IS NOT NULL AND CAST({f} AS VARCHAR) <> '' THEN 1 ELSE 0 END" for f in FIELDS) + ")"
 _NOTNULL = "(" + " + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in FIELDS) + ")"
 _DAYS = f"floor((epoch({base.AS_OF}) - epoch(stamp)) / 86400)"
@@ -133,7 +139,7 @@ SQL: dict[str, str | None] = {
       FROM (SELECT *, {_FILLED} / {len(FIELDS)} AS c, len({_ISSUES}) AS e FROM {_R})""",
     "qs_summary": f"SELECT count(*) AS n, round(avg(overall), 6) AS avg_score, round(min(overall), 6) AS min_score, round(max(overall), 6) AS max_score, round(avg(CASE WHEN is_duplicate THEN 1.0 ELSE 0.0 END), 6) AS duplicate_rate FROM {_SCORED}",
     "qs_levels": f"SELECT l AS level, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM part), 6) AS percent FROM (SELECT unnest(['excellent', 'good', 'acceptable', 'poor', 'invalid']) AS l) LEFT JOIN (SELECT {_LEVEL} AS level, count(*) AS n FROM {_SCORED} GROUP BY 1) ON l = level",
-    "qs_issues": None,
+    "qs_issues": "SELECT code, count(*) AS n, min(message) AS sample, array_to_string(list_sort(list(DISTINCT field)), ',') AS fields FROM (SELECT string_split(unnest(" + _ISSUES + "), ':') AS x FROM " + _R + ") JOIN (VALUES " + _MESSAGES + ") m(field, code, message) ON m.field = x[1] AND m.code = x[2] GROUP BY code",
     "snk_good_and_unique": f"SELECT id, coalesce(url, CAST(id AS VARCHAR)) AS sink_key FROM {_SCORED} WHERE round(overall, 9) >= 0.7 AND NOT is_duplicate",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -13,6 +13,8 @@ from docloom.operators import inference as I
 from docloom.operators import politeness as P
 from docloom.operators import records as R
 from docloom.plans import base
+from docloom.plans.record_queries import _ISSUES
+from docloom.plans.text_queries import _BITS, _SHINGLES
 
 
 def _docs(spark, sf_dir):
@@ -40,11 +42,6 @@ def txt20_xxhash(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
 
 
-def d12_word_minhash(spark, sf_dir):
-    words = D.word_tokens(_docs(spark, sf_dir).filter("length(text) > 0"), "doc_id", "text").distinct()
-    return D.minhash_candidates(D.minhash(words, "doc_id", 16, "suffix"), "doc_id", 4).filter("similarity >= 0.9").withColumn("similarity", F.round("similarity", 6))
-
-
 def d14_reference(spark, sf_dir):
     d = _docs(spark, sf_dir)
     words = d.select("doc_id", T.tokens(F.col("text")).alias("t"), "text")
@@ -57,7 +54,7 @@ def d15_combined(spark, sf_dir):
     d = _docs(spark, sf_dir)
     exact = D.exact_duplicates(d.select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id", "is_duplicate", "duplicate_of")
     fps = D.simhash(D.shingle_tokens(d, "doc_id", "text"), "doc_id", "token")
-    near = D.nearest_before(fps, "doc_id", 0.9)
+    near = D.nearest_before(fps, "doc_id")
     j = exact.join(near, "doc_id", "left")
     return j.select("doc_id", (F.col("is_duplicate") | F.col("a").isNotNull()).alias("is_duplicate"), F.coalesce("duplicate_of", "a").alias("duplicate_of"), F.when(F.col("is_duplicate"), 1.0).otherwise(F.coalesce(1 - F.col("distance") / 64.0, F.lit(0.0))).alias("similarity"))
 
@@ -135,7 +132,7 @@ def pol1_agents(spark, sf_dir):
 
 
 def pol8_interval(spark, sf_dir):
-    return X.learned_interval(_crawl(spark, sf_dir), "crawl_id", ["event_id"], ["status_code", "bytes"], "response_time")
+    return X.learned_interval(_crawl(spark, sf_dir), "crawl_id", ["event_id"], ["status_code", "bytes"], "response_time").withColumn("interval", F.round("interval", 6))
 
 
 def pol9_backoff(spark, sf_dir):
@@ -148,14 +145,14 @@ def qs25_rates(spark, sf_dir):
 
 
 _E, _R = f"({base.CRAWL})", f"({base.RECORDS})"
+_D4 = _BITS.format(digest="md5(token)", tokens=_SHINGLES)
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 SQL: dict[str, str | None] = {
     "txt22_flatten": "SELECT p_partkey, replace(p_name, ' ', '|') || '|' || p_brand AS flat FROM part",
     "txt20_xxhash": "SELECT n, count(*) AS groups FROM (SELECT text, count(*) AS n FROM documents GROUP BY text) GROUP BY n",
-    "d12_word_minhash": f"WITH w AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS token FROM documents), m AS MATERIALIZED (SELECT doc_id, list(m ORDER BY i) AS s FROM (SELECT doc_id, i, min(md5(token || '_' || i)) AS m FROM (SELECT doc_id, token, unnest(range(16)) AS i FROM w) GROUP BY doc_id, i) GROUP BY doc_id), b AS (SELECT doc_id, s, unnest(range(4)) AS t FROM m) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, round(len(list_filter(range(1, 17), lambda i: x.s[i] = y.s[i])) / 16, 6) AS similarity FROM b x JOIN b y ON x.t = y.t AND x.s[x.t * 4 + 1:x.t * 4 + 4] = y.s[y.t * 4 + 1:y.t * 4 + 4] AND x.doc_id < y.doc_id WHERE len(list_filter(range(1, 17), lambda i: x.s[i] = y.s[i])) / 16 >= 0.9",
     "d14_reference": f"WITH s AS (SELECT doc_id, text, list_distinct({_TOK}) AS t FROM documents), r AS (SELECT * FROM s WHERE doc_id = 0) SELECT s.doc_id, s.text = r.text AS exact, round(coalesce(len(list_intersect(s.t, r.t)) / nullif(len(list_distinct(list_concat(s.t, r.t))), 0), 0), 6) AS jaccard FROM s, r",
-    "d15_combined": None,
+    "d15_combined": f"WITH f AS MATERIALIZED (SELECT doc_id, ('0x' || fp)::UBIGINT AS h FROM ({_D4})), e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents), n AS (SELECT y.doc_id, min((x.doc_id, bit_count(xor(x.h, y.h)))) AS x FROM f x JOIN f y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.h, y.h)) <= 9 GROUP BY y.doc_id) SELECT e.doc_id, e.first < e.doc_id OR n.x IS NOT NULL AS is_duplicate, CASE WHEN e.first < e.doc_id THEN e.first ELSE n.x[1] END AS duplicate_of, CASE WHEN e.first < e.doc_id THEN 1.0 ELSE coalesce(1 - n.x[2] / 64, 0) END::DOUBLE AS similarity FROM e LEFT JOIN n USING (doc_id)",
     "sup17_indexed": "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 10 = 0) AS known FROM documents WHERE doc_id % 10 <> 0",
     "inf2_json_types": "SELECT 'BIGINT' AS type, count(*) AS n FROM events",
     "inf6_majority_kind": "SELECT * FROM (VALUES ('url', 'string'), ('price', 'number'), ('review_count', 'integer'), ('name', 'string')) t(field, kind)",
@@ -167,8 +164,8 @@ SQL: dict[str, str | None] = {
     "udf1_parse": "SELECT url, 'item' AS kind, 1::BIGINT AS n FROM pages UNION ALL SELECT url, 'request', CAST(len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"')) AS BIGINT) FROM pages",
     "udf5_scorers": f"SELECT id, (CASE WHEN coalesce(name, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(description, '') <> '' THEN 1 ELSE 0 END) / 2 AS filled FROM {_R}",
     "pol1_agents": f"SELECT event_id, 'b' AS agent, starts_with('/p/' || (event_id % 50), '/p/' || (event_id % 10)) AS denied FROM {_E}",
-    "pol8_interval": None,
-    "pol9_backoff": None,
-    "qs25_rates": None,
+    "pol8_interval": f"WITH RECURSIVE m AS (SELECT crawl_id, greatest(1.0, max(abs(status_code))) AS a, greatest(1.0, max(abs(bytes))) AS b, avg(response_time) AS y, list({{'a': status_code, 'b': bytes, 'y': response_time}} ORDER BY event_id) AS xs FROM {_E} GROUP BY crawl_id), f AS (SELECT crawl_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM m UNION ALL SELECT crawl_id, i + 1, w0 + e, w1 + e * p, w2 + e * q FROM (SELECT f.*, x.a / m.a AS p, x.b / m.b AS q, 0.01 * (x.y - (w0 + w1 * (x.a / m.a) + w2 * (x.b / m.b))) AS e FROM f JOIN m USING (crawl_id), (SELECT 1) CROSS JOIN LATERAL (SELECT m.xs[f.i + 1] AS x) WHERE f.i < len(m.xs))) SELECT crawl_id, round(0.3 * (w0 + w1 * (xs[-1].a / a) + w2 * (xs[-1].b / b)) + 0.7 * y, 6) AS interval FROM f JOIN m USING (crawl_id) WHERE i = len(xs)",
+    "pol9_backoff": f"WITH RECURSIVE m AS (SELECT crawl_id, list(status_code ORDER BY event_id) AS xs FROM {_E} GROUP BY crawl_id), f AS (SELECT crawl_id, CAST(0 AS BIGINT) AS i, 0::INT AS errors, 0.0::DOUBLE AS backoff FROM m UNION ALL SELECT crawl_id, i + 1, n, CASE WHEN x IN (429, 503) THEN least(300.0, 2.0 ** n) WHEN x < 400 THEN 0.0 ELSE backoff END FROM (SELECT f.crawl_id, f.i, f.backoff, m.xs[f.i + 1] AS x, CASE WHEN m.xs[f.i + 1] IN (429, 503) OR m.xs[f.i + 1] >= 500 THEN errors + 1 WHEN m.xs[f.i + 1] < 400 THEN 0 ELSE errors END AS n FROM f JOIN m USING (crawl_id) WHERE f.i < len(m.xs))) SELECT crawl_id, errors, backoff, CASE WHEN errors >= 3 THEN 60.0 ELSE 0.0 END::DOUBLE AS throttled FROM f JOIN m USING (crawl_id) WHERE i = len(xs)",
+    "qs25_rates": f"SELECT count(*) AS n, round(avg(CASE WHEN len(i) = 0 THEN 1.0 ELSE 0.0 END), 6) AS valid_rate, CAST(sum(len(i)) AS BIGINT) AS issues FROM (SELECT {_ISSUES} AS i FROM {_R})",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -118,7 +118,7 @@ SQL: dict[str, str | None] = {
     "ses7_stats": f"SELECT tag, count(*) AS n, CAST(sum(use_count) AS BIGINT) AS uses, round(avg(use_count), 6) AS mean_uses, max(created_at) AS newest FROM {_S} GROUP BY tag",
     "ses8_rotate": f"SELECT session_id, CASE WHEN use_count >= 10 THEN 'uses' WHEN (epoch({base.AS_OF}) - epoch(created_at)) / 86400 > 14 THEN 'age' ELSE 'keep' END AS why FROM {_S}",
     "prx1_stats": "SELECT s_nationkey AS country, count(*) AS n, round(avg(abs(s_acctbal) / 10000), 6) AS mean_health, count(*) FILTER (s_acctbal < 0) AS banned FROM supplier GROUP BY 1",
-    "prx2_health": None,
+    "prx2_health": f"WITH RECURSIVE m AS (SELECT proxy, list(success ORDER BY event_id) AS xs FROM ({base.CRAWL}) GROUP BY proxy), f AS (SELECT proxy, CAST(0 AS BIGINT) AS i, 1.0::DOUBLE AS health, CAST(0 AS BIGINT) AS fails, false AS banned FROM m UNION ALL SELECT f.proxy, f.i + 1, CASE WHEN m.xs[f.i + 1] THEN least(1.0, health + 0.1) ELSE greatest(0.0, health - 0.2) END, CASE WHEN m.xs[f.i + 1] THEN 0 ELSE fails + 1 END, banned OR (NOT m.xs[f.i + 1] AND fails + 1 >= 3) FROM f JOIN m USING (proxy) WHERE f.i < len(m.xs)) SELECT proxy, round(health, 6) AS health, fails, banned FROM f JOIN m USING (proxy) WHERE i = len(xs)",
     "scl1_decision": "SELECT event_id, CASE WHEN up AND NOT down THEN least(10, r + 2) WHEN down AND NOT up THEN greatest(1, r - 1) ELSE r END AS wanted FROM (SELECT event_id, event_id % 10 + 1 AS r, user_id % 150 > 100 OR value % 100 > 70 AS up, user_id % 150 < 10 OR value % 100 < 30 AS down FROM events)",
     "scl3_cheapest": "WITH i AS (SELECT 't' || s_suppkey AS instance, s_suppkey % 8 + 1 AS cores, s_suppkey % 32 + 1 AS memory, abs(s_acctbal) AS price FROM supplier) SELECT p_partkey, coalesce((SELECT arg_min(instance, (price, instance)) FROM i WHERE cores >= p_size % 12 AND memory >= p_size % 40), (SELECT arg_max(instance, (price, instance)) FROM i)) AS instance FROM part",
     "scl4_cost": "SELECT s_suppkey, round(abs(s_acctbal) / 1000 * (1 + n_regionkey * 0.1::DOUBLE) * 24 * 30, 4) AS cost FROM supplier JOIN nation ON s_nationkey = n_nationkey",

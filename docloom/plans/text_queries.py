@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import dedup as D
+from docloom.operators.state import checkpointed
 from docloom.plans import base
 
 
@@ -76,7 +77,7 @@ def txt_common_affix(spark, sf_dir):
 
 
 def txt_unescape(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.md5(T.unescape(F.col("html"))).alias("decoded_md5"))
+    return _pages(spark, sf_dir).select("page_id", F.md5(T.unescape_all(F.col("html"))).alias("decoded_md5"))
 
 
 def txt_json(spark, sf_dir):
@@ -128,20 +129,44 @@ def d6_membership(spark, sf_dir):
 def d7_first_seen(spark, sf_dir):
     fps = _d3(spark, sf_dir)
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("k"))
-    return D.first_seen(D.near_pairs(fps, "doc_id", 0.92), reps.select("k"))
+    return D.first_seen(D.near_pairs(fps, "doc_id"), reps.select("k"))
+
+
+def _shingled(spark, sf_dir):
+    words = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("words"))
+    return words.select("doc_id", F.when(F.size("words") >= 3, T.shingles(F.col("words"), 3)).otherwise(F.array().cast("array<string>")).alias("words"))
+
+
+def _signed(words, form):
+    return words.select("doc_id", D.minhash(F.col("words"), form=form).alias("signature"))
+
+
+def _word_sets(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
 
 
 def d8_minhash(spark, sf_dir):
-    tok = D.word_tokens(_docs(spark, sf_dir), "doc_id", "text").distinct()
-    return D.minhash(tok, "doc_id", 16).select("doc_id", F.md5(F.array_join("signature", "")).alias("signature_md5"))
+    return _signed(_word_sets(spark, sf_dir), "suffix").select("doc_id", F.md5(F.array_join("signature", "")).alias("signature_md5"))
 
 
 def d9_minhash(spark, sf_dir):
-    return D.minhash(D.shingle_tokens(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", 16, "prefix").select("doc_id", F.md5(F.array_join("signature", "")).alias("signature_md5"))
+    return _signed(_shingled(spark, sf_dir), "prefix").select("doc_id", F.md5(F.array_join("signature", "")).alias("signature_md5"))
 
 
 def d10_d11_minhash_pairs(spark, sf_dir):
-    return D.minhash_candidates(D.minhash(D.shingle_tokens(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", 16, "prefix"), "doc_id", 4).filter("similarity >= 0.85").withColumn("similarity", F.round("similarity", 6))
+    return D.minhash_pairs(_signed(_shingled(spark, sf_dir), "prefix"), "doc_id").withColumn("similarity", F.round("similarity", 6))
+
+
+def d11_index(spark, sf_dir):
+    """An index of all documents, without every seventh, asked for every fiftieth."""
+    signed = checkpointed(_signed(_shingled(spark, sf_dir), "prefix"))
+    index = D.banded(signed.filter("doc_id % 2 = 0"), "doc_id").unionByName(D.banded(signed.filter("doc_id % 2 <> 0"), "doc_id"))
+    left = index.join(signed.filter("doc_id % 7 = 0").select("doc_id"), "doc_id", "left_anti")
+    return D.minhash_query(left, signed.filter("doc_id % 50 = 0"), "doc_id").withColumn("similarity", F.round("similarity", 6))
+
+
+def d12_word_minhash(spark, sf_dir):
+    return D.minhash_pairs(_signed(_word_sets(spark, sf_dir), "suffix"), "doc_id").withColumn("similarity", F.round("similarity", 6))
 
 
 def d16_d17_pick(spark, sf_dir):
@@ -168,7 +193,13 @@ _WORDS = f"SELECT doc_id, unnest({_TOK}) AS token, 1 AS w {_DOC}"
 _SHINGLES = f"SELECT DISTINCT doc_id, array_to_string(t[i:i + 2], ' ') AS token, 1 AS w FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM (SELECT doc_id, {_TOK} AS t {_DOC}) WHERE len(t) >= 3)"
 _D3 = _BITS.format(digest="md5(token)", tokens=_WEIGHTED)
 _REPS = f"SELECT fp, min(doc_id) AS k FROM ({_D3}) GROUP BY fp"
-_MINHASH = "SELECT doc_id, list(m ORDER BY i) AS s FROM (SELECT doc_id, i, min(md5({salted})) AS m FROM (SELECT doc_id, token, unnest(range(16)) AS i FROM ({tokens})) GROUP BY doc_id, i) GROUP BY doc_id"
+_HASHED = "SELECT doc_id, list_transform(range(128), lambda i: list_min(list_transform(t, lambda x: md5({salted})))) AS s FROM ({sets}) WHERE len(t) > 0"
+_WORD_SETS = f"SELECT doc_id, list_distinct({_TOK}) AS t FROM documents"
+_SHINGLE_SETS = f"SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i:i + 2], ' '))) AS t FROM (SELECT doc_id, {_TOK} AS t FROM documents)"
+_SUFFIXED = _HASHED.format(salted="x || '_' || i", sets=_WORD_SETS)
+_PREFIXED = _HASHED.format(salted="i || ':' || x", sets=_SHINGLE_SETS)
+_SAME = "len(list_filter(list_zip(x.s, y.s), lambda z: z[1] = z[2])) / 128"
+_MINPAIRS = "WITH m AS MATERIALIZED ({signed}), c AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY s) AS r FROM m), p AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM c WHERE doc_id = r) SELECT x.doc_id AS a, y.doc_id AS b, round(" + _SAME + ", 6) AS similarity FROM p x JOIN p y ON x.doc_id < y.doc_id WHERE " + _SAME + " >= 0.85 UNION ALL SELECT r, doc_id, 1.0 FROM c WHERE doc_id > r"
 _RECORDS = f"({base.RECORDS})"
 _TASKS_U = f"(SELECT task_id, priority, sha256({_CANON}) AS url_hash FROM {_SPLIT.format(t='(' + base.TASKS + ')')})"
 
@@ -189,7 +220,7 @@ SQL: dict[str, str | None] = {
     "txt_record_text": f"SELECT id, md5(concat_ws(' ', 'brand:' || brand, 'currency:' || currency, 'name:' || name, 'url:' || url)) AS keyed, concat_ws(' ', coalesce(name, ''), coalesce(description, '')) AS joined FROM {_RECORDS}",
     "txt_common_affix": """WITH s AS (SELECT p_brand, 'item-' || p_type || '-' || p_brand || '.html' AS s FROM part), g AS (SELECT p_brand, min(s) AS lo, max(s) AS hi, min(reverse(s)) AS rlo, max(reverse(s)) AS rhi FROM s GROUP BY p_brand)
       SELECT p_brand, lo[1:(SELECT coalesce(max(i), 0) FROM range(1, 200) r(i) WHERE i <= least(length(lo), length(hi)) AND lo[1:i] = hi[1:i])] AS prefix, reverse(rlo[1:(SELECT coalesce(max(i), 0) FROM range(1, 200) r(i) WHERE i <= least(length(rlo), length(rhi)) AND rlo[1:i] = rhi[1:i])]) AS suffix FROM g""",
-    "txt_unescape": "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS decoded_md5 FROM pages",
+    "txt_unescape": "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&')) AS decoded_md5 FROM pages",
     "txt_json": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     "url_canonical": f"SELECT page_id, {_CANON} AS canonical, sha256({_CANON}) AS url_hash, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*/+([^/?#]+)', 1) = '' THEN '' ELSE '/' || regexp_extract(url, '^[a-z]+://[^/?#]*/+([^/?#]+)', 1) END AS pattern FROM {_SPLIT.format(t='pages')}",
     "url_allowed": "SELECT h = 'example.com' OR h = 'therin.example.net' OR suffix(h, '.example.com') OR suffix(h, '.therin.example.net') AS allowed, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS h FROM pages) GROUP BY 1",
@@ -199,10 +230,12 @@ SQL: dict[str, str | None] = {
     "d4_simhash": _BITS.format(digest="md5(token)", tokens=_SHINGLES),
     "d6_near_duplicate_pairs": f"WITH r AS MATERIALIZED (SELECT k, ('0x' || fp)::UBIGINT AS h FROM ({_REPS})) SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.h, y.h)) AS BIGINT) AS distance FROM r x JOIN r y ON x.k < y.k WHERE bit_count(xor(x.h, y.h)) <= 9",
     "d6_membership": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS representative FROM ({_D3})",
-    "d7_first_seen": None,
-    "d8_minhash": f"SELECT doc_id, md5(array_to_string(s, '')) AS signature_md5 FROM ({_MINHASH.format(salted='token || chr(95) || i', tokens='SELECT DISTINCT doc_id, token FROM (' + _WORDS + ')')})",
-    "d9_minhash": f"SELECT doc_id, md5(array_to_string(s, '')) AS signature_md5 FROM ({_MINHASH.format(salted='i || chr(58) || token', tokens=_SHINGLES)})",
-    "d10_d11_minhash_pairs": f"WITH m AS MATERIALIZED ({_MINHASH.format(salted='i || chr(58) || token', tokens=_SHINGLES)}), b AS (SELECT doc_id, s, unnest(range(4)) AS t FROM m) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, round(len(list_filter(range(1, 17), lambda i: x.s[i] = y.s[i])) / 16, 6) AS similarity FROM b x JOIN b y ON x.t = y.t AND x.s[x.t * 4 + 1:x.t * 4 + 4] = y.s[y.t * 4 + 1:y.t * 4 + 4] AND x.doc_id < y.doc_id WHERE len(list_filter(range(1, 17), lambda i: x.s[i] = y.s[i])) / 16 >= 0.85",
+    "d7_first_seen": f"WITH RECURSIVE r AS MATERIALIZED (SELECT k, ('0x' || fp)::UBIGINT AS h, row_number() OVER (ORDER BY k) AS i FROM ({_REPS})), w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(k BIGINT, h UBIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS duplicate_of UNION ALL SELECT i, CASE WHEN d IS NULL THEN list_append(kept, {{'k': k, 'h': h}}) ELSE kept END, k, d FROM (SELECT r.i, r.k, r.h, w.kept, list_filter(w.kept, lambda x: bit_count(xor(x.h, r.h)) <= 9)[1].k AS d FROM w JOIN r ON r.i = w.i + 1)) SELECT k, duplicate_of FROM w WHERE k IS NOT NULL",
+    "d8_minhash": f"SELECT doc_id, md5(array_to_string(s, '')) AS signature_md5 FROM ({_SUFFIXED}) UNION ALL SELECT doc_id, NULL FROM ({_WORD_SETS}) WHERE len(t) = 0",
+    "d9_minhash": f"SELECT doc_id, md5(array_to_string(s, '')) AS signature_md5 FROM ({_PREFIXED}) UNION ALL SELECT doc_id, NULL FROM ({_SHINGLE_SETS}) WHERE len(t) = 0",
+    "d10_d11_minhash_pairs": _MINPAIRS.format(signed=_PREFIXED),
+    "d11_index": f"WITH m AS MATERIALIZED ({_PREFIXED}) SELECT x.doc_id AS a, y.doc_id AS b, round({_SAME}, 6) AS similarity FROM m x JOIN m y ON x.doc_id <> y.doc_id AND x.doc_id % 50 = 0 AND y.doc_id % 7 <> 0 WHERE {_SAME} >= 0.85",
+    "d12_word_minhash": _MINPAIRS.format(signed=_SUFFIXED),
     "d16_d17_pick": f"SELECT id, coalesce(nullif(description, ''), nullif(name, '')) AS content, coalesce(url, sku) AS identifier, CASE WHEN rating / 10 > 0.9 THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS batch, round(CASE WHEN rating / 10 > 0.5 THEN least(1.0, 1.2 * (rating / 10)) ELSE 1 - rating / 10 END, 6) AS single FROM {_RECORDS}",
     "d18_unseen": f"SELECT DISTINCT url_hash FROM {_TASKS_U} WHERE task_id % 2 = 0 AND url_hash NOT IN (SELECT url_hash FROM {_TASKS_U} WHERE task_id % 2 = 1 AND priority = 0)",
 }
