@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
-from docloom.operators.state import checkpointed
+from docloom.operators.state import checkpointed, written
 
 REPLICAS = 100
 #: Statuses of a blocked response.
@@ -127,3 +127,42 @@ def levels(pages: DataFrame, page_url: str, links: DataFrame, seeds: DataFrame,
             break
         seen = checkpointed(seen.unionByName(new))
     return seen
+
+
+def pick_node(keys: DataFrame, candidates: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """(key, node): the least loaded candidate that has room; where all are full, the least loaded node of all that has."""
+    load = F.when(F.col("current_tasks") < F.col("max_tasks"), F.col("current_tasks") / F.col("max_tasks"))
+    rest = nodes.select(load.alias("load"), "node_id").filter("load IS NOT NULL").agg(F.min(F.struct("load", "node_id")).alias("x")).select(F.col("x.node_id").alias("rest"))
+    best = keys.select(key).distinct().join(least_loaded(candidates, key, nodes), key, "left")
+    return best.crossJoin(F.broadcast(rest)).select(key, F.coalesce("node", "rest").alias("node"))
+
+
+def assign(tasks: DataFrame, key: str, workers: DataFrame, how: str, seed: int = 0) -> DataFrame:
+    """(key, worker): in turn by the order of keys, to the least loaded, or by a hash of the key and a seed.
+
+    Workers are a cluster's nodes, numbered in one broadcast row.  Turns need the
+    rank of every key: keys are range-partitioned, and each range counts on from
+    the sizes of the ranges before it.
+    """
+    all_ = workers.agg(F.array_sort(F.collect_list("worker")).alias("ws"), F.min(F.struct("current_tasks", "worker")).alias("least"))
+    if how == "round_robin":
+        ranged = written(tasks.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()))
+        sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        within = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
+        numbered = within.join(F.broadcast(sizes.select("part", "before")), "part").select(key, (F.col("before") + F.col("i")).alias("k"))
+    else:
+        numbered = tasks.select(key, F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long").alias("k"))
+    j = numbered.crossJoin(F.broadcast(all_))
+    return j.select(key, (F.col("least.worker") if how == "least_loaded" else F.get("ws", (F.col("k") % F.size("ws")).cast("int"))).alias("worker"))
+
+
+def follow(pages: DataFrame, links: Column) -> DataFrame:
+    """Requests for a page's links: absolute, a level deeper, with its session, priority and meta, and itself as referer."""
+    found = pages.withColumn("href", F.explode(links))
+    return found.select(U.resolve(F.col("url"), F.col("href")).alias("url"), F.col("url").alias("referer"), "sid", "priority", (F.col("depth") + 1).alias("depth"), "meta")
+
+
+def work_step(results: DataFrame, seen: DataFrame, most: int) -> DataFrame:
+    """(url, depth): what a worker adds after its pages (url, depth, links): unseen links of pages above the greatest depth, at their least depth."""
+    links = results.filter(F.col("depth") < most).select(F.explode("links").alias("url"), (F.col("depth") + 1).alias("depth"))
+    return links.groupBy("url").agg(F.min("depth").alias("depth")).join(seen, "url", "left_anti")

@@ -6,8 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+
+from docloom.operators import records as R
 
 #: Registries: name to function; a scorer or validator makes a column, an enricher a DataFrame.
 SCORERS: dict[str, Callable[[DataFrame], Column]] = {}
@@ -78,3 +82,34 @@ def learned_interval(rows: DataFrame, key: str, order: list[str], features: list
         return pd.DataFrame({key: [pdf[key].iloc[0]], "interval": [float(blend * (x[-1] @ w) + (1 - blend) * y.mean())]})
 
     return rows.select(key, *order, *features, target).groupBy(key).applyInPandas(fit, f"{key} {kind}, interval double")
+
+
+def validated(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Add the issues of all registered validators' rules, and whether the row is valid."""
+    return R.validate(df, [rule for n in (names or sorted(VALIDATORS)) for rule in VALIDATORS[n]()])
+
+
+def enriched(df: DataFrame, enrichers: dict[str, Callable[[dict], dict]]) -> DataFrame:
+    """Add ``enriched``, a map of what Python functions of a row return, in turn, and ``failed``, the names of those that raised on it.
+
+    A function sees what those before it added; one that fails adds nothing and stops no other.
+    """
+    kinds = StructType([*df.schema.fields, StructField("enriched", MapType(StringType(), StringType())), StructField("failed", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, failed = [], []
+            for row in b.to_pylist():
+                new: dict = {}
+                bad = []
+                for name, f in enrichers.items():
+                    try:
+                        new |= f(row | new)
+                    except Exception:  # whatever a user's function raises
+                        bad.append(name)
+                made.append(list(new.items()))
+                failed.append(bad)
+            columns = [*b.columns, pa.array(made, pa.map_(pa.string(), pa.string())), pa.array(failed, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "enriched", "failed"])
+
+    return df.mapInArrow(run, kinds)

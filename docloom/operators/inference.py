@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, StringType, StructField, StructType
 
 from docloom.functions import text as T
 from docloom.functions import urls as U
@@ -145,3 +146,51 @@ def match_examples(wanted: DataFrame, examples: DataFrame, least: float = 0.3) -
     a = wanted.join(examples, wanted["pattern"] == examples["example_pattern"]).select("wanted_id", "example_id", half.alias("s"))
     b = wanted.join(examples, wanted["dom_hash"] == examples["example_hash"]).select("wanted_id", "example_id", half.alias("s"))
     return a.unionByName(b).groupBy("wanted_id", "example_id").agg(F.sum("s").alias("score")).filter(F.col("score") > least)
+
+
+def struct_type(schema: dict) -> StructType:
+    """A JSON Schema object as Spark's type; objects without properties are maps of text, unknown types text."""
+
+    def kind(s: dict) -> DataType:
+        t = s.get("type", "string")
+        if t == "object":
+            return struct_type(s) if s.get("properties") else MapType(StringType(), StringType())
+        if t == "array":
+            return ArrayType(kind(s.get("items", {})))
+        return {"integer": LongType(), "number": DoubleType(), "boolean": BooleanType()}.get(t, StringType())
+
+    required = set(schema.get("required", []))
+    return StructType([StructField(name, kind(s), name not in required) for name, s in schema.get("properties", {}).items()])
+
+
+def examples(rows: DataFrame, most: int = 5) -> DataFrame:
+    """(field, examples): the least distinct values of each field, ``most`` of them at most."""
+    distinct = rows.filter("value IS NOT NULL").select("field", "value").distinct()
+    w = Window.partitionBy("field").orderBy("value")
+    first = distinct.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= most)
+    return first.groupBy("field").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+
+
+def value_types(rows: DataFrame) -> DataFrame:
+    """Rows (field, value, kind) with the JSON type of every value."""
+    return rows.withColumn("type", F.col("kind"))
+
+
+def applied(value: Column, steps: list[str]) -> Column:
+    """strip, lower, upper, remove_commas and date_parse in turn; a date that can't be read stays as it is."""
+    known = {
+        "strip": F.trim, "lower": F.lower, "upper": F.upper, "remove_commas": lambda v: F.replace(v, F.lit(","), F.lit("")),
+        "date_parse": lambda v: F.coalesce(*(F.date_format(F.try_to_timestamp(v, F.lit(f)), "yyyy-MM-dd") for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")), v),
+    }
+    for s in steps:
+        value = known[s](value)
+    return value
+
+
+def schema_by(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, field, samples, type, required, confidence): the schema of each group's records; confidence as in ``confidence``."""
+    filled = F.count_if(F.col("value") != "")
+    g = rows.groupBy(group, "field").agg(F.count("*").alias("samples"), F.min(F.when(F.col("kind") != "null", F.col("kind"))).alias("type"), filled.alias("n"))
+    share = g.withColumn("share", F.col("n") / F.col("samples"))
+    mean = F.avg("share").over(Window.partitionBy(group))  # as many rows as a schema has fields
+    return share.select(group, "field", "samples", F.coalesce("type", F.lit("null")).alias("type"), (F.col("n") == F.col("samples")).alias("required"), (F.least(F.lit(1.0), F.col("samples") / 10.0) * mean).alias("confidence"))

@@ -2,8 +2,8 @@
 
 Everything keyed is a grouped aggregate with partial sums, so a crawl with a
 third of all results is combined before the shuffle.  Moving frames need order
-within a crawl and are windows; ``bounded_history`` keeps the last n rows of a
-key by an aggregate instead, so that no key is sorted as a whole.
+within a crawl and are windows, of which ``bounded_history`` keeps the last n rows
+already before the shuffle.
 """
 
 from __future__ import annotations
@@ -84,7 +84,13 @@ def summary(per_crawl: DataFrame) -> DataFrame:
 #: Rule lists: name, condition over a metric row, severity, message.
 RULES_A = (("low_success", "success_rate < 80", "warning", "success rate is low"), ("high_block", "block_rate > 30", "critical", "block rate is high"), ("slow", "requests > 10 AND avg_response_time > 10", "warning", "responses are slow"))
 RULES_B = (("failures", "failure_rate > 20", "warning", "more than 20 % failures"), ("blocks", "block_rate > 10", "critical", "more than 10 % blocks"), ("slow", "avg_response_time > 5", "info", "more than 5 s on average"))
-RULES_C = (("blocks", "block_rate > 30 AND requests > 10", "critical", "blocked"), ("slow", "avg_response_time > 10 AND requests > 5", "warning", "slow"))
+RULES_C = (
+    ("high_cpu", "cpu_percent > 90", "warning", "processor load is high"), ("high_memory", "memory_percent > 85", "warning", "memory is nearly full"),
+    ("blocks", "status = 'running' AND block_rate > 30 AND requests > 10", "critical", "blocked"), ("slow", "status = 'running' AND avg_response_time > 10 AND requests > 5", "warning", "slow"),
+)
+#: Of the host: with the thresholds of list A, and on their own.
+RULES_HOST_A = (("high_cpu", "cpu_percent > 80", "warning", "processor load is high"), ("high_memory", "memory_percent > 85", "warning", "memory is nearly full"))
+RULES_SYSTEM = (("high_memory", "memory_percent > 90", "critical", "memory is nearly full"), ("high_cpu", "cpu_percent > 80", "warning", "processor load is high"))
 
 
 def alerts(metrics: DataFrame, rules: Sequence[tuple[str, str, str, str]], key: str = "crawl_id") -> DataFrame:
@@ -115,3 +121,33 @@ def exposition(per_crawl: DataFrame, metrics: Sequence[str], key: str = "crawl_i
     """Lines of the text exposition format."""
     lines = [F.format_string(f'{prefix}{m}{{{key}="%s"}} %s', F.col(key), F.col(m).cast("string")) for m in metrics]
     return per_crawl.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def finished_rate(per_crawl: DataFrame) -> DataFrame:
+    """The mean success rate of crawls that are completed or failed and have requests; 0 without any."""
+    done = per_crawl.filter(F.col("status").isin("completed", "failed") & (F.col("requests") > 0))
+    return done.agg(F.coalesce(F.avg("success_rate"), F.lit(0.0)).alias("avg_success_rate"))
+
+
+def url_counters(results: DataFrame, key: str = "crawl_id") -> DataFrame:
+    """Counts of results and of distinct URLs of each key; failures count as blocked by their text or status, bytes and statuses of successes alone."""
+    failed = ~F.col("success")
+    blocked = failed & (F.coalesce(F.lower("error").contains("blocked"), F.lit(False)) | F.col("status_code").isin(403, 429))
+    base = results.groupBy(key).agg(
+        F.count("*").alias("requests"), F.count_distinct("url").alias("urls_crawled"), F.count_distinct(F.when(failed, F.col("url"))).alias("urls_failed"), F.count_if(blocked).alias("blocked"),
+        F.count_distinct(F.when(blocked, F.col("url"))).alias("urls_blocked"), F.coalesce(F.sum(F.when(F.col("success"), F.col("bytes"))), F.lit(0)).alias("bytes"),
+    )
+    codes = results.filter("success").groupBy(key, "status_code").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status_code", "n")))).alias("status_codes"))
+    return base.join(codes, key, "left")
+
+
+def counted(results: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(kind, value, n): how often each value of each column occurs, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns))
+    return results.select(F.explode(pairs).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def log_levels(lines: DataFrame, line: str) -> DataFrame:
+    """(level, n) of log lines with a level in capitals; others are left out."""
+    level = F.regexp_extract(line, r"\b(DEBUG|INFO|WARNING|ERROR|CRITICAL)\b", 1)
+    return lines.select(level.alias("level")).filter("level <> ''").groupBy("level").agg(F.count("*").alias("n"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import urls as U
+
 #: Moving-average factor, error counts of the two backoffs, bounds and steps of the rate.
 ALPHA = 0.1
 ERRORS_BACKOFF, ERRORS_BLOCKED = 3, 10
@@ -105,3 +107,20 @@ def throttle(rows: DataFrame, key: str, order: list[str], status: str = "status_
 def required_delay(backoff: Column, throttled: Column, crawl_delay: Column, rate: Column) -> Column:
     """The first that there is of backoff, throttle, crawl delay and 1 / rate."""
     return F.coalesce(F.when(backoff > 0, backoff), F.when(throttled > 0, throttled), F.when(crawl_delay > 0, crawl_delay), F.when(rate > 0, 1 / rate), F.lit(0.0))
+
+
+def permitted(requests: DataFrame, robots_by_host: DataFrame, url: str = "url") -> DataFrame:
+    """Requests with ``allowed`` by the rules of their host; a host without rules allows all.
+
+    Rules have one row a host, so a host with very many requests is a skewed key
+    that adaptive execution splits.
+    """
+    rules = robots_by_host.select(F.col("host").alias("_host"), "allowed_paths", "disallowed_paths")
+    j = requests.withColumn("_host", U.host(F.col(url))).join(rules, "_host", "left")
+    yes = is_allowed(U.path(F.col(url)), F.col("allowed_paths"), F.col("disallowed_paths"))
+    return j.withColumn("allowed", F.coalesce(yes, F.lit(True))).drop("_host", "allowed_paths", "disallowed_paths")
+
+
+def traffic(results: DataFrame, host: str = "host") -> DataFrame:
+    """Requests, blocks, refusals for haste and mean time of each host, and of all (host null)."""
+    return results.rollup(host).agg(F.count("*").alias("requests"), F.count_if("blocked").alias("blocked"), F.count_if(F.col("status_code").isin(429, 503)).alias("limited"), F.avg("response_time").alias("avg_response_time"))

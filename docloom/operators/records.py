@@ -299,3 +299,24 @@ def recommendations(report: DataFrame) -> DataFrame:
     """Rule-based advice on a summary row."""
     rules = ((F.col("avg_score") < 0.7, "Improve data quality at the source"), (F.col("duplicate_rate") > 0.1, "Tighten deduplication"), (F.col("min_score") < 0.3, "Reject records of the lowest level"))
     return report.select(F.array_compact(F.array(*(F.when(c, m) for c, m in rules))).alias("recommendations"))
+
+
+def consistency_b(lists: list[str], dates: list[str]) -> Column:
+    """1, less a tenth for each JSON list of mixed types, and, with several date fields, for each that can't be read; 0 at least."""
+    kinds = lambda c: F.expr(f"size(array_distinct(transform(cast(try_parse_json(`{c}`) as array<variant>), v -> schema_of_variant(v)))) > 1")
+    out = F.lit(1.0)
+    for c in lists:
+        out = out - F.when(kinds(c), 0.1).otherwise(0.0)
+    if len(dates) > 1:
+        for c in dates:
+            read = F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")), F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.col(c).try_cast("timestamp")))
+            out = out - F.when(F.col(c).isNotNull() & read.isNull(), 0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.0), out)
+
+
+def name_groups(rows: DataFrame) -> DataFrame:
+    """(base, fields, one_type) of (field, kind) rows: fields that differ by digits or an _id, _key or _code at the end, several of a kind or not."""
+    stem = F.regexp_replace(F.regexp_replace("field", r"\d+$", ""), "_(id|key|code)$", "")
+    one = rows.filter("kind <> 'null'").groupBy("field").agg(F.min("kind").alias("kind"))
+    g = one.groupBy(stem.alias("base")).agg(F.count("*").alias("fields"), F.count_distinct("kind").alias("kinds"))
+    return g.filter("fields > 1").select("base", "fields", (F.col("kinds") == 1).alias("one_type"))

@@ -145,3 +145,21 @@ def similar_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     s = vectors.crossJoin(F.broadcast(q)).filter(F.col(key) != F.col("query")).select("query", key, cosine(F.col(vector), F.col("qv")).alias("similarity")).filter(F.col("similarity") >= least)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def sink_unseen(rows: DataFrame, key: str, day: str, order: str, expiry: int) -> DataFrame:
+    """The rows that a sink takes: a key that it took is a duplicate for ``expiry`` days; of a key and day the first row.
+
+    A fold over a key's days, of which there are as many as days at most.
+    """
+    first = rows.groupBy(key, day).agg(F.min(order).alias(order))
+    days = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col(order).alias("o")))).alias("xs"))
+    empty = F.lit(None).cast("bigint")
+    taken = F.aggregate("xs", F.struct(empty.alias("last"), F.array().cast("array<struct<d:bigint,o:bigint>>").alias("out")), lambda a, x: F.when(a["last"].isNull() | (x["d"] - a["last"] >= expiry), F.struct(x["d"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a))
+    return days.select(key, F.explode(taken["out"]).alias("x")).select(key, F.col("x.d").alias(day), F.col("x.o").alias(order))
+
+
+def schedule(load: DataFrame, slot: str, n: str, per_replica: int) -> DataFrame:
+    """(slot, most, mean, replicas): the greatest and mean load of each slot, and the replicas that the greatest needs."""
+    g = load.groupBy(slot).agg(F.max(n).alias("most"), F.avg(n).alias("mean"))
+    return g.withColumn("replicas", F.ceil(F.col("most") / per_replica))

@@ -18,11 +18,6 @@ def _pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def sel16_follow(spark, sf_dir):
-    links = _pages(spark, sf_dir).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href"))
-    return links.select("page_id", U.resolve(F.col("url"), F.col("href")).alias("url"), F.col("url").alias("referer"), F.lit(1).cast("long").alias("depth")).groupBy("page_id", "referer", "depth").agg(F.count("*").alias("n"))
-
-
 def inf10_regex(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.concat(F.lit("item-"), "p_type", F.lit("-"), "p_brand", F.lit(".html")).alias("s"))
     return L.validation_regex(p, "p_brand", "s").select("p_brand", F.startswith("regex", F.lit("^item-")).alias("ok"))
@@ -60,47 +55,16 @@ def enr3_json(spark, sf_dir):
     return e.select("event_id", F.get(parsed["itemListElement"], F.lit(0))["result"]["name"].alias("name"), page["title"].alias("title"))
 
 
-def crw9_counters(spark, sf_dir):
-    c = base.derived(spark, sf_dir, base.CRAWL)
-    return c.groupBy(F.col("status_code").cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("status")).unionByName(c.groupBy(U.host(F.col("url")).alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("domain")))
-
-
-def crw12_levels(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-def dst7_round_robin(spark, sf_dir):
-    t = base.derived(spark, sf_dir, base.TASKS)
-    return t.select("task_id", F.concat(F.lit("w"), F.pmod(F.col("task_id"), F.lit(7))).alias("worker"))
-
-
 def sup18_pending(spark, sf_dir):
     t = base.derived(spark, sf_dir, base.TASKS).filter("status = 'pending'")
     return t.orderBy("priority", "created_at", "task_id").limit(40).select("task_id", "priority")
 
 
-def sup19_step(spark, sf_dir):
-    c = base.derived(spark, sf_dir, base.CRAWL)
-    links = c.filter("depth < 3").select(F.concat(F.lit("http://h"), F.col("bytes") % 40, F.lit(".example.com/p/"), F.col("bytes") % 60).alias("url"), (F.col("depth") + 1).alias("depth"))
-    return links.groupBy("url").agg(F.min("depth").alias("depth")).join(c.select("url").distinct(), "url", "left_anti")
-
-
 def scl2_cooldown(spark, sf_dir):
     e = base.derived(spark, sf_dir, base.CRAWL).filter("response_time > 6")
     return M.cooldown(e, "crawl_id", hold=7200).groupBy("crawl_id").agg(F.count("*").alias("n"))
 
 
-def scl5_schedule(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    per = e.groupBy("user_id", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
-    return per.groupBy("hour").agg(F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean")).withColumn("replicas", F.ceil(F.col("most") / 5))
-
-
-def pol11_stats(spark, sf_dir):
-    c = base.derived(spark, sf_dir, base.CRAWL)
-    return c.groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"), F.round(F.avg("response_time"), 6).alias("mean"), F.max("event_id").alias("last"))
-
-
 def qs16_overalls(spark, sf_dir):
     s = scored(spark, sf_dir)
     c = {k: F.col(k) for k in ("completeness", "accuracy", "consistency", "uniqueness", "timeliness")}
@@ -132,7 +96,6 @@ _ALL = "(" + " + ".join(f"{k} * {w}" for k, w in _W.items()) + ") / 0.95"
 _SOME = "(" + " + ".join(f"{k} * {w}" for k, w in _W.items() if k != "timeliness") + ") / 0.8"
 
 SQL: dict[str, str | None] = {
-    "sel16_follow": "SELECT page_id, url AS referer, 1::BIGINT AS depth, CAST(len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"')) AS BIGINT) AS n FROM pages",
     "inf10_regex": "SELECT p_brand, CASE WHEN count(DISTINCT p_type) >= 3 THEN true END AS ok FROM part GROUP BY p_brand",
     "inf19_nearest": r"""WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token), w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)),
       u AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w), s AS (SELECT a.item_id AS query, b.item_id AS example, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY ALL) SELECT query, arg_max(example, (s, -example)) AS example, round(max(s), 6) AS similarity FROM s GROUP BY query""",
@@ -140,14 +103,8 @@ SQL: dict[str, str | None] = {
     "gen7_candidates": None,
     "sup9_classes": "SELECT * FROM (VALUES ('btn-main', 'btn-big', true), ('item', 'items', true), ('a', NULL, true), ('q', 'q', true)) t(w, found, tags)",
     "enr3_json": "SELECT event_id, 'N' || (event_id % 10) AS name, 'T' || user_id AS title FROM events",
-    "crw9_counters": f"SELECT CAST(status_code AS VARCHAR) AS value, count(*) AS n, 'status' AS kind FROM {_E} GROUP BY 1 UNION ALL SELECT regexp_extract(url, '://([^/]*)', 1), count(*), 'domain' FROM {_E} GROUP BY 1",
-    "crw12_levels": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
-    "dst7_round_robin": f"SELECT task_id, 'w' || (task_id % 7) AS worker FROM {_T}",
     "sup18_pending": f"SELECT task_id, priority FROM {_T} WHERE status = 'pending' ORDER BY priority, created_at, task_id LIMIT 40",
-    "sup19_step": f"SELECT url, min(d) AS depth FROM (SELECT 'http://h' || (bytes % 40) || '.example.com/p/' || (bytes % 60) AS url, depth + 1 AS d FROM {_E} WHERE depth < 3) WHERE url NOT IN (SELECT url FROM {_E}) GROUP BY url",
     "scl2_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t FROM {_E} WHERE response_time > 6), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 7200) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, count(*) AS n FROM s WHERE sent_at IS NOT NULL GROUP BY crawl_id",
-    "scl5_schedule": "SELECT hour, max(n) AS most, round(avg(n), 6) AS mean, CAST(ceil(max(n) / 5) AS BIGINT) AS replicas FROM (SELECT user_id, CAST(hour(ts) AS INT) AS hour, count(*) AS n FROM events GROUP BY ALL) GROUP BY hour",
-    "pol11_stats": f"SELECT regexp_extract(url, '://([^/]*)', 1) AS host, count(*) AS n, count(*) FILTER (blocked) AS blocked, round(avg(response_time), 6) AS mean, max(event_id) AS last FROM {_E} GROUP BY 1",
     "qs16_overalls": f"SELECT id, round(({_ALL})::DOUBLE, 9) AS all_c, round(({_SOME})::DOUBLE, 9) AS without_time, round(least(1.0, {_ALL} + 0.06)::DOUBLE, 9) AS boosted, round(((completeness + consistency + accuracy) / 3)::DOUBLE, 9) AS mean_d FROM {_SCORED}",
     "qs20_report": f"SELECT id, CASE WHEN round(overall, 9) >= 0.9 THEN 'A' WHEN round(overall, 9) >= 0.8 THEN 'B' WHEN round(overall, 9) >= 0.7 THEN 'C' WHEN round(overall, 9) >= 0.6 THEN 'D' ELSE 'F' END || ')' AS grade FROM {_SCORED}",
     "qs24_recommendations": f"SELECT array_to_string(list_filter([CASE WHEN avg(overall) < 0.7 THEN 'Improve data quality at the source' END, CASE WHEN avg(CASE WHEN is_duplicate THEN 1 ELSE 0 END) > 0.1 THEN 'Tighten deduplication' END, CASE WHEN min(overall) < 0.3 THEN 'Reject records of the lowest level' END], lambda x: x IS NOT NULL), ';') AS advice FROM {_SCORED}",

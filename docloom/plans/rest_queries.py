@@ -66,12 +66,6 @@ def sup17_indexed(spark, sf_dir):
     return d.filter("doc_id % 10 <> 0").join(index.withColumn("known", F.lit(True)), "h", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def inf2_json_types(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    v = F.expr("schema_of_variant(variant_get(parse_json(props), '$.k', 'variant'))")
-    return e.groupBy(v.alias("type")).agg(F.count("*").alias("n"))
-
-
 def inf6_majority_kind(spark, sf_dir):
     rows = I.unpivot(_records(spark, sf_dir), "id", ["url", "price", "review_count", "name"]).filter("kind <> 'null'")
     votes = rows.groupBy("field", "kind").agg(F.count("*").alias("n"))
@@ -154,7 +148,6 @@ SQL: dict[str, str | None] = {
     "d14_reference": f"WITH s AS (SELECT doc_id, text, list_distinct({_TOK}) AS t FROM documents), r AS (SELECT * FROM s WHERE doc_id = 0) SELECT s.doc_id, s.text = r.text AS exact, round(coalesce(len(list_intersect(s.t, r.t)) / nullif(len(list_distinct(list_concat(s.t, r.t))), 0), 0), 6) AS jaccard FROM s, r",
     "d15_combined": f"WITH f AS MATERIALIZED (SELECT doc_id, ('0x' || fp)::UBIGINT AS h FROM ({_D4})), e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents), n AS (SELECT y.doc_id, min((x.doc_id, bit_count(xor(x.h, y.h)))) AS x FROM f x JOIN f y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.h, y.h)) <= 9 GROUP BY y.doc_id) SELECT e.doc_id, e.first < e.doc_id OR n.x IS NOT NULL AS is_duplicate, CASE WHEN e.first < e.doc_id THEN e.first ELSE n.x[1] END AS duplicate_of, CASE WHEN e.first < e.doc_id THEN 1.0 ELSE coalesce(1 - n.x[2] / 64, 0) END::DOUBLE AS similarity FROM e LEFT JOIN n USING (doc_id)",
     "sup17_indexed": "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 10 = 0) AS known FROM documents WHERE doc_id % 10 <> 0",
-    "inf2_json_types": "SELECT 'BIGINT' AS type, count(*) AS n FROM events",
     "inf6_majority_kind": "SELECT * FROM (VALUES ('url', 'string'), ('price', 'number'), ('review_count', 'integer'), ('name', 'string')) t(field, kind)",
     "inf11_tests": f"SELECT 'price' AS field, count(price) AS numbers, 0::BIGINT AS dates FROM {_R} UNION ALL SELECT 'scraped_date', 0, count(*) FROM {_R} UNION ALL SELECT 'name', 0, 0 ",
     "sup3_schema_match": "WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') || '/' || regexp_extract(url, '^[a-z]+://[^/?#]*/+([^/?#]+)', 1) AS k FROM pages) SELECT p.page_id, m AS schema_id FROM p LEFT JOIN (SELECT k, min(page_id) AS m FROM p WHERE page_id % 3 = 0 GROUP BY k) q ON p.k = q.k",

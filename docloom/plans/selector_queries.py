@@ -19,13 +19,6 @@ def _nodes(spark, sf_dir):
     return H.nodes(_pages(spark, sf_dir))
 
 
-def sup12_schema_by_pattern(spark, sf_dir):
-    """Field types and sample counts for each URL pattern."""
-    p = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("pattern"), "url", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("title"))
-    rows = I.unpivot(p, "page_id", ["url", "title"]).join(p.select("page_id", "pattern"), "page_id")
-    return rows.groupBy("pattern", "field").agg(F.count("*").alias("samples"), F.min("kind").alias("type"), F.bool_and(F.col("value") != "").alias("required"))
-
-
 def sel5_chain(spark, sf_dir):
     """CSS, then backups: the first of a chain that matches."""
     h = H.heal(_pages(spark, sf_dir), {"title": [".headline", "h1[itemprop=name]", "article h1", "title"]})
@@ -38,7 +31,6 @@ def ext6_confidence(spark, sf_dir):
 
 
 SQL: dict[str, str | None] = {
-    "sup12_schema_by_pattern": "SELECT regexp_extract(url, '://([^/?#:]*)', 1) AS pattern, f AS field, count(*) AS samples, 'string' AS type, bool_and(v <> '') AS required FROM (SELECT url, unnest(['url', 'title']) AS f, unnest([url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)]) AS v FROM pages) GROUP BY ALL",
     "sel5_chain": "SELECT 2 AS used, count(*) AS n FROM pages WHERE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> ''",
     "ext6_confidence": "SELECT round((CASE WHEN trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(html, '<div class=\"ad\">[^<]*[^<\\s]') THEN 1 ELSE 0 END + 1) / 4, 6) AS confidence, count(*) AS n FROM pages GROUP BY 1",
 }

@@ -46,10 +46,6 @@ def snk1_json_arrays(spark, sf_dir):
     return io.json_arrays(n, "n_regionkey", "n_nationkey")
 
 
-def snk3_content(spark, sf_dir):
-    return io.content(_pages(spark, sf_dir), ".html").select("url", F.md5("content").alias("md5"))
-
-
 SQL: dict[str, str | None] = {
     "src3_responses": "SELECT url, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END::BIGINT AS status, CASE WHEN page_id % 10 = 0 THEN 'Not Found' ELSE 'OK' END AS reason, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=\"ISO-8859-1\"' WHEN 1 THEN 'text/html; charset=UTF-8' ELSE 'text/html' END AS content_type, CASE page_id % 3 WHEN 0 THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding, length(html) AS n FROM pages",
     "src6_curl": "SELECT page_id, 'PUT' AS method, url, 'text/html' AS accept, '2' AS b, 'k=' || page_id AS body FROM pages",
@@ -57,6 +53,5 @@ SQL: dict[str, str | None] = {
     "src8_har": f"SELECT session_id, name, arg_max(value, ord) AS value, domain FROM ({base.COOKIES}) WHERE session_id IN (SELECT c_custkey FROM customer) GROUP BY session_id, name, domain",
     "snk2_json_lines": "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation",
     "snk1_json_arrays": "SELECT n_regionkey, '[' || string_agg('{\"n_regionkey\":' || n_regionkey || ',\"n_nationkey\":' || n_nationkey || '}', ',' ORDER BY n_nationkey) || ']' AS array FROM nation GROUP BY n_regionkey",
-    "snk3_content": "SELECT url, md5(html) AS md5 FROM pages",
 }
 QUERIES = {name: globals()[name] for name in SQL}
