@@ -218,9 +218,11 @@ def compile_css(css: str) -> tuple[list[Steps], str | None]:
         elif (c := m[2].strip()) == ",":
             out.append([])
             combinator = " "
-        else:
-            combinator = c or " "
-    if not all(out):
+        elif c:
+            if combinator != " " or not out[-1]:
+                raise ValueError(f"unsupported selector: {css}")
+            combinator = c
+    if not all(out) or combinator != " ":
         raise ValueError(f"empty selector: {css!r}")
     return out, take
 

@@ -127,8 +127,9 @@ def test_html_selection():
     assert found("#m > p") == ["1", "2"] and found("div .b") == ["2"] and found("p:nth-of-type(2)") == ["2"] and found("li a, p.b") == ["2", "l"]
     assert len(html.matches(tree, "div.item")) == 5000 and found("a[href^='/q']") == ["l"] and found("ul > a") == []
     assert html.contents(tree)[tree[0].id] == "12"
+    assert found("a:hover") == []  # no page is in a browser's state
     with pytest.raises(ValueError):
-        html.compile_css("p:hover")
+        html.matches(tree, "a:nonsense")
 
 
 def test_sources(spark):
