@@ -110,12 +110,18 @@ def selector_confidence(css: Column, unique: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
 
 
-def validation_regex(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, regex): common prefix and suffix of three values or more, the middle free."""
-    g = rows.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count_distinct(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.min(F.reverse(value)).alias("rlo"), F.max(F.reverse(value)).alias("rhi"))
+#: Patterns of values whose type says enough.
+TYPE_PATTERNS = {"url": r"^https?://[^\s]+$", "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "number": r"^-?\d+(\.\d+)?$"}
+
+
+def validation_regex(rows: DataFrame, group: str, value: str, kind: str | None = None) -> DataFrame:
+    """(group, regex): the pattern of the group's type (column ``kind``) if it has one, else common prefix and suffix of three values or more, the middle free."""
+    fixed = F.create_map(*(F.lit(x) for kv in TYPE_PATTERNS.items() for x in kv))
+    own = F.min(kind) if kind else F.lit(None).cast("string")
+    g = rows.filter(F.col(value).isNotNull()).groupBy(group).agg(own.alias("kind"), F.count_distinct(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.min(F.reverse(value)).alias("rlo"), F.max(F.reverse(value)).alias("rhi"))
     prefix, suffix = T.common_prefix(F.col("lo"), F.col("hi")), F.reverse(T.common_prefix(F.col("rlo"), F.col("rhi")))
-    literal = lambda c: F.regexp_replace(c, r"([.+*?^${}()|\[\]\\])", r"\\$1")
-    return g.select(group, F.when(F.col("n") >= 3, F.concat(F.lit("^"), literal(prefix), F.lit(".*"), literal(suffix), F.lit("$"))).alias("regex"))
+    literal = lambda c: F.regexp_replace(c, r"([.+*?^${}()|\[\]\\-])", r"\\$1")
+    return g.select(group, F.coalesce(F.try_element_at(fixed, F.col("kind")), F.when(F.col("n") >= 3, F.concat(F.lit("^"), literal(prefix), F.lit(".*"), literal(suffix), F.lit("$")))).alias("regex"))
 
 
 def fuzzy_ratio(df: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
@@ -180,16 +186,41 @@ def fuzzy_unique(rows: DataFrame, key: str, text: str, order: Sequence[str], lea
     return packed.mapInArrow(run, f"`{key}` {kind}, `{text}` string")
 
 
-def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, weight): term frequency by inverse document frequency, each key's vector of length one."""
+def tfidf(rows: DataFrame, key: str, text: str, features: int | None = None) -> DataFrame:
+    """(key, token, weight): term frequency by inverse document frequency, each key's vector of length one.
+
+    With ``features`` only so many tokens of the greatest counts, ties by name.
+    """
     tf = rows.select(key, F.explode(T.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    if features:
+        df = df.orderBy(F.desc("total"), "token").limit(features)
     n = F.broadcast(rows.agg(F.count_distinct(key).alias("n")))
     w = tf.join(df, "token").crossJoin(n).select(key, "token", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def cosine_pairs(vectors: DataFrame, key: str, over: float) -> DataFrame:
+    """(a, b, similarity): pairs of keys with a cosine over ``over``, a < b.
+
+    Vectors have length one and no negative weight.  The last weights of a vector,
+    by rarity of their tokens, whose squares stay under ``over`` squared, cannot
+    make a pair on their own, so only the other tokens are joined; pairs that meet
+    are summed over all tokens in common.
+    """
+    df = vectors.groupBy("token").agg(F.count("*").alias("df"))
+    w = Window.partitionBy(key).orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
+    held = vectors.join(df, "token").withColumn("upto", F.sum(F.col("weight") * F.col("weight")).over(w))
+    keys = held.filter(F.col("upto") >= over * over - 1e-9).select(key, "token")
+    x, y = keys.alias("x"), keys.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col(f"x.{key}") < F.col(f"y.{key}"))).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    v = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("v"))
+    both = met.join(v.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
+    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
+    return both.select("a", "b", dot.alias("similarity")).filter(F.col("similarity") > over)
+
+
 def nearest_example(queries: DataFrame, examples: DataFrame, key: str) -> DataFrame:
     """(query, example, similarity): the example with the greatest cosine for each query, over tokens in common."""
     q, e = queries.select(F.col(key).alias("query"), "token", F.col("weight").alias("qw")), examples.select(F.col(key).alias("example"), "token", F.col("weight").alias("ew"))

@@ -52,9 +52,10 @@ def gen1_candidates(spark, sf_dir):
 
 
 def rep3_dom_similarity(spark, sf_dir):
-    p = _pages(spark, sf_dir).select("page_id", H.tag_set(F.col("html")).alias("tags"))
-    q = p.select((F.col("page_id") - 1).alias("page_id"), F.col("tags").alias("other"))
-    return p.join(q, "page_id").select("page_id", F.round(H.jaccard(F.col("tags"), F.col("other")), 6).alias("similarity"))
+    """Each page against the first page of its host."""
+    p = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"), H.tag_set(F.col("html")).alias("tags"))
+    first = p.groupBy("host").agg(F.min_by("tags", "page_id").alias("other"))
+    return p.join(first, "host").select("page_id", F.round(H.jaccard(F.col("tags"), F.col("other")), 6).alias("similarity"))
 
 
 def conv1_text(spark, sf_dir):
@@ -81,7 +82,7 @@ SQL: dict[str, str | None] = {
     "ext7_heal": "SELECT 'title' AS name, 1 AS used, count(*) AS n FROM pages WHERE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' UNION ALL SELECT 'ad', 0, count(*) FROM pages WHERE regexp_matches(html, '<div class=\"ad\">[^<]')",
     "ext3_convert": f"SELECT id, CAST(replace('1,' || (id % 1000), ',', '') AS BIGINT) AS i, try_cast(name AS DOUBLE) AS f, id % 2 = 0 AS b, CASE WHEN scraped_date LIKE '%/%' THEN '2024-02-01' ELSE scraped_date END AS d, upper(brand) || ' X&Y' AS t FROM ({base.RECORDS})",
     "gen1_candidates": "SELECT s AS selector, c AS confidence, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['div.ad', 'meta[charset=\"utf-8\"]', 'html[lang=\"' || regexp_extract(html, 'lang=\"([a-z]+)\"', 1) || '\"]']) AS s, unnest([0.6::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE]) AS c FROM pages) GROUP BY ALL",
-    "rep3_dom_similarity": f"WITH t AS (SELECT page_id, {_TAGS} AS tags FROM pages) SELECT a.page_id, round(len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))), 6) AS similarity FROM t a JOIN t b ON b.page_id = a.page_id + 1",
+    "rep3_dom_similarity": f"WITH t AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, {_TAGS} AS tags FROM pages), f AS (SELECT host, arg_min(tags, page_id) AS other FROM t GROUP BY host) SELECT page_id, round(len(list_intersect(tags, other)) / len(list_distinct(list_concat(tags, other))), 6) AS similarity FROM t JOIN f USING (host)",
     "conv1_text": f"SELECT page_id, md5(trim({_TEXT}, chr(10) || chr(13) || chr(9) || ' ')) AS text_md5 FROM pages",
     "conv3_body": f"SELECT page_id, md5({_NOISE.format(x=chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<body[^>]*>(.*?)(?:</body>|$)' + chr(39) + ', 1)')}) AS body_md5 FROM pages",
 }

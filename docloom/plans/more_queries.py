@@ -11,7 +11,9 @@ from docloom.operators import learning as L
 from docloom.operators import monitoring as M
 from docloom.operators import records as R
 from docloom.plans import base
+from docloom.operators import tables as X
 from docloom.plans.record_queries import _SCORED, scored
+from docloom.plans.text_queries import SQL as TEXT
 
 
 def _pages(spark, sf_dir):
@@ -19,8 +21,21 @@ def _pages(spark, sf_dir):
 
 
 def inf10_regex(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.concat(F.lit("item-"), "p_type", F.lit("-"), "p_brand", F.lit(".html")).alias("s"))
-    return L.validation_regex(p, "p_brand", "s").select("p_brand", F.startswith("regex", F.lit("^item-")).alias("ok"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.concat(F.lit("item-"), "p_type", F.lit("-"), "p_brand", F.lit(".html")).alias("s"), F.when(F.col("p_brand").endswith("1"), "url").when(F.col("p_brand").endswith("2"), "number").alias("kind"))
+    return L.validation_regex(p, "p_brand", "s", "kind")
+
+
+def inf19_groups(spark, sf_dir):
+    """Greedy groups of benchmark items: an item joins the first that is no member and whose cosine over a hundred terms is over 0.7."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    pairs = L.cosine_pairs(L.tfidf(b, "item_id", "text", 100), "item_id", 0.7)
+    return D.first_seen(pairs, b.select("item_id").distinct()).select(F.col("k").alias("item_id"), F.coalesce("duplicate_of", "k").alias("first"))
+
+
+def d19_ttl(spark, sf_dir):
+    """URLs that were not let through within 24 hours before."""
+    e = base.derived(spark, sf_dir, base.CRAWL).select("url", F.floor(M.seconds(F.col("ts")) / 3600).alias("hour"), "event_id")
+    return X.sink_unseen(e, "url", "hour", "event_id", 24)
 
 
 def inf19_nearest(spark, sf_dir):
@@ -95,8 +110,15 @@ _W = {"completeness": 0.25, "accuracy": 0.25, "consistency": 0.20, "timeliness":
 _ALL = "(" + " + ".join(f"{k} * {w}" for k, w in _W.items()) + ") / 0.95"
 _SOME = "(" + " + ".join(f"{k} * {w}" for k, w in _W.items() if k != "timeliness") + ") / 0.8"
 
+_LIT = "regexp_replace({x}, '([.+*?^${{}}()|\\[\\]\\\\-])', '\\\\\\1', 'g')"
+
 SQL: dict[str, str | None] = {
-    "inf10_regex": "SELECT p_brand, CASE WHEN count(DISTINCT p_type) >= 3 THEN true END AS ok FROM part GROUP BY p_brand",
+    "inf10_regex": "SELECT a.p_brand, CASE WHEN suffix(a.p_brand, '1') THEN '^https?://[^\\s]+$' WHEN suffix(a.p_brand, '2') THEN '^-?\\d+(\\.\\d+)?$' WHEN n >= 3 THEN '^' || " + _LIT.format(x="prefix") + " || '.*' || " + _LIT.format(x="suffix") + " || '$' END AS regex FROM (" + TEXT["txt_common_affix"] + ") a JOIN (SELECT p_brand, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand) USING (p_brand)",
+    "inf19_groups": r"""WITH RECURSIVE t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token ORDER BY sum(tf) DESC, token LIMIT 100),
+      w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)), u AS MATERIALIZED (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w),
+      p AS MATERIALIZED (SELECT a.item_id AS a, b.item_id AS b FROM u a JOIN u b ON a.token = b.token AND a.item_id < b.item_id GROUP BY ALL HAVING sum(a.w * b.w) > 0.7), k AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM (SELECT DISTINCT item_id FROM benchmark)), n AS MATERIALIZED (SELECT k.i, k.item_id, list(p.a) AS near FROM k LEFT JOIN p ON p.b = k.item_id GROUP BY ALL),
+      g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS first UNION ALL SELECT i, CASE WHEN f IS NULL THEN list_append(kept, item_id) ELSE kept END, item_id, coalesce(f, item_id) FROM (SELECT n.i, n.item_id, g.kept, list_min(list_filter(g.kept, lambda x: list_contains(n.near, x))) AS f FROM g JOIN n ON n.i = g.i + 1)) SELECT item_id, first FROM g WHERE item_id IS NOT NULL""",
+    "d19_ttl": f"WITH RECURSIVE e AS (SELECT url, CAST(floor(epoch_us(ts) / 1000000 / 3600) AS BIGINT) AS hour, min(event_id) AS event_id FROM {_E} GROUP BY ALL), s AS (SELECT url, min(hour) AS hour FROM e GROUP BY url UNION ALL SELECT s.url, (SELECT min(e.hour) FROM e WHERE e.url = s.url AND e.hour >= s.hour + 24) FROM s WHERE s.hour IS NOT NULL) SELECT s.url, s.hour, e.event_id FROM s JOIN e USING (url, hour)",
     "inf19_nearest": r"""WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token), w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)),
       u AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w), s AS (SELECT a.item_id AS query, b.item_id AS example, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY ALL) SELECT query, arg_max(example, (s, -example)) AS example, round(max(s), 6) AS similarity FROM s GROUP BY query""",
     "d13_fuzzy": None,
