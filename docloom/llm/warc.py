@@ -5,8 +5,9 @@ response, a ``metadata`` record (application/warc-fields: what the source was, i
 headers and digests) and a ``conversion`` record (text/plain).  Both name their
 source in WARC-Refers-To, WARC-Refers-To-Target-URI and WARC-Refers-To-Date, and
 carry their own block digests.  ``write`` stores records as WARC files with Spark's
-text writer: the line separator is the blank lines that end a record.  ``parse``
-reads a file's bytes back.
+text writer: the line separator is the blank lines that end a record.  A file is
+compressed as one member, so it is read from its beginning.  ``read`` and ``parse``
+read files back.
 
 Record ids are name-based UUIDs of what a record holds, so a lost task that runs
 again makes the same records.  Null html is an empty payload, a null url an empty
@@ -17,6 +18,7 @@ give repeated records, an empty table none; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -130,12 +132,14 @@ def write(records: DataFrame, path: str) -> None:
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed WARC file."""
+    """(headers, block) of each record of an uncompressed WARC file, in time proportional to its size."""
     out, at = [], 0
     while at < len(data):
-        head, _, _ = data[at:].partition(b"\r\n\r\n")
-        named = dict(x.split(": ", 1) for x in head.decode().split(CRLF)[1:])
-        start = at + len(head) + 4
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            raise ValueError(f"no end of headers after byte {at}")
+        named = dict(x.split(": ", 1) for x in data[at:end].decode().split(CRLF)[1:])
+        start = end + 4
         stop = start + int(named["Content-Length"])
         out.append((named, data[start:stop]))
         if data[stop : stop + 4] != b"\r\n\r\n":
@@ -144,5 +148,20 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(record_type, record_id, target_uri, refers_to, block) of the records of written files, a file to a task at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    names = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                records = parse(gzip.decompress(content.as_py()))
+                columns = [pa.array([h.get(n) for h, _ in records], pa.string()) for n in names.values()]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.decode() for _, x in records], pa.string())], [*names, "block"])
+
+    return files.mapInArrow(run, ", ".join(f"{n} string" for n in (*names, "block")))
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(table(spark, sf_dir, "pages")))

@@ -42,11 +42,11 @@ def tables(spark, tmp_path_factory):
 
 
 def brute_near(docs):
-    """Groups of (id, text) rows by plain comparison of all pairs; the least of each stays, rows that repeat once."""
+    """Groups of (id, text) rows by plain comparison of all pairs that have a shingle in common; the least of each stays, rows that repeat once."""
     rows = sorted(set(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     hashes = [simhash.shingle_hashes(simhash.words(t), simhash.COPY_SHINGLE) for _, t in rows]
     fps = [simhash.fingerprint(h) for h in hashes]
-    least = [simhash.minima(h).reshape(-1, 2).tolist() for h in hashes]
+    shingles = [set(h.tolist()) for h in hashes]
     root = list(range(len(rows)))
 
     def find(i):
@@ -56,7 +56,7 @@ def brute_near(docs):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= simhash.COPY_RADIUS and any(x == y for x, y in zip(least[i], least[j], strict=True)):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.COPY_RADIUS and (shingles[i] & shingles[j] or not shingles[i] | shingles[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [r for i, r in enumerate(rows) if find(i) == i]
@@ -116,3 +116,29 @@ def test_every_stage(spark, tables):
     got = [tuple(r) for r in stages["bpe"](spark, clean, tables).collect()]
     assert sorted(map(str, got)) == sorted(map(str, rows))
     assert sorted(map(str, map(tuple, corpus_pipeline.run(spark, tables).collect()))) == sorted(map(str, got))
+
+
+CLASHING = ["_score", "_kept", "_dropped", "row", "k1", "k2", "node", "fp", "spans", "items", "a column", "Text 2", "group", "doc", "runs", "pos"]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(spark, tables, stage):
+    from pyspark.sql import functions as F
+
+    work = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    more = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    plain, kept = work(spark, docs, tables), work(spark, more, tables)
+    if stage != "bpe":
+        assert kept.columns == more.columns and kept.select(*(F.col(f"`{c}`") for c in CLASHING)).distinct().collect() == [tuple(range(len(CLASHING)))]
+        kept = kept.select(*docs.columns)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables_and_tables_of_nulls(spark, tables, stage):
+    work = dict(corpus_pipeline.STAGES)[stage]
+    schema = spark.read.parquet(f"{tables}/documents.parquet").schema
+    assert work(spark, spark.createDataFrame([], schema), tables).count() == 0
+    nulls = spark.createDataFrame([(None,) * 5, (None,) * 5, (1, None, None, None, None)], schema)
+    assert work(spark, nulls, tables).count() == {"simhash_near_dedup": 1}.get(stage, 3)
