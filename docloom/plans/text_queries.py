@@ -138,7 +138,7 @@ def _shingled(spark, sf_dir):
 
 
 def _signed(words, form):
-    return words.select("doc_id", D.minhash(F.col("words"), form=form).alias("signature"))
+    return D.minhash(words, "doc_id", "words", form=form)
 
 
 def _word_sets(spark, sf_dir):
