@@ -166,3 +166,8 @@ def work_step(results: DataFrame, seen: DataFrame, most: int) -> DataFrame:
     """(url, depth): what a worker adds after its pages (url, depth, links): unseen links of pages above the greatest depth, at their least depth."""
     links = results.filter(F.col("depth") < most).select(F.explode("links").alias("url"), (F.col("depth") + 1).alias("depth"))
     return links.groupBy("url").agg(F.min("depth").alias("depth")).join(seen, "url", "left_anti")
+
+
+def pending(tasks: DataFrame, limit: int, status: str = "pending") -> DataFrame:
+    """The first ``limit`` tasks of a status by priority, age and id."""
+    return tasks.filter(F.col("status") == status).orderBy("priority", "created_at", "task_id").limit(limit)

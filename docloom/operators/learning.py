@@ -283,3 +283,18 @@ def selectors_for(pages: DataFrame, description: str, k: int, key: str = "page_i
     w = Window.partitionBy(key).orderBy(F.desc("score"), "node_id")
     best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(key, "node_id", "place", "score")
     return best.join(H.selector_paths(pages, key=key), [key, "node_id"]).select(key, "place", "node_id", "score", "css")
+
+
+def first_schema(pages: DataFrame, schemas: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Pages with the first schema (pattern, schema_id) that their URL pattern has; null without one."""
+    first = schemas.groupBy(pattern).agg(F.min("schema_id").alias("schema_id"))
+    return pages.join(first, pattern, "left")
+
+
+def base_selectors(examples: DataFrame, group: str, selectors: str, order: str) -> DataFrame:
+    """(group, selectors): those of a group's first example that has any."""
+    return examples.groupBy(group).agg(F.min_by(selectors, F.when(F.col(selectors).isNotNull(), F.col(order))).alias("selectors"))
+
+
+def example_id(url: Column, html: Column) -> Column:
+    return F.md5(F.concat_ws("|", url, F.md5(html)))

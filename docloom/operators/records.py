@@ -320,3 +320,17 @@ def name_groups(rows: DataFrame) -> DataFrame:
     one = rows.filter("kind <> 'null'").groupBy("field").agg(F.min("kind").alias("kind"))
     g = one.groupBy(stem.alias("base")).agg(F.count("*").alias("fields"), F.count_distinct("kind").alias("kinds"))
     return g.filter("fields > 1").select("base", "fields", (F.col("kinds") == 1).alias("one_type"))
+
+
+def consistency_reference(records: DataFrame, reference: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Records with ``consistency``: the mean over fields of the share of reference rows that have a value's form.
+
+    ``fields`` names for each a pattern that its well-formed values match; a
+    value without it agrees with no reference value that has it.  The reference is
+    ten rows, so its shares are one row.
+    """
+    has = {f: F.coalesce(F.col(f).rlike(p), F.lit(False)) for f, p in fields.items()}
+    shares = reference.agg(F.count("*").alias("_n"), *(F.count_if(has[f]).alias(f"_{f}") for f in fields))
+    j = records.crossJoin(F.broadcast(shares))
+    each = [F.when(has[f], F.col(f"_{f}")).otherwise(F.col("_n") - F.col(f"_{f}")) / F.col("_n") for f in fields]
+    return j.withColumn("consistency", sum(each[1:], each[0]) / len(each)).drop("_n", *(f"_{f}" for f in fields))

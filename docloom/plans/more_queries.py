@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
+from docloom.operators import crawl as C
 from docloom.operators import dedup as D
 from docloom.operators import html as H
 from docloom.operators import learning as L
@@ -71,8 +72,7 @@ def enr3_json(spark, sf_dir):
 
 
 def sup18_pending(spark, sf_dir):
-    t = base.derived(spark, sf_dir, base.TASKS).filter("status = 'pending'")
-    return t.orderBy("priority", "created_at", "task_id").limit(40).select("task_id", "priority")
+    return C.pending(base.derived(spark, sf_dir, base.TASKS), 40).select("task_id", "priority")
 
 
 def scl2_cooldown(spark, sf_dir):
@@ -98,11 +98,10 @@ def qs24_recommendations(spark, sf_dir):
 
 
 def qs9_reference(spark, sf_dir):
+    """Against the first ten records."""
     r = base.derived(spark, sf_dir, base.RECORDS)
-    ref = r.orderBy("id").limit(10).agg(F.sum(F.when(F.contains("contact_email", F.lit("@")), 0).otherwise(1)).alias("no_at"), F.count("*").alias("n"))
-    j = r.crossJoin(F.broadcast(ref))
-    bad = F.when(F.contains("contact_email", F.lit("@")), F.col("no_at")).otherwise(0)
-    return j.select("id", F.round(1 - bad / F.col("n"), 6).alias("consistency"))
+    c = R.consistency_reference(r, r.orderBy("id").limit(10), {"contact_email": "@", "scraped_date": r"^\d{4}-\d{2}-\d{2}$"})
+    return c.select("id", F.round("consistency", 6).alias("consistency"))
 
 
 _E, _T = f"({base.CRAWL})", f"({base.TASKS})"
@@ -130,6 +129,6 @@ SQL: dict[str, str | None] = {
     "qs16_overalls": f"SELECT id, round(({_ALL})::DOUBLE, 9) AS all_c, round(({_SOME})::DOUBLE, 9) AS without_time, round(least(1.0, {_ALL} + 0.06)::DOUBLE, 9) AS boosted, round(((completeness + consistency + accuracy) / 3)::DOUBLE, 9) AS mean_d FROM {_SCORED}",
     "qs20_report": f"SELECT id, CASE WHEN round(overall, 9) >= 0.9 THEN 'A' WHEN round(overall, 9) >= 0.8 THEN 'B' WHEN round(overall, 9) >= 0.7 THEN 'C' WHEN round(overall, 9) >= 0.6 THEN 'D' ELSE 'F' END || ')' AS grade FROM {_SCORED}",
     "qs24_recommendations": f"SELECT array_to_string(list_filter([CASE WHEN avg(overall) < 0.7 THEN 'Improve data quality at the source' END, CASE WHEN avg(CASE WHEN is_duplicate THEN 1 ELSE 0 END) > 0.1 THEN 'Tighten deduplication' END, CASE WHEN min(overall) < 0.3 THEN 'Reject records of the lowest level' END], lambda x: x IS NOT NULL), ';') AS advice FROM {_SCORED}",
-    "qs9_reference": f"WITH r AS (SELECT id, contains(contact_email, '@') AS a FROM ({base.RECORDS})), f AS (SELECT count(*) FILTER (NOT a) AS no_at, count(*) AS n FROM (SELECT a FROM r ORDER BY id LIMIT 10)) SELECT id, round(1 - CASE WHEN a THEN no_at ELSE 0 END / n, 6) AS consistency FROM r, f",
+    "qs9_reference": f"WITH r AS (SELECT id, contains(contact_email, '@') AS a, regexp_matches(scraped_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AS d FROM ({base.RECORDS})), f AS (SELECT count(*) FILTER (a) AS na, count(*) FILTER (d) AS nd, count(*) AS n FROM (SELECT a, d FROM r ORDER BY id LIMIT 10)) SELECT id, round((CASE WHEN a THEN na ELSE n - na END / n + CASE WHEN d THEN nd ELSE n - nd END / n) / 2, 6) AS consistency FROM r, f",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -10,6 +10,7 @@ from docloom.operators import dedup as D
 from docloom.operators import extensions as X
 from docloom.operators import html as H
 from docloom.operators import inference as I
+from docloom.operators import learning as L
 from docloom.operators import politeness as P
 from docloom.operators import records as R
 from docloom.plans import base
@@ -62,8 +63,7 @@ def d15_combined(spark, sf_dir):
 def sup17_indexed(spark, sf_dir):
     """Rows that an index already holds are duplicates without a check."""
     d = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
-    index = d.filter("doc_id % 10 = 0").select("h").distinct()
-    return d.filter("doc_id % 10 <> 0").join(index.withColumn("known", F.lit(True)), "h", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
+    return D.marked_known(d.filter("doc_id % 10 <> 0"), d.filter("doc_id % 10 = 0"), "h").select("doc_id", "known")
 
 
 def inf6_majority_kind(spark, sf_dir):
@@ -79,17 +79,15 @@ def inf11_tests(spark, sf_dir):
 
 def sup3_schema_match(spark, sf_dir):
     p = _pages(spark, sf_dir).select("page_id", U.url_pattern(F.col("url")).alias("pattern"))
-    schemas = p.filter("page_id % 3 = 0").groupBy("pattern").agg(F.min("page_id").alias("schema_id"))
-    return p.join(schemas, "pattern", "left").select("page_id", "schema_id")
+    return L.first_schema(p, p.filter("page_id % 3 = 0").withColumnRenamed("page_id", "schema_id")).select("page_id", "schema_id")
 
 
 def sup14_base_selector(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    return r.groupBy("brand").agg(F.min_by("description", F.when(F.col("description").isNotNull(), F.col("id"))).alias("selectors"))
+    return L.base_selectors(_records(spark, sf_dir), "brand", "description", "id")
 
 
 def sup16_example_id(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.md5(F.concat_ws("|", "url", F.md5("html"))).alias("example_id"))
+    return _pages(spark, sf_dir).select("page_id", L.example_id(F.col("url"), F.col("html")).alias("example_id"))
 
 
 def crw8_hook(spark, sf_dir):
