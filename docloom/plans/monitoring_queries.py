@@ -58,7 +58,7 @@ def mon_frequencies(spark, sf_dir):
 
 
 def mon_alerts(spark, sf_dir):
-    m = M.counters(_crawl(spark, sf_dir))
+    m = M.counters(_crawl(spark, sf_dir)).withColumns({"cpu_percent": F.lit(0), "memory_percent": F.lit(0), "status": F.lit("running")})
     out = None
     for name, rules in (("A", M.RULES_A), ("B", M.RULES_B), ("C", M.RULES_C)):
         part = M.alerts(m, rules).withColumn("list", F.lit(name))
@@ -83,7 +83,7 @@ _C = f"({base.CRAWL})"
 _COUNT = f"""(SELECT *, 100.0 * successes / requests AS success_rate, 100.0 * blocks / requests AS block_rate, 100.0 * failures / requests AS failure_rate, coalesce(requests / nullif(elapsed, 0), 0) AS requests_per_second FROM (
   SELECT crawl_id, count(*) AS requests, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, count(*) FILTER (blocked) AS blocks, CAST(sum(bytes) AS BIGINT) AS bytes, avg(response_time) AS avg_response_time,
     min(response_time) AS min_response_time, max(response_time) AS max_response_time, count(DISTINCT url) AS urls, max(depth) AS depth, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS elapsed FROM {_C} GROUP BY crawl_id))"""
-_RULES = " UNION ALL ".join(f"SELECT crawl_id, '{n}' AS rule, '{s}' AS severity, '{m}' AS message, '{lst}' AS list FROM {_COUNT} WHERE {c}" for lst, rs in (("A", M.RULES_A), ("B", M.RULES_B), ("C", M.RULES_C)) for n, c, s, m in rs)
+_RULES = " UNION ALL ".join(f"SELECT crawl_id, '{n}' AS rule, '{s}' AS severity, '{m}' AS message, '{lst}' AS list FROM (SELECT *, 0 AS cpu_percent, 0 AS memory_percent, 'running' AS status FROM {_COUNT}) WHERE {c}" for lst, rs in (("A", M.RULES_A), ("B", M.RULES_B), ("C", M.RULES_C)) for n, c, s, m in rs)
 _BOUNDS = " UNION ALL ".join(f"SELECT crawl_id, '{b}' AS le, count(*) FILTER (response_time <= {b}) AS n FROM {_C} GROUP BY crawl_id" for b in M.BUCKETS)
 
 SQL: dict[str, str | None] = {
