@@ -4,10 +4,11 @@ Words are split in Spark tasks, each distinct word of the corpus is encoded
 once, and ids are joined back by position:
 
 * the most frequent words (``bound`` of them at most, compared as they are) are
-  broadcast, and a document's ids of these are put down where it is read, with a
-  hole at the position of every other word;
+  broadcast, and a document is put down as their numbers, by frequency and so in a
+  byte or two each, with a hole at the position of every other word;
 * the other words, once for each document with the holes they belong to, are
-  shuffled to their ids, and these to the document, where the holes are filled.
+  shuffled to their ids, and these to the document, where numbers and holes are
+  replaced by ids.
 
 ``decode`` joins ids to pieces through the id-to-piece table, whose size is the
 tokenizer's vocabulary, so that each task has the whole of it.
@@ -19,10 +20,12 @@ read.
 
 from __future__ import annotations
 
+import marshal
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 from docloom.llm.common import small_batches, table, with_fields
 from docloom.llm.vocabulary import BROADCAST_PIECES, Encoder, Splitter, by_frequency, encoded, piece_counts, tokenizer
 
+#: In the place of a word's number: a word that the broadcast table lacks.
+HOLE = 0xFFFFFFFF
+
 
 def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", bound: int = BROADCAST_PIECES, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): the ids of every row's whole text; with ``decoded`` also what ``decode`` makes of them, in the same pass."""
@@ -38,51 +44,53 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = Splitter(tokenizer_path, "word")
-    # the highest number of a kind stands for a hole
-    kind = "<u2" if tokenizer(tokenizer_path).get_vocab_size() < 0xFFFF else "<u4"
+    kind = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
     words = encoded(piece_counts(docs, "text", split), Encoder(tokenizer_path), kind)
     known, rare = by_frequency(words, bound, "ids")
     pieces = piece_table(spark, tokenizer_path) if decoded else None
-    hole = np.array([-1], kind[1:].replace("u", "i")).tobytes()
 
     def put_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        number = {w: i for i, w in enumerate(known.value)}
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            ids, names, at, ends = [], [], [], [0]
+            held = []
             for x in b.column(1).to_pylist():
                 ws = split(x)
-                found = list(map(get, ws))
-                if None in found:
-                    holes: dict[str, list[int]] = {}
-                    n = 0
-                    for i, part in enumerate(found):
-                        if part is None:
-                            found[i] = hole
-                            holes.setdefault(ws[i], []).append(n)
-                            n += 1
-                    names += holes
-                    at += holes.values()
-                ids.append(b"".join(found))
-                ends.append(len(names))
-            offsets = pa.array(ends, pa.int32())
-            others = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(at, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *others], ["doc_id", "ids", "p", "at"])
+                at = np.array([number.get(w, HOLE) for w in ws], "<u4")
+                holes: dict[str, list[int]] = {}
+                for n, i in enumerate(np.flatnonzero(at == HOLE).tolist()):
+                    holes.setdefault(ws[i], []).append(n)
+                planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T)
+                held.append(marshal.dumps((pack(planes.tobytes()), list(holes), list(holes.values()))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["doc_id", "held"])
+
+    def holes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, names, at = [], [], []
+            for row, x in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, own, places = marshal.loads(x)
+                rows += [row] * len(own)
+                names += own
+                at += places
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.string()), pa.array(at, pa.list_(pa.int32()))], ["row", "piece", "at"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.dtype(kind).itemsize
+        ids_of = list(known.value.values())
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            ids = b.column(1).to_pylist()
             flat = b.column(2).flatten()
             at, own = flat.field(0).to_pylist(), flat.field(1).to_pylist()
             ends = np.cumsum([0, *(len(x) if x.is_valid else 0 for x in b.column(2))])
-            for i in np.flatnonzero(np.diff(ends)):
-                holes = np.flatnonzero(np.frombuffer(ids[i], kind) == np.frombuffer(hole, kind)[0])
-                by_hole = [(holes[n], x) for ns, x in zip(at[ends[i] : ends[i + 1]], own[ends[i] : ends[i + 1]], strict=True) for n in ns]
-                parts, last = [], 0
-                for where, x in sorted(by_hole):
-                    parts += (ids[i][last : size * where], x)
-                    last = size * (where + 1)
-                ids[i] = b"".join((*parts, ids[i][last:]))
+            ids = []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                planes = np.frombuffer(unpack(marshal.loads(x)[0]), np.uint8)
+                numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+                holes = np.flatnonzero(numbers == HOLE)
+                parts = [b"" if n == HOLE else ids_of[n] for n in numbers.tolist()]
+                for places, word in zip(at[ends[i] : ends[i + 1]], own[ends[i] : ends[i + 1]], strict=True):
+                    for n in places:
+                        parts[holes[n]] = word
+                ids.append(b"".join(parts))
             columns, names = [b.column(0), _lists(ids, kind)], ["doc_id", "ids"]
             if pieces is not None:
                 columns.append(pa.array([_joined(np.frombuffer(x, kind), pieces) for x in ids], pa.string()))
@@ -90,12 +98,12 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays(columns, names)
 
     ids_kind = ArrayType(IntegerType())
-    put = with_fields(docs.select("doc_id").schema, ids=BinaryType(), p=ArrayType(StringType()), at=ArrayType(ids_kind))
-    # a number that is this row's own, so that repeated rows stay apart; both uses of this shuffle read the same files
+    put = with_fields(docs.select("doc_id").schema, held=BinaryType())
+    # a number that is this row's own, so that repeated rows stay apart; both uses of this shuffle read all of its columns, so they share its files
     rows = docs.mapInArrow(put_down, put).withColumn("row", F.monotonically_increasing_id()).repartition("row")
-    holes = rows.select("row", F.explode(F.arrays_zip("p", "at")).alias("x")).select("row", F.col("x.p").alias("piece"), F.col("x.at").alias("at"))
+    holes = rows.mapInArrow(holes_of, "row long, piece string, at array<int>")
     found = holes.join(rare.select("piece", F.col("ids").alias("own")), "piece").groupBy("row").agg(F.collect_list(F.struct("at", "own")).alias("found"))
-    whole = rows.select("row", "doc_id", "ids").join(found, "row", "left").select("doc_id", "ids", "found")
+    whole = rows.join(found, "row", "left").select("doc_id", "held", "found")
     return whole.mapInArrow(fill, with_fields(docs.select("doc_id").schema, ids=ids_kind, **({"decoded": StringType()} if decoded else {})))
 
 

@@ -196,13 +196,13 @@ def frequency_floor(counts: DataFrame, bound: int) -> int:
 
 
 def by_frequency(pieces: DataFrame, bound: int, value: str) -> tuple[Broadcast, DataFrame]:
-    """Split a piece table: a broadcast dict of its most frequent pieces, and the rows of all others.
+    """Split a piece table: a broadcast dict of its most frequent pieces, the most frequent first, and the rows of all others.
 
     The dict has ``bound`` pieces of ``BROADCAST_BYTES`` at most.
     """
     short = F.octet_length("piece") <= BROADCAST_BYTES
     floor = frequency_floor(pieces.filter(short), bound)
     held = short & (F.col("n") >= floor)
-    found = pieces.filter(held).select("piece", value).toArrow()
+    found = pieces.filter(held).select("piece", value, "n").toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
     known = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     return pieces.sparkSession.sparkContext.broadcast(known), pieces.filter(~held)
