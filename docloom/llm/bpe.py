@@ -4,11 +4,10 @@ Words are split in Spark tasks, each distinct word of the corpus is encoded
 once, and ids are joined back by position:
 
 * the most frequent words (``bound`` of them at most, compared as they are) are
-  broadcast, and a document is put down as their numbers, by frequency and so in a
-  byte or two each, with a hole at the position of every other word;
-* the other words, once for each document with the holes they belong to, are
-  shuffled to their ids, and these to the document, where numbers and holes are
-  replaced by ids.
+  broadcast, and a document is put down as the numbers of its words by position, by
+  frequency and so in a byte or two each; its other words have numbers of its own;
+* these others, once for each document, are shuffled to their ids, and the ids to
+  the document, where numbers are replaced by ids.
 
 ``decode`` joins ids to pieces through the id-to-piece table, whose size is the
 tokenizer's vocabulary, so that each task has the whole of it.
@@ -34,7 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 from docloom.llm.common import small_batches, table, with_fields
 from docloom.llm.vocabulary import BROADCAST_PIECES, Encoder, Splitter, by_frequency, encoded, piece_counts, tokenizer
 
-#: In the place of a word's number: a word that the broadcast table lacks.
+#: No word's number: one that the broadcast table lacks.
 HOLE = 0xFFFFFFFF
 
 
@@ -51,28 +50,29 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
 
     def put_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(known.value)}
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             held = []
             for x in b.column(1).to_pylist():
                 ws = split(x)
                 at = np.array([number.get(w, HOLE) for w in ws], "<u4")
-                holes: dict[str, list[int]] = {}
-                for n, i in enumerate(np.flatnonzero(at == HOLE).tolist()):
-                    holes.setdefault(ws[i], []).append(n)
+                own: dict[str, int] = {}
+                for i in np.flatnonzero(at == HOLE).tolist():
+                    at[i] = len(number) + own.setdefault(ws[i], len(own))
                 planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T)
-                held.append(marshal.dumps((pack(planes.tobytes()), list(holes), list(holes.values()))))
+                held.append(pack(marshal.dumps((planes.tobytes(), list(own)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["doc_id", "held"])
 
     def holes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows, names, at = [], [], []
             for row, x in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, own, places = marshal.loads(x)
+                _, own = marshal.loads(unpack(x))
                 rows += [row] * len(own)
                 names += own
-                at += places
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.string()), pa.array(at, pa.list_(pa.int32()))], ["row", "piece", "at"])
+                at += range(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names, pa.string()), pa.array(at, pa.int32())], ["row", "piece", "at"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = list(known.value.values())
@@ -83,14 +83,11 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
             ends = np.cumsum([0, *(len(x) if x.is_valid else 0 for x in b.column(2))])
             ids = []
             for i, x in enumerate(b.column(1).to_pylist()):
-                planes = np.frombuffer(unpack(marshal.loads(x)[0]), np.uint8)
-                numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-                holes = np.flatnonzero(numbers == HOLE)
-                parts = [b"" if n == HOLE else ids_of[n] for n in numbers.tolist()]
-                for places, word in zip(at[ends[i] : ends[i + 1]], own[ends[i] : ends[i + 1]], strict=True):
-                    for n in places:
-                        parts[holes[n]] = word
-                ids.append(b"".join(parts))
+                planes = np.frombuffer(marshal.loads(unpack(x))[0], np.uint8)
+                numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().tolist()
+                rare_ids = dict(zip(at[ends[i] : ends[i + 1]], own[ends[i] : ends[i + 1]], strict=True))
+                n = len(ids_of)
+                ids.append(b"".join([ids_of[k] if k < n else rare_ids[k - n] for k in numbers]))
             columns, names = [b.column(0), _lists(ids, kind)], ["doc_id", "ids"]
             if pieces is not None:
                 columns.append(pa.array([_joined(np.frombuffer(x, kind), pieces) for x in ids], pa.string()))
@@ -101,7 +98,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
     put = with_fields(docs.select("doc_id").schema, held=BinaryType())
     # a number that is this row's own, so that repeated rows stay apart; both uses of this shuffle read all of its columns, so they share its files
     rows = docs.mapInArrow(put_down, put).withColumn("row", F.monotonically_increasing_id()).repartition("row")
-    holes = rows.mapInArrow(holes_of, "row long, piece string, at array<int>")
+    holes = rows.mapInArrow(holes_of, "row long, piece string, at int")
     found = holes.join(rare.select("piece", F.col("ids").alias("own")), "piece").groupBy("row").agg(F.collect_list(F.struct("at", "own")).alias("found"))
     whole = rows.join(found, "row", "left").select("doc_id", "held", "found")
     return whole.mapInArrow(fill, with_fields(docs.select("doc_id").schema, ids=ids_kind, **({"decoded": StringType()} if decoded else {})))
