@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from docloom.operators import records as R
+from docloom.operators import scan
 
 #: Registries: name to function; a scorer or validator makes a column, an enricher a DataFrame.
 SCORERS: dict[str, Callable[[DataFrame], Column]] = {}
@@ -53,19 +54,36 @@ def parse_pages(pages: DataFrame, parse: Callable[[str, str], Iterator[tuple[str
     return pages.select(url, html).mapInPandas(run, "url string, kind string, key string, value string")
 
 
-def error_backoff(rows: DataFrame, key: str, order: list[str], status: str = "status_code", retry_after: str | None = None) -> DataFrame:
-    """State after ordered responses: 429 and 503 back off (by Retry-After if given), three errors of 500 on throttle for a minute."""
-    fields = [F.col(c) for c in order] + [F.col(status).alias("code"), (F.col(retry_after) if retry_after else F.lit(None)).cast("double").alias("after")]
-    xs = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("xs"))
-    start = F.struct(F.lit(0).alias("errors"), F.lit(0.0).alias("backoff"), F.lit(0.0).alias("throttled"))
+def error_backoff(rows: DataFrame, key: str, order: list[str], status: str = "status_code", retry_after: str | None = None, *, size: int = scan.CHUNK) -> DataFrame:
+    """State after ordered responses: 429 and 503 back off (by Retry-After if given), three errors of 500 on throttle for a minute.
 
-    def step(a: Column, x: Column) -> Column:
-        limited = x["code"].isin(429, 503)
-        errors = F.when(limited | (x["code"] >= 500), a["errors"] + 1).when(x["code"] < 400, 0).otherwise(a["errors"])
-        backoff = F.when(limited, F.coalesce(x["after"], F.least(F.lit(300.0), F.pow(F.lit(2.0), errors)))).when(x["code"] < 400, 0.0).otherwise(a["backoff"])
-        return F.struct(errors.alias("errors"), backoff.alias("backoff"), F.when(errors >= 3, 60.0).otherwise(0.0).alias("throttled"))
-
-    return xs.select(key, F.aggregate("xs", start, step).alias("s")).select(key, "s.*")
+    A stretch of rows leaves the backoff as it is, sets it to a number of seconds, or
+    sets it by a count of errors that goes on from the rows before; a null status changes nothing.
+    """
+    wait = lambda n: F.least(F.lit(300.0), F.pow(F.lit(2.0), n))
+    backoff = lambda kind, v: F.struct(kind.alias("kind"), v.cast("double").alias("v"))
+    keep, fixed, counted = F.lit("keep"), F.lit("fixed"), F.lit("counted")
+
+    def one(x: Column) -> Column:
+        limited, fine = x["code"].isin(429, 503), x["code"] < 400
+        kind = F.when(fine | (limited & x["after"].isNotNull()), fixed).when(limited, counted).otherwise(keep)
+        return F.struct(scan.run_of(limited | (x["code"] >= 500), fine).alias("errors"), backoff(kind, F.when(fine, 0.0).when(limited, F.coalesce(x["after"], F.lit(1.0))).otherwise(0.0)).alias("backoff"))
+
+    def then(p: Column, q: Column) -> Column:
+        b = q["backoff"]
+        total = F.when(b["kind"] == "counted", p["errors"]["n"] + b["v"])
+        kind = F.when(b["kind"] == "keep", p["backoff"]["kind"]).when((b["kind"] == "counted") & ~p["errors"]["reset"], counted).otherwise(fixed)
+        v = F.when(b["kind"] == "keep", p["backoff"]["v"]).when(b["kind"] == "fixed", b["v"]).when(p["errors"]["reset"], wait(total)).otherwise(total)
+        return F.struct(scan.run_then(p["errors"], q["errors"]).alias("errors"), backoff(kind, v).alias("backoff"))
+
+    nothing = F.struct(scan.run_of(F.lit(False), F.lit(False)).alias("errors"), backoff(keep, F.lit(0.0)).alias("backoff"))
+    after = (F.col(retry_after) if retry_after else F.lit(None)).cast("double")
+    cut = scan.chunks(rows.filter(F.col(status).isNotNull()), key, order, {"code": F.col(status), "after": after}, size=size)
+    m = F.col("m")
+    errors, b = scan.run_applied(m["errors"], F.lit(0)).cast("int"), m["backoff"]
+    seconds = F.when(b["kind"] == "counted", wait(b["v"])).otherwise(b["v"])
+    last = scan.composed(cut, scan.Fold(nothing, one, then, lambda m, s: s)).select(F.col("key").alias(key), errors.alias("errors"), seconds.alias("backoff"))
+    return last.withColumn("throttled", F.when(F.col("errors") >= 3, 60.0).otherwise(0.0))
 
 
 def learned_interval(rows: DataFrame, key: str, order: list[str], features: list[str], target: str, rate: float = 0.01, blend: float = 0.3) -> DataFrame:

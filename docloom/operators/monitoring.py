@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import scan
+
 #: Histogram bounds in seconds.
 BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0)
 COOLDOWN = 300
@@ -99,15 +101,23 @@ def alerts(metrics: DataFrame, rules: Sequence[tuple[str, str, str, str]], key:
     return metrics.select(key, F.explode(F.array_compact(F.array(*made))).alias("x")).select(key, "x.*")
 
 
-def cooldown(rows: DataFrame, key: str, ts: str = "ts", hold: int = COOLDOWN) -> DataFrame:
-    """The alerts that are sent: an alert holds back later ones of its key for ``hold`` seconds.
+def cooldown(rows: DataFrame, key: str, ts: str = "ts", hold: float = COOLDOWN, *, size: int = 128) -> DataFrame:
+    """(key, sent_at) of the alerts that are sent: an alert holds back later ones of its key for ``hold`` seconds.
 
-    A fold over a key's times in order; the state is the last time sent.  Times
-    are first cut to those that can matter: the earliest of each second.
+    The state is the last time sent, in microseconds.  An alert sends itself if that is
+    ``hold`` away and else changes nothing, so a chunk is described by as many pieces as
+    it has alerts within ``hold`` of its first.  Alerts without a time are left out.
     """
-    times = rows.select(key, F.floor(seconds(F.col(ts))).alias("t")).distinct().groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    sent = F.aggregate("ts", F.array().cast("array<bigint>"), lambda out, t: F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= hold), F.array_append(out, t)).otherwise(out))
-    return times.select(key, F.explode(sent).alias("sent_at"))
+    wait = round(hold * 1e6)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = rows.select(F.col(key).alias("key"), t.alias("t")).filter("t IS NOT NULL").distinct()
+    one = lambda x: scan.pieces((x["t"] - wait, True, x["t"]), (x["t"], False, 0))
+    fold = scan.Fold(scan.pieces((scan.HIGH, False, 0)), one, scan.pieces_then, scan.pieces_applied)
+    met = scan.entries(scan.chunks(times, "key", ["t"], {"t": F.col("t")}, size=size), fold, F.lit(scan.LOW + 1))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.col("state").alias("last"), none.alias("sent"))
+    step = lambda a, x: F.when(x["t"] - a["last"] >= wait, F.struct(x["t"].alias("last"), F.array_append(a["sent"], x["t"]).alias("sent"))).otherwise(a)
+    return met.select(F.col("key").alias(key), F.explode(F.aggregate("xs", start, step)["sent"]).alias("t")).select(key, F.timestamp_micros("t").alias("sent_at"))
 
 
 def latest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 r"""Robots rules, rate limits and throttle states.
 
 Rules are parsed from text by array functions.  Rate limits and throttles are
-folds over a domain's responses in order: ``aggregate`` over the sorted times
-of a domain in batch, keyed state in ``docloom.streaming``.
+folds over a domain's responses in order: composed chunk by chunk in batch (see
+``scan``), keyed state with timers in ``docloom.streaming``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
+from docloom.operators import scan
 
 #: Moving-average factor, error counts of the two backoffs, bounds and steps of the rate.
 ALPHA = 0.1
@@ -61,47 +62,82 @@ def wildcard_denies(path: Column, rules: Column) -> Column:
     return F.exists(rules, lambda p: F.rlike(path, as_regex(p)))
 
 
-def _ordered(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, *(f for f in fields if f not in order)))), lambda x: x).alias("xs"))
+def ema(rows: DataFrame, key: str, value: str, order: list[str], *, size: int = scan.CHUNK) -> DataFrame:
+    """Exponential moving average, seeded with the first value; null values change nothing."""
+    nothing = scan.affine(F.lit(1), F.lit(0), F.lit(None))
+    one = lambda x: F.when(x["v"].isNull(), nothing).otherwise(scan.affine(F.lit(1 - ALPHA), ALPHA * x["v"], x["v"]))
+    fold = scan.Fold(nothing, one, scan.affine_then, lambda m, s: m["a"] * s + m["b"])
+    cut = scan.chunks(rows, key, order, {"v": F.col(value).cast("double")}, size=size)
+    return scan.composed(cut, fold).select(F.col("key").alias(key), F.col("m.seed").alias("ema"))
 
 
-def ema(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """Exponential moving average, seeded with the first value."""
-    return _ordered(rows, key, order, [value]).select(key, F.aggregate("xs", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x[value]).otherwise(a * (1 - ALPHA) + x[value] * ALPHA)).alias("ema"))
+def _bucket(rate: float, capacity: float) -> tuple[int, int]:
+    """(microseconds that a token takes to come back, microseconds that a full bucket is ahead of one token)."""
+    every = round(1e6 / rate)
+    return every, round((capacity - 1) * every)
 
 
-def token_bucket(rows: DataFrame, key: str, seconds: str, order: list[str], rate: float, capacity: float) -> DataFrame:
-    """(key, granted, waited): requests that find a token, and the seconds that the others are told to wait."""
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("granted"), F.lit(0.0).alias("waited"))
+def arrival_fold(rate: float, capacity: float) -> scan.Fold:
+    """The bucket as the time at which it is full again: a request at t is granted while that is at most ``ahead`` away, and moves it on.
+
+    Times are whole microseconds, so it makes no difference where a history is cut.
+    """
+    every, ahead = _bucket(rate, capacity)
+    one = lambda x: scan.pieces((x["t"], True, x["t"] + every), (x["t"] + ahead, False, every), (x["t"] + ahead + every, False, 0))  # noqa: E731  no earlier request leaves a later state
+    return scan.Fold(scan.pieces((scan.HIGH, False, 0)), one, scan.pieces_then, scan.pieces_applied)
+
+
+def token_bucket(rows: DataFrame, key: str, seconds: str, order: list[str], rate: float, capacity: float, *, size: int = scan.CHUNK) -> DataFrame:
+    """(key, granted, waited, tokens): requests that find a token, the seconds that the others are told to wait, and what is left at the last one.
+
+    Requests without a time are left out.
+    """
+    every, ahead = _bucket(rate, capacity)
+    t = F.round(F.col(seconds).cast("double") * 1e6).cast("long")
+    cut = scan.chunks(rows.filter(F.col(seconds).isNotNull()), key, order, {"t": t}, size=size)
+    met = scan.entries(cut, arrival_fold(rate, capacity), F.lit(scan.LOW + 1))
+    start = F.struct(F.col("state").alias("full"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("waited"))
 
     def step(a: Column, x: Column) -> Column:
-        t = x[seconds].cast("double")
-        tokens = F.least(F.lit(float(capacity)), a["tokens"] + F.coalesce(t - a["last"], F.lit(0.0)) * rate)
-        yes = tokens >= 1
-        return F.struct(F.when(yes, tokens - 1).otherwise(tokens).alias("tokens"), t.alias("last"), (a["granted"] + yes.cast("long")).alias("granted"), (a["waited"] + F.when(yes, 0.0).otherwise((1 - tokens) / rate)).alias("waited"))
+        short = a["full"] - x["t"] - ahead
+        yes = short <= 0
+        return F.struct(F.when(yes, F.greatest(a["full"], x["t"]) + every).otherwise(a["full"]).alias("full"), (a["granted"] + yes.cast("long")).alias("granted"), (a["waited"] + F.when(yes, 0).otherwise(short)).alias("waited"))
+
+    each = met.select("key", "chunk", F.element_at("xs", -1)["t"].alias("t"), F.aggregate("xs", start, step).alias("s"))
+    left = (ahead + every - F.greatest(F.lit(0), F.col("s.full") - F.col("t"))) / every
+    out = each.groupBy("key").agg(F.sum("s.granted").alias("granted"), (F.sum("s.waited") / 1e6).alias("waited"), F.max_by(left, "chunk").alias("tokens"))
+    return out.select(F.col("key").alias(key), "granted", "waited", "tokens")
 
-    return _ordered(rows, key, order, [seconds]).select(key, F.aggregate("xs", start, step).alias("s")).select(key, "s.granted", "s.waited", "s.tokens")
 
+def waits_of(errors: Column) -> tuple[Column, Column]:
+    """(state, backoff) by errors in a row."""
+    state = F.when(errors >= ERRORS_BLOCKED, "blocked").when(errors >= ERRORS_BACKOFF, "backoff").otherwise("normal")
+    wait = F.when(errors >= ERRORS_BLOCKED, F.least(F.lit(300.0), F.pow(F.lit(2.0), errors - 3))).when(errors >= ERRORS_BACKOFF, F.least(F.lit(60.0), F.pow(F.lit(2.0), errors))).otherwise(0.0)
+    return state, wait
 
-def throttle(rows: DataFrame, key: str, order: list[str], status: str = "status_code") -> DataFrame:
+
+def throttle(rows: DataFrame, key: str, order: list[str], status: str = "status_code", *, size: int = scan.CHUNK) -> DataFrame:
     """State, errors in a row, backoff and rate of each domain after its responses in order.
 
     Errors in a row: from 3 on backoff of 2 ** n seconds up to 60, from 10 on
     blocked with 2 ** (n - 3) up to 300.  The rate is halved by a 429 or 503, cut by a
-    tenth by other errors and raised by a tenth by a success, within its bounds.
+    tenth by other errors and raised by a tenth by a success, within its bounds.  A
+    null status counts as a success.
     """
-    start = F.struct(F.lit("normal").alias("state"), F.lit(0).alias("errors"), F.lit(0.0).alias("backoff"), F.lit(1.0).alias("rate"))
 
-    def step(a: Column, x: Column) -> Column:
-        code = x[status]
-        bad = code >= 400
-        n = F.when(bad, a["errors"] + 1).otherwise(0)
-        state = F.when(n >= ERRORS_BLOCKED, "blocked").when(n >= ERRORS_BACKOFF, "backoff").otherwise("normal")
-        wait = F.when(n >= ERRORS_BLOCKED, F.least(F.lit(300.0), F.pow(F.lit(2.0), n - 3))).when(n >= ERRORS_BACKOFF, F.least(F.lit(60.0), F.pow(F.lit(2.0), n))).otherwise(0.0)
-        factor = F.when(code.isin(429, 503), 0.5).when(bad, 0.9).otherwise(1.1)
-        return F.struct(state.alias("state"), n.alias("errors"), wait.alias("backoff"), F.greatest(F.lit(RATE_LOW), F.least(F.lit(RATE_HIGH), a["rate"] * factor)).alias("rate"))
-
-    return _ordered(rows, key, order, [status]).select(key, F.aggregate("xs", start, step).alias("s")).select(key, "s.*")
+    def one(x: Column) -> Column:
+        bad = x["code"] >= 400
+        factor = F.when(x["code"].isin(429, 503), 0.5).when(bad, 0.9).otherwise(1.1)
+        return F.struct(scan.run_of(bad, ~bad).alias("errors"), scan.clamp(factor, F.lit(RATE_LOW), F.lit(RATE_HIGH)).alias("rate"))
+
+    nothing = F.struct(scan.run_of(F.lit(False), F.lit(False)).alias("errors"), scan.clamp(F.lit(1), F.lit(0), F.lit(float("inf"))).alias("rate"))
+    then = lambda p, q: F.struct(scan.run_then(p["errors"], q["errors"]).alias("errors"), scan.clamp_times(p["rate"], q["rate"]).alias("rate"))
+    fold = scan.Fold(nothing, one, then, lambda m, s: s)
+    cut = scan.chunks(rows, key, order, {"code": F.coalesce(status, F.lit(200))}, size=size)
+    m = F.col("m")
+    last = scan.composed(cut, fold).select(F.col("key").alias(key), scan.run_applied(m["errors"], F.lit(0)).cast("int").alias("errors"), scan.held(m["rate"]["by"], m["rate"]).alias("rate"))
+    state, wait = waits_of(F.col("errors"))
+    return last.select(key, state.alias("state"), "errors", wait.alias("backoff"), "rate")
 
 
 def required_delay(backoff: Column, throttled: Column, crawl_delay: Column, rate: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import scan
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """One row a key: that of the highest version, the new one on a tie.
@@ -82,17 +84,21 @@ def endpoint_stats(endpoints: DataFrame, by: str) -> DataFrame:
     return endpoints.groupBy(by).agg(F.count("*").alias("n"), F.avg("health").alias("mean_health"), F.count_if("banned").alias("banned"))
 
 
-def health(reports: DataFrame, key: str, order: Sequence[str], success: str, ban_after: int = 3) -> DataFrame:
-    """Health after ordered reports: 0.1 up, 0.2 down, within 0 and 1; banned after failures in a row."""
-    xs = reports.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(success).alias("ok")))).alias("xs"))
-    start = F.struct(F.lit(1.0).alias("health"), F.lit(0).alias("fails"), F.lit(False).alias("banned"))
+def health(reports: DataFrame, key: str, order: Sequence[str], success: str, ban_after: int = 3, *, size: int = scan.CHUNK) -> DataFrame:
+    """Health after ordered reports: 0.1 up, 0.2 down, within 0 and 1; banned after failures in a row.  A null report is a failure."""
 
-    def step(a: Column, x: Column) -> Column:
-        fails = F.when(x["ok"], 0).otherwise(a["fails"] + 1)
-        level = F.when(x["ok"], F.least(F.lit(1.0), a["health"] + 0.1)).otherwise(F.greatest(F.lit(0.0), a["health"] - 0.2))
-        return F.struct(level.alias("health"), fails.alias("fails"), (a["banned"] | (fails >= ban_after)).alias("banned"))
+    def one(x: Column) -> Column:
+        return F.struct(scan.run_of(~x["ok"], x["ok"]).alias("fails"), scan.clamp(F.when(x["ok"], 0.1).otherwise(-0.2), F.lit(0), F.lit(1)).alias("health"))
 
-    return xs.select(key, F.aggregate("xs", start, step).alias("s")).select(key, "s.*")
+    inf = F.lit(float("inf"))
+    nothing = F.struct(scan.run_of(F.lit(False), F.lit(False)).alias("fails"), scan.clamp(F.lit(0), -inf, inf).alias("health"))
+    then = lambda p, q: F.struct(scan.run_then(p["fails"], q["fails"], ban_after).alias("fails"), scan.clamp_plus(p["health"], q["health"]).alias("health"))
+    cut = scan.chunks(reports, key, order, {"ok": F.coalesce(success, F.lit(False))}, size=size)
+    m = F.col("m")
+    banned = m["fails"]["reached"] | (m["fails"]["lead"] >= ban_after)
+    return scan.composed(cut, scan.Fold(nothing, one, then, lambda m, s: s)).select(
+        F.col("key").alias(key), scan.held(1 + m["health"]["by"], m["health"]).alias("health"), scan.run_applied(m["fails"], F.lit(0)).cast("int").alias("fails"), banned.alias("banned")
+    )
 
 
 # scaling

@@ -164,7 +164,12 @@ SQL: dict[str, str | None] = {
     "crw10_levels": f"WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT url AS src, 'http://h' || (bytes % 30) || '.example.com/p/' || (bytes % 50) AS dst FROM {_E}), b AS (SELECT * FROM (VALUES ('http://h1.example.com/p/1', 0), ('http://h2.example.com/p/2', 0)) s(url, d) UNION SELECT l.dst, b.d + 1 FROM b JOIN l ON l.src = b.url WHERE b.d < 3) SELECT depth, count(*) AS n FROM (SELECT url, CAST(min(d) AS INT) AS depth FROM b GROUP BY url) GROUP BY depth",
     "pol2_robots": "SELECT 'x' AS host, '*,bot' AS agents, '/p/,/*.json$' AS disallowed, '/p/1' AS allowed, 2.5::DOUBLE AS crawl_delay, 0.3::DOUBLE AS request_rate, 'http://x/s.xml' AS sitemaps",
     "pol3_permission": f"SELECT DISTINCT url, starts_with(p, '/p/1') OR NOT starts_with(p, '/p/') AS allowed, true AS denied_json FROM (SELECT url, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS p FROM {_E})",
-    "pol4_token_bucket": f"SELECT crawl_id, granted, round(waited, 4) AS waited FROM (WITH RECURSIVE o AS (SELECT crawl_id, event_id::DOUBLE AS s, row_number() OVER (PARTITION BY crawl_id ORDER BY event_id) AS i FROM {_E}), b AS (SELECT crawl_id, i, s, 2.0::DOUBLE AS tokens, 1::BIGINT AS granted, 0.0::DOUBLE AS waited FROM o WHERE i = 1 UNION ALL SELECT o.crawl_id, o.i, o.s, CASE WHEN least(3.0, b.tokens + (o.s - b.s) * 0.05) >= 1 THEN least(3.0, b.tokens + (o.s - b.s) * 0.05) - 1 ELSE least(3.0, b.tokens + (o.s - b.s) * 0.05) END, b.granted + CASE WHEN least(3.0, b.tokens + (o.s - b.s) * 0.05) >= 1 THEN 1 ELSE 0 END, b.waited + CASE WHEN least(3.0, b.tokens + (o.s - b.s) * 0.05) >= 1 THEN 0 ELSE (1 - least(3.0, b.tokens + (o.s - b.s) * 0.05)) / 0.05 END FROM b JOIN o ON o.crawl_id = b.crawl_id AND o.i = b.i + 1) SELECT crawl_id, arg_max(granted, i) AS granted, arg_max(waited, i) AS waited FROM b GROUP BY crawl_id)",
+    # a token is 20 seconds of refill, a full bucket 60: whole numbers, where sums of 0.05 would not meet 1
+    "pol4_token_bucket": f"""WITH RECURSIVE o AS (SELECT crawl_id, event_id AS s, row_number() OVER (PARTITION BY crawl_id ORDER BY event_id) AS i FROM {_E}), b AS (
+  SELECT crawl_id, i, s, CAST(40 AS BIGINT) AS credit, CAST(1 AS BIGINT) AS granted, CAST(0 AS BIGINT) AS waited FROM o WHERE i = 1
+  UNION ALL SELECT crawl_id, i, s, CASE WHEN c >= 20 THEN c - 20 ELSE c END, granted + CASE WHEN c >= 20 THEN 1 ELSE 0 END, waited + CASE WHEN c >= 20 THEN 0 ELSE 20 - c END
+  FROM (SELECT o.crawl_id, o.i, o.s, least(60, b.credit + o.s - b.s) AS c, granted, waited FROM b JOIN o ON o.crawl_id = b.crawl_id AND o.i = b.i + 1))
+SELECT crawl_id, arg_max(granted, i) AS granted, CAST(arg_max(waited, i) AS DOUBLE) AS waited FROM b GROUP BY crawl_id""",
     "pol5_ema": f"SELECT crawl_id, round(list_reduce(list(response_time ORDER BY event_id), lambda a, x: a * 0.9 + x * 0.1), 6) AS ema FROM {_E} GROUP BY crawl_id",
     "pol6_throttle": _THROTTLE + " SELECT crawl_id, CASE WHEN errors >= 10 THEN 'blocked' WHEN errors >= 3 THEN 'backoff' ELSE 'normal' END AS state, errors, backoff, round(rate, 6) AS rate FROM last",
     "pol10_delay": _THROTTLE + " SELECT crawl_id, round(CASE WHEN backoff > 0 THEN backoff ELSE " + _DELAY + " END, 6) AS delay FROM last",

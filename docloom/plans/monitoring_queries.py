@@ -67,7 +67,8 @@ def mon_alerts(spark, sf_dir):
 
 
 def mon_cooldown(spark, sf_dir):
-    return M.cooldown(_crawl(spark, sf_dir).filter("NOT success"), "crawl_id", hold=3600)
+    sent = M.cooldown(_crawl(spark, sf_dir).filter("NOT success"), "crawl_id", hold=3600)
+    return sent.select("crawl_id", F.unix_micros("sent_at").alias("sent_at"))
 
 
 def mon_lifecycle(spark, sf_dir):
@@ -96,7 +97,7 @@ SQL: dict[str, str | None] = {
     "mon_labelled": f"SELECT crawl_id, status_code, proxy, count(*) AS n, grouping(crawl_id, status_code, proxy) AS level FROM {_C} GROUP BY ROLLUP (crawl_id, status_code, proxy)",
     "mon_frequencies": f"SELECT crawl_id, error AS value, count(*) AS n FROM {_C} WHERE error IS NOT NULL GROUP BY ALL UNION ALL SELECT crawl_id, proxy, count(*) FROM {_C} GROUP BY ALL",
     "mon_alerts": _RULES,
-    "mon_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t FROM {_C} WHERE NOT success), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 3600) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, sent_at FROM s WHERE sent_at IS NOT NULL",
+    "mon_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, epoch_us(ts) AS t FROM {_C} WHERE NOT success), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 3600000000) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, sent_at FROM s WHERE sent_at IS NOT NULL",
     "mon_lifecycle": f"SELECT alert, state FROM (SELECT url AS alert, CASE WHEN success THEN 'resolved' WHEN blocked THEN 'active' ELSE 'acknowledged' END AS state, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS r FROM {_C}) WHERE r = 1 AND state <> 'resolved'",
     "snk_exposition": f"SELECT 'crawl_' || m || '{{crawl_id=\"' || crawl_id || '\"}} ' || v AS line FROM (SELECT crawl_id, unnest(['requests', 'failures', 'blocks']) AS m, unnest([requests, failures, blocks]) AS v FROM {_COUNT})",
 }

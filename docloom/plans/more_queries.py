@@ -125,7 +125,7 @@ SQL: dict[str, str | None] = {
     "sup9_classes": "SELECT * FROM (VALUES ('btn-main', 'btn-big', true), ('item', 'items', true), ('a', NULL, true), ('q', 'q', true)) t(w, found, tags)",
     "enr3_json": "SELECT event_id, 'N' || (event_id % 10) AS name, 'T' || user_id AS title FROM events",
     "sup18_pending": f"SELECT task_id, priority FROM {_T} WHERE status = 'pending' ORDER BY priority, created_at, task_id LIMIT 40",
-    "scl2_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t FROM {_E} WHERE response_time > 6), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 7200) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, count(*) AS n FROM s WHERE sent_at IS NOT NULL GROUP BY crawl_id",
+    "scl2_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, epoch_us(ts) AS t FROM {_E} WHERE response_time > 6), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 7200000000) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, count(*) AS n FROM s WHERE sent_at IS NOT NULL GROUP BY crawl_id",
     "qs16_overalls": f"SELECT id, round(({_ALL})::DOUBLE, 9) AS all_c, round(({_SOME})::DOUBLE, 9) AS without_time, round(least(1.0, {_ALL} + 0.06)::DOUBLE, 9) AS boosted, round(((completeness + consistency + accuracy) / 3)::DOUBLE, 9) AS mean_d FROM {_SCORED}",
     "qs20_report": f"SELECT id, CASE WHEN round(overall, 9) >= 0.9 THEN 'A' WHEN round(overall, 9) >= 0.8 THEN 'B' WHEN round(overall, 9) >= 0.7 THEN 'C' WHEN round(overall, 9) >= 0.6 THEN 'D' ELSE 'F' END || ')' AS grade FROM {_SCORED}",
     "qs24_recommendations": f"SELECT array_to_string(list_filter([CASE WHEN avg(overall) < 0.7 THEN 'Improve data quality at the source' END, CASE WHEN avg(CASE WHEN is_duplicate THEN 1 ELSE 0 END) > 0.1 THEN 'Tighten deduplication' END, CASE WHEN min(overall) < 0.3 THEN 'Reject records of the lowest level' END], lambda x: x IS NOT NULL), ';') AS advice FROM {_SCORED}",
