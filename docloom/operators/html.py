@@ -423,56 +423,6 @@ def _value(n: Node, take: str | None, whole: list[str]) -> str | None:
     return whole[n.id].strip()
 
 
-def select(pages: DataFrame, selectors: dict[str, str], key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, name, pos, value): all values of each named selector, each page parsed once.
-
-    A selector is CSS, a path (``/`` or ``//`` first), or a regular expression after
-    ``re:``, whose first group or whole match is the value.  ``::text``, ``text()``,
-    ``::attr(x)`` and ``@x`` take own text or an attribute; otherwise links give
-    href, images src, and others their whole text, stripped.
-    """
-    regexes = {name: re.compile(c[3:]) for name, c in selectors.items() if c.startswith("re:")}
-    plans = {name: compile_selector(c) for name, c in selectors.items() if name not in regexes}
-
-    def values(html_: str | None) -> Iterator[tuple[str, int, str | None]]:
-        if plans:
-            page = _Page(parse(html_))
-        for name in selectors:
-            if name in regexes:
-                for i, m in enumerate(regexes[name].finditer(html_ or "")):
-                    yield name, i, m[1] if m.re.groups else m[0]
-            else:
-                alternatives, take = plans[name]
-                for i, n in enumerate(page.matches(alternatives)):
-                    yield name, i, _value(n, take, page.whole)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(page, *v) for page, html_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for v in values(html_)]
-            out = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = (b.schema.field(0).type, pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(out, kinds, strict=True)], [b.schema.names[0], "name", "pos", "value"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, name string, pos int, value string")
-
-
-def extract(pages: DataFrame, schema: dict[str, str], key: str = "page_id") -> DataFrame:
-    """(key, fields): first non-empty value of each field as a map; fields without one are left out."""
-    found = select(pages, schema, key).filter("value IS NOT NULL AND value <> ''")
-    first = found.groupBy(key, "name").agg(F.min_by("value", "pos").alias("value"))
-    return pages.select(key).join(first.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("fields")), key, "left")
-
-
-def heal(pages: DataFrame, schema: dict[str, list[str]], key: str = "page_id") -> DataFrame:
-    """(key, name, value, used): for each field the first of its selectors that matches, backups in order."""
-    flat = {f"{name}\x1f{i}": c for name, cs in schema.items() for i, c in enumerate(cs)}
-    found = select(pages, flat, key).filter("value IS NOT NULL AND value <> ''")
-    parts = F.split("name", "\x1f")
-    best = F.min(F.struct(parts[1].cast("int").alias("used"), "pos", "value")).alias("x")
-    return found.groupBy(key, parts[0].alias("name")).agg(best).select(key, "name", "x.value", "x.used")
-
-
 def paths(tree: list[Node], full: bool = False) -> list[tuple[str, str]]:
     """A CSS and an XPath path to each node, from below html or, unless ``full``, from the nearest id."""
     css: list[str] = []
@@ -538,38 +488,6 @@ def stable_regex(html: str, n: Node, around: int = 20) -> str:
     return (re.escape(before) + "\\s*" if before else "") + f"({re.escape(html[n.start : n.stop])})" + ("\\s*" + re.escape(after) if after else "")
 
 
-def selector_forms(pages: DataFrame, wanted: str, full: bool = False, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, node_id, css, xpath, stable_css, stable_xpath, regex) of every node that ``wanted`` matches."""
-    alternatives, _ = compile_selector(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                page = _Page(parse(h))
-                at = paths(page.tree, full)
-                rows += [(k, n.id, *at[n.id], stable_css(page, n), stable_xpath(page, n), stable_regex(h or "", n)) for n in page.matches(alternatives)]
-            out = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = (b.schema.field(0).type, pa.int32(), *[pa.string()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(out, kinds, strict=True)], [b.schema.names[0], "node_id", "css", "xpath", "stable_css", "stable_xpath", "regex"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, node_id int, css string, xpath string, stable_css string, stable_xpath string, regex string")
-
-
-def selector_paths(pages: DataFrame, full: bool = False, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, node_id, css, xpath): paths to every node, made in the pass that parses the page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, h in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                at = paths(parse(h), full)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(at), b.schema.field(0).type), pa.array(range(len(at)), pa.int32()), pa.array([c for c, _ in at], pa.string()), pa.array([x for _, x in at], pa.string())], [b.schema.names[0], "node_id", "css", "xpath"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, node_id int, css string, xpath string")
-
-
 def signatures(tree: DataFrame, key: str = "page_id") -> DataFrame:
     """Tag, text hash, stable attributes, parent tag, siblings of its tag and place among them."""
     parents = tree.select(key, F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_tag"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import html as H
+from docloom.operators import trees as R
 
 #: Groups of tags that may stand for each other.
 COMPATIBLE = (("div", "section", "article", "main"), ("span", "em", "strong", "b", "i"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"))
@@ -48,31 +49,6 @@ def features(tree: DataFrame, key: str = "page_id") -> DataFrame:
     return tree.select(key, "node_id", "tag", classes(F.col("attrs")).alias("classes"), F.col("attrs")["id"].alias("id"), F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 100).alias("text"), F.array_sort(F.map_keys("attrs")).alias("names"), "depth", "nth")
 
 
-def element_similarity(a: str, b: str) -> Column:
-    """Mean of the parts that both elements have: tag, classes, id, text, attribute names, place."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    both = lambda x, y, v: F.when(x.isNotNull() & y.isNotNull(), v)
-    parts = F.array_compact(
-        F.array(
-            F.when(c(a, "tag") == c(b, "tag"), 1.0).otherwise(0.0),
-            F.when((F.size(c(a, "classes")) > 0) & (F.size(c(b, "classes")) > 0), H.jaccard(c(a, "classes"), c(b, "classes"))),
-            both(c(a, "id"), c(b, "id"), F.when(c(a, "id") == c(b, "id"), 1.0).otherwise(0.0)),
-            F.when((c(a, "text") != "") & (c(b, "text") != ""), F.when(c(a, "text") == c(b, "text"), 1.0).otherwise(H.jaccard(T.tokens(c(a, "text")), T.tokens(c(b, "text"))))),
-            F.when((F.size(c(a, "names")) > 0) & (F.size(c(b, "names")) > 0), H.jaccard(c(a, "names"), c(b, "names"))),
-            1.0 / (1 + F.abs(c(a, "nth") - c(b, "nth"))),
-        )
-    )
-    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)
-
-
-def repair(old: DataFrame, new: DataFrame, key: str = "page_id", least: float = 0.7) -> DataFrame:
-    """(key, old_id, new_id, similarity): the most similar node of the new page for each wanted old one."""
-    pairs = old.alias("o").join(new.alias("n"), key)
-    s = pairs.select(key, F.col("o.node_id").alias("old_id"), F.col("n.node_id").alias("node_id"), element_similarity("o", "n").alias("s")).filter(F.col("s") >= least)
-    best = s.groupBy(key, "old_id").agg(F.max(F.struct("s", (-F.col("node_id")).alias("neg"))).alias("x"))
-    return best.select(key, "old_id", (-F.col("x.neg")).alias("new_id"), F.col("x.s").alias("similarity"))
-
-
 def find_similar(tree: DataFrame, first: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, node_id, found): nodes of the same depth, tag and attribute names as the given nodes (key, node_id)."""
     names = F.array_sort(F.map_keys("attrs"))
@@ -242,16 +218,9 @@ def context_selectors(tree: DataFrame, key: str = "page_id") -> DataFrame:
     return j.select(key, "node_id", F.explode(made).alias("selector"))
 
 
-def patterns(tree: DataFrame, least: int = 3, key: str = "page_id") -> DataFrame:
-    """(key, parent_id, selector, n): tags that repeat under one parent."""
-    groups = tree.groupBy(key, "parent_id", "tag").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    parents = tree.select(key, F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
-    return groups.join(parents, [key, "parent_id"]).select(key, "parent_id", F.concat("ptag", F.lit(" > "), "tag").alias("selector"), "n")
-
-
 def scored_selectors(pages: DataFrame, selectors: dict[str, str], key: str = "page_id") -> DataFrame:
     """(name, css, coverage, precision, stability, score): shares of pages with a match, of these with exactly one, and their product; selectors without a match are left out."""
-    found = H.select(pages, selectors, key).groupBy("name", key).agg(F.count("*").alias("n"))
+    found = R.select(pages, selectors, key).groupBy("name", key).agg(F.count("*").alias("n"))
     total = pages.agg(F.count("*").alias("total"))
     css = F.create_map(*(F.lit(x) for kv in selectors.items() for x in kv))[F.col("name")]
     g = found.groupBy("name").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 1).alias("single")).crossJoin(F.broadcast(total))
@@ -273,8 +242,8 @@ def fallbacks(counted: DataFrame, k: int) -> DataFrame:
 
 
 def reranked(candidates: DataFrame) -> DataFrame:
-    """Scores of repairs (score, hit): a fifth more where they match, at most 1; three tenths of it elsewhere."""
-    return candidates.withColumn("score", F.when(F.col("hit"), F.least(F.lit(1.0), F.col("score") * 1.2)).otherwise(F.col("score") * 0.3))
+    """Scores of repairs (score, hit): a fifth more where they match, three tenths of it elsewhere."""
+    return candidates.withColumn("score", F.when(F.col("hit"), F.col("score") * 1.2).otherwise(F.col("score") * 0.3))
 
 
 def selectors_for(pages: DataFrame, description: str, k: int, key: str = "page_id") -> DataFrame:
@@ -282,7 +251,7 @@ def selectors_for(pages: DataFrame, description: str, k: int, key: str = "page_i
     scored = describe_score(H.nodes(pages, key), description)
     w = Window.partitionBy(key).orderBy(F.desc("score"), "node_id")
     best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(key, "node_id", "place", "score")
-    return best.join(H.selector_paths(pages, key=key), [key, "node_id"]).select(key, "place", "node_id", "score", "css")
+    return best.join(R.selector_paths(pages, key=key), [key, "node_id"]).select(key, "place", "node_id", "score", "css")
 
 
 def first_schema(pages: DataFrame, schemas: DataFrame, pattern: str = "pattern") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "record_queries", "monitoring_queries", "crawl_queries", "table_queries", "html_queries", "inference_queries", "source_queries", "more_queries", "rest_queries", "selector_queries", "tree_queries", "service_queries")
+MODULES = ("text_queries", "record_queries", "monitoring_queries", "crawl_queries", "table_queries", "html_queries", "inference_queries", "source_queries", "more_queries", "rest_queries", "selector_queries", "tree_queries", "repair_queries", "service_queries")
 
 
 def registered() -> tuple[dict, dict[str, str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import urls as U
 from docloom.operators import html as H
+from docloom.operators import trees as R
 from docloom.plans import base
 
 
@@ -14,12 +15,12 @@ def _pages(spark, sf_dir):
 
 
 def sel3_css(spark, sf_dir):
-    found = H.select(_pages(spark, sf_dir), {"p": "article p", "link": "nav > ul > li a::attr(href)"})
+    found = R.select(_pages(spark, sf_dir), {"p": "article p", "link": "nav > ul > li a::attr(href)"})
     return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
 def sel4_first(spark, sf_dir):
-    return H.select(_pages(spark, sf_dir), {"h1": "article > h1::text"}).filter("pos = 0").select("page_id", F.col("value").alias("title"))
+    return R.select(_pages(spark, sf_dir), {"h1": "article > h1::text"}).filter("pos = 0").select("page_id", F.col("value").alias("title"))
 
 
 def sel10_attributes(spark, sf_dir):
@@ -34,12 +35,12 @@ def sel15_links(spark, sf_dir):
 
 
 def ext1_extract(spark, sf_dir):
-    e = H.extract(_pages(spark, sf_dir), {"title": "h1", "first_link": "nav a", "missing": "video"})
+    e = R.extract(_pages(spark, sf_dir), {"title": "h1", "first_link": "nav a", "missing": "video"})
     return e.select("page_id", F.col("fields")["first_link"].alias("first_link"), F.col("fields")["missing"].alias("missing"), F.round(H.fill_rate(F.col("fields"), 3), 6).alias("confidence"))
 
 
 def ext7_heal(spark, sf_dir):
-    return H.heal(_pages(spark, sf_dir), {"title": ["h2.title", "article h1"], "ad": ["div.ad", "aside"]}).groupBy("name", "used").agg(F.count("*").alias("n"))
+    return R.heal(_pages(spark, sf_dir), {"title": ["h2.title", "article h1"], "ad": ["div.ad", "aside"]}).groupBy("name", "used").agg(F.count("*").alias("n"))
 
 
 def ext3_convert(spark, sf_dir):

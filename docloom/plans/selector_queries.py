@@ -9,6 +9,7 @@ from docloom.functions import urls as U
 from docloom.operators import html as H
 from docloom.operators import inference as I
 from docloom.operators import learning as L
+from docloom.operators import trees as R
 
 
 def _pages(spark, sf_dir):
@@ -21,12 +22,12 @@ def _nodes(spark, sf_dir):
 
 def sel5_chain(spark, sf_dir):
     """CSS, then backups: the first of a chain that matches."""
-    h = H.heal(_pages(spark, sf_dir), {"title": [".headline", "h1[itemprop=name]", "article h1", "title"]})
+    h = R.heal(_pages(spark, sf_dir), {"title": [".headline", "h1[itemprop=name]", "article h1", "title"]})
     return h.groupBy("used").agg(F.count("*").alias("n"))
 
 
 def ext6_confidence(spark, sf_dir):
-    e = H.extract(_pages(spark, sf_dir), {"title": "h1", "ad": "div.ad", "video": "video", "link": "nav a"})
+    e = R.extract(_pages(spark, sf_dir), {"title": "h1", "ad": "div.ad", "video": "video", "link": "nav a"})
     return e.groupBy(F.round(H.fill_rate(F.col("fields"), 4), 6).alias("confidence")).agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import healing as Z
 from docloom.operators import html as H
 from docloom.operators import learning as L
+from docloom.operators import trees as R
 from docloom.plans.node_sql import NODES
 
 
@@ -30,22 +31,22 @@ def sel2_xpath(spark, sf_dir):
 def sel1_css(spark, sf_dir):
     """Combinators and pseudo-classes."""
     wanted = {"beside": "nav ~ article", "next": "article + footer", "not": "div:not(.ad), article > p:not(:first-of-type)", "second": "li:nth-child(2)", "odd": "ul > li:nth-child(2n+1)", "last": "li:last-child", "holds": "footer:contains('example')", "hover": "a:hover"}
-    return H.select(_pages(spark, sf_dir), wanted).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+    return R.select(_pages(spark, sf_dir), wanted).groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
 def sel6_dispatch(spark, sf_dir):
     """CSS, a path and a regular expression, told apart by their form."""
     wanted = {"css": "title", "path": "//head/title/text()", "regex": "re:(?s)<title>(.*?)</title>", "link": "//nav/ul/li[1]/a", "attr": "/html/@lang"}
-    return H.select(_pages(spark, sf_dir), wanted).select("page_id", "name", "pos", "value")
+    return R.select(_pages(spark, sf_dir), wanted).select("page_id", "name", "pos", "value")
 
 
 def sel7_unique(spark, sf_dir):
-    found = H.select(_pages(spark, sf_dir), {"h1": "h1", "li": "nav li"})
+    found = R.select(_pages(spark, sf_dir), {"h1": "h1", "li": "nav li"})
     return L.unique_selector(found, ["page_id", "name"])
 
 
 def sel8_paths(spark, sf_dir):
-    return H.selector_paths(_pages(spark, sf_dir))
+    return R.selector_paths(_pages(spark, sf_dir))
 
 
 def sel9_similar(spark, sf_dir):
@@ -71,11 +72,6 @@ def gen2_context(spark, sf_dir):
     return L.context_selectors(_nodes(spark, sf_dir)).groupBy("selector").agg(F.count("*").alias("n"))
 
 
-def gen3_patterns(spark, sf_dir):
-    """Selectors of elements that repeat under one parent."""
-    return L.patterns(_nodes(spark, sf_dir)).groupBy("selector").agg(F.count("*").alias("groups"), F.max("n").alias("largest"))
-
-
 def gen4_scored(spark, sf_dir):
     """Candidates by coverage and precision over pages, and their stability."""
     wanted = {"h1": "article h1", "p": "article > p", "ad": "div.ad", "foot": "footer", "none": "video"}
@@ -94,7 +90,7 @@ def gen8_confidence(spark, sf_dir):
 
 
 def gen9_stable(spark, sf_dir):
-    return H.selector_forms(_pages(spark, sf_dir), "h1, footer, nav, div.ad, ul").select("page_id", "node_id", "stable_css", "stable_xpath", "regex")
+    return R.selector_forms(_pages(spark, sf_dir), "h1, footer, nav, div.ad, ul").select("page_id", "node_id", "stable_css", "stable_xpath", "regex")
 
 
 def gen11_fallbacks(spark, sf_dir):
@@ -113,12 +109,6 @@ def sup11_described(spark, sf_dir):
     return L.selectors_for(_pages(spark, sf_dir), "the ad title", 3)
 
 
-def rep1_repair(spark, sf_dir):
-    f = L.features(_nodes(spark, sf_dir))
-    r = L.repair(f.filter("tag = 'h1' OR array_contains(classes, 'ad')"), f)
-    return r.select("page_id", F.col("old_id").cast("long").alias("old_id"), F.col("new_id").cast("long").alias("new_id"), F.round("similarity", 6).alias("similarity"))
-
-
 def rep4_signatures(spark, sf_dir):
     s = H.signatures(_nodes(spark, sf_dir))
     return H.by_signature(s, s).select("page_id", "old_id", "new_id")
@@ -147,14 +137,6 @@ def rep8_structure(spark, sf_dir):
     return s.select("page_id", "n", F.round("depth_mean", 6).alias("depth_mean"), F.round("depth_std", 6).alias("depth_std"), "depth_max", "dom_hash", F.array_join(F.transform("vector", lambda x: F.format_number(x, 6)), " ").alias("vector"))
 
 
-def rep10_groups(spark, sf_dir):
-    def work(page):
-        for g in Z.group_alike(page.tree):
-            yield g[0].id, g[0].tag, len(g), g[-1].id
-
-    return Z.per_page(_pages(spark, sf_dir), work, "first_id int, tag string, n int, last_id int")
-
-
 def sup4_heal(spark, sf_dir):
     def work(page):
         for name, broken, examples, kind in (("ad", "div.missing", ["<div class='ad'>Buy</div>"], "text"), ("kept", "article > h1", [], "text"), ("menu", "ol.menu", ["<nav><ul><li><a href='/x'>x</a></li></ul></nav>"], "link")):
@@ -278,7 +260,6 @@ SQL: dict[str, str | None] = {
       coalesce((SELECT string_agg(c.tag, ',' ORDER BY c.node_id) FROM nodes c WHERE c.page_id = n.page_id AND c.parent_id = n.node_id), '') AS children FROM nodes n LEFT JOIN nodes p ON p.page_id = n.page_id AND p.node_id = n.parent_id""",
     "ext4_typed": NODES + " SELECT page_id, node_id, coalesce(attrs['href'], attrs['src'], trim(text)) AS url, coalesce(attrs['src'], attrs['data-src']) AS image, nullif(regexp_extract(replace(text, ',', ''), '(-?\\d+\\.?\\d*)', 1), '') AS number, trim(text) AS text FROM nodes WHERE tag IN ('a', 'li', 'h1', 'footer', 'div')",
     "gen2_context": NODES + _CONTEXT + " SELECT selector, count(*) AS n FROM ctx GROUP BY selector",
-    "gen3_patterns": NODES + " SELECT ptag || ' > ' || tag AS selector, count(*) AS groups, max(n) AS largest FROM (SELECT n.page_id, n.parent_id, n.tag, p.tag AS ptag, count(*) AS n FROM nodes n JOIN nodes p ON p.page_id = n.page_id AND p.node_id = n.parent_id GROUP BY ALL) WHERE n >= 3 GROUP BY 1",
     "gen4_scored": "WITH c AS (SELECT page_id, unnest(['h1', 'p', 'ad', 'foot']) AS name, unnest(['article h1', 'article > p', 'div.ad', 'footer']) AS css, unnest([len(regexp_extract_all(html, '<h1>')), len(regexp_extract_all(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<p><b>.*', '<p>'), '<p>')), len(regexp_extract_all(html, '<div class=\"ad\">')), len(regexp_extract_all(html, '<footer>'))]) AS n FROM pages), g AS (SELECT name, css, count(*) FILTER (n > 0) / (SELECT count(*) FROM pages) AS coverage, count(*) FILTER (n = 1) / nullif(count(*) FILTER (n > 0), 0) AS precision, " + _STAB.format(c="css") + " AS stability FROM c GROUP BY ALL HAVING coverage > 0) SELECT name, css, round(coverage, 6) AS coverage, round(precision, 6) AS precision, round(stability::DOUBLE, 6) AS stability, round((coverage * precision * stability)::DOUBLE, 6) AS score FROM g",
     "gen5_scores": NODES + _CONTEXT + ", s AS (SELECT unnest([selector, 'body > article > ' || selector || ' > b:nth-child(2)']) AS css FROM (SELECT DISTINCT selector FROM ctx)), c AS (SELECT css, string_split(css, ' > ') AS parts, regexp_extract_all(css, '(\\.[a-zA-Z0-9_-]+)')[1:2] AS two FROM s) SELECT css, CAST(100 * len(regexp_extract_all(css, '#')) + 10 * len(regexp_extract_all(css, '\\.')) + 10 * len(regexp_extract_all(css, '\\[\\w+\\]')) + 10 * len(regexp_extract_all(css, ':\\w+')) + len(regexp_extract_all(css, '\\b\\w+\\b')) AS BIGINT) AS specificity, round(" + _STAB.format(c="css") + "::DOUBLE, 6) AS stability, array_to_string(list_concat(list_transform(range(1, len(parts)), lambda i: array_to_string(parts[1:len(parts) - i], ' > ') || '=0.6'), list_filter(list_transform(two, lambda k: trim(regexp_replace(replace(css, k, ''), '\\s+', ' ', 'g')) || '=0.5'), lambda x: x <> '=0.5')), ';') AS loosened FROM c",
     "gen8_confidence": NODES + _CANDIDATES + ", c AS (SELECT page_id, selector, count(*) AS n FROM cand GROUP BY ALL) SELECT page_id, selector, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN contains(selector, '#') THEN 0.3 ELSE 0 END + CASE WHEN contains(selector, '.') THEN 0.1 ELSE 0 END - CASE WHEN contains(selector, 'nth-') THEN 0.2 ELSE 0 END + CASE WHEN n = 1 THEN 0.2 ELSE 0 END))::DOUBLE, 6) AS confidence FROM c",
@@ -287,20 +268,12 @@ SQL: dict[str, str | None] = {
     "gen11_fallbacks": NODES + _CANDIDATES + " SELECT tag, array_to_string(list(selector ORDER BY confidence DESC, n DESC, selector)[1:3], ' | ') AS fallbacks FROM " + _COUNTED.format(where="WHERE tag IN ('div', 'html', 'meta')") + " GROUP BY tag",
     "gen13_describe": NODES + ", s AS (SELECT page_id, node_id, tag, lower(text) AS t, lower(array_to_string(map_values(attrs), ' ')) AS a FROM nodes) SELECT page_id, node_id, round((CASE WHEN regexp_matches(t, 'the|title') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(a, 'the|title') THEN 0.5 ELSE 0 END + CASE WHEN tag IN ('article', 'section', 'main', 'header', 'footer', 'nav', 'aside', 'h1', 'h2', 'h3') THEN 0.5 ELSE 0 END + CASE WHEN trim(t) <> '' THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS score FROM s WHERE regexp_matches(t, 'the|title') OR regexp_matches(a, 'the|title')",
     "sup11_described": NODES + _PATHS + ", s AS (SELECT page_id, node_id, tag, lower(text) AS t, lower(array_to_string(map_values(attrs), ' ')) AS a FROM nodes), c AS (SELECT page_id, node_id, CASE WHEN regexp_matches(t, 'the|title') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(a, 'the|title') THEN 0.5 ELSE 0 END + CASE WHEN tag IN ('article', 'section', 'main', 'header', 'footer', 'nav', 'aside', 'h1', 'h2', 'h3') THEN 0.5 ELSE 0 END + CASE WHEN trim(t) <> '' THEN 0.5 ELSE 0 END AS score FROM s WHERE regexp_matches(t, 'the|title') OR regexp_matches(a, 'the|title')), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, node_id) AS place FROM c) SELECT page_id, place::INT AS place, node_id, score::DOUBLE AS score, css FROM r JOIN paths USING (page_id, node_id) WHERE place <= 3",
-    "rep1_repair": NODES + f", {_FEATURES}, pairs AS (SELECT o.page_id, o.node_id AS old_id, n.node_id AS new_id, [CASE WHEN o.tag = n.tag THEN 1.0 ELSE 0.0 END, CASE WHEN len(o.classes) > 0 AND len(n.classes) > 0 THEN {_JACC.format(a='o.classes', b='n.classes')} END, CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL THEN CASE WHEN o.id = n.id THEN 1.0 ELSE 0.0 END END, CASE WHEN o.text <> '' AND n.text <> '' THEN CASE WHEN o.text = n.text THEN 1.0 ELSE {_JACC.format(a=_TOKS.format(x='o.text'), b=_TOKS.format(x='n.text'))} END END, CASE WHEN len(o.names) > 0 AND len(n.names) > 0 THEN {_JACC.format(a='o.names', b='n.names')} END, 1.0 / (1 + abs(o.nth - n.nth))] AS parts FROM feat o JOIN feat n USING (page_id) WHERE o.tag = 'h1' OR list_contains(o.classes, 'ad')), s AS (SELECT page_id, old_id, new_id, list_sum(list_filter(parts, lambda x: x IS NOT NULL)) / len(list_filter(parts, lambda x: x IS NOT NULL)) AS s FROM pairs) SELECT page_id, CAST(old_id AS BIGINT) AS old_id, CAST(arg_max(new_id, (s, -new_id)) AS BIGINT) AS new_id, round(max(s)::DOUBLE, 6) AS similarity FROM s WHERE s >= 0.7 GROUP BY page_id, old_id",
     "rep4_signatures": NODES + f", sig AS (SELECT page_id, node_id, tag, CASE WHEN text = '' THEN '' ELSE md5(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) END AS h, list_filter(map_entries(attrs), lambda e: NOT {_DYNAMIC.format(x='e.value')}) AS a FROM nodes) SELECT o.page_id, o.node_id AS old_id, min(n.node_id) AS new_id FROM sig o JOIN sig n ON n.page_id = o.page_id AND n.tag = o.tag AND n.h = o.h WHERE len(o.a) = 0 OR len(list_filter(o.a, lambda e: list_contains(n.a, e))) / len(o.a) >= 0.5 GROUP BY ALL",
     "rep5_loosened": NODES + """ SELECT page_id, 2::INT AS place, 'body' AS css, 0.6::DOUBLE AS confidence, count(*)::INT AS n FROM nodes WHERE tag = 'body' GROUP BY page_id""",
-    "rep6_rerank": NODES + _CANDIDATES + ", c AS (SELECT page_id, selector, max(confidence) AS s FROM cand GROUP BY ALL) SELECT a.page_id, a.selector, round(CASE WHEN b.selector IS NOT NULL THEN least(1.0, a.s * 1.2) ELSE a.s * 0.3 END::DOUBLE, 6) AS score FROM c a LEFT JOIN c b ON b.page_id = a.page_id + 1 AND b.selector = a.selector",
+    "rep6_rerank": NODES + _CANDIDATES + ", c AS (SELECT page_id, selector, max(confidence) AS s FROM cand GROUP BY ALL) SELECT a.page_id, a.selector, round(CASE WHEN b.selector IS NOT NULL THEN a.s * 1.2 ELSE a.s * 0.3 END::DOUBLE, 6) AS score FROM c a LEFT JOIN c b ON b.page_id = a.page_id + 1 AND b.selector = a.selector",
     "rep8_structure": NODES + ", g AS (SELECT page_id, count(*) AS n, avg(depth) AS depth_mean, stddev_pop(depth) AS depth_std, max(depth) AS depth_max, md5(string_agg(tag || ':' || children, '|' ORDER BY node_id) FILTER (node_id < 100)) AS dom_hash, count(*) FILTER (parent_id >= 0) AS below, sum(len(map_keys(attrs))) FILTER (parent_id >= 0) AS named, ["
     + ", ".join(f"count(*) FILTER (parent_id >= 0 AND tag = '{t}')" for t in H.VECTOR_TAGS) + "] AS tags, [" + ", ".join(f"coalesce(sum(len(list_filter(map_keys(attrs), lambda k: contains(k, '{a}')))) FILTER (parent_id >= 0), 0)::BIGINT" for a in H.VECTOR_ATTRS)
     + "] AS names FROM nodes GROUP BY page_id), r AS (SELECT *, list_concat(list_concat(list_transform(tags, lambda t: t / greatest(below, 1)), [depth_mean, depth_std, depth_max::DOUBLE]), list_transform(names, lambda t: t / greatest(named, 1))) AS raw FROM g) SELECT page_id, n, round(depth_mean, 6) AS depth_mean, round(depth_std, 6) AS depth_std, depth_max, dom_hash, array_to_string(list_transform(raw, lambda x: printf('%.6f', x / sqrt(list_sum(list_transform(raw, lambda y: y * y))))), ' ') AS vector FROM r",
-    "rep10_groups": NODES + f""", alike AS (
-      SELECT page_id, CAST(-1 AS INT) AS node_id, CAST([] AS STRUCT(id INT, tag VARCHAR, c VARCHAR[], a VARCHAR[])[]) AS reps, CAST(NULL AS INT) AS rep FROM pages
-      UNION ALL
-      SELECT page_id, node_id, CASE WHEN hit IS NULL THEN list_append(reps, {{'id': node_id, 'tag': tag, 'c': c, 'a': a}}) ELSE reps END, coalesce(hit, node_id) FROM (
-        SELECT k.page_id, k.node_id, k.tag, k.c, k.a, r.reps, list_filter(r.reps, lambda x: x.tag = k.tag AND CASE WHEN len(x.c) > 0 AND len(k.c) > 0 THEN len(list_intersect(x.c, k.c)) / greatest(len(list_distinct(x.c)), len(list_distinct(k.c))) > 0.5 WHEN len(x.a) > 0 AND len(k.a) > 0 THEN len(list_intersect(x.a, k.a)) / greatest(len(x.a), len(k.a)) > 0.7 ELSE true END)[1].id AS hit
-        FROM alike r JOIN (SELECT page_id, node_id, tag, {_CLASSES.format(n='nodes')} AS c, map_keys(attrs) AS a FROM nodes) k ON k.page_id = r.page_id AND k.node_id = r.node_id + 1))
-      SELECT a.page_id, a.rep AS first_id, min(n.tag) AS tag, count(*)::INT AS n, max(a.node_id) AS last_id FROM alike a JOIN nodes n ON n.page_id = a.page_id AND n.node_id = a.node_id GROUP BY a.page_id, a.rep HAVING count(*) > 1""",
     "sup4_heal": "SELECT page_id, unnest(['ad', 'kept', 'menu']) AS name, unnest(['div.ad', 'article > h1', 'nav']) AS css, unnest([1, 1, 1])::INT AS healed FROM pages",
     "sup5_candidates": NODES + _UP + """, f AS (SELECT n.page_id, n.node_id, EXISTS (SELECT 1 FROM up JOIN nodes d ON d.page_id = up.page_id AND d.node_id = up.node_id WHERE up.page_id = n.page_id AND up.anc = n.node_id AND d.tag = 'a') AS link,
         EXISTS (SELECT 1 FROM up JOIN nodes d ON d.page_id = up.page_id AND d.node_id = up.node_id WHERE up.page_id = n.page_id AND up.anc = n.node_id AND d.tag = 'img') AS image, regexp_matches(w.text, '\\d') AS digit FROM nodes n JOIN whole w ON w.page_id = n.page_id AND w.anc = n.node_id WHERE n.tag IN ('li', 'div', 'nav')),
