@@ -142,17 +142,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def similar_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:
-    """(query, key, rank, similarity): the k nearest of each query vector.
-
-    The queries are a stated set; each task of ``vectors`` meets them all.
-    """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    s = vectors.crossJoin(F.broadcast(q)).filter(F.col(key) != F.col("query")).select("query", key, cosine(F.col(vector), F.col("qv")).alias("similarity")).filter(F.col("similarity") >= least)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def sink_unseen(rows: DataFrame, key: str, day: str, order: str, expiry: int) -> DataFrame:
     """The rows that a sink takes: a key that it took is a duplicate for ``expiry`` days; of a key and day the first row.
 
