@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from docloom.operators import records as R
 from docloom.operators import scan
@@ -43,15 +44,23 @@ def item_hook(df: DataFrame, hook: Callable[[dict], dict | None]) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
-def parse_pages(pages: DataFrame, parse: Callable[[str, str], Iterator[tuple[str, str, str]]], url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (url, kind, key, value) from a function that yields ("item" or "request", key, value) for each page."""
+def parser(parse: Callable[[str | None, str], Iterator[tuple[str, str, str]]]) -> UserDefinedTableFunction:
+    """A table function (url, html) -> (kind, key, value) of a function that yields ("item" or "request", key, value) for a page.
+
+    Register it with ``spark.udtf.register`` to use it in SQL.  Null html is an empty page.
+    """
+
+    class Parser:
+        def eval(self, url: str | None, html: str | None) -> Iterator[tuple[str, str, str]]:
+            yield from parse(url, html or "")
+
+    return F.udtf(Parser, returnType="kind string, key string, value string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(u, *x) for u, h in zip(b[url], b[html], strict=True) for x in parse(u, h or "")]
-            yield pd.DataFrame(rows, columns=["url", "kind", "key", "value"])
 
-    return pages.select(url, html).mapInPandas(run, "url string, kind string, key string, value string")
+def parse_pages(pages: DataFrame, parse: Callable[[str | None, str], Iterator[tuple[str, str, str]]], url: str = "url", html: str = "html") -> DataFrame:
+    """Rows (url, kind, key, value) that ``parse`` yields for each page."""
+    given = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
+    return given.lateralJoin(parser(parse)(F.col("url").outer(), F.col("html").outer())).select("url", "kind", "key", "value")
 
 
 def error_backoff(rows: DataFrame, key: str, order: list[str], status: str = "status_code", retry_after: str | None = None, *, size: int = scan.CHUNK) -> DataFrame:

@@ -73,19 +73,6 @@ def rotated(sessions: DataFrame, which: Column, at: Column, key: str = "session_
     ).withColumn(key, F.col("new_id")).drop("new_id")
 
 
-def sealed(rows: DataFrame, columns: Sequence[str], data: str = "data", checksum: str = "checksum") -> DataFrame:
-    """Add the row as JSON and its SHA-256."""
-    return rows.withColumn(data, F.to_json(F.struct(*columns))).withColumn(checksum, F.sha2(data, 256))
-
-
-def verified(rows: DataFrame, schema: str, data: str = "data", checksum: str = "checksum", fallback: str | None = None) -> DataFrame:
-    """Add ``state``, parsed from data that has its checksum, else from the fallback if that has it, else null, and ``intact``."""
-    good = F.when(F.sha2(data, 256) == F.col(checksum), F.col(data))
-    if fallback:
-        good = F.coalesce(good, F.when(F.sha2(fallback, 256) == F.col(checksum), F.col(fallback)))
-    return rows.withColumn("state", F.from_json(good, schema)).withColumn("intact", good.isNotNull())
-
-
 def set_cookie(header: Column, now: Column) -> Column:
     """A Set-Cookie value as name, value, domain, path, expires, same_site, secure, http_only; null without a name.
 

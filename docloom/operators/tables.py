@@ -142,15 +142,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def sink_unseen(rows: DataFrame, key: str, day: str, order: str, expiry: int) -> DataFrame:
+def sink_unseen(rows: DataFrame, key: str, day: str, order: str, expiry: int, last: DataFrame | None = None) -> DataFrame:
     """The rows that a sink takes: a key that it took is a duplicate for ``expiry`` days; of a key and day the first row.
 
-    A fold over a key's days, of which there are as many as days at most.
+    A fold over a key's days, of which there are as many as days at most.  ``last``
+    (key, last) has the days on which keys were taken before.  Null keys are one key.
     """
     first = rows.groupBy(key, day).agg(F.min(order).alias(order))
-    days = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col(order).alias("o")))).alias("xs"))
-    empty = F.lit(None).cast("bigint")
-    taken = F.aggregate("xs", F.struct(empty.alias("last"), F.array().cast("array<struct<d:bigint,o:bigint>>").alias("out")), lambda a, x: F.when(a["last"].isNull() | (x["d"] - a["last"] >= expiry), F.struct(x["d"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a))
+    days = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(day).cast("bigint").alias("d"), F.col(order).cast("bigint").alias("o")))).alias("xs"))
+    if last is not None:
+        before = last.select(F.col(key).alias("_key"), F.col("last").cast("bigint").alias("_last"))
+        days = days.join(before, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    else:
+        days = days.withColumn("_last", F.lit(None).cast("bigint"))
+    start = F.struct(F.col("_last").alias("last"), F.array().cast("array<struct<d:bigint,o:bigint>>").alias("out"))
+    taken = F.aggregate("xs", start, lambda a, x: F.when(a["last"].isNull() | (x["d"] - a["last"] >= expiry), F.struct(x["d"].alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a))
     return days.select(key, F.explode(taken["out"]).alias("x")).select(key, F.col("x.d").alias(day), F.col("x.o").alias(order))
 
 

@@ -109,6 +109,17 @@ def udf1_parse(spark, sf_dir):
     return X.parse_pages(_pages(spark, sf_dir), parse).groupBy("url", "kind").agg(F.count("*").alias("n"))
 
 
+def udf1_in_sql(spark, sf_dir):
+    """A page parser as a table function of SQL."""
+
+    def parse(url: str, html: str):
+        for i, x in enumerate(html.split("<li>")[1:]):
+            yield "item", str(i), x.split("</li>")[0].split(">")[-2].split("<")[0]
+
+    spark.udtf.register("docloom_items", X.parser(parse))
+    return spark.sql("SELECT p.page_id, t.key, t.value FROM {pages} p, LATERAL docloom_items(p.url, p.html) t", pages=_pages(spark, sf_dir))
+
+
 def udf5_scorers(spark, sf_dir):
     X.register(X.SCORERS, "filled")(lambda df: R.completeness_b(["name", "description"]))
     return X.scored(_records(spark, sf_dir), ["filled"]).select("id", F.round("filled", 6).alias("filled"))
@@ -153,6 +164,7 @@ SQL: dict[str, str | None] = {
     "sup16_example_id": "SELECT page_id, md5(url || '|' || md5(html)) AS example_id FROM pages",
     "crw8_hook": "SELECT n_nationkey AS n, upper(n_name) AS name FROM nation WHERE n_nationkey % 3 <> 0",
     "udf1_parse": "SELECT url, 'item' AS kind, 1::BIGINT AS n FROM pages UNION ALL SELECT url, 'request', CAST(len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"')) AS BIGINT) FROM pages",
+    "udf1_in_sql": r"""SELECT page_id, CAST(i - 1 AS VARCHAR) AS key, regexp_extract(list[i], '<li><a[^>]*>([^<]*)</a></li>', 1) AS value FROM (SELECT page_id, list, unnest(range(1, len(list) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>[^<]*</a></li>') AS list FROM pages))""",
     "udf5_scorers": f"SELECT id, (CASE WHEN coalesce(name, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(description, '') <> '' THEN 1 ELSE 0 END) / 2 AS filled FROM {_R}",
     "pol1_agents": f"SELECT event_id, 'b' AS agent, starts_with('/p/' || (event_id % 50), '/p/' || (event_id % 10)) AS denied FROM {_E}",
     "pol8_interval": f"WITH RECURSIVE m AS (SELECT crawl_id, greatest(1.0, max(abs(status_code))) AS a, greatest(1.0, max(abs(bytes))) AS b, avg(response_time) AS y, list({{'a': status_code, 'b': bytes, 'y': response_time}} ORDER BY event_id) AS xs FROM {_E} GROUP BY crawl_id), f AS (SELECT crawl_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM m UNION ALL SELECT crawl_id, i + 1, w0 + e, w1 + e * p, w2 + e * q FROM (SELECT f.*, x.a / m.a AS p, x.b / m.b AS q, 0.01 * (x.y - (w0 + w1 * (x.a / m.a) + w2 * (x.b / m.b))) AS e FROM f JOIN m USING (crawl_id), (SELECT 1) CROSS JOIN LATERAL (SELECT m.xs[f.i + 1] AS x) WHERE f.i < len(m.xs))) SELECT crawl_id, round(0.3 * (w0 + w1 * (xs[-1].a / a) + w2 * (xs[-1].b / b)) + 0.7 * y, 6) AS interval FROM f JOIN m USING (crawl_id) WHERE i = len(xs)",

@@ -16,7 +16,7 @@ from docloom.operators import tables as T
 from docloom.plans import base
 from docloom.plans.html_queries import SQL as HTML
 from docloom.plans.tree_queries import SQL as TREE
-from docloom.sources import io
+from docloom.sources import io, stores
 
 _E, _T, _N, _S, _R, _C = (f"({x})" for x in (base.CRAWL, base.TASKS, base.NODES, base.SESSIONS, base.RECORDS, base.COOKIES))
 
@@ -143,10 +143,33 @@ def sup25_export(spark, sf_dir):
 
 
 def sup26_integrity(spark, sf_dir):
-    s = S.sealed(base.derived(spark, sf_dir, base.SESSIONS), ["session_id", "tag"])
-    broken = s.withColumn("packed", F.when(F.col("session_id") % 7 == 0, F.concat("data", F.lit("x"))).otherwise(F.col("data"))).withColumn("data", F.when(F.col("session_id") % 14 == 0, "").otherwise(F.col("data")))
-    v = S.verified(broken, "session_id long, tag string", "packed", "checksum", "data")
-    return v.select("session_id", "intact", F.col("state.tag").alias("tag"))
+    """Sessions sealed into a store and checked when they are loaded, some of them broken meanwhile."""
+    store = stores.SqliteStorage(spark, io.fresh_path(spark), "sessions", ["session_id"], "created_at")
+    whole = stores.CheckedStorage(store, "tag string, use_count int, created_at timestamp")
+    whole.save(base.derived(spark, sf_dir, base.SESSIONS).select("session_id", "tag", "use_count", F.col("created_at").cast("timestamp").alias("created_at")))
+    k = F.col("session_id")
+    rows = store.load()
+    broken = rows.withColumn("data", F.when(k % 14 == 0, F.concat("data", F.lit(b"x"))).when(k % 15 == 0, F.substring("data", 1, 3)).otherwise(F.col("data"))).withColumn("checksum", F.when(k % 77 == 0, "").otherwise(F.col("checksum")))
+    return stores.opened(broken, ["session_id"], whole.schema).select("session_id", "intact", "tag", "use_count", F.unix_micros("created_at").alias("created_us"))
+
+
+def src9_sqlite(spark, sf_dir):
+    """Sessions written to SQLite files by the tasks that have them, and read back by ranges of row numbers."""
+    path = io.fresh_path(spark)
+    stores.register(spark)
+    s = base.derived(spark, sf_dir, base.SESSIONS).select("session_id", "tag", "domain", "use_count", F.col("expires_at").cast("timestamp").alias("expires_at"))
+    s.repartition(5).write.format(stores.FORMAT).option("table", "sessions").mode("append").save(path)
+    back = spark.read.format(stores.FORMAT).option("table", "sessions").option("splits", "3").load(path)
+    return back.select("session_id", "tag", "domain", "use_count", F.unix_micros("expires_at").alias("expires_us"))
+
+
+def udf10_storage(spark, sf_dir):
+    """Elements saved under site and identifier, saved again by a later crawl, and retrieved."""
+    store = stores.SqliteStorage(spark, io.fresh_path(spark), "elements", ["site", "identifier"], "crawl")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(U.host(F.col("url")).alias("site"), F.concat(F.lit("page-"), "page_id").alias("identifier"), "page_id", F.length("html").alias("size"))
+    store.save(p.select("site", "identifier", F.lit(1).alias("crawl"), "size"))
+    store.save(p.filter("page_id % 3 = 0").select("site", "identifier", F.lit(2).alias("crawl"), (F.col("size") + 1).alias("size")))
+    return store.retrieve(p.filter("size > 2000")).select("site", "identifier", "crawl", "size")
 
 
 def sup23_set_cookie(spark, sf_dir):
@@ -308,7 +331,9 @@ SQL: dict[str, str | None] = {
     "sel16_follow": "SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS url, url AS referer, 's' || (page_id % 3) AS sid, page_id % 5 AS priority, page_id % 4 + 1 AS depth, '{\"page\":\"' || page_id || '\"}' AS meta FROM (SELECT *, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS h FROM pages)",
     "sup24_rotate": f"SELECT CASE WHEN use_count > 9 THEN md5(session_id || '|1706745600') ELSE CAST(session_id AS VARCHAR) END AS session_id, CASE WHEN use_count > 9 THEN 0 ELSE use_count END AS use_count, CASE WHEN use_count > 9 THEN CAST(session_id AS VARCHAR) END AS rotated_from, CASE WHEN use_count > 9 THEN 1706745600 END AS rotated_at, tag FROM {_S}",
     "sup25_export": f"SELECT session_id, use_count, tag, domain FROM {_S}",
-    "sup26_integrity": f"SELECT session_id, session_id % 14 <> 0 AS intact, CASE WHEN session_id % 14 <> 0 THEN tag END AS tag FROM {_S}",
+    "sup26_integrity": f"SELECT session_id, ok AS intact, CASE WHEN ok THEN tag END AS tag, CASE WHEN ok THEN use_count END AS use_count, CASE WHEN ok THEN epoch_us(created_at) END AS created_us FROM (SELECT *, session_id % 14 <> 0 AND session_id % 15 <> 0 AND session_id % 77 <> 0 AS ok FROM {_S})",
+    "src9_sqlite": f"SELECT session_id, tag, domain, use_count, epoch_us(expires_at) AS expires_us FROM {_S}",
+    "udf10_storage": "SELECT regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) AS site, 'page-' || page_id AS identifier, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS crawl, CAST(length(html) + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS size FROM pages WHERE length(html) > 2000",
     "sup23_set_cookie": "SELECT page_id, 'sid' AS name, page_id || '=x' AS value, '.example.com' AS domain, CASE WHEN page_id % 2 = 0 THEN '/a' ELSE '/' END AS path, CASE WHEN page_id % 5 = 0 THEN 1060 WHEN page_id % 3 = 0 THEN epoch(TIMESTAMP '2026-10-21 07:28:00') END::DOUBLE AS expires, CASE WHEN page_id % 4 = 0 THEN 'Strict' ELSE 'Lax' END AS same_site, page_id % 4 = 0 AS secure, page_id % 4 <> 0 AS http_only FROM pages",
     "sup30_proxy": "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN CASE WHEN page_id % 5 = 1 THEN 'socks5' ELSE 'http' END || '://proxy.example.com' || CASE WHEN page_id % 2 = 0 THEN ':8080' ELSE '' END END AS server, CASE WHEN page_id % 5 <> 0 THEN CASE WHEN page_id % 3 < 2 THEN 'u' || page_id ELSE '' END END AS username, CASE WHEN page_id % 5 <> 0 THEN CASE WHEN page_id % 3 = 0 THEN 'p' || page_id ELSE '' END END AS password FROM pages",
     "sup33_savings": "SELECT p_partkey, " + ", ".join(f"round(CAST(p_retailprice AS DOUBLE) * {v}, 6) AS {k}" for k, v in S.SAVINGS.items()) + " FROM part",

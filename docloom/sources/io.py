@@ -165,29 +165,3 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 def fresh_path(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/out-{uuid.uuid4()}"
-
-
-def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
-    """A table of an SQLite file that all executors can open, read by ranges of its row numbers."""
-
-    def rows(sql: str, *values: object) -> list[tuple]:
-        with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as c:
-            return c.execute(sql, values).fetchall()
-
-    if not re.fullmatch(r"\w+", table):
-        raise ValueError(f"no table name: {table!r}")
-    kinds = spark.createDataFrame([], schema).schema
-    names = ", ".join(f'"{f.name}"' for f in kinds)
-    arrow = to_arrow_schema(kinds)
-    low, high = rows(f'SELECT min(rowid), max(rowid) FROM "{table}"')[0]
-    if low is None:
-        return spark.createDataFrame([], kinds)
-    step = (high - low) // parts + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                found = rows(f'SELECT {names} FROM "{table}" WHERE rowid >= ? AND rowid < ?', low + i * step, low + (i + 1) * step)
-                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in found], schema=arrow)
-
-    return spark.range(0, parts, 1, parts).mapInArrow(run, kinds)

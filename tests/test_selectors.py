@@ -1,5 +1,6 @@
 """Selectors, healing, fuzzy pairs and SQLite tables against literals and brute force."""
 
+import datetime
 import difflib
 import random
 import re
@@ -7,7 +8,8 @@ import sqlite3
 
 import pytest
 from docloom.operators import dedup, healing, html, learning
-from docloom.sources import io
+from docloom.sources import stores
+from pyspark.sql import functions as F
 
 PAGE = """<html><body><div id="m" class="a b"><h1>T</h1><p>one</p><p class=x>two <b>bold</b></p><span></span></div><div data-k="v"><p>three</p></div></body></html>"""
 
@@ -104,8 +106,44 @@ def test_sqlite_tables(spark, tmp_path):
         c.execute("CREATE TABLE sessions (id INTEGER PRIMARY KEY, tag TEXT, used REAL)")
         c.execute("CREATE TABLE none (id INTEGER)")
         c.executemany("INSERT INTO sessions VALUES (?, ?, ?)", [(3 * i, f"t{i}" if i % 4 else None, i / 2) for i in range(50)])
-    df = io.sqlite_table(spark, path, "sessions", "id long, tag string, used double")
+    stores.register(spark)
+    load = lambda table: spark.read.format(stores.FORMAT).option("table", table).load(path)
+    df = load("sessions")
+    assert df.schema.simpleString() == "struct<id:bigint,tag:string,used:double>" and df.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, df.collect())) == sorted((3 * i, f"t{i}" if i % 4 else None, i / 2) for i in range(50))
-    assert io.sqlite_table(spark, path, "none", "id long").count() == 0
-    with pytest.raises(ValueError):
-        io.sqlite_table(spark, path, "a; drop", "id long")
+    assert load("none").count() == 0
+    with pytest.raises(Exception, match="no table name"):
+        load("a; drop").count()
+
+
+def test_only_committed_shards_count(spark, tmp_path):
+    path = str(tmp_path / "t")
+    stores.register(spark)
+    schema = "k long, s string, b boolean, d double, x binary, t timestamp, day date"
+    rows = [(i, None if i % 5 == 0 else f"s{i}", i % 2 == 0, i / 3, bytes([i]), datetime.datetime(2024, 1, 1, 0, 0, i, 5), datetime.date(2024, 1, i + 1)) for i in range(20)] + [(None,) * 7]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    write = lambda d, mode: d.write.format(stores.FORMAT).option("table", "t").mode(mode).save(path)
+    load = lambda: spark.read.format(stores.FORMAT).option("table", "t").load(path)
+    write(df, "append")
+    assert sorted(load().collect(), key=str) == sorted(df.collect(), key=str)
+    with pytest.raises(Exception):  # noqa: B017  one task fails, so nothing of the job is kept
+        write(df.withColumn("k", F.when(F.col("k") == 7, F.raise_error(F.lit("stop"))).otherwise(F.col("k"))), "append")
+    assert load().count() == 21
+    write(df.limit(4), "append")
+    assert load().count() == 25
+    write(df.limit(0), "overwrite")
+    assert load().count() == 0
+
+
+def test_checked_rows(spark, tmp_path):
+    inner = stores.SqliteStorage(spark, str(tmp_path / "c"), "c", ["k"], "v")
+    store = stores.CheckedStorage(inner, "k long, v int, s string")
+    store.save(spark.createDataFrame([(1, 1, "a" * 5000), (2, 1, None)], "k long, v int, s string"))
+    store.save(spark.createDataFrame([(1, 2, "b")], "k long, v int, s string"))
+    assert len(inner.load().orderBy(F.length("data")).collect()[-1].data) < 100
+    assert sorted(map(tuple, store.newest().collect()), key=str) == [(1, 2, "b"), (2, 1, None)]
+    with sqlite3.connect(stores.shards(str(tmp_path / "c"))[0]) as c:
+        c.execute("UPDATE c SET data = substr(data, 1, 4)")
+    assert store.checked().filter("NOT intact").count() >= 1
+    assert store.load().count() + store.checked().filter("NOT intact").count() == 3
+    assert stores.unpack(None, "") is None
