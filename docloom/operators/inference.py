@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Long
 
 from docloom.functions import text as T
 from docloom.functions import urls as U
-from docloom.operators.state import checkpointed
+from docloom.operators.state import written
 
 #: Formats of majority patterns, and date patterns of the learner.
 FORMATS = {"email": "email", "url": "uri", "date": "date"}
@@ -107,25 +107,66 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.filter("value IS NOT NULL").groupBy("field").agg(F.avg(F.length(v) / 100.0).alias("f0"), F.avg(share("[^0-9]")).alias("f1"), F.avg(share(r"[^\p{L}]")).alias("f2"), F.avg(share(r"[^\s]")).alias("f3"), F.avg(share(r"[\p{L}0-9\s]")).alias("f4"))
 
 
-def clusters(vectors: DataFrame, key: str, dims: list[str], eps: float = 0.5) -> DataFrame:
-    """(key, cluster) by density with two neighbours: components of the eps graph; null for what has no neighbour.
+#: Dimensions that the grid is laid over; a point looks into 3 cells for each.
+GRID = 3
 
-    Fields are as many as a schema has, so pairs of fields are few.
+
+def _near(points: DataFrame, dims: list[str], eps: float) -> DataFrame:
+    """(a, b) of different points at most ``eps`` apart, both ways.
+
+    A point meets those of its own and the bordering cells of a grid of width
+    ``eps`` over the first ``GRID`` dimensions, which leaves no pair out.
+    """
+    cells = [F.floor(F.col(d) / eps).alias(f"c{i}") for i, d in enumerate(dims[:GRID])]
+    own = points.select("id", *dims, *cells)
+    around = own
+    for i in range(len(cells)):
+        around = around.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + step for step in (-1, 0, 1)))))
+    x, y = own.alias("x"), around.alias("y")
+    same = F.col("x.id") != F.col("y.id")
+    for i in range(len(cells)):
+        same = same & (F.col(f"x.c{i}") == F.col(f"y.c{i}"))
+    apart = F.sqrt(sum((F.pow(F.col(f"x.{d}") - F.col(f"y.{d}"), 2) for d in dims), F.lit(0.0)))
+    return x.join(y, same).filter(apart <= eps).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def clusters(vectors: DataFrame, key: str, dims: list[str], eps: float = 0.5, min_samples: int = 2) -> DataFrame:
+    """(key, cluster) by density: the least core key of a cluster, null for noise.
+
+    Rows at the same place are one point with a weight.  A point is core if it and
+    those at most ``eps`` away weigh ``min_samples``; core points that near are one
+    cluster, and others join the first cluster of a core point near them.  Labels
+    spread by the least neighbour and by jumping to the label's own label, each
+    round written to the shared folder.  Rows with a null or NaN coordinate, or a
+    null key, are noise.
     """
-    x, y = vectors.alias("x"), vectors.alias("y")
-    dist = F.sqrt(sum((F.pow(F.col(f"x.{d}") - F.col(f"y.{d}"), 2) for d in dims), F.lit(0.0)))
-    near = x.join(y, F.col(f"x.{key}") != F.col(f"y.{key}")).filter(dist <= eps).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"))
-    near = checkpointed(near)
-    label = vectors.select(F.col(key).alias("k")).withColumn("c", F.col("k"))
+    fine = F.col(key).isNotNull()
+    for d in dims:
+        fine = fine & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))
+    placed = vectors.select(F.col(key).alias("key"), *(F.col(d).cast("double").alias(f"x{i}") for i, d in enumerate(dims)), F.coalesce(fine, F.lit(False)).alias("fine"))
+    dims = [f"x{i}" for i in range(len(dims))]
+    at = placed.filter("fine").select(F.col("key").alias("id"), *dims)
+    points = written(at.groupBy(*dims).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    near = written(_near(points, dims, eps))
+    around = near.join(points.select(F.col("id").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.sum("m").alias("m"))
+    core = written(points.join(around, F.col("id") == F.col("a"), "left").filter(F.col("n") + F.coalesce("m", F.lit(0)) >= min_samples).select("id"))
+    links = written(near.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi"))
+    label = core.select(F.col("id").alias("k"), F.col("id").alias("c"))
     while True:
-        low = near.join(label, F.col("b") == F.col("k")).groupBy("a").agg(F.min("c").alias("m"))
-        moved = label.join(low, F.col("k") == F.col("a"), "left").select("k", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
-        moved = checkpointed(moved)
-        label = moved.select("k", F.col("n").alias("c"))
-        if not moved.filter("n < c").limit(1).count():
+        low = links.join(label, F.col("b") == F.col("k")).groupBy("a").agg(F.min("c").alias("m"))
+        least = written(label.join(low, F.col("k") == F.col("a"), "left").select("k", F.least("c", F.coalesce("m", "c")).alias("n"), "c"))
+        onward = least.select(F.col("k").alias("n"), F.col("n").alias("q"))
+        label = written(least.join(onward, "n", "left").select("k", F.least("n", F.coalesce("q", "n")).alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+        if not label.filter("moved").limit(1).count():
             break
-    lone = label.join(near.select(F.col("a").alias("k")).distinct().withColumn("near", F.lit(True)), "k", "left")
-    return lone.select(F.col("k").alias(key), F.when(F.col("near"), F.col("c")).alias("cluster"))
+        label = label.select("k", "c")
+    border = near.join(label.select(F.col("k").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("d"))
+    of_point = points.join(label.select("k", "c"), F.col("id") == F.col("k"), "left").join(border, F.col("id") == F.col("a"), "left").select(*dims, F.coalesce("c", "d").alias("cluster"))
+    same = F.col("fine")
+    o = of_point.select(*(F.col(d).alias(f"_{d}") for d in dims), "cluster")
+    for d in dims:
+        same = same & (F.col(d) == F.col(f"_{d}"))
+    return placed.join(o, same, "left").select(F.col("key").alias(key), "cluster")
 
 
 def page_type(html: Column) -> Column:

@@ -1,12 +1,14 @@
 """Operators against literals, independent restatements and invariants."""
 
+import math
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from docloom.functions import text as T
 from docloom.functions import urls as U
-from docloom.operators import crawl, dedup, html, inference, monitoring, politeness, records, tables
+from docloom.operators import crawl, dedup, html, inference, monitoring, politeness, records, tables, vector_index
 from docloom.sources import io
 from pyspark.sql import functions as F
 
@@ -179,3 +181,44 @@ def test_combined_duplicates_reach_every_member(spark, tmp_path):
     got = [tuple(r) for r in d15_combined(spark, str(tmp_path)).select("doc_id", "is_duplicate", "duplicate_of", "similarity").collect()]
     assert len(got) == len(texts) and set(got) == want
     assert any(x[3] not in (0.0, 1.0) for x in want)
+
+
+@pytest.mark.parametrize("min_samples", [1, 2, 4])
+def test_density_clusters(spark, min_samples):
+    """Against a plain breadth-first DBSCAN; borders join the first cluster of a core point near them."""
+    r = random.Random(9)
+    rows = [(i, *(round(r.choice([0, 2, 5]) + r.gauss(0, 0.35), 2) for _ in range(4))) for i in range(90)]
+    rows += [(200 + i, 9.0, 9.0, 9.0, 9.0) for i in range(3)] + [(300, None, 1.0, 1.0, 1.0), (301, float("nan"), 1.0, 1.0, 1.0)]
+    good = [x for x in rows if x[1] is not None and x[1] == x[1]]
+    near = {a[0]: [b[0] for b in good if math.dist(a[1:], b[1:]) <= 0.5] for a in good}
+    core = {k for k, v in near.items() if len(v) >= min_samples}
+    want = dict.fromkeys((x[0] for x in rows), None)
+    for k in sorted(core):
+        if want[k] is None:
+            todo = [k]
+            want[k] = k
+            while todo:
+                for b in near[todo.pop()]:
+                    if b in core and want[b] is None:
+                        want[b] = k
+                        todo.append(b)
+    for k in near:
+        if k not in core:
+            want[k] = min((want[b] for b in near[k] if b in core), default=None)
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, d double").repartition(3)
+    assert {x.k: x.cluster for x in inference.clusters(df, "k", ["a", "b", "c", "d"], 0.5, min_samples).collect()} == want
+    assert inference.clusters(df.limit(0), "k", ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.9, 0.5, 0.2, -1.0])
+def test_vector_search_loses_nothing(spark, least):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(150, 6)) + 3 * (np.arange(150) % 3 == 0)[:, None]
+    rows = [(i, [float(c) for c in v], "x") for i, v in enumerate(x)] + [(500, None, "x"), (501, [0.0] * 6, "x"), (502, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (503, [1.0] * 3, "x"), (504, [1e300] * 6, "x"), (504, [1e300] * 6, "x")]
+    df = spark.createDataFrame(rows, "k long, v array<double>, cell string").repartition(4)
+    index = vector_index.indexed(df, "k", "v", cells=7, sample=60)
+    good = [(k, np.array(v, float) / max(map(abs, v))) for k, v, _ in rows if v and None not in v and any(v) and len(v) == 6]
+    q = df.filter("k % 10 = 4")
+    want = sorted((a, b) for a, x in good if a % 10 == 4 for b, y in good if a != b and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= least - 1e-12)
+    got = sorted((r.query, r.key) for r in vector_index.search(index, q, "k", "v", least).collect())
+    assert got == want and want
