@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, decontamination, line_dedup, simhash, toxicity
-from docloom.llm.common import table, written
+from docloom.llm.common import discard, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written to the shared folder, so that no stage is worked out twice."""
+    """All stages over documents; each one's rows are written to the shared folder, so that no stage is worked out twice, and deleted when the next one's are."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir))
+        if i:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
