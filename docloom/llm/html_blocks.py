@@ -27,10 +27,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ASIDE = frozenset("nav header footer aside form menu dialog button select option fieldset head audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
-    "sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social "
-    "comment comments reply replies disqus discussion respond related recommended recommendations teaser pagination pager copyright disclaimer toolbar skip".split()
+    "banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget notice notification alert signup login form search share sharing social "
+    "related recommended recommendations teaser pagination pager copyright disclaimer toolbar skip review reviews".split()
 )
+#: Those of adverts and consent, which seldom name anything else, and those of what readers wrote.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription".split())
+READERS = frozenset("comment comments reply replies disqus discussion respond".split())
 MAIN = frozenset(("article", "main"))
 #: Elements that make up running text; all others are boxes that hold it.
 TEXT = INLINE | frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table caption thead tbody tfoot tr td th figure figcaption hr address details summary center".split())
@@ -47,17 +49,19 @@ class Line:
     box: int  # number of the nearest element around it that is no part of running text
 
 
-#: What an element says of itself: that it holds main text, that it holds none, or, by some of its names, perhaps none.
-HOLDS, MAYBE, NONE = range(3)
+#: What an element says of itself: that it holds main text; by its names perhaps none, or hardly any; that it holds none.
+HOLDS, MAYBE, HARDLY, NONE = range(4)
+#: An element holds main text for all its names if it has this share of the page's text outside of links.
+SHARES = {MAYBE: 1 / 3, HARDLY: 0.9}
 
 
 def _aside(tag: str, attrs: str, inside: bool) -> int:
     if tag in ASIDE and not (tag == "header" and inside):
         return NONE
-    # an article may be a reader's comment
     if not attrs or tag in ("body", "html", "main"):
         return HOLDS
-    names, others = 0, 0
+    found = HOLDS
+    readers = others = False
     for name, value in _ATTR.findall(attrs):
         name = name.lower()
         value = value.strip("\"'").lower()
@@ -66,32 +70,38 @@ def _aside(tag: str, attrs: str, inside: bool) -> int:
         if name == "role" and value in ROLES:
             return NONE
         if name in ("class", "id"):
-            for word in value.split():
-                if word in NAMES:
+            for word in (w.rstrip("/") for w in value.split()):
+                if word in READERS:  # an article may be a reader's comment
                     return NONE
-                part_of_text = tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (inside and "header" in word)
-                if set(re.split(r"[-_]+", word)) & NAMES and not part_of_text:
-                    names += 1
+                parts = {word, *re.split(r"[-_]+", word)}
+                if word not in ADVERTS | NAMES and (tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (inside and "header" in word)):
+                    others = True  # of a paragraph or a heading only a whole name counts
+                elif word in ADVERTS:
+                    found = max(found, HARDLY)
+                elif parts & (NAMES | ADVERTS):
+                    found = max(found, MAYBE)
+                elif parts & READERS:
+                    readers = True
                 else:
-                    others += 1
-    return HOLDS if not names else MAYBE if others else NONE
+                    others = True
+    return (MAYBE if others else NONE) if readers else found
 
 
 def lines(page: str | None) -> list[Line]:
     """The lines of a page.
 
-    An element of which only some names speak against main text (``story
-    related-story``) holds main text if more than half of the page's text is in it.
+    No class or id alone takes text away but those of readers' comments: an element
+    that its names speak against holds main text all the same if it has its share
+    (``SHARES``) of the page's text.
     """
     out: list[Line] = []
-    doubts: list[tuple[int, ...]] = []  # of each line: the elements around it that perhaps hold no main text
     if not page:
         return out
-    stack: list[tuple[str, int, int]] = []  # tag, what it holds, its number
+    spans: list[tuple[int, int, int]] = []  # of each element that perhaps holds none: what it says, its first line, the line after its last
+    stack: list[tuple[str, int, int, int]] = []  # tag, what it holds, its number, lines before it
     open_tags: Counter = Counter()
     asides = links = linked = made = 0
     mains: list[int] = []
-    doubted: list[int] = []
     boxes = [PAGE]
     buffer: list[str] = []
 
@@ -101,17 +111,18 @@ def lines(page: str | None) -> list[Line]:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
                 out.append(Line(text, min(linked, len(text)), mains[0] if mains else 0, asides > 0, boxes[-1]))
-                doubts.append(tuple(doubted))
             buffer.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal asides, links
-        tag, holds, number = stack.pop()
+        tag, holds, number, before = stack.pop()
         open_tags[tag] -= 1
         asides -= holds == NONE
         links -= tag == "a"
-        for kept in (mains, doubted, boxes):
+        if holds in SHARES:
+            spans.append((holds, before, len(out)))
+        for kept in (mains, boxes):
             if kept and kept[-1] == number:
                 kept.pop()
 
@@ -140,7 +151,7 @@ def lines(page: str | None) -> list[Line]:
                     pop()
                 pop()
             continue
-        if tag in VOID or m["attrs"].endswith("/"):
+        if tag in VOID:  # a slash ends no other element
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -153,24 +164,29 @@ def lines(page: str | None) -> list[Line]:
                 pop()
         holds = _aside(tag, m["attrs"], bool(mains))
         made += 1
-        stack.append((tag, holds, made))
+        stack.append((tag, holds, made, len(out)))
         open_tags[tag] += 1
         asides += holds == NONE
         links += tag == "a"
         if tag in MAIN:
             mains.append(made)
-        if holds == MAYBE:
-            doubted.append(made)
         if tag not in TEXT and tag not in ("html", "body"):
             boxes.append(made)
     flush()
-    held: Counter = Counter()
-    for line, around in zip(out, doubts, strict=True):
-        for x in around:
-            held[x] += 0 if line.aside else len(line.text)
-    most = sum(len(x.text) for x in out if not x.aside) / 2
-    for line, around in zip(out, doubts, strict=True):
-        line.aside |= any(held[x] <= most for x in around)
+    while stack:
+        pop()
+    upto = [0]
+    for x in out:
+        upto.append(upto[-1] + (0 if x.aside else max(0, len(x.text) - 2 * x.linked)))
+    covered = [0] * (len(out) + 1)  # elements that hold no main text: how many more begin at a line than end there
+    for holds, a, b in spans:
+        if b > a and upto[b] - upto[a] < max(1, SHARES[holds] * upto[-1]):
+            covered[a] += 1
+            covered[b] -= 1
+    around = 0
+    for x, c in zip(out, covered, strict=False):
+        around += c
+        x.aside |= around > 0
     return out
 
 

@@ -8,6 +8,8 @@ surge, the longest stretch counts as one.
 
 * Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments
   weigh nothing and are not kept.
+* Names of classes and ids are held against the share of the page's text that an
+  element has: no name alone empties a page but those of readers' comments.
 * Where a page marks its article or main elements, the lines of each are summed on
   their own; one that has a surge is kept to its bounds, others are not.
 * Elsewhere a stretch is carried on over the box (a div, say) that its text stands

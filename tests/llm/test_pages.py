@@ -7,6 +7,8 @@ import html as entities
 import re
 import time
 
+import pytest
+
 from docloom.llm import html_extraction, warc
 
 
@@ -130,3 +132,38 @@ def test_very_long_pages():
     page = "<div>" + "".join(f"<p>{STORY[0]}{i}</p>" for i in range(20_000)) + "</div>"
     assert html_extraction.main_text(page).count("\n") == 19_999
     assert len(html_extraction.main_text(f"<p>{'word ' * 400_000}")) == 5 * 400_000 - 1
+
+
+TALE = ["A long sentence of the story that is told here, and then some more of it. " * 3, "And it goes on and on with another paragraph of quite some length, as stories do. " * 2]
+
+
+def story(n=2):
+    return "".join(f"<p>{x}</p>" for x in TALE[:n])
+
+
+TOLD = "\n".join(x.strip() for x in TALE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='widget'>{story()}</div>",
+        f"<div class='post share'>{story()}</div>",
+        f"<article class='header'>{story()}</article>",
+        f"<div class='post social-story'><p>{TALE[0]}</p></div><div class='post header-story'><p>{TALE[1]}</p></div>",
+        f"<article>{story()}</article><div class='ad'>Buy this now, it is a very good thing to buy for you</div>",
+        f"<div class=ad/>An advert after a slash that ends nothing</div><article>{story()}</article>",
+        f"<article>{story()}<div class='share'>Tell others</div></article><section class='comments'><article class='comment'>{story()}</article></section>",
+        f"<article>{story()}</article><div class='comment-list'>{story()}{story()}</div>",
+        f"<article class='post'>{story()}</article><article class='teaser'><a href=x>More of it</a> and a word</article>",
+    ],
+)
+def test_no_name_empties_a_page(page):
+    assert html_extraction.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>f</footer></body></html>") == TOLD
+
+
+def test_deep_doubts_take_linear_time():
+    deep = "<div class='promo box'>" * 16_000 + story() + "</div>" * 16_000
+    began = time.perf_counter()
+    assert html_extraction.main_text(deep) == TOLD
+    assert time.perf_counter() - began < 4
