@@ -53,9 +53,15 @@ def split_offsite(requests: DataFrame, url: str, domains: DataFrame, domain: str
     return numbered.join(hits.withColumn("allowed", F.lit(True)), "_row", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False))).drop("_row")
 
 
-def retries(results: DataFrame, most: int) -> DataFrame:
-    """Blocked results to try again, one priority lower."""
-    return results.filter(F.col("status_code").isin(*BLOCKED) & (F.col("retry_count") < most)).withColumns({"priority": F.col("priority") - 1, "retry_count": F.col("retry_count") + 1})
+def retries(results: DataFrame, most: int, *, is_blocked: Column | None = None, again: dict[str, Column] | None = None) -> DataFrame:
+    """Blocked results to try again, one priority lower.
+
+    ``is_blocked`` is a condition in place of the status list, ``again`` are columns
+    that a request to try again gets besides (a proxy, say); null conditions are false.
+    """
+    blocked = F.col("status_code").isin(*BLOCKED) if is_blocked is None else is_blocked
+    left = results.filter(F.coalesce(blocked, F.lit(False)) & (F.col("retry_count") < most))
+    return left.withColumns({"priority": F.col("priority") - 1, "retry_count": F.col("retry_count") + 1, **(again or {})})
 
 
 def backoff(attempts: Column, base: float = 2.0, most: float = 300.0) -> Column:

@@ -1,201 +1,154 @@
-"""Healing and adaptation of selectors, page by page in the pass that parses them.
+r"""Selectors healed by examples, and repairs from an older page, as columns over ``trees``.
 
-Each function of a page works on its nodes alone, so pages are spread over tasks
-as they are and nothing is shuffled.
+An element's vector holds the structure below it (shares of tags, depths, shares of
+attribute names, as ``html.structure`` has them) and hashed tags, attributes, classes
+and words.  A broken selector is healed by the element nearest to the mean of a few
+examples, among those that may hold the field; its stable path is the new selector.
+
+Examples are a few pieces of HTML for a field; their mean is worked out once and is a
+literal of the plan.  Pages are looked at where they are, nothing is shuffled but the
+scores of repairs.  Null and empty pages have no elements: nothing is healed there.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from docloom.operators import html as H
+from docloom.operators import repair as P
+from docloom.operators import trees as R
 
 #: Hashed places of tags, attributes, classes and words in an element's vector.
 HASHED = 64
-
-
-def below(page: H._Page, n: H.Node) -> list[H.Node]:
-    """The node's descendants; they follow it in page order."""
-    out = []
-    for x in page.tree[n.id + 1 :]:
-        if x.depth <= n.depth:
-            break
-        out.append(x)
-    return out
-
-
-def vector(page: H._Page, n: H.Node) -> list[float]:
-    """Structure below the node (as ``html.structure`` has it) and hashed tags, attributes, classes and words; of length one."""
-    inner = below(page, n)
-    tags, names = Counter(x.tag for x in inner), Counter(a for x in inner for a in x.attrs)
-    depths = [0, *(x.depth - n.depth for x in inner)]
-    mean = sum(depths) / len(depths)
-    out = [tags[t] / max(1, len(inner)) for t in H.VECTOR_TAGS]
-    out += [mean, math.sqrt(sum((d - mean) ** 2 for d in depths) / len(depths)), max(depths)]
-    out += [sum(k for a, k in names.items() if x in a) / max(1, sum(names.values())) for x in H.VECTOR_ATTRS]
-    hashed = [0.0] * HASHED
-    for word, weight in [(f"<{n.tag}>", 3.0), *((f"@{a}", 2.0) for a in n.attrs), *((f".{c}", 2.0) for c in n.attrs.get("class", "").split()), *((w, 0.1) for w in re.findall(r"\w+", page.whole[n.id].lower()))]:
-        hashed[zlib.crc32(word.encode()) % HASHED] += weight
-    size = math.sqrt(sum(x * x for x in hashed)) or 1.0
-    out += [x / size for x in hashed]
-    norm = math.sqrt(sum(x * x for x in out)) or 1.0
-    return [x / norm for x in out]
-
-
-def candidates(page: H._Page, tags: Sequence[str], data_type: str = "text") -> list[H.Node]:
-    """Nodes that may hold a field: those with a tag of its examples, else those with text of their own, as its data type allows.
-
-    A link is or holds an ``a``, an image an ``img``; numbers have a digit if any candidate has.
-    """
-    found = [n for n in page.tree if n.tag in tags] or [n for n in page.tree if "".join(n.text).strip()]
-    if data_type in ("link", "image"):
-        wanted = "a" if data_type == "link" else "img"
-        return [n for n in found if n.tag == wanted or any(x.tag == wanted for x in below(page, n))]
-    if data_type == "number":
-        return [n for n in found if re.search(r"\d", page.whole[n.id])] or found
-    return found
-
-
-def confidence(page: H._Page, css: str) -> float:
-    """0.5, more for ids, classes and one match, less for places."""
-    s = 0.5 + 0.3 * ("#" in css) + 0.1 * ("." in css) - 0.2 * ("nth-" in css) + 0.2 * (len(page.matches(H.compile_selector(css)[0])) == 1)
-    return max(0.0, min(1.0, s))
-
-
-def heal(page: H._Page, broken: str, examples: Sequence[str], data_type: str = "text", least: float = 0.3) -> tuple[str | None, float, float]:
-    """(selector, similarity, confidence): the broken one if it matches, else one for the candidate nearest to the mean of three examples; None below ``least``."""
-    if page.matches(H.compile_selector(broken)[0]):
-        return broken, 1.0, 1.0
-    shown = [H._Page(t) for t in map(H.parse, examples[:5]) if t]
-    if not shown:
-        return None, 0.0, 0.0
-    vectors = [vector(p, p.tree[0]) for p in shown[:3]]
-    target = [sum(x) / len(vectors) for x in zip(*vectors, strict=True)]
-    norm = math.sqrt(sum(x * x for x in target)) or 1.0
-    best, at = -1.0, None
-    for n in candidates(page, [p.tree[0].tag for p in shown], data_type):
-        s = sum(a * b for a, b in zip(target, vector(page, n), strict=True)) / norm
-        if s > best:
-            best, at = s, n
-    if at is None or best < least:
-        return None, max(0.0, best), max(0.0, best)
-    css = H.stable_css(page, at)
-    return css, best, (best + confidence(page, css)) / 2
-
-
-def adapt(page: H._Page, selector: str, targets: Sequence[H.Node]) -> str | None:
-    """The selector, or its longest beginning, that matches one of the targets."""
-    wanted = {n.id for n in targets}
-    parts = selector.split(" > ")
-    for n in range(len(parts), 0, -1):
-        tried = " > ".join(parts[:n])
-        if any(x.id in wanted for x in page.matches(H.compile_selector(tried)[0])):
-            return tried
-    return None
-
-
-def _overlap(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a | b else 0.0
-
-
-def similarity(old: H._Page, a: H.Node, new: H._Page, b: H.Node) -> float:
-    """Mean of what both nodes have of tag, classes, id, text, attribute names and place among their like."""
-    parts = [float(a.tag == b.tag)]
-    ca, cb = set(a.attrs.get("class", "").split()), set(b.attrs.get("class", "").split())
-    if ca and cb:
-        parts.append(_overlap(ca, cb))
-    if "id" in a.attrs and "id" in b.attrs:
-        parts.append(float(a.attrs["id"] == b.attrs["id"]))
-    ta, tb = old.whole[a.id].strip(), new.whole[b.id].strip()
-    if ta and tb:
-        parts.append(1.0 if ta == tb else _overlap(set(re.findall(r"\w+", ta.lower())), set(re.findall(r"\w+", tb.lower()))))
-    if a.attrs and b.attrs:
-        parts.append(_overlap(set(a.attrs), set(b.attrs)))
-    parts.append(1.0 / (1 + abs(a.nth - b.nth)))
-    return sum(parts) / len(parts)
-
-
-def loosened(css: str) -> list[tuple[str, float]]:
-    """Beginnings of a path (0.6), then the path without one of its first two classes (0.5)."""
-    parts = css.split(" > ")
-    out = [(" > ".join(parts[:n]), 0.6) for n in range(len(parts) - 1, 0, -1)]
-    for c in re.findall(r"\.[a-zA-Z0-9_-]+", css)[:2]:
-        bare = " ".join(css.replace(c, "").split())
-        if bare and bare != css:
-            out.append((bare, 0.5))
+#: Examples whose vectors are averaged.
+SHOWN = 3
+
+
+def _unit(x: Column) -> Column:
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
+    return R.let(x, lambda v: R.let(norm(v), lambda n: F.transform(v, lambda e: F.when(n > 0, e / n).otherwise(e))))
+
+
+def vector(tree: Column, n: Column) -> Column:
+    """Structure below the node and hashed words; of length one."""
+
+    def made(inner: Column) -> Column:
+        share = lambda k, of: k / F.greatest(of, F.lit(1)).cast("double")
+        count = lambda test: F.size(F.filter(inner, test))
+        tag = lambda t: share(count(lambda x: x["tag"] == t), F.size(inner))
+        names = F.flatten(F.transform(inner, lambda x: F.map_keys(x["attrs"])))
+        has = lambda part: share(F.size(F.filter(names, lambda a: a.contains(part))), F.size(names))
+        depths = F.concat(F.array(F.lit(0)), F.transform(inner, lambda x: x["depth"] - n["depth"]))
+        mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, d: s + d) / F.size(xs)
+        spread = R.let(mean(depths), lambda m: F.array(m, F.sqrt(mean(F.transform(depths, lambda d: (d - m) * (d - m))))))
+        return F.concat(F.array(*(tag(t) for t in H.VECTOR_TAGS)), spread, F.array(F.array_max(depths).cast("double")), F.array(*(has(a) for a in H.VECTOR_ATTRS)))
+
+    word = lambda w, weight: F.struct(F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(HASHED)).alias("at"), F.lit(weight).alias("weight"))
+    words = F.concat(
+        F.array(word(F.concat(F.lit("<"), n["tag"], F.lit(">")), 3.0)),
+        F.transform(F.map_keys(n["attrs"]), lambda a: word(F.concat(F.lit("@"), a), 2.0)),
+        F.transform(R.classes(n), lambda c: word(F.concat(F.lit("."), c), 2.0)),
+        F.transform(F.regexp_extract_all(F.lower(R.whole(tree, n)), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: word(w, 0.1)),
+    )
+    places = F.array(*(F.lit(i) for i in range(HASHED)))
+    hashed = R.let(words, lambda ws: F.transform(places, lambda i: F.aggregate(F.filter(ws, lambda w: w["at"] == i), F.lit(0.0), lambda s, w: s + w["weight"])))
+    inner = F.slice(tree, n["id"] + 2, n["last"] - n["id"])
+    return _unit(F.concat(R.let(inner, made), _unit(hashed)))
+
+
+class Field(NamedTuple):
+    """A field's broken selector, pieces of HTML that showed it, and its data type (text, link, image, number)."""
+
+    broken: str
+    examples: Sequence[str] = ()
+    kind: str = "text"
+
+
+def _targets(pages: DataFrame, fields: Mapping[str, Field]) -> dict[str, tuple[list[str], list[float]]]:
+    """Of each field with examples: the tags of their first elements, and the mean of the first vectors."""
+    rows = [(f"{name}\x1f{i}", x) for name, f in fields.items() for i, x in enumerate(f.examples[:5])]
+    if not rows:
+        return {}
+    tree = F.col("tree")
+    shown = R.trees(pages.sparkSession.createDataFrame(rows, "k string, html string"), "k", "html").filter(F.size("tree") > 0)
+    found: dict[str, list[tuple[int, str, list[float]]]] = {}
+    for r in shown.select("key", F.get(tree, F.lit(0))["tag"].alias("tag"), vector(tree, F.get(tree, F.lit(0))).alias("v")).collect():
+        name, i = r.key.split("\x1f")
+        found.setdefault(name, []).append((int(i), r.tag, r.v))
+    out = {}
+    for name, own in found.items():
+        own.sort()
+        first = [v for _, _, v in own[:SHOWN]]
+        out[name] = ([t for _, t, _ in own], [sum(x) / len(first) for x in zip(*first, strict=True)])
     return out
 
 
-def _matched(page: H._Page, css: str) -> list[H.Node]:
-    try:
-        return page.matches(H.compile_selector(css)[0])
-    except ValueError:
-        return []
-
+def heal(pages: DataFrame, fields: Mapping[str, Field], key: str = "page_id", html: str = "html", least: float = 0.3) -> DataFrame:
+    """(key, name, css, similarity, confidence) of every field on every page.
 
-def repairs(old: H._Page, new: H._Page, broken: str, originals: int = 3, similar: int = 5, least: float = 0.6) -> list[tuple[str, float]]:
-    """(selector, score) of repairs, best first.
-
-    From the first matches on the old page, selectors for their most similar nodes
-    on the new one at 0.8 of the similarity, and what is left of the broken
-    selector when loosened; those that match gain a fifth, others keep 0.3.
+    A selector that matches stays, with 1; else ``css`` is that of the element
+    nearest to the field's examples, null below ``least`` or without examples.
+    """
+    tree = F.col("tree")
+    targets = _targets(pages, fields)
+    row = lambda css, like, sure: F.struct(css.cast("string").alias("css"), like.cast("double").alias("similarity"), sure.cast("double").alias("confidence"))
+    none = row(F.lit(None), F.lit(0.0), F.lit(0.0))
+
+    def nearest(tags: list[str], mean: list[float], kind: str) -> Column:
+        target = _unit(F.array(*(F.lit(float(x)) for x in mean)))
+        dot = lambda t, v: F.aggregate(F.zip_with(t, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        scored = R.let(target, lambda t: F.transform(R.fields_like(tree, tags, kind), lambda n: F.struct(dot(t, vector(tree, n)).alias("like"), (-n["id"]).alias("order"))))
+        return F.array_max(scored)
+
+    def sure(css: Column, like: Column) -> Column:
+        one = F.size(R.chain(tree, css)) == 1
+        own = F.lit(0.5) + F.when(css.contains("#"), 0.3).otherwise(0.0) + F.when(css.contains("."), 0.1).otherwise(0.0) - F.when(css.contains("nth-"), 0.2).otherwise(0.0) + F.when(one, 0.2).otherwise(0.0)
+        return (like + F.greatest(F.lit(0.0), F.least(F.lit(1.0), own))) / 2
+
+    def healed(f: Field, name: str) -> Column:
+        if name not in targets:
+            return none
+        tags, mean = targets[name]
+
+        def found(best: Column) -> Column:
+            css = R.stable_css(tree, F.get(tree, -best["order"]))
+            return F.when(best.isNull(), none).when(best["like"] < least, row(F.lit(None), F.greatest(best["like"], F.lit(0.0)), F.greatest(best["like"], F.lit(0.0)))).otherwise(R.let(css, lambda c: row(c, best["like"], sure(c, best["like"]))))
+
+        return R.let(nearest(tags, mean, f.kind), found)
+
+    rows = []
+    for name, f in fields.items():
+        kept = row(F.lit(f.broken), F.lit(1.0), F.lit(1.0))
+        rows.append(F.struct(F.lit(name).alias("name"), F.when(F.size(R.matches(tree, f.broken)) > 0, kept).otherwise(healed(f, name)).alias("x")))
+    return R.trees(pages, key, html).select(F.col("key").alias(key), F.explode(F.array(*rows)).alias("r")).select(key, "r.name", "r.x.*")
+
+
+def repairs(pairs: DataFrame, broken: Sequence[str], *, key: str = "page_id", old: str = "old", new: str = "new", originals: int = 3, similar: int = 5, least: float = 0.6, keep: int = 2) -> DataFrame:
+    """(key, broken, place, css, score): the best repairs of selectors that worked on the old page, on the new one.
+
+    From the first matches on the old page, paths of their most similar elements
+    on the new one at 0.8 of the likeness, and what is left of the broken selector
+    when loosened, if it matches; each gains a fifth for matching.
     """
-    found: dict[str, float] = {}
-    for a in _matched(old, broken)[:originals]:
-        near = sorted(((-s, b.id) for b in new.tree if (s := similarity(old, a, new, b)) >= least))[:similar]
-        for s, b in near:
-            css = H.stable_css(new, new.tree[b])
-            found[css] = max(found.get(css, 0.0), -0.8 * s)
-    for css, sure in loosened(broken):
-        if _matched(new, css):
-            found.setdefault(css, sure)
-    scored = [(css, min(1.0, s * 1.2) if _matched(new, css) else s * 0.3) for css, s in found.items()]
-    return sorted(scored, key=lambda x: (-x[1], x[0]))
-
-
-def group_alike(nodes: Sequence[H.Node]) -> list[list[H.Node]]:
-    """Greedy groups of two or more: a node joins the first group whose first node has its tag and over half of its classes, else over 0.7 of its attributes."""
-
-    def alike(a: H.Node, b: H.Node) -> bool:
-        for x, y, least in ((a.attrs.get("class", "").split(), b.attrs.get("class", "").split(), 0.5), (a.attrs, b.attrs, 0.7)):
-            if x and y:
-                x, y = set(x), set(y)
-                return len(x & y) / max(len(x), len(y)) > least
-        return True
-
-    by_tag: dict[str, list[list[H.Node]]] = {}
-    for n in nodes:
-        own = by_tag.setdefault(n.tag, [])
-        for g in own:
-            if alike(g[0], n):
-                g.append(n)
-                break
-        else:
-            own.append([n])
-    return sorted((g for gs in by_tag.values() for g in gs if len(g) > 1), key=lambda g: g[0].id)
-
-
-def per_page(pages: DataFrame, work: Callable[..., Iterator[tuple]], schema: str, key: str = "page_id", columns: Sequence[str] = ("html",), parsed: Sequence[bool] | None = None) -> DataFrame:
-    """Rows (key, *schema) that ``work`` makes of each page; columns are given parsed, or as they are where ``parsed`` says so."""
-    kind = pages.schema[key].dataType.simpleString()
-    parsed = parsed or [True] * len(columns)
-    made = [x.split()[:2] for x in schema.split(", ")]
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                given = [H._Page(H.parse(v)) if p else v for v, p in zip(values, parsed, strict=True)]
-                rows += [(k, *r) for r in work(*given)]
-            out = list(zip(*rows, strict=True)) if rows else [()] * (1 + len(made))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(out, (b.schema.field(0).type, *(types[t] for _, t in made)), strict=True)], [b.schema.names[0], *(n for n, _ in made)])
-
-    return pages.select(key, *columns).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    was, tree = F.col("was"), F.col("tree")
+    first = R.trees(pairs.select(F.struct(F.col(key).alias("key"), F.col(new).alias("new")).alias("k"), F.col(old).alias("old")), "k", "old").select("key.key", F.col("key.new").alias("new"), F.col("tree").alias("was"))
+    looked = F.array(*(F.struct(F.lit(b).alias("broken"), F.transform(F.slice(R.matches(was, b), 1, originals), lambda n: P.features(was, n)).alias("old")) for b in broken))
+    now = R.trees(first.select(F.struct("key", looked.alias("looked")).alias("k"), "new"), "k", "new").select("key.key", "tree", F.explode("key.looked").alias("x")).select("key", "tree", "x.*")
+    features = F.transform(tree, lambda n: P.features(tree, n))
+
+    def of_old(fs: Column) -> Column:
+        def best(a: Column) -> Column:
+            scored = F.transform(fs, lambda f, i: F.struct((-P.likeness(a, f)).alias("minus"), i.alias("id")))
+            return F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] <= -least)), 1, similar)
+
+        return F.flatten(F.transform("old", best))
+
+    near = now.select("key", "broken", "tree", F.explode(R.let(features, of_old)).alias("s")).select("key", "broken", R.stable_css(tree, F.get(tree, F.col("s.id"))).alias("css"), (-0.8 * F.col("s.minus")).alias("like"), F.lit(None).cast("double").alias("loose"))
+    loose = now.select("key", "broken", "tree", F.explode(H.loosened(F.col("broken"))).alias("l")).filter(F.size(R.chain(tree, F.col("l.css"))) > 0).select("key", "broken", F.col("l.css").alias("css"), F.lit(None).cast("double").alias("like"), F.col("l.confidence").alias("loose"))
+    scored = near.unionByName(loose).groupBy("key", "broken", "css").agg((F.coalesce(F.max("like"), F.max("loose")) * 1.2).alias("score"))
+    w = Window.partitionBy("key", "broken").orderBy(F.desc("score"), "css")
+    return scored.withColumn("place", F.row_number().over(w) - 1).filter(F.col("place") < keep).select(F.col("key").alias(key), "broken", "place", "css", "score")

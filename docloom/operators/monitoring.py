@@ -120,6 +120,13 @@ def cooldown(rows: DataFrame, key: str, ts: str = "ts", hold: float = COOLDOWN,
     return met.select(F.col("key").alias(key), F.explode(F.aggregate("xs", start, step)["sent"]).alias("t")).select(key, F.timestamp_micros("t").alias("sent_at"))
 
 
+def let_through(rows: DataFrame, key: str, order: str, ts: str = "ts", *, ttl: float) -> DataFrame:
+    """(key, ts, order): the rows of a filter that forgets a key ``ttl`` seconds after it let it through; of rows of one time the first."""
+    sent = cooldown(rows, key, ts, ttl).select(F.col(key).alias("_key"), F.col("sent_at").alias("_at"))
+    first = rows.groupBy(key, F.col(ts).cast("timestamp").alias(ts)).agg(F.min(order).alias(order))
+    return first.join(sent, F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts) == F.col("_at"))).select(key, ts, order)
+
+
 def latest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last state of each key, by an aggregate."""
     rest = [c for c in rows.columns if c != key]

@@ -216,6 +216,24 @@ def heal(pages: DataFrame, schema: dict[str, list[str]], key: str = "page_id") -
     return found.groupBy(key, parts[0].alias("name")).agg(best).select(key, "name", "x.value", "x.used")
 
 
+def element_dicts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, node_id, tag, attributes, text, path, parent_name, parent_attribs, parent_text, siblings, children) of every element.
+
+    Attributes are trimmed, empty ones left out; the path has the tags from the root.
+    """
+    tree, n = F.col("tree"), F.col("n")
+    parent = F.get(tree, n["parent"])
+    tags = lambda xs: F.transform(xs, lambda x: x["tag"])
+    under = lambda i: F.filter(tree, lambda x: (x["parent"] == i) & (i >= 0))
+    full = F.transform_values(F.map_filter(n["attrs"], lambda _, v: F.trim(v) != ""), lambda _, v: F.trim(v))
+    found = trees(pages, key, html).select("key", "tree", F.explode(tree).alias("n"))
+    return found.select(
+        F.col("key").alias(key), n["id"].alias("node_id"), n["tag"].alias("tag"), full.alias("attributes"), F.trim(n["text"]).alias("text"), tags(line(tree, n)).alias("path"),
+        parent["tag"].alias("parent_name"), parent["attrs"].alias("parent_attribs"), F.trim(parent["text"]).alias("parent_text"),
+        tags(F.filter(under(n["parent"]), lambda x: x["id"] != n["id"])).alias("siblings"), tags(under(n["id"])).alias("children"),
+    )
+
+
 # paths to elements
 
 
@@ -328,3 +346,56 @@ def selector_forms(pages: DataFrame, wanted: str, full: bool = False, key: str =
     css, xpath = path(tree, n, full)
     made = {"css": css, "xpath": xpath, "stable_css": stable_css(tree, n), "stable_xpath": stable_xpath(tree, n), "regex": stable_regex(source, n)}
     return found.select(F.col("key").alias(key), n["id"].alias("node_id"), *(c.alias(k) for k, c in made.items()))
+
+
+# selectors that are known only when the page is
+
+
+def _part_met(m: Column, part: Column) -> Column:
+    """Whether an element is what one part of a generated path says: tag, id, classes, place among its like, one attribute."""
+    tag, own = F.regexp_extract(part, r"^([a-zA-Z][\w-]*)", 1), F.regexp_extract(part, r"#([^.:\[\s]+)", 1)
+    named = F.regexp_extract_all(F.regexp_replace(part, r"\[[^\]]*\]", ""), F.lit(r"\.([\w-]+)"), F.lit(1))
+    nth = F.regexp_extract(part, r":nth-of-type\((\d+)\)", 1)
+    name, wanted = F.regexp_extract(part, r'\[([\w:-]+)="([^"]*)"\]', 1), F.regexp_extract(part, r'\[([\w:-]+)="([^"]*)"\]', 2)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return (
+        ((tag == "") | (m["tag"] == F.lower(tag))) & ((own == "") | yes(attr(m, "id") == own)) & ((F.size(named) == 0) | (F.size(F.array_except(named, classes(m))) == 0))
+        & ((nth == "") | yes(m["nth"] == nth.cast("int"))) & ((name == "") | yes(attr(m, name) == wanted))
+    )
+
+
+def chain(tree: Column, css: Column) -> Column:
+    """The elements that a generated path (parts joined by `` > ``) matches; the path is a column.
+
+    Parts are tried from the last upwards, each only on what the one before has left.
+    """
+
+    def step(left: Column, part: Column, up: Column) -> Column:
+        rung = lambda m: F.get(tree, F.get(F.concat(m["up"], F.array(m["id"])), F.size(m["up"]) - up))
+        return F.filter(left, lambda m: (F.size(m["up"]) >= up) & F.coalesce(let(rung(m), lambda r: _part_met(r, part)), F.lit(False)))
+
+    parts = F.reverse(F.split(css, " > "))
+    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("part"), i.alias("up")))
+    return F.aggregate(numbered, tree, lambda left, x: step(left, x["part"], x["up"]))
+
+
+def adapted(tree: Column, css: Column, targets: Column) -> Column:
+    """The path, or its longest beginning, that matches one of the elements whose ids are ``targets``; null if none does."""
+    parts = F.split(css, " > ")
+    tried = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), " > "))
+    return F.get(F.filter(tried, lambda c: F.exists(chain(tree, c), lambda m: F.array_contains(targets, m["id"]))), F.lit(0))
+
+
+def fields_like(tree: Column, tags: list[str], kind: str) -> Column:
+    """Elements that may hold a field: those with a tag of its examples, else those with text of their own, as the field's data type allows.
+
+    A link is or holds an ``a``, an image an ``img``; numbers have a digit if any candidate has.
+    """
+    tagged = F.filter(tree, lambda n: n["tag"].isin(*tags) if tags else F.lit(False))
+    found = let(tagged, lambda t: F.when(F.size(t) > 0, t).otherwise(F.filter(tree, lambda n: strip(n["text"]) != "")))
+    if kind in ("link", "image"):
+        wanted = "a" if kind == "link" else "img"
+        return F.filter(found, lambda n: F.exists(below(tree, n), lambda x: x["tag"] == wanted))
+    if kind == "number":
+        return let(found, lambda f: let(F.filter(f, lambda n: whole(tree, n).rlike(r"(?U)\d")), lambda d: F.when(F.size(d) > 0, d).otherwise(f)))
+    return found

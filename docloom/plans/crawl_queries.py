@@ -51,6 +51,14 @@ def crw7_retries(spark, sf_dir):
     return C.retries(r, 2).select("event_id", F.col("priority").cast("long").alias("priority"), F.col("retry_count").cast("long").alias("retry_count"))
 
 
+def udf9_retries(spark, sf_dir):
+    """A spider's own idea of what is blocked, and of what a request to try again gets."""
+    r = _crawl(spark, sf_dir).withColumns({"retry_count": F.col("depth"), "priority": F.lit(5)})
+    slow = (F.col("status_code") == 404) | (F.col("response_time") > 9)
+    out = C.retries(r, 3, is_blocked=slow, again={"proxy": F.concat(F.lit("next-"), "proxy"), "priority": F.col("priority") + 2})
+    return out.select("event_id", F.col("priority").cast("long").alias("priority"), F.col("retry_count").cast("long").alias("retry_count"), "proxy")
+
+
 def dst1_priority(spark, sf_dir):
     return _tasks(spark, sf_dir).select("task_id", F.round("score", 4).alias("score"))
 
@@ -152,6 +160,7 @@ SQL: dict[str, str | None] = {
     "crw4_dequeue": f"SELECT task_id, priority FROM {_T} ORDER BY priority DESC, task_id LIMIT 100",
     "crw6_offsite": f"SELECT d IS NOT NULL AS allowed, count(*) AS n FROM {_T} LEFT JOIN (SELECT 'h' || n_nationkey AS d FROM nation) ON d = domain GROUP BY 1",
     "crw7_retries": f"SELECT event_id, CAST(4 AS BIGINT) AS priority, CAST(depth + 1 AS BIGINT) AS retry_count FROM {_E} WHERE status_code IN ({_BLOCKED}) AND depth < 2",
+    "udf9_retries": f"SELECT event_id, CAST(7 AS BIGINT) AS priority, CAST(depth + 1 AS BIGINT) AS retry_count, 'next-' || proxy AS proxy FROM {_E} WHERE (status_code = 404 OR response_time > 9) AND depth < 3",
     "dst1_priority": f"SELECT task_id, round(score, 4) AS score FROM {_T}",
     "dst2_pop": f"SELECT task_id FROM {_T} WHERE status = 'pending' ORDER BY score, task_id LIMIT 50",
     "dst3_slots": f"SELECT task_id, (row_number() OVER (PARTITION BY domain ORDER BY score, task_id) - 1) * 1.5::DOUBLE AS slot FROM {_T}",

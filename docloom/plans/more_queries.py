@@ -35,8 +35,8 @@ def inf19_groups(spark, sf_dir):
 
 def d19_ttl(spark, sf_dir):
     """URLs that were not let through within 24 hours before."""
-    e = base.derived(spark, sf_dir, base.CRAWL).select("url", F.floor(M.seconds(F.col("ts")) / 3600).alias("hour"), "event_id")
-    return X.sink_unseen(e, "url", "hour", "event_id", 24)
+    e = base.derived(spark, sf_dir, base.CRAWL).select("url", "ts", "event_id")
+    return M.let_through(e, "url", "event_id", ttl=86_400).select("url", F.unix_micros("ts").alias("us"), "event_id")
 
 
 def inf19_nearest(spark, sf_dir):
@@ -90,7 +90,7 @@ def qs16_overalls(spark, sf_dir):
 
 def qs20_report(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("overall", F.round("overall", 9))
-    return s.select("id", F.substring_index(R.report_text(), "(", -1).alias("grade"))
+    return s.select("id", R.report_text().alias("report"))
 
 
 def qs24_recommendations(spark, sf_dir):
@@ -117,7 +117,7 @@ SQL: dict[str, str | None] = {
       w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)), u AS MATERIALIZED (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w),
       p AS MATERIALIZED (SELECT a.item_id AS a, b.item_id AS b FROM u a JOIN u b ON a.token = b.token AND a.item_id < b.item_id GROUP BY ALL HAVING sum(a.w * b.w) > 0.7), k AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM (SELECT DISTINCT item_id FROM benchmark)), n AS MATERIALIZED (SELECT k.i, k.item_id, list(p.a) AS near FROM k LEFT JOIN p ON p.b = k.item_id GROUP BY ALL),
       g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS first UNION ALL SELECT i, CASE WHEN f IS NULL THEN list_append(kept, item_id) ELSE kept END, item_id, coalesce(f, item_id) FROM (SELECT n.i, n.item_id, g.kept, list_min(list_filter(g.kept, lambda x: list_contains(n.near, x))) AS f FROM g JOIN n ON n.i = g.i + 1)) SELECT item_id, first FROM g WHERE item_id IS NOT NULL""",
-    "d19_ttl": f"WITH RECURSIVE e AS (SELECT url, CAST(floor(epoch_us(ts) / 1000000 / 3600) AS BIGINT) AS hour, min(event_id) AS event_id FROM {_E} GROUP BY ALL), s AS (SELECT url, min(hour) AS hour FROM e GROUP BY url UNION ALL SELECT s.url, (SELECT min(e.hour) FROM e WHERE e.url = s.url AND e.hour >= s.hour + 24) FROM s WHERE s.hour IS NOT NULL) SELECT s.url, s.hour, e.event_id FROM s JOIN e USING (url, hour)",
+    "d19_ttl": f"WITH RECURSIVE e AS (SELECT url, epoch_us(ts) AS us, min(event_id) AS event_id FROM {_E} GROUP BY ALL), s AS (SELECT url, min(us) AS us FROM e GROUP BY url UNION ALL SELECT s.url, (SELECT min(e.us) FROM e WHERE e.url = s.url AND e.us >= s.us + 86400000000) FROM s WHERE s.us IS NOT NULL) SELECT s.url, s.us, e.event_id FROM s JOIN e USING (url, us)",
     "inf19_nearest": r"""WITH t AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token), w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + df)) + 1) AS w FROM t JOIN d USING (token)),
       u AS (SELECT item_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w), s AS (SELECT a.item_id AS query, b.item_id AS example, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY ALL) SELECT query, arg_max(example, (s, -example)) AS example, round(max(s), 6) AS similarity FROM s GROUP BY query""",
     "d13_fuzzy": None,
@@ -127,7 +127,7 @@ SQL: dict[str, str | None] = {
     "sup18_pending": f"SELECT task_id, priority FROM {_T} WHERE status = 'pending' ORDER BY priority, created_at, task_id LIMIT 40",
     "scl2_cooldown": f"WITH RECURSIVE t AS (SELECT crawl_id, epoch_us(ts) AS t FROM {_E} WHERE response_time > 6), s AS (SELECT crawl_id, min(t) AS sent_at FROM t GROUP BY crawl_id UNION ALL SELECT s.crawl_id, (SELECT min(t.t) FROM t WHERE t.crawl_id = s.crawl_id AND t.t >= s.sent_at + 7200000000) FROM s WHERE s.sent_at IS NOT NULL) SELECT crawl_id, count(*) AS n FROM s WHERE sent_at IS NOT NULL GROUP BY crawl_id",
     "qs16_overalls": f"SELECT id, round(({_ALL})::DOUBLE, 9) AS all_c, round(({_SOME})::DOUBLE, 9) AS without_time, round(least(1.0, {_ALL} + 0.06)::DOUBLE, 9) AS boosted, round(((completeness + consistency + accuracy) / 3)::DOUBLE, 9) AS mean_d FROM {_SCORED}",
-    "qs20_report": f"SELECT id, CASE WHEN round(overall, 9) >= 0.9 THEN 'A' WHEN round(overall, 9) >= 0.8 THEN 'B' WHEN round(overall, 9) >= 0.7 THEN 'C' WHEN round(overall, 9) >= 0.6 THEN 'D' ELSE 'F' END || ')' AS grade FROM {_SCORED}",
+    "qs20_report": f"SELECT id, id || ': ' || printf('%.3f', round(overall, 9)) || ' (' || CASE WHEN round(overall, 9) >= 0.9 THEN 'A' WHEN round(overall, 9) >= 0.8 THEN 'B' WHEN round(overall, 9) >= 0.7 THEN 'C' WHEN round(overall, 9) >= 0.6 THEN 'D' ELSE 'F' END || ')' AS report FROM {_SCORED}",
     "qs24_recommendations": f"SELECT array_to_string(list_filter([CASE WHEN avg(overall) < 0.7 THEN 'Improve data quality at the source' END, CASE WHEN avg(CASE WHEN is_duplicate THEN 1 ELSE 0 END) > 0.1 THEN 'Tighten deduplication' END, CASE WHEN min(overall) < 0.3 THEN 'Reject records of the lowest level' END], lambda x: x IS NOT NULL), ';') AS advice FROM {_SCORED}",
     "qs9_reference": f"WITH r AS (SELECT id, contains(contact_email, '@') AS a, regexp_matches(scraped_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AS d FROM ({base.RECORDS})), f AS (SELECT count(*) FILTER (a) AS na, count(*) FILTER (d) AS nd, count(*) AS n FROM (SELECT a, d FROM r ORDER BY id LIMIT 10)) SELECT id, round((CASE WHEN a THEN na ELSE n - na END / n + CASE WHEN d THEN nd ELSE n - nd END / n) / 2, 6) AS consistency FROM r, f",
 }

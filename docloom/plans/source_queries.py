@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import tables as X
 from docloom.plans import base
+from docloom.functions.status import REASONS, reason
 from docloom.sources import io
 
 
@@ -19,6 +20,12 @@ def src3_responses(spark, sf_dir):
     return r.select("url", F.col("status").cast("long").alias("status"), "reason", F.col("headers")["content-type"].alias("content_type"), "encoding", F.length("body").cast("long").alias("n"))
 
 
+def sup31_reasons(spark, sf_dir):
+    """Texts of all sorts of status codes."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(F.col("event_id") % 97 == 0, None).otherwise(90 + F.col("event_id") % 440).alias("status"))
+    return e.select("event_id", reason(F.col("status")).alias("reason"))
+
+
 def src6_curl(spark, sf_dir):
     cmd = F.concat(F.lit("curl -X PUT '"), F.col("url"), F.lit("' -H 'Accept: text/html' -H 'Cookie: a=1; b=2' --data-raw 'k="), F.col("page_id"), F.lit("'"))
     r = io.curl_requests(_pages(spark, sf_dir).select("page_id", cmd.alias("cmd")), "cmd")
@@ -48,6 +55,7 @@ def snk1_json_arrays(spark, sf_dir):
 
 SQL: dict[str, str | None] = {
     "src3_responses": "SELECT url, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END::BIGINT AS status, CASE WHEN page_id % 10 = 0 THEN 'Not Found' ELSE 'OK' END AS reason, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=\"ISO-8859-1\"' WHEN 1 THEN 'text/html; charset=UTF-8' ELSE 'text/html' END AS content_type, CASE page_id % 3 WHEN 0 THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding, length(html) AS n FROM pages",
+    "sup31_reasons": "SELECT event_id, coalesce(reason, 'Unknown Status Code') AS reason FROM (SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN 90 + event_id % 440 END AS status FROM events) LEFT JOIN (VALUES " + ", ".join("({}, '{}')".format(k, v.replace("'", "''")) for k, v in REASONS.items()) + ") r(status, reason) USING (status)",
     "src6_curl": "SELECT page_id, 'PUT' AS method, url, 'text/html' AS accept, '2' AS b, 'k=' || page_id AS body FROM pages",
     "src7_headers": "SELECT page_id, CAST(page_id AS VARCHAR) AS host, '2' AS xa, 'last' AS k, 'a=b' AS t FROM pages",
     "src8_har": f"SELECT session_id, name, arg_max(value, ord) AS value, domain FROM ({base.COOKIES}) WHERE session_id IN (SELECT c_custkey FROM customer) GROUP BY session_id, name, domain",

@@ -57,8 +57,8 @@ def sel9_similar(spark, sf_dir):
 
 
 def sel12_dicts(spark, sf_dir):
-    d = H.element_dicts(_nodes(spark, sf_dir))
-    return d.select("page_id", "node_id", "tag", F.to_json("attributes").alias("attributes"), F.md5("text").alias("text_md5"), "parent_name", F.array_join("siblings", ",").alias("siblings"), F.array_join("children", ",").alias("children"))
+    d = R.element_dicts(_pages(spark, sf_dir))
+    return d.select("page_id", "node_id", "tag", F.to_json("attributes").alias("attributes"), F.md5("text").alias("text_md5"), F.array_join("path", "/").alias("path"), "parent_name", F.to_json("parent_attribs").alias("parent_attribs"), F.md5("parent_text").alias("parent_md5"), F.array_join("siblings", ",").alias("siblings"), F.array_join("children", ",").alias("children"))
 
 
 def ext4_typed(spark, sf_dir):
@@ -115,14 +115,11 @@ def rep4_signatures(spark, sf_dir):
 
 
 def rep5_loosened(spark, sf_dir):
-    """The repairs of a broken selector that match something, on each page."""
-
-    def work(page):
-        for i, (css, sure) in enumerate(Z.loosened("body > article.story > div.gone > h1")):
-            if n := len(Z._matched(page, css)):
-                yield i, css, sure, n
-
-    return Z.per_page(_pages(spark, sf_dir), work, "place int, css string, confidence double, n int")
+    """The repairs of broken selectors that match something, on each page."""
+    broken = F.explode(F.array(F.lit("body > article.story > div.gone > h1"), F.lit("html > body > nav.menu > ul.gone > li"), F.lit("body > div.ad.gone"))).alias("broken")
+    tried = R.trees(_pages(spark, sf_dir)).select("key", "tree", broken).select("key", "tree", "broken", F.posexplode(H.loosened(F.col("broken"))).alias("place", "x"))
+    hit = tried.withColumn("n", F.size(R.chain(F.col("tree"), F.col("x.css")))).filter("n > 0")
+    return hit.select(F.col("key").alias("page_id"), "broken", "place", "x.css", "x.confidence", "n")
 
 
 def rep6_rerank(spark, sf_dir):
@@ -138,20 +135,15 @@ def rep8_structure(spark, sf_dir):
 
 
 def sup4_heal(spark, sf_dir):
-    def work(page):
-        for name, broken, examples, kind in (("ad", "div.missing", ["<div class='ad'>Buy</div>"], "text"), ("kept", "article > h1", [], "text"), ("menu", "ol.menu", ["<nav><ul><li><a href='/x'>x</a></li></ul></nav>"], "link")):
-            css, like, sure = Z.heal(page, broken, examples, kind)
-            yield name, css, int(like >= 0.3)
-
-    return Z.per_page(_pages(spark, sf_dir), work, "name string, css string, healed int")
+    fields = {"ad": Z.Field("div.missing", ["<div class='ad'>Buy</div>"]), "kept": Z.Field("article > h1"), "menu": Z.Field("ol.menu", ["<nav><ul><li><a href='/x'>x</a></li></ul></nav>"], "link"), "lost": Z.Field("video")}
+    h = Z.heal(_pages(spark, sf_dir), fields)
+    return h.select("page_id", "name", "css", (F.col("similarity") >= 0.3).cast("int").alias("healed"))
 
 
 def sup5_candidates(spark, sf_dir):
-    def work(page):
-        for kind in ("text", "link", "image", "number"):
-            yield kind, len(Z.candidates(page, ["li", "div", "nav"], kind))
-
-    return Z.per_page(_pages(spark, sf_dir), work, "data_type string, n int")
+    tree = F.col("tree")
+    kinds = F.array(*(F.struct(F.lit(kind).alias("data_type"), F.size(R.fields_like(tree, ["li", "div", "nav"], kind)).alias("n")) for kind in ("text", "link", "image", "number")))
+    return R.trees(_pages(spark, sf_dir)).select(F.col("key").alias("page_id"), F.explode(kinds).alias("x")).select("page_id", "x.*")
 
 
 def sup6_top(spark, sf_dir):
@@ -164,26 +156,17 @@ def sup6_top(spark, sf_dir):
 def sup7_repairs(spark, sf_dir):
     """The best repairs on a page whose advert and list have changed."""
     p = _pages(spark, sf_dir)
-    new = p.withColumn("new", F.replace(F.replace("html", F.lit('<div class="ad">'), F.lit('<div class="advert ad-box">')), F.lit("<ul>"), F.lit('<ul class="menu">')))
-
-    def work(old, page):
-        for broken in ("body > div.ad", "nav > ul.gone > li"):
-            for place, (css, score) in enumerate(Z.repairs(old, page, broken)[:2]):
-                yield broken, place, css, score
-
-    return Z.per_page(new, work, "broken string, place int, css string, score double", columns=("html", "new")).withColumn("score", F.round("score", 6))
+    new = F.replace(F.replace("html", F.lit('<div class="ad">'), F.lit('<div class="advert ad-box">')), F.lit("<ul>"), F.lit('<ul class="menu">'))
+    pairs = p.select("page_id", F.col("html").alias("old"), new.alias("new"))
+    return Z.repairs(pairs, ["body > div.ad", "nav > ul.gone > li"]).withColumn("score", F.round("score", 6))
 
 
 def sup8_adapt(spark, sf_dir):
     """Paths with parts that the page lacks, trimmed until they hit the last paragraph."""
-
-    def work(page):
-        at = H.paths(page.tree)
-        for n in [x for x in page.tree if x.tag == "p"][-1:]:
-            path = at[n.id][0]
-            yield path, Z.adapt(page, f"{path} > em > x:nth-of-type(9)", [n])
-
-    return Z.per_page(_pages(spark, sf_dir), work, "path string, adapted string")
+    tree, n = F.col("tree"), F.col("n")
+    last = R.trees(_pages(spark, sf_dir)).select("key", "tree", F.try_element_at(R.matches(tree, "p"), F.lit(-1)).alias("n")).filter("n IS NOT NULL")
+    path = last.withColumn("path", R.path(tree, n)[0])
+    return path.select(F.col("key").alias("page_id"), "path", R.adapted(tree, F.concat("path", F.lit(" > em > x:nth-of-type(9)")), F.array(n["id"])).alias("adapted"))
 
 
 def sup15_features(spark, sf_dir):
@@ -255,7 +238,9 @@ SQL: dict[str, str | None] = {
     "sel7_unique": "SELECT page_id, name, n, n = 1 AS is_unique FROM (SELECT page_id, unnest(['h1', 'li']) AS name, unnest([CAST(len(regexp_extract_all(html, '<h1>')) AS BIGINT), CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT)]) AS n FROM pages) WHERE n > 0",
     "sel8_paths": NODES + _PATHS + " SELECT page_id, node_id, css, CASE WHEN xpath = '/' THEN '//' ELSE xpath END AS xpath FROM paths",
     "sel9_similar": NODES + ", w AS (SELECT page_id, arg_min(trim(text), node_id) AS t FROM nodes WHERE tag = 'a' GROUP BY page_id), f AS (SELECT n.page_id, min(node_id) AS found FROM nodes n JOIN w ON w.page_id = n.page_id AND trim(n.text) = w.t GROUP BY n.page_id) SELECT n.page_id, n.node_id, f.found FROM f JOIN nodes x ON x.page_id = f.page_id AND x.node_id = f.found JOIN nodes n ON n.page_id = x.page_id AND n.depth = x.depth AND n.tag = x.tag AND list_sort(map_keys(n.attrs)) = list_sort(map_keys(x.attrs)) AND n.node_id <> x.node_id",
-    "sel12_dicts": NODES + """ SELECT n.page_id, n.node_id, n.tag, CASE WHEN cardinality(n.attrs) = 0 THEN '{}' ELSE '{' || array_to_string(list_transform(map_entries(n.attrs), lambda e: '"' || e.key || '":"' || e.value || '"'), ',') || '}' END AS attributes, md5(trim(n.text)) AS text_md5, p.tag AS parent_name,
+    "sel12_dicts": NODES + _UP + """ SELECT n.page_id, n.node_id, n.tag, CASE WHEN cardinality(n.attrs) = 0 THEN '{}' ELSE '{' || array_to_string(list_transform(map_entries(n.attrs), lambda e: '"' || e.key || '":"' || e.value || '"'), ',') || '}' END AS attributes, md5(trim(n.text)) AS text_md5,
+      coalesce((SELECT string_agg(a.tag, '/' ORDER BY a.node_id) FROM up JOIN nodes a ON a.page_id = up.page_id AND a.node_id = up.anc WHERE up.page_id = n.page_id AND up.node_id = n.node_id) || '/', '') || n.tag AS path, p.tag AS parent_name,
+      CASE WHEN p.tag IS NOT NULL THEN CASE WHEN cardinality(p.attrs) = 0 THEN '{}' ELSE '{' || array_to_string(list_transform(map_entries(p.attrs), lambda e: '"' || e.key || '":"' || e.value || '"'), ',') || '}' END END AS parent_attribs, md5(trim(p.text)) AS parent_md5,
       coalesce((SELECT string_agg(s.tag, ',' ORDER BY s.node_id) FROM nodes s WHERE s.page_id = n.page_id AND s.parent_id = n.parent_id AND s.node_id <> n.node_id AND n.parent_id >= 0), '') AS siblings,
       coalesce((SELECT string_agg(c.tag, ',' ORDER BY c.node_id) FROM nodes c WHERE c.page_id = n.page_id AND c.parent_id = n.node_id), '') AS children FROM nodes n LEFT JOIN nodes p ON p.page_id = n.page_id AND p.node_id = n.parent_id""",
     "ext4_typed": NODES + " SELECT page_id, node_id, coalesce(attrs['href'], attrs['src'], trim(text)) AS url, coalesce(attrs['src'], attrs['data-src']) AS image, nullif(regexp_extract(replace(text, ',', ''), '(-?\\d+\\.?\\d*)', 1), '') AS number, trim(text) AS text FROM nodes WHERE tag IN ('a', 'li', 'h1', 'footer', 'div')",
@@ -269,12 +254,14 @@ SQL: dict[str, str | None] = {
     "gen13_describe": NODES + ", s AS (SELECT page_id, node_id, tag, lower(text) AS t, lower(array_to_string(map_values(attrs), ' ')) AS a FROM nodes) SELECT page_id, node_id, round((CASE WHEN regexp_matches(t, 'the|title') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(a, 'the|title') THEN 0.5 ELSE 0 END + CASE WHEN tag IN ('article', 'section', 'main', 'header', 'footer', 'nav', 'aside', 'h1', 'h2', 'h3') THEN 0.5 ELSE 0 END + CASE WHEN trim(t) <> '' THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS score FROM s WHERE regexp_matches(t, 'the|title') OR regexp_matches(a, 'the|title')",
     "sup11_described": NODES + _PATHS + ", s AS (SELECT page_id, node_id, tag, lower(text) AS t, lower(array_to_string(map_values(attrs), ' ')) AS a FROM nodes), c AS (SELECT page_id, node_id, CASE WHEN regexp_matches(t, 'the|title') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(a, 'the|title') THEN 0.5 ELSE 0 END + CASE WHEN tag IN ('article', 'section', 'main', 'header', 'footer', 'nav', 'aside', 'h1', 'h2', 'h3') THEN 0.5 ELSE 0 END + CASE WHEN trim(t) <> '' THEN 0.5 ELSE 0 END AS score FROM s WHERE regexp_matches(t, 'the|title') OR regexp_matches(a, 'the|title')), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, node_id) AS place FROM c) SELECT page_id, place::INT AS place, node_id, score::DOUBLE AS score, css FROM r JOIN paths USING (page_id, node_id) WHERE place <= 3",
     "rep4_signatures": NODES + f", sig AS (SELECT page_id, node_id, tag, CASE WHEN text = '' THEN '' ELSE md5(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) END AS h, list_filter(map_entries(attrs), lambda e: NOT {_DYNAMIC.format(x='e.value')}) AS a FROM nodes) SELECT o.page_id, o.node_id AS old_id, min(n.node_id) AS new_id FROM sig o JOIN sig n ON n.page_id = o.page_id AND n.tag = o.tag AND n.h = o.h WHERE len(o.a) = 0 OR len(list_filter(o.a, lambda e: list_contains(n.a, e))) / len(o.a) >= 0.5 GROUP BY ALL",
-    "rep5_loosened": NODES + """ SELECT page_id, 2::INT AS place, 'body' AS css, 0.6::DOUBLE AS confidence, count(*)::INT AS n FROM nodes WHERE tag = 'body' GROUP BY page_id""",
+    "rep5_loosened": NODES + """ SELECT page_id, 'body > article.story > div.gone > h1' AS broken, 2 AS place, 'body' AS css, 0.6::DOUBLE AS confidence, count(*)::INT AS n FROM nodes WHERE tag = 'body' GROUP BY page_id
+      UNION ALL SELECT page_id, 'html > body > nav.menu > ul.gone > li', unnest([2, 3]), unnest(['html > body', 'html']), 0.6, 1 FROM pages
+      UNION ALL SELECT page_id, 'body > div.ad.gone', unnest([0, 2]), unnest(['body', 'body > div.ad']), unnest([0.6, 0.5]), unnest([1, count(*) FILTER (tag = 'div' AND list_contains(string_split(attrs['class'], ' '), 'ad'))]) FROM nodes GROUP BY page_id""",
     "rep6_rerank": NODES + _CANDIDATES + ", c AS (SELECT page_id, selector, max(confidence) AS s FROM cand GROUP BY ALL) SELECT a.page_id, a.selector, round(CASE WHEN b.selector IS NOT NULL THEN a.s * 1.2 ELSE a.s * 0.3 END::DOUBLE, 6) AS score FROM c a LEFT JOIN c b ON b.page_id = a.page_id + 1 AND b.selector = a.selector",
     "rep8_structure": NODES + ", g AS (SELECT page_id, count(*) AS n, avg(depth) AS depth_mean, stddev_pop(depth) AS depth_std, max(depth) AS depth_max, md5(string_agg(tag || ':' || children, '|' ORDER BY node_id) FILTER (node_id < 100)) AS dom_hash, count(*) FILTER (parent_id >= 0) AS below, sum(len(map_keys(attrs))) FILTER (parent_id >= 0) AS named, ["
     + ", ".join(f"count(*) FILTER (parent_id >= 0 AND tag = '{t}')" for t in H.VECTOR_TAGS) + "] AS tags, [" + ", ".join(f"coalesce(sum(len(list_filter(map_keys(attrs), lambda k: contains(k, '{a}')))) FILTER (parent_id >= 0), 0)::BIGINT" for a in H.VECTOR_ATTRS)
     + "] AS names FROM nodes GROUP BY page_id), r AS (SELECT *, list_concat(list_concat(list_transform(tags, lambda t: t / greatest(below, 1)), [depth_mean, depth_std, depth_max::DOUBLE]), list_transform(names, lambda t: t / greatest(named, 1))) AS raw FROM g) SELECT page_id, n, round(depth_mean, 6) AS depth_mean, round(depth_std, 6) AS depth_std, depth_max, dom_hash, array_to_string(list_transform(raw, lambda x: printf('%.6f', x / sqrt(list_sum(list_transform(raw, lambda y: y * y))))), ' ') AS vector FROM r",
-    "sup4_heal": "SELECT page_id, unnest(['ad', 'kept', 'menu']) AS name, unnest(['div.ad', 'article > h1', 'nav']) AS css, unnest([1, 1, 1])::INT AS healed FROM pages",
+    "sup4_heal": "SELECT page_id, unnest(['ad', 'kept', 'menu', 'lost']) AS name, unnest(['div.ad', 'article > h1', 'nav', NULL]) AS css, unnest([1, 1, 1, 0])::INT AS healed FROM pages",
     "sup5_candidates": NODES + _UP + """, f AS (SELECT n.page_id, n.node_id, EXISTS (SELECT 1 FROM up JOIN nodes d ON d.page_id = up.page_id AND d.node_id = up.node_id WHERE up.page_id = n.page_id AND up.anc = n.node_id AND d.tag = 'a') AS link,
         EXISTS (SELECT 1 FROM up JOIN nodes d ON d.page_id = up.page_id AND d.node_id = up.node_id WHERE up.page_id = n.page_id AND up.anc = n.node_id AND d.tag = 'img') AS image, regexp_matches(w.text, '\\d') AS digit FROM nodes n JOIN whole w ON w.page_id = n.page_id AND w.anc = n.node_id WHERE n.tag IN ('li', 'div', 'nav')),
       g AS (SELECT page_id, count(*)::INT AS text, count(*) FILTER (link)::INT AS link, count(*) FILTER (image)::INT AS image, count(*) FILTER (digit)::INT AS digits FROM f GROUP BY page_id)

@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docloom.functions.status import reason
 from docloom.operators import html as H
 from docloom.operators.state import shared_folder
 
 
 def responses(pages: DataFrame, content_type: Column, status: Column) -> DataFrame:
     """Pages as response records: status, reason, headers, body and encoding."""
-    reason = F.when(status == 200, "OK").when(status == 404, "Not Found").otherwise("Unknown")
     return pages.select(
-        "url", status.alias("status"), reason.alias("reason"), F.create_map(F.lit("content-type"), content_type).alias("headers"), F.col("html").alias("body"), charset(content_type).alias("encoding")
+        "url", status.alias("status"), reason(status).alias("reason"), F.create_map(F.lit("content-type"), content_type).alias("headers"), F.col("html").alias("body"), charset(content_type).alias("encoding")
     )
 
 

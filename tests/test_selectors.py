@@ -7,18 +7,20 @@ import re
 import sqlite3
 
 import pytest
-from docloom.operators import dedup, healing, html, learning
+from docloom.operators import dedup, fewshot, healing, html, learning, patterns, repair, trees
 from docloom.sources import stores
 from pyspark.sql import functions as F
 
+from tests import walker
+
 PAGE = """<html><body><div id="m" class="a b"><h1>T</h1><p>one</p><p class=x>two <b>bold</b></p><span></span></div><div data-k="v"><p>three</p></div></body></html>"""
 
 
 def found(selector, page=PAGE):
     tree = html.parse(page)
-    whole = html.contents(tree)
+    whole = walker.contents(tree)
     take = html.compile_selector(selector)[1]
-    return [html._value(n, take, whole) for n in html.matches(tree, selector)]
+    return [walker._value(n, take, whole) for n in walker.matches(tree, selector)]
 
 
 @pytest.mark.parametrize(
@@ -42,34 +44,97 @@ def test_what_is_no_selector(selector):
 def test_paths_find_their_node():
     tree = html.parse(PAGE)
     for full in (False, True):
-        for n, (css, xpath) in zip(tree, html.paths(tree, full), strict=True):
+        for n, (css, xpath) in zip(tree, walker.paths(tree, full), strict=True):
             if n.parent >= 0:
-                assert n.id in [x.id for x in html.matches(tree, css)], css  # a first one of its tag has no number
-                assert full or n.id in [x.id for x in html.matches(tree, xpath)], xpath
+                assert n.id in [x.id for x in walker.matches(tree, css)], css  # a first one of its tag has no number
+                assert full or n.id in [x.id for x in walker.matches(tree, xpath)], xpath
     assert html.to_xpath("nav > ul::text") == "descendant-or-self::nav/ul/text()"
 
 
 def test_stable_selectors():
     tree = html.parse(PAGE)
-    page = html._Page(tree)
+    page = walker._Page(tree)
     for n in tree:
-        assert [x.id for x in html.matches(tree, html.stable_xpath(page, n))] == [n.id]
-        assert re.search(html.stable_regex(PAGE, n), PAGE)[1] == PAGE[n.start : n.stop]
-    assert [html.stable_css(page, n) for n in tree] == ["html", "body", "#m", "h1", "p:nth-of-type(1)", "p.x", "b", "span", 'div[data-k="v"]', 'div[data-k="v"] > p']
-
-
-def test_healing():
-    page = html._Page(html.parse("<html><body><nav><a href=/>Home</a></nav><div class='price tag'>12</div><div class=text>words</div></body></html>"))
-    assert healing.heal(page, "span.price", ["<div class='price'>9</div>"])[0] == "div.price.tag"
-    assert healing.heal(page, "nav > a", [])[0] == "nav > a"
-    assert healing.heal(page, "span", []) == (None, 0.0, 0.0)
-    assert [n.tag for n in healing.candidates(page, ["nav", "div"], "link")] == ["nav"]
-    assert [n.attrs["class"] for n in healing.candidates(page, ["div"], "number")] == ["price tag"]
-    assert healing.adapt(page, "body > nav > em", [page.tree[2]]) == "body > nav"
-    new = html._Page(html.parse("<html><body><nav><a href=/>Home</a></nav><section><div class='price new'>12</div></section></body></html>"))
-    assert healing.repairs(page, new, "body > div.price")[0][0] == "div.price.new"
-    alike = html.parse("<ul><li class='a b'>1<li class='a b'>2<li class='c'>3</ul>")
-    assert [[n.id for n in g] for g in healing.group_alike(alike)] == [[1, 2]]
+        assert [x.id for x in walker.matches(tree, walker.stable_xpath(page, n))] == [n.id]
+        assert re.search(walker.stable_regex(PAGE, n), PAGE)[1] == PAGE[n.start : n.stop]
+    assert [walker.stable_css(page, n) for n in tree] == ["html", "body", "#m", "h1", "p:nth-of-type(1)", "p.x", "b", "span", 'div[data-k="v"]', 'div[data-k="v"] > p']
+
+
+ODD = ["", None, "<p>", "no markup", "<ul><li class='a b'>1<li class='a b'>2<li class='c'>3</ul><p>x<br>y", "<div id=q data-x='v'><b class='active k'>t</b><b class=k>u</b></div><div data-x='v'>z</div>", "<div>" * 25 + "deep"]
+
+
+def test_columns_are_the_walk(spark):
+    """Selectors, values and paths as column expressions against a walk over the tree."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").limit(40)
+    rows = [(r.page_id, r.html) for r in pages.collect()] + [(-1 - i, p) for i, p in enumerate([PAGE, *ODD])]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    names = ["h1 + p", "h1 ~ p", "p:nth-child(2n+1)", "p:nth-child(-n+2)", "p:not(.x)", "p:contains('bold')", "p:last-of-type", "span:empty", "div > p:first-child", "p[class]", '[data-k="v"] p, h1', "p.x::attr(class)", "//div[@id='m']/p[2]", "/html/body/div[2]/p", "//p/text()", "//p[text()='one']", "//*[@id='m']/h1 | //b", "//p/@class", "div a, nav a, p", "body > *", "ul li:last-child", "*"]
+    want = sorted(((k, s, i, v) for k, p in rows for s in names for i, v in enumerate(found(s, p))), key=str)
+    assert sorted(map(tuple, trees.select(df, dict(zip(names, names, strict=True))).collect()), key=str) == want
+    for full in (False, True):
+        want = sorted((k, n, *x) for k, p in rows for n, x in enumerate(walker.paths(html.parse(p), full)))
+        assert sorted(map(tuple, trees.selector_paths(df, full).collect())) == want
+    want = []
+    for k, p in rows:
+        page = walker._Page(html.parse(p))
+        at = walker.paths(page.tree)
+        want += [(k, n.id, *at[n.id], walker.stable_css(page, n), walker.stable_xpath(page, n), walker.stable_regex(p or "", n)) for n in page.tree]
+    assert sorted(map(tuple, trees.selector_forms(df, "*").collect())) == sorted(want)
+    assert trees.select(df, {"x": r"re:<b>(\w+)"}).filter("page_id = -1").collect()[0].value == "bold"
+
+
+def test_paths_known_with_the_page(spark):
+    df = spark.createDataFrame([(1, PAGE)], "page_id long, html string")
+    tree = F.col("tree")
+    ids = lambda css: [n.id for n in trees.trees(df).select(trees.chain(tree, F.lit(css)).alias("x")).first().x]
+    for css in ("div.a > p.x", "p:nth-of-type(2)", "#m > h1", 'div[data-k="v"] > p', "html > body > div", "div.b.a", "gone > p"):
+        assert ids(css) == [n.id for n in walker.matches(html.parse(PAGE), css)]
+    adapt = lambda css, target: trees.trees(df).select(trees.adapted(tree, F.lit(css), F.array(F.lit(target))).alias("x")).first().x
+    assert adapt("html > body > div > em", 1) == "html > body"
+    assert adapt("em > b", 1) is None
+
+
+def test_healing(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><div class='price tag'>12</div><div class=text>words</div></body></html>"
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    fields = {"a": healing.Field("span.price", ["<div class='price'>9</div>"]), "b": healing.Field("nav > a"), "c": healing.Field("span"), "d": healing.Field("b", ["<i>"], "image")}
+    got = {(r.page_id, r.name): (r.css, round(r.confidence, 3) > 0) for r in healing.heal(df, fields).collect()}
+    assert got == {(1, "a"): ("div.price.tag", True), (1, "b"): ("nav > a", True), (1, "c"): (None, False), (1, "d"): (None, False), (2, "a"): (None, False), (2, "b"): (None, False), (2, "c"): (None, False), (2, "d"): (None, False)}
+    tree = F.col("tree")
+    may = lambda tags, kind: [n.tag for n in trees.trees(df).filter("key = 1").select(trees.fields_like(tree, tags, kind).alias("x")).first().x]
+    assert may(["nav", "div"], "link") == ["nav"] and may(["div"], "number") == ["div"] and may(["q"], "text") == ["a", "div", "div"]
+    new = "<html><body><nav><a href=/>Home</a></nav><section><div class='price new'>12</div></section></body></html>"
+    pairs = spark.createDataFrame([(1, page, new), (2, "", new), (3, page, None)], "page_id long, old string, new string")
+    rows = healing.repairs(pairs, ["body > div.price"]).orderBy("page_id", "place").collect()
+    assert [(r.page_id, r.css) for r in rows][0] == (1, "div.price.new") and {r.page_id for r in rows} <= {1, 2}
+
+
+def test_likeness(spark):
+    a = "<ul><li class='k m' id=i data-a=1>one two three</li><li>q</li></ul>"
+    b = "<ol><li class='m n'>two three four</li><li>q</li></ol>"
+    df = spark.createDataFrame([(1, a, b)], "page_id long, a string, b string")
+    x = trees.trees(df, "page_id", "a").select(repair.features(F.col("tree"), F.get("tree", F.lit(1))).alias("f"), repair.features(F.col("tree"), F.get("tree", F.lit(2))).alias("g"))
+    y = trees.trees(df, "page_id", "b").select(repair.features(F.col("tree"), F.get("tree", F.lit(1))).alias("h"))
+    r = x.crossJoin(y).select(repair.likeness(F.col("f"), F.col("h")).alias("fh"), repair.likeness(F.col("f"), F.col("g")).alias("fg"), repair.likeness(F.col("g"), F.col("g")).alias("gg")).first()
+    assert r.fh == pytest.approx((1 + 1 / 3 + 2 / 4 + 0) / 4)
+    assert r.fg == pytest.approx((1 + 0 + 0 + 0 + 0) / 5)  # tag; classes, texts, attributes and the place differ
+    assert r.gg == 1.0  # classes and attributes of neither don't count
+
+
+def test_groups_and_their_common_parent(spark):
+    df = spark.createDataFrame([(1, "<ul class='menu x'><li class='a b'>1<li class='a b'>2<li class='c'>3</ul><p>x"), (2, "<p>a<p>b")], "page_id long, html string")
+    assert sorted((r.page_id, r.first_id, r.n, r.last_id) for r in patterns.grouped(df).collect()) == [(1, 1, 2, 2), (2, 0, 2, 1)]
+    assert [tuple(r) for r in patterns.patterns(df).collect()] == [(1, ".menu > li:nth-child(n)", 0, 2, 2 / 3)]
+
+
+def test_adapted_selectors(spark):
+    case = lambda css, tag, **attrs: spark.range(1).select(fewshot.adapted(F.lit(css), F.lit(tag), F.create_map(F.lit("_"), F.lit(""), *(F.lit(x) for kv in attrs.items() for x in (kv[0].rstrip("_"), kv[1])))).alias("x")).first().x
+    assert case("div.item-big", "section", class_="item-small q") == "section.item-small"
+    assert case("div.item", "p", class_="item") is None
+    assert case('a[href="/x"]', "a", href="/y") == 'a[href="/y"]'
+    assert case("#q > span.k", "b", class_="z") == "#q > b"
+    g = lambda text: spark.range(1).select(fewshot.grams(F.lit(text)).alias("x")).first().x
+    assert sorted(g("ab C")) == sorted([" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "])
 
 
 @pytest.mark.parametrize("least", [0.6, 0.85])
