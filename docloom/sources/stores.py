@@ -119,7 +119,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         return [_Range(p, i, self.parts) for p in shards(self.path) for i in range(self.parts)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
+        if partition is None:  # a table without files
+            return
         table, names = _name(self.table), ", ".join(f'"{f.name}"' for f in self.schema)
         makers = [_loaded(f.dataType) for f in self.schema]
         with contextlib.closing(sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)) as c:
