@@ -52,7 +52,7 @@ def groups(tree: Column) -> Column:
 
 def common_parent(tree: Column, g: Column) -> Column:
     """The deepest element above all of a group; null for groups of roots."""
-    around = F.filter(F.get(tree, g["first"])["up"], lambda a: F.get(tree, a)["last"] >= g["last"])
+    around = F.filter(R.ancestors(tree, F.get(tree, g["first"])), lambda a: F.get(tree, a)["last"] >= g["last"])
     return F.get(tree, F.array_max(around))
 
 

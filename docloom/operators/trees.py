@@ -27,15 +27,20 @@ _KINDS = {"attrs": pa.map_(pa.string(), pa.string()), "tag": pa.string(), "text"
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 
 
+#: Ancestors of all elements of a page that are written out; a page that is nested deeper goes without, and they are looked for.
+WRITTEN = 1 << 20
+
+
 def _fields(html: str | None) -> Iterator[tuple]:
     nodes = H.parse(html)
+    written = sum(n.depth for n in nodes) <= WRITTEN
     last, like, all_, before, latest, up = list(range(len(nodes))), {}, {}, [], {}, []
     for n in nodes:
         like[n.parent, n.tag] = n.nth
         all_[n.parent] = n.index
         before.append(latest.get(n.parent, -1))
         latest[n.parent] = n.id
-        up.append([*up[n.parent], n.parent] if n.parent >= 0 else [])
+        up.append(None if not written else [*up[n.parent], n.parent] if n.parent >= 0 else [])
     for n in reversed(nodes):
         if n.parent >= 0:
             last[n.parent] = max(last[n.parent], last[n.id])
@@ -89,9 +94,19 @@ def strip(x: Column) -> Column:
     return F.trim(x, F.lit(SPACE))
 
 
+def ancestors(tree: Column, n: Column) -> Column:
+    """The numbers of the elements around a node, from the root."""
+    return F.coalesce(n["up"], F.transform(F.filter(F.slice(tree, 1, n["id"]), lambda a: a["last"] >= n["id"]), lambda a: a["id"]))
+
+
 def line(tree: Column, n: Column) -> Column:
     """The node and its ancestors, from the root."""
-    return F.transform(F.concat(n["up"], F.array(n["id"])), lambda i: F.get(tree, i))
+    return F.transform(F.concat(ancestors(tree, n), F.array(n["id"])), lambda i: F.get(tree, i))
+
+
+def rung(tree: Column, m: Column, up: Column) -> Column:
+    """The element ``up`` steps above a node, itself at 0; null above the root."""
+    return F.when(up == 0, m).when(up <= m["depth"], F.get(tree, F.get(ancestors(tree, m), m["depth"] - up)))
 
 
 def _met(tree: Column, n: Column, t: tuple) -> Column:
@@ -251,7 +266,7 @@ def xpath_part(n: Column) -> Column:
 
 def path(tree: Column, n: Column, full: bool = False) -> tuple[Column, Column]:
     """A CSS and an XPath path to a node, from below the root or, unless ``full``, from the nearest id."""
-    from_root = F.slice(line(tree, n), 2, F.greatest(F.size(n["up"]), F.lit(1)))  # the root has no part
+    from_root = F.slice(line(tree, n), 2, F.greatest(n["depth"], F.lit(1)))  # the root has no part
 
     def tail(parts: Column) -> Column:
         if full:
@@ -308,8 +323,7 @@ def stable_css(tree: Column, n: Column) -> Column:
 
     def longer(a: Column, up: Column) -> Column:
         at = F.size(a["parts"])  # the rung above each node that is to look like this one
-        rung = lambda m: F.get(tree, F.get(F.concat(m["up"], F.array(m["id"])), F.size(m["up"]) - at))
-        left = F.filter(a["left"], lambda m: (F.size(m["up"]) >= at) & F.coalesce(_looks(up, rung(m)), F.lit(False)))
+        left = F.filter(a["left"], lambda m: (m["depth"] >= at) & F.coalesce(_looks(up, rung(tree, m, at)), F.lit(False)))
         return F.when(a["done"], a).otherwise(let(left, lambda x: F.struct(x.alias("left"), F.concat(F.array(_look(up)), a["parts"]).alias("parts"), (F.size(x) == 1).alias("done"))))
 
     tried = F.aggregate(F.reverse(line(tree, n)), start, longer)
@@ -371,8 +385,7 @@ def chain(tree: Column, css: Column) -> Column:
     """
 
     def step(left: Column, part: Column, up: Column) -> Column:
-        rung = lambda m: F.get(tree, F.get(F.concat(m["up"], F.array(m["id"])), F.size(m["up"]) - up))
-        return F.filter(left, lambda m: (F.size(m["up"]) >= up) & F.coalesce(let(rung(m), lambda r: _part_met(r, part)), F.lit(False)))
+        return F.filter(left, lambda m: (m["depth"] >= up) & F.coalesce(let(rung(tree, m, up), lambda r: _part_met(r, part)), F.lit(False)))
 
     parts = F.reverse(F.split(css, " > "))
     numbered = F.transform(parts, lambda p, i: F.struct(p.alias("part"), i.alias("up")))

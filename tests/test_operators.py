@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from docloom.functions import text as T
 from docloom.functions import urls as U
-from docloom.operators import crawl, dedup, html, inference, monitoring, politeness, records, tables, vector_index
+from docloom.operators import crawl, dedup, html, inference, monitoring, politeness, records, tables, trees, vector_index
 from docloom.sources import io
 from pyspark.sql import functions as F
 
@@ -122,16 +122,19 @@ def test_robots(spark):
     assert not r.select(politeness.wildcard_denies(F.lit("/q/a.pdfx"), F.col("disallowed_paths")).alias("x")).first().x
 
 
-def test_html_selection():
+def test_html_selection(spark):
     page = "<div id=m class='a b'><p>1<p class=b>2</div><ul><li>x<li><a href=/q>l</a></ul><img src=i>" + "<div class=item>" * 5000
-    tree = html.parse(page)
-    found = lambda css: ["".join(n.text) for n in html.matches(tree, css)]
-    assert found("#m > p") == ["1", "2"] and found("div .b") == ["2"] and found("p:nth-of-type(2)") == ["2"] and found("li a, p.b") == ["2", "l"]
-    assert len(html.matches(tree, "div.item")) == 5000 and found("a[href^='/q']") == ["l"] and found("ul > a") == []
-    assert html.contents(tree)[tree[0].id] == "12"
-    assert found("a:hover") == []  # no page is in a browser's state
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    wanted = {"#m > p": ["1", "2"], "div .b": ["2"], "p:nth-of-type(2)": ["2"], "a[href^='/q']::text": ["l"], "ul > a": [], "a:hover": [], "#m": ["12"]}  # no page is in a browser's state
+    got = {k: [] for k in wanted}
+    for r in trees.select(df, {k: k for k in wanted}).orderBy("name", "pos").collect():
+        got[r.name].append(r.value)
+    assert got == wanted
+    tree = F.col("tree")
+    deep = trees.trees(df).select(F.size(trees.matches(tree, "div.item")).alias("n"), trees.path(tree, F.get(tree, F.lit(40)))[0].alias("path"), F.size(trees.ancestors(tree, F.get(tree, F.lit(4000)))).alias("up"), F.get(tree, F.lit(9))["up"].alias("written")).first()
+    assert (deep.n, deep.up, deep.written) == (5000, 4000 - 8, None) and deep.path.count(" > ") == 40 - 8 - 1
     with pytest.raises(ValueError):
-        html.matches(tree, "a:nonsense")
+        trees.select(df, {"x": "a:nonsense"})
 
 
 def test_sources(spark):
