@@ -19,3 +19,22 @@ def test_cheapest(spark):
     # equal needs are one before they meet the instances
     text = plan(df)
     assert text.index("want_cores") >= 0 and text.count("Aggregate [_c") >= 2
+
+
+def test_minhash_pairs_carry_no_signatures(spark):
+    rng = random.Random(3)
+    sets = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(12)]
+    sets += [s[: 60 - i % 6] for i, s in enumerate(sets)] + [sets[0], [], []]
+    signed = D.minhash(spark.createDataFrame(list(enumerate(sets)), "k long, words array<string>"), "k", "words")
+    brute = {r.k: r.signature for r in signed.collect()}
+    share = lambda a, b: sum(x == y for x, y in zip(brute[a], brute[b], strict=True)) / 128
+    some = [k for k, s in brute.items() if s]
+    first = {k: min(o for o in some if brute[o] == brute[k]) for k in some}
+    reps = [k for k in some if first[k] == k]
+    want = {(a, b, share(a, b)) for a in reps for b in reps if a < b and share(a, b) >= 0.85} | {(first[k], k, 1.0) for k in some if first[k] != k}
+    assert len(want) > 5 and {tuple(r) for r in D.minhash_pairs(signed, "k").collect()} == want
+    packed = D.packed(signed, "k")
+    index = D.banded(packed, "k")
+    assert index.columns == ["k", "t", "band"]  # what is shuffled for each band
+    asked = {tuple(r) for r in D.minhash_query(index, packed.filter("k % 2 = 0"), packed, "k").collect()}
+    assert asked == {(a, b, share(a, b)) for a in some for b in some if a != b and a % 2 == 0 and share(a, b) >= 0.85}
