@@ -38,3 +38,27 @@ def test_minhash_pairs_carry_no_signatures(spark):
     assert index.columns == ["k", "t", "band"]  # what is shuffled for each band
     asked = {tuple(r) for r in D.minhash_query(index, packed.filter("k % 2 = 0"), packed, "k").collect()}
     assert asked == {(a, b, share(a, b)) for a in some for b in some if a != b and a % 2 == 0 and share(a, b) >= 0.85}
+
+
+def test_crowded_fingerprints_meet_in_a_grid(spark):
+    """Where many share blocks, no pair is lost or doubled, and first-seen order writes no pairs."""
+    rng = random.Random(5)
+    fps = {}
+    for k in range(300):
+        fps[k * 3] = rng.getrandbits(14) | (rng.getrandbits(1) << 63)
+    df = spark.createDataFrame([(k, x - (1 << 64) if x >> 63 else x) for k, x in fps.items()] + [(901, None)], "k long, fp long")
+    least = {x: min(k for k, y in fps.items() if y == x) for x in fps.values()}
+    fps = {k: x for k, x in fps.items() if least[x] == k}
+    for threshold, radius in ((0.95, 3), (0.85, 9)):
+        reps = df.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("k").alias("k"))
+        assert D.grid_is_less(reps, radius)
+        want = {(a, b, (fps[a] ^ fps[b]).bit_count()) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= radius}
+        got = [tuple(r) for r in D.near_pairs(df, "k", threshold).collect()]
+        assert len(got) == len(want) and set(got) == want
+        kept, duplicate = [], {}
+        for k in sorted(fps):
+            duplicate[k] = next((o for o in kept if (fps[o] ^ fps[k]).bit_count() <= radius), None)
+            kept += [k] if duplicate[k] is None else []
+        assert {r.k: r.duplicate_of for r in D.first_seen_near(df, "k", threshold).collect()} == duplicate
+    sparse = spark.createDataFrame([(k, rng.getrandbits(62)) for k in range(300)], "k long, fp long")
+    assert not D.grid_is_less(sparse, 9) and D.first_seen_near(sparse, "k").filter("duplicate_of IS NOT NULL").count() == 0
