@@ -3,6 +3,7 @@
 import random
 
 from docloom.operators import dedup as D
+from docloom.operators import inference as I
 from docloom.operators import tables as X
 from pyspark.sql import functions as F
 
@@ -62,3 +63,21 @@ def test_crowded_fingerprints_meet_in_a_grid(spark):
         assert {r.k: r.duplicate_of for r in D.first_seen_near(df, "k", threshold).collect()} == duplicate
     sparse = spark.createDataFrame([(k, rng.getrandbits(62)) for k in range(300)], "k long, fp long")
     assert not D.grid_is_less(sparse, 9) and D.first_seen_near(sparse, "k").filter("duplicate_of IS NOT NULL").count() == 0
+
+
+def test_matches_are_not_added_up(spark):
+    rng = random.Random(9)
+    row = lambda i: (i, rng.choice(["p", "q", None]), rng.choice(["h", "g", "f", None]))
+    for ids in (range(60), [i // 2 for i in range(60)]):
+        w, e = [row(i) for i in ids], [row(i) for i in ids]
+        want = {}
+        for a in w:
+            for b in e:
+                s = 0.5 * (a[1] is not None and a[1] == b[1]) + 0.5 * (a[2] is not None and a[2] == b[2])
+                if s:
+                    want[a[0], b[0]] = want.get((a[0], b[0]), 0) + s
+        wanted = spark.createDataFrame(w, "wanted_id int, pattern string, dom_hash string")
+        df = I.match_examples(wanted, spark.createDataFrame(e, "example_id int, example_pattern string, example_hash string"))
+        got = df.collect()
+        assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
+        assert ("Aggregate" in plan(df)) == (len(set(ids)) < len(ids))
