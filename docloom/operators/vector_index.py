@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.state import written
@@ -126,3 +126,9 @@ def search(index: Index, queries: DataFrame, key: str, vector: str, least: float
     met = rows.join(visits, ["cell", "ring"]).filter(F.col("angle").between(F.col("low"), F.col("high")) & ~F.col("key").eqNullSafe(F.col("query")))
     dot = F.aggregate(F.zip_with("unit", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return met.select("query", "key", dot.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def nearest(index: Index, queries: DataFrame, key: str, vector: str, least: float, most: int) -> DataFrame:
+    """(query, key, similarity, rank): the ``most`` nearest vectors of each query of those that ``search`` finds; ties by the key."""
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+    return search(index, queries, key, vector, least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

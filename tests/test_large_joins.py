@@ -5,6 +5,7 @@ import random
 from docloom.operators import dedup as D
 from docloom.operators import inference as I
 from docloom.operators import tables as X
+from docloom.operators import vector_index as V
 from pyspark.sql import functions as F
 
 
@@ -81,3 +82,18 @@ def test_matches_are_not_added_up(spark):
         got = df.collect()
         assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
         assert ("Aggregate" in plan(df)) == (len(set(ids)) < len(ids))
+
+
+def test_nearest_vectors(spark):
+    """As many as asked for, however far, and not those beyond a high likeness alone."""
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(200)]
+    rows += [(k + 200, v) for k, v in rows[:20]]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    want = {}
+    for k, q in rows[::50]:
+        near = sorted((-round(cosine(q, v), 12), o) for o, v in rows if o != k and cosine(q, v) >= 0.1)[:5]
+        want |= {(k, i): o for i, (_, o) in enumerate(near, 1)}
+    got = {(r.query, r["rank"]): r.key for r in V.nearest(V.indexed(df, "k", "v"), df.filter("k % 50 = 0"), "k", "v", 0.1, 5).collect()}
+    assert got == want
