@@ -317,7 +317,8 @@ def consistency_b(lists: list[str], dates: list[str]) -> Column:
 def name_groups(rows: DataFrame) -> DataFrame:
     """(base, fields, one_type) of (field, kind) rows: fields that differ by digits or an _id, _key or _code at the end, several of a kind or not."""
     stem = F.regexp_replace(F.regexp_replace("field", r"\d+$", ""), "_(id|key|code)$", "")
-    one = rows.filter("kind <> 'null'").groupBy("field").agg(F.min("kind").alias("kind"))
+    # a set of a few kinds, in a hash table: the least text of a group would be found by sorting all rows
+    one = rows.filter("kind <> 'null'").groupBy("field").agg(F.array_min(F.collect_set("kind")).alias("kind"))
     g = one.groupBy(stem.alias("base")).agg(F.count("*").alias("fields"), F.count_distinct("kind").alias("kinds"))
     return g.filter("fields > 1").select("base", "fields", (F.col("kinds") == 1).alias("one_type"))
 

@@ -4,6 +4,7 @@ import random
 
 from docloom.operators import dedup as D
 from docloom.operators import inference as I
+from docloom.operators import records as R
 from docloom.operators import tables as X
 from docloom.operators import vector_index as V
 from pyspark.sql import functions as F
@@ -97,3 +98,18 @@ def test_nearest_vectors(spark):
         want |= {(k, i): o for i, (_, o) in enumerate(near, 1)}
     got = {(r.query, r["rank"]): r.key for r in V.nearest(V.indexed(df, "k", "v"), df.filter("k % 50 = 0"), "k", "v", 0.1, 5).collect()}
     assert got == want
+
+
+def test_rows_are_not_sorted_for_a_vote(spark):
+    rows = spark.createDataFrame([(1, "a", None, "null"), (2, "a", "12", "string"), (3, "a", "http://x", "string"), (4, "b", "7", "integer"), (4, "a1", "x", "string"), (5, "c", None, "null")], "id long, field string, value string, kind string")
+    types = I.first_types(rows, "id")
+    assert dict(types.collect()) == {"a": "number", "b": "number", "a1": "text"}
+    schema = I.json_schema(rows, "id")
+    assert {r.field: (r.type, r.nullable, r.example) for r in schema.collect()} == {"a": ("string", True, "12"), "b": ("integer", False, "7"), "a1": ("string", False, "x"), "c": ("null", True, None)}
+    groups = R.name_groups(rows)
+    assert [tuple(r) for r in groups.collect()] == [("a", 2, True)]
+    for df in (types, schema, groups):
+        # an aggregate that sorts reads what one in a hash table left
+        steps = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Aggregate" in x]
+        for i, step in enumerate(steps):
+            assert "SortAggregate" not in step or ("min(value" not in step and any("HashAggregate" in x for x in steps[i:])), steps
