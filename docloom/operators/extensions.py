@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,10 +57,10 @@ def parser(parse: Callable[[str | None, str], Iterator[tuple[str, str, str]]]) -
     return F.udtf(Parser, returnType="kind string, key string, value string")
 
 
-def parse_pages(pages: DataFrame, parse: Callable[[str | None, str], Iterator[tuple[str, str, str]]], url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (url, kind, key, value) that ``parse`` yields for each page."""
-    given = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
-    return given.lateralJoin(parser(parse)(F.col("url").outer(), F.col("html").outer())).select("url", "kind", "key", "value")
+def parse_pages(pages: DataFrame, parse: Callable[[str | None, str], Iterator[tuple[str, str, str]]], url: str = "url", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (url, kind, key, value) that ``parse`` yields for each page, after the columns ``keep`` of the page."""
+    given = pages.select(*keep, F.col(url).alias("url"), F.col(html).alias("html"))
+    return given.lateralJoin(parser(parse)(F.col("url").outer(), F.col("html").outer())).select(*keep, "url", "kind", "key", "value")
 
 
 def error_backoff(rows: DataFrame, key: str, order: list[str], status: str = "status_code", retry_after: str | None = None, *, size: int = scan.CHUNK) -> DataFrame:
