@@ -8,12 +8,15 @@ already before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import scan
+from docloom.operators.state import written
 
 #: Histogram bounds in seconds.
 BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0)
@@ -101,23 +104,125 @@ def alerts(metrics: DataFrame, rules: Sequence[tuple[str, str, str, str]], key:
     return metrics.select(key, F.explode(F.array_compact(F.array(*made))).alias("x")).select(key, "x.*")
 
 
-def cooldown(rows: DataFrame, key: str, ts: str = "ts", hold: float = COOLDOWN, *, size: int = 128) -> DataFrame:
+#: Times of a key that are one row of ``cooldown``.
+RUN = 1 << 13
+
+
+def _first(times: np.ndarray, last: int | None, wait: int) -> int:
+    """The place of the first of ``times`` that is sent after ``last``."""
+    return 0 if last is None else int(np.searchsorted(times, last + wait))
+
+
+def _runs(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted rows (key, t): a row (key, first, ts) for at most ``size`` different times of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = np.empty(0, np.int64), None  # of the last key, which may go on in the next batch
+
+        def rows(times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(times), size):
+                ts = times[at : at + size]
+                yield pa.RecordBatch.from_arrays([key, pa.array(ts[:1]), pa.ListArray.from_arrays(pa.array([0, len(ts)], pa.int32()), pa.array(ts))], ["key", "first", "ts"])
+
+        for b in batches:
+            ends, at = pc.run_end_encode(b.column(0)), 0
+            times = b.column(1).to_numpy(zero_copy_only=False)
+            for i, end in enumerate(ends.run_ends.to_pylist()):
+                k, own = ends.values.slice(i, 1), times[at:end]
+                at = end
+                if key is None or not key.equals(k):
+                    yield from rows(held)
+                    held, key = own[:0], pa.array(k.to_pylist(), k.type)
+                new = np.unique(np.concatenate([held[-1:], own]))[len(held[-1:]) :]
+                held = np.concatenate([held, new])
+                full = (len(held) - 1) // size * size  # one stays, for the next batch may begin with the same time
+                yield from rows(held[:full])
+                held = held[full:]
+        yield from rows(held)
+
+    return run
+
+
+def _steps(wait: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What each run does: if the last alert was sent so long before that ``upto`` is over, the run's last one is sent at ``sent``; beyond all, none is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                t = b.column(2)[i].values.to_numpy(zero_copy_only=False)
+                n, sent = len(t), t.copy()
+                after = np.searchsorted(t, t + wait)
+                while (open_ := after < n).any():  # each jump to the next one sent, for all at once, twice as far each time
+                    sent[open_] = sent[after[open_]]
+                    after[open_] = after[after[open_]]
+                begin = np.arange(min(n, int(np.searchsorted(t, t[0] + wait)) + 1))
+                last = begin[np.append(sent[begin[1:]] != sent[begin[:-1]], True)]  # of those that end alike
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(last)], pa.int32()), pa.array(x[last])) for x in (t, sent)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *lists], ["key", "first", "upto", "sent"])
+
+    return run
+
+
+def _states(wait: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, first, last) of runs sorted by key: the last alert sent before each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, begun = None, None, False
+        for b in batches:
+            out = []
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if not begun or k != key:
+                    key, last, begun = k, None, True
+                out.append(last)
+                upto, sent = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+                at = _first(upto, last, wait)
+                last = int(sent[at]) if at < len(upto) else last
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["key", "first", "last"])
+
+    return run
+
+
+def _sent(wait: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, t) of the alerts of runs (key, ts, last) that are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, last in enumerate(b.column(2).to_pylist()):
+                t, places = b.column(1)[i].values.to_numpy(zero_copy_only=False), []
+                at = _first(t, last, wait)
+                while at < len(t):
+                    places.append(at)
+                    at = _first(t, int(t[at]), wait)
+                if places:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(places))), pa.array(t[places])], ["key", "t"])
+
+    return run
+
+
+def cooldown(rows: DataFrame, key: str, ts: str = "ts", hold: float = COOLDOWN, *, size: int = RUN) -> DataFrame:
     """(key, sent_at) of the alerts that are sent: an alert holds back later ones of its key for ``hold`` seconds.
 
-    The state is the last time sent, in microseconds.  An alert sends itself if that is
-    ``hold`` away and else changes nothing, so a chunk is described by as many pieces as
-    it has alerts within ``hold`` of its first.  Alerts without a time are left out.
+    The state is the last time sent, in microseconds.  Times are range-partitioned and sorted
+    by key and time, so that a key with very many lies in many tasks, and cut into runs of at
+    most ``size``, written to the shared checkpoint folder.  What a run does to the state is
+    looked up among its first alerts, those within ``hold`` of the first; a key's runs are gone
+    through by these, in order, where it has several, and each run then sends on its own.
+    Work grows with the rows, however many of them are within ``hold``.  Alerts without a time
+    are left out.
     """
-    wait = round(hold * 1e6)
+    wait = max(round(hold * 1e6), 1)  # different times are a microsecond apart
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = rows.select(F.col(key).alias("key"), t.alias("t")).filter("t IS NOT NULL").distinct()
-    one = lambda x: scan.pieces((x["t"] - wait, True, x["t"]), (x["t"], False, 0))
-    fold = scan.Fold(scan.pieces((scan.HIGH, False, 0)), one, scan.pieces_then, scan.pieces_applied)
-    met = scan.entries(scan.chunks(times, "key", ["t"], {"t": F.col("t")}, size=size), fold, F.lit(scan.LOW + 1))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.col("state").alias("last"), none.alias("sent"))
-    step = lambda a, x: F.when(x["t"] - a["last"] >= wait, F.struct(x["t"].alias("last"), F.array_append(a["sent"], x["t"]).alias("sent"))).otherwise(a)
-    return met.select(F.col("key").alias(key), F.explode(F.aggregate("xs", start, step)["sent"]).alias("t")).select(key, F.timestamp_micros("t").alias("sent_at"))
+    times = rows.select(F.col(key).alias("key"), t.alias("t")).filter("t IS NOT NULL")
+    kind = times.schema["key"].dataType.simpleString()
+    dealt = times.repartitionByRange("key", "t").sortWithinPartitions("key", "t")
+    runs = written(dealt.mapInArrow(_runs(size), f"key {kind}, first long, ts array<long>"))
+    several = runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"))
+    again = runs.join(several, F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    steps = again.mapInArrow(_steps(wait), f"key {kind}, first long, upto array<long>, sent array<long>")
+    states = steps.repartition("key").sortWithinPartitions("key", "first").mapInArrow(_states(wait), f"key {kind}, first long, last long")
+    states = states.select(F.col("key").alias("k"), F.col("first").alias("f"), "last")
+    met = runs.join(states, F.col("key").eqNullSafe(F.col("k")) & (F.col("first") == F.col("f")), "left").select("key", "ts", "last")
+    return met.mapInArrow(_sent(wait), f"key {kind}, t long").select(F.col("key").alias(key), F.timestamp_micros("t").alias("sent_at"))
 
 
 def let_through(rows: DataFrame, key: str, order: str, ts: str = "ts", *, ttl: float) -> DataFrame:

@@ -136,3 +136,21 @@ def test_empty(df):
     assert politeness.throttle(none, "k", ["i"], "code").count() == 0
     assert politeness.token_bucket(none, "k", "t", ["i"], 1, 2).count() == 0
     assert tables.health(none, "k", ["i"], "ok").count() == 0
+
+
+@pytest.mark.parametrize("hold", [0, 7, 30_000])
+def test_cooldown_of_many_times_within_hold(spark, hold):
+    """All alerts of a stretch may be the first one sent, so what it does has as many pieces as rows."""
+    n = 60_000
+    at = spark.range(n).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' WHEN id % 1000 = 1 THEN NULL ELSE 'a' END AS k", "timestamp_seconds(id) AS ts")
+    at = at.union(at.limit(100))
+    want = set()
+    for key, of in (("b", lambda i: i % 10 == 0), (None, lambda i: i % 1000 == 1), ("a", lambda i: i % 10 and i % 1000 != 1)):
+        last = None
+        for t in filter(of, range(n)):
+            if last is None or t - last >= hold:
+                last = t
+                want.add((key, t))
+    for size in (100, monitoring.RUN):
+        got = monitoring.cooldown(at, "k", hold=hold, size=size).selectExpr("k", "unix_seconds(sent_at) AS s").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
