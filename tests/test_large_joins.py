@@ -113,3 +113,26 @@ def test_rows_are_not_sorted_for_a_vote(spark):
         steps = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Aggregate" in x]
         for i, step in enumerate(steps):
             assert "SortAggregate" not in step or ("min(value" not in step and any("HashAggregate" in x for x in steps[i:])), steps
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    """Copies in several blocks are equally near, in the order of their keys; pairs are no rows of a join."""
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "QUERIES", 3)
+    rng = random.Random(5)
+    kinds = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(6)]
+    rows = [(k, kinds[rng.randrange(6)] if k % 3 else [rng.gauss(0, 1) for _ in range(7)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    queries = df.filter("k % 10 = 0")
+    index = V.indexed(df, "k", "v")
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    want, wide = {}, set()
+    for k, q in rows[::10]:
+        near = sorted((-round(cosine(q, v), 12), o) for o, v in rows if o != k and cosine(q, v) >= 0.1)
+        wide |= {(k, o) for _, o in near}
+        want |= {(k, i): o for i, (_, o) in enumerate(near[:5], 1)}
+    found = V.search(index, queries, "k", "v", 0.1)
+    got = [(r.query, r.key) for r in found.collect()]
+    assert len(got) == len(wide) and set(got) == wide
+    assert {(r.query, r["rank"]): r.key for r in V.nearest(index, queries, "k", "v", 0.1, 5).collect()} == want
+    assert "zip_with" not in plan(found)
