@@ -1,6 +1,7 @@
 """Joins whose work must not be a product of their inputs, and what they find."""
 
 import random
+from collections import Counter
 
 from docloom.operators import dedup as D
 from docloom.operators import inference as I
@@ -136,3 +137,14 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
     assert len(got) == len(wide) and set(got) == wide
     assert {(r.query, r["rank"]): r.key for r in V.nearest(index, queries, "k", "v", 0.1, 5).collect()} == want
     assert "zip_with" not in plan(found)
+
+
+def test_fingerprints_shuffle_no_words(spark):
+    """A row for each key is shuffled, not one for each word of it; equal words weigh as their count."""
+    df = spark.createDataFrame([(1, "one one one two three, four"), (2, "two two of one"), (2, "again one"), (3, "a"), (4, None)], "k long, text string")
+    fps = D.simhash(D.weighty_tokens(df, "k", "text"), "k", "token")
+    counted = D.simhash(D.weighted_tokens(df, "k", "text"), "k", "token", F.col("w"))
+    assert Counter(tuple(r) for r in fps.collect()) == Counter(tuple(r) for r in counted.collect()) and fps.count() == 2
+    assert plan(fps).count("Aggregate") == 1
+    members = D.membership(fps, "k")
+    assert {(r.k, r.representative) for r in members.collect()} == {(1, 1), (2, 2)} and "Generate" not in plan(members)
