@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from docloom.operators import dedup as D
+from docloom.operators import fewshot as X2
 from docloom.operators import inference as I
 from docloom.operators import records as R
 from docloom.operators import tables as X
@@ -148,3 +149,32 @@ def test_fingerprints_shuffle_no_words(spark):
     assert plan(fps).count("Aggregate") == 1
     members = D.membership(fps, "k")
     assert {(r.k, r.representative) for r in members.collect()} == {(1, 1), (2, 2)} and "Generate" not in plan(members)
+
+
+def test_nearest_examples_meet_in_a_grid(spark, monkeypatch):
+    """The nearest example by brute force, ties included, and no pair is written out with its vectors."""
+    rng = random.Random(11)
+    hosts, notes = [f"www.h{i}ab.example.com" for i in range(9)], ["all rights reserved", "terms and privacy", "read more about us"]
+    say = lambda place: f"tag:footer text:{rng.choice(hosts)} {rng.choice(notes)} parent:body position:{place}/5"
+    examples = [(say(3), i, f"s{i}") for i in range(60)] + [("tag:li text:one parent:ul", 60, "li"), ("parent:ul text:one tag:li", 61, "later")]
+    targets = sorted({say(4) for _ in range(40)} | {"tag:li text:one parent:ul", "nothing like it", "", examples[5][0]})
+    e = spark.createDataFrame(examples, "line string, order long, selector string")
+    vocabulary = {r.gram: r.idf for r in X2.fit(e).collect()}
+
+    def vector(line):
+        made = Counter(g for w in line.lower().split() for n in (2, 3, 4) for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)))
+        v = {g: n * vocabulary[g] for g, n in made.items() if g in vocabulary}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {g: x / norm for g, x in v.items()}
+
+    want = {}
+    for t in targets:
+        q = vector(t)
+        s = [(-round(sum(x * v.get(g, 0.0) for g, x in q.items()), 12), order, selector) for line, order, selector in examples for v in [vector(line)]]
+        if -min(s)[0] >= 0.75:
+            want[t] = (min(s)[2], round(-min(s)[0], 9))
+    assert want["tag:li text:one parent:ul"][0] == "li" and 10 < len(want) < len(targets)
+    monkeypatch.setattr(X2, "SIDE", 16)  # several cells on both sides
+    df = X2.nearest(spark.createDataFrame([(t,) for t in targets], "line string"), e)
+    assert "FlatMapCoGroupsInArrow" in plan(df) and "map_from_entries" not in plan(df)
+    assert {r.line: (r.selector, round(r.similarity, 9)) for r in df.collect()} == want
