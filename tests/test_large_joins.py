@@ -2,7 +2,11 @@
 
 import random
 from collections import Counter
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+from docloom.functions import md5 as M
 from docloom.operators import dedup as D
 from docloom.operators import fewshot as X2
 from docloom.operators import inference as I
@@ -178,3 +182,24 @@ def test_nearest_examples_meet_in_a_grid(spark, monkeypatch):
     df = X2.nearest(spark.createDataFrame([(t,) for t in targets], "line string"), e)
     assert "FlatMapCoGroupsInArrow" in plan(df) and "map_from_entries" not in plan(df)
     assert {r.line: (r.selector, round(r.similarity, 9)) for r in df.collect()} == want
+
+
+def test_a_token_of_many_rows_is_hashed_once(spark, monkeypatch):
+    """Minima by hashlib, of words and of shingles, salts before and after, of rows that are cut and of long words; rows share their tokens."""
+    rng = random.Random(17)
+    rows = [[rng.choice(["a", "é", "w" * rng.randrange(1, 80), f"t{rng.randrange(30)}"]) for _ in range(n)] for n in (0, 1, 2, 3, 40, 5, 1, 90, 0, 7)] + [None]
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, words array<string>").coalesce(1)
+    hashed = []
+    monkeypatch.setattr(D, "TOGETHER", 16)
+    for k, form, salt in ((1, "suffix", "{t}_{i}"), (3, "prefix", "{i}:{t}")):
+        want = {}
+        for at, row in enumerate(rows):
+            tokens = {" ".join(row[i : i + k]) for i in range(len(row) - k + 1)} if row else ()
+            want[at] = [min(md5(salt.format(t=t, i=i).encode()).hexdigest() for t in tokens) for i in range(12)] if tokens else None
+        assert {r.k: r.signature for r in D.minhash(df, "k", "words", 12, form, k).collect()} == want
+    words = pa.array(["x", "y", "z"] * 500)
+    begin = np.arange(0, 1500, 3)
+    texts, text, ends = M.shingled(words, begin, begin + 3, 1)
+    monkeypatch.setattr(M, "digests", lambda words, run=M.digests: hashed.append(len(words[14])) or run(words))
+    high, _ = M.minima(texts, text, ends, [b"_0", b"_1"], before=False)
+    assert high.shape == (500, 2) and sum(hashed) == 2 * 3  # not 2 * 1500
