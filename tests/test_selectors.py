@@ -212,3 +212,23 @@ def test_checked_rows(spark, tmp_path):
     assert store.checked().filter("NOT intact").count() >= 1
     assert store.load().count() + store.checked().filter("NOT intact").count() == 3
     assert stores.unpack(None, "") is None
+
+
+def test_features_of_a_page_once_for_all_selectors(spark):
+    """The most similar element for each selector, as likeness pair by pair says, from one pass over the page's elements."""
+    old = "<html><body><div class='a b'><h1>One two three</h1></div><ul><li>x</li><li>y z</li></ul></body></html>"
+    new = "<html><body><div class='b c'><h2>One two</h2><h1>three two One</h1></div><ul><li>y</li><li>y z w</li></ul></body></html>"
+    df = spark.createDataFrame([(1, old, new), (2, None, new), (3, old, None)], "page_id long, old string, new string")
+    wanted = {"title": "h1", "item": "li", "none": "video"}
+    was, now = F.col("was"), F.col("tree")
+    pairs = trees.trees(df.filter("page_id = 1"), "page_id", "old").select(F.col("tree").alias("was")).crossJoin(trees.trees(df.filter("page_id = 1"), "page_id", "new").select("tree"))
+    want = set()
+    for name in ("title", "item"):
+        each = pairs.select("tree", "was", F.explode(trees.matches(was, wanted[name])).alias("o")).select("tree", "was", "o", F.explode(now).alias("n"))
+        scored = each.select(repair.likeness(repair.features(now, F.col("n")), repair.features(was, F.col("o"))).alias("s"), "n.id").collect()
+        s, at = max((r.s, -r.id) for r in scored)
+        want |= {(1, name, -at, round(s, 9))} if s >= 0.7 else set()
+    got = repair.repaired(df, wanted)
+    assert len(want) == 2 and {(r.page_id, r.name, r.node_id, round(r.similarity, 9)) for r in got.collect()} == want
+    # before a row is made for each selector, not after
+    assert any("Generate explode" in line and "regexp_replace" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
