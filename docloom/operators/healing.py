@@ -138,14 +138,14 @@ def repairs(pairs: DataFrame, broken: Sequence[str], *, key: str = "page_id", ol
     first = R.trees(pairs.select(F.struct(F.col(key).alias("key"), F.col(new).alias("new")).alias("k"), F.col(old).alias("old")), "k", "old").select("key.key", F.col("key.new").alias("new"), F.col("tree").alias("was"))
     looked = F.array(*(F.struct(F.lit(b).alias("broken"), F.transform(F.slice(R.matches(was, b), 1, originals), lambda n: P.features(was, n)).alias("old")) for b in broken))
     now = R.trees(first.select(F.struct("key", looked.alias("looked")).alias("k"), "new"), "k", "new").select("key.key", "tree", F.explode("key.looked").alias("x")).select("key", "tree", "x.*")
-    features = F.transform(tree, lambda n: P.features(tree, n))
+    features = F.transform(tree, lambda n: R.let(P.features(tree, n), P.split_words))
 
     def of_old(fs: Column) -> Column:
         def best(a: Column) -> Column:
-            scored = F.transform(fs, lambda f, i: F.struct((-P.likeness(a, f)).alias("minus"), i.alias("id")))
+            scored = F.transform(fs, lambda f, i: F.struct((-P.likeness(a["f"], f["f"], a["words"], f["words"])).alias("minus"), i.alias("id")))
             return F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] <= -least)), 1, similar)
 
-        return F.flatten(F.transform("old", best))
+        return F.flatten(F.transform(F.transform("old", P.split_words), lambda a: best(a)))
 
     near = now.select("key", "broken", "tree", F.explode(R.let(features, of_old)).alias("s")).select("key", "broken", R.stable_css(tree, F.get(tree, F.col("s.id"))).alias("css"), (-0.8 * F.col("s.minus")).alias("like"), F.lit(None).cast("double").alias("loose"))
     loose = now.select("key", "broken", "tree", F.explode(H.loosened(F.col("broken"))).alias("l")).filter(F.size(R.chain(tree, F.col("l.css"))) > 0).select("key", "broken", F.col("l.css").alias("css"), F.lit(None).cast("double").alias("like"), F.col("l.confidence").alias("loose"))
