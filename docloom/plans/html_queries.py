@@ -20,7 +20,7 @@ def sel3_css(spark, sf_dir):
 
 
 def sel4_first(spark, sf_dir):
-    return R.select(_pages(spark, sf_dir), {"h1": "article > h1::text"}).filter("pos = 0").select("page_id", F.col("value").alias("title"))
+    return R.first(_pages(spark, sf_dir), {"title": "article > h1::text"})
 
 
 def sel10_attributes(spark, sf_dir):
