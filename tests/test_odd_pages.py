@@ -14,7 +14,7 @@ PAGES = [
     PAGE.format("Plain &amp; &quot;whole&quot;", "buy", "<p>y</p>"), PAGE.format("cut &amp", "cut &am", OPEN), PAGE.format("cut &quo", "&", "<p>&amp</p><p>z</p>"), PAGE.format("deep", "buy", OPEN * 70),
     PAGE.format("the &a", "the title", OPEN * 200) + "</body></html>", None, "", HEAD.format("no article", "x"),
 ]
-NAMES = ["sel4_first", "gen5_scores", "rep8_structure", "sel1_css", "sel8_paths", "sup15_features"]
+NAMES = ["sel4_first", "gen5_scores", "rep8_structure", "sel1_css", "sel8_paths", "sup15_features", "txt_unescape"]
 
 
 @pytest.fixture(scope="module")
