@@ -14,8 +14,9 @@ PAGES = [
     PAGE.format("Plain &amp; &quot;whole&quot;", "buy", "<p>y</p>"), PAGE.format("cut &amp", "cut &am", OPEN), PAGE.format("cut &quo", "&", "<p>&amp</p><p>z</p>"), PAGE.format("deep", "buy", OPEN * 70),
     PAGE.format("the &a", "the title", OPEN * 200) + "</body></html>", None, "", HEAD.format("no article", "x"),
     PAGE.format("\xa0ends in separators\u2003", "&nbsp;x&nbsp; ", "<p>\xa0<p>y\u3000<p>\t z\n"),
+    HEAD.format("x", "y").replace(">the<", ">&nbsp;<"),
 ]
-NAMES = ["sel4_first", "gen5_scores", "rep8_structure", "sel1_css", "sel8_paths", "sup15_features", "txt_unescape", "sel12_dicts"]
+NAMES = ["sel4_first", "gen5_scores", "rep8_structure", "sel1_css", "sel8_paths", "sup15_features", "txt_unescape", "sel12_dicts", "sup11_described", "gen13_describe", "ext4_typed"]
 
 
 @pytest.fixture(scope="module")
