@@ -15,8 +15,9 @@ PAGES = [
     PAGE.format("the &a", "the title", OPEN * 200) + "</body></html>", None, "", HEAD.format("no article", "x"),
     PAGE.format("\xa0ends in separators\u2003", "&nbsp;x&nbsp; ", "<p>\xa0<p>y\u3000<p>\t z\n"),
     HEAD.format("x", "y").replace(">the<", ">&nbsp;<"),
+    PAGE.format("a\x0bb-c\td", "*\x0b.", "<p>\x0b\x0c"),
 ]
-NAMES = ["sel4_first", "gen5_scores", "rep8_structure", "sel1_css", "sel8_paths", "sup15_features", "txt_unescape", "sel12_dicts", "sup11_described", "gen13_describe", "ext4_typed"]
+NAMES = ["sel4_first", "gen5_scores", "rep8_structure", "sel1_css", "sel8_paths", "sup15_features", "txt_unescape", "sel12_dicts", "sup11_described", "gen13_describe", "ext4_typed", "gen9_stable"]
 
 
 @pytest.fixture(scope="module")
