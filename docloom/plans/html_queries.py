@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.functions import urls as U
 from docloom.operators import html as H
 from docloom.operators import trees as R
@@ -49,7 +50,7 @@ def ext3_convert(spark, sf_dir):
 
 
 def gen1_candidates(spark, sf_dir):
-    return H.candidates(H.nodes(_pages(spark, sf_dir)).filter("tag <> 'a'")).groupBy("selector", "confidence").agg(F.count("*").alias("n"))
+    return H.candidates(H.nodes(_pages(spark, sf_dir))).groupBy("selector", "confidence").agg(F.count("*").alias("n"))
 
 
 def rep3_dom_similarity(spark, sf_dir):
@@ -73,6 +74,10 @@ _TEXT = _UNESC.format(x="regexp_replace(" + _NOISE.format(x="html") + ", '<[^>]*
 for _c in ("chr(10)", "chr(13)", "chr(9)", "' '"):
     _TEXT = f"regexp_replace({_TEXT}, {_c} || '+', {_c}, 'g')"
 _TAGS = "list_distinct(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)))"
+#: Quoted attributes of all start tags (tag, name, v, classes).
+_ATTRIBUTES = r"""WITH starts AS (SELECT regexp_extract(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[a-z][^>]*>')), '^<[^>]*>') AS t FROM pages),
+      listed AS (SELECT lower(regexp_extract(t, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, regexp_extract_all(t, '\s([a-zA-Z:-]+)="[^"]*"', 1) AS names, regexp_extract_all(t, '\s[a-zA-Z:-]+="([^"]*)"', 1) AS vs FROM starts),
+      attributes AS (SELECT tag, lower(name) AS name, v, list_filter(string_split_regex(v, '\s+'), lambda x: x <> '') AS classes FROM (SELECT tag, unnest(names) AS name, unnest(vs) AS v FROM listed))"""
 
 SQL: dict[str, str | None] = {
     "sel3_css": "SELECT page_id, 'p' AS name, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n FROM pages UNION ALL SELECT page_id, 'link', CAST(len(regexp_extract_all(html, '<li><a ')) AS BIGINT) FROM pages",
@@ -82,7 +87,11 @@ SQL: dict[str, str | None] = {
     "ext1_extract": "SELECT page_id, regexp_extract(html, '<li><a href=\"([^\"]*)\"', 1) AS first_link, CAST(NULL AS VARCHAR) AS missing, round((1 + CASE WHEN trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' THEN 1 ELSE 0 END) / 3, 6) AS confidence FROM pages",
     "ext7_heal": "SELECT 'title' AS name, 1 AS used, count(*) AS n FROM pages WHERE trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' UNION ALL SELECT 'ad', 0, count(*) FROM pages WHERE regexp_matches(html, '<div class=\"ad\">[^<]')",
     "ext3_convert": f"SELECT id, CAST(replace('1,' || (id % 1000), ',', '') AS BIGINT) AS i, try_cast(name AS DOUBLE) AS f, id % 2 = 0 AS b, CASE WHEN scraped_date LIKE '%/%' THEN '2024-02-01' ELSE scraped_date END AS d, upper(brand) || ' X&Y' AS t FROM ({base.RECORDS})",
-    "gen1_candidates": "SELECT s AS selector, c AS confidence, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['div.ad', 'meta[charset=\"utf-8\"]', 'html[lang=\"' || regexp_extract(html, 'lang=\"([a-z]+)\"', 1) || '\"]']) AS s, unnest([0.6::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE]) AS c FROM pages) GROUP BY ALL",
+    "gen1_candidates": _ATTRIBUTES + """ SELECT s AS selector, c AS confidence, CAST(count(*) AS BIGINT) AS n FROM (
+      SELECT '#' || v AS s, 0.9::DOUBLE AS c FROM attributes WHERE name = 'id'
+      UNION ALL SELECT tag || '.' || array_to_string(classes, '.'), 0.7::DOUBLE FROM attributes WHERE name = 'class' AND len(classes) > 1
+      UNION ALL SELECT tag || '.' || unnest(classes), 0.6::DOUBLE FROM attributes WHERE name = 'class'
+      UNION ALL SELECT tag || '[' || name || '="' || v || '"]', 0.5::DOUBLE FROM attributes WHERE name NOT IN ('id', 'class', 'style') AND NOT """ + f"regexp_matches(v, '(?i){'|'.join(T.DYNAMIC)}')) GROUP BY ALL",
     "rep3_dom_similarity": f"WITH t AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, {_TAGS} AS tags FROM pages), f AS (SELECT host, arg_min(tags, page_id) AS other FROM t GROUP BY host) SELECT page_id, round(len(list_intersect(tags, other)) / len(list_distinct(list_concat(tags, other))), 6) AS similarity FROM t JOIN f USING (host)",
     "conv1_text": f"SELECT page_id, md5(trim({_TEXT}, chr(10) || chr(13) || chr(9) || ' ')) AS text_md5 FROM pages",
     "conv3_body": f"SELECT page_id, md5({_NOISE.format(x=chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<body[^>]*>(.*?)(?:</body>|$)' + chr(39) + ', 1)')}) AS body_md5 FROM pages",
